@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import p2_groups, p3_ranking, p4_distinctive, p6_encode
+from . import p1_parse, p2_groups, p3_ranking, p4_distinctive, p6_encode
 
 
 def queries() -> dict:
     return {
+        "p1_found": p1_parse.p1_found,
+        "p1_files": p1_parse.p1_files,
+        "p1_rates": p1_parse.p1_rates,
         "p2_found": p2_groups.p2_found,
         "p3_ranking": p3_ranking.p3_ranking,
         "p3_agreement": p3_ranking.p3_agreement,
