@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import p1_parse, p2_groups, p3_ranking, p4_distinctive, p6_encode
+from . import p1_parse, p2_groups, p3_ranking, p4_distinctive, p5_handwritten, p6_encode, p7_leaks
 
 
 def queries() -> dict:
@@ -15,7 +15,14 @@ def queries() -> dict:
         "p3_agreement": p3_ranking.p3_agreement,
         "p4_found": p4_distinctive.p4_found,
         "p4_scores": p4_distinctive.p4_scores,
+        "p5_found": p5_handwritten.p5_found,
+        "p5_kinds": p5_handwritten.p5_kinds,
+        "p5_statistics": p5_handwritten.p5_statistics,
         "p6_ids": p6_encode.p6_ids,
+        "p7_found": p7_leaks.p7_found,
+        "p7_spans": p7_leaks.p7_spans,
+        "p7_items": p7_leaks.p7_items,
+        "p7_cleaned": p7_leaks.p7_cleaned,
     }
 
 
