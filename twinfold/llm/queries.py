@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import p1_parse, p2_groups, p3_ranking, p4_distinctive, p5_handwritten, p6_encode, p7_leaks
+from . import p1_parse, p2_groups, p3_ranking, p4_distinctive, p5_handwritten, p6_encode, p7_leaks, p8_truncated
 
 
 def queries() -> dict:
@@ -23,6 +23,8 @@ def queries() -> dict:
         "p7_spans": p7_leaks.p7_spans,
         "p7_items": p7_leaks.p7_items,
         "p7_cleaned": p7_leaks.p7_cleaned,
+        "p8_found": p8_truncated.p8_found,
+        "p8_rates": p8_truncated.p8_rates,
     }
 
 
