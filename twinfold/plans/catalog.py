@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import prose
+from . import families, prose
 
-_MODULES = (prose,)
+_MODULES = (prose, families)
 
 
 def queries() -> dict:
