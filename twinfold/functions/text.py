@@ -42,7 +42,7 @@ def normalize_text(c: Column, strip_markdown: bool = True) -> Column:
 def extract_code(c: Column) -> Column:
     """The contents of fenced blocks, one under the other."""
     blocks = F.regexp_extract_all(c, F.lit(r"(?s)```[^\n]*\n(.*?)```"), F.lit(1))
-    return F.array_join(F.transform(blocks, F.trim), "\n")
+    return F.array_join(F.transform(blocks, lambda x: F.trim(x)), "\n")
 
 
 def words(c: Column) -> Column:
@@ -150,7 +150,7 @@ def generated_banner(src: Column) -> Column:
 
 def declaration_share(src: Column) -> Column:
     """Share of the lines that only import, include, use or re-export."""
-    lines = F.filter(F.transform(F.split(src, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(src, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     decl = F.filter(lines, lambda x: x.rlike(r"^(import |from |#include|use |pub use |require|package |using |export \* from|export \{)"))
     return F.when(F.size(lines) > 0, F.size(decl) / F.size(lines)).otherwise(F.lit(0.0))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import families, prose
+from . import code, families, prose
 
-_MODULES = (prose, families)
+_MODULES = (prose, families, code)
 
 
 def queries() -> dict:
