@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 import xxhash
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -135,11 +136,17 @@ def regions(html: str) -> list[tuple[str, int, str]]:
     return out
 
 
-@F.pandas_udf("array<long>")
-def dom_fingerprint(html: pd.Series) -> pd.Series:
-    return html.map(lambda s: None if s is None else dom_hashes(s))
+def dom_fingerprint(html: Column) -> Column:
+    """The hashes of a page and its elements, Arrow batch by Arrow batch."""
 
+    def run(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda s: None if s is None else dom_hashes(s))
 
-@F.pandas_udf("array<struct<kind:string,line:int,text:string>>")
-def embedded_regions(html: pd.Series) -> pd.Series:
-    return html.map(lambda s: [] if s is None else [{"kind": k, "line": n, "text": t} for k, n, t in regions(s)])
+    return F.pandas_udf(run, "array<long>")(html)
+
+
+def embedded_regions(html: Column) -> Column:
+    def run(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda s: [] if s is None else [{"kind": k, "line": n, "text": t} for k, n, t in regions(s)])
+
+    return F.pandas_udf(run, "array<struct<kind:string,line:int,text:string>>")(html)

@@ -22,10 +22,10 @@ def discover(spark: SparkSession, roots: list[str], exclude: list[str] = ()) ->
     order of the paths. Binary files are left out, bad bytes replaced."""
     globs = "*.{" + ",".join(sorted(LANGUAGES)) + "}"
     read = spark.read.format("binaryFile").option("pathGlobFilter", globs).option("recursiveFileLookup", "true").load(roots)
-    f = read.select("path", language_of(F.col("path")).alias("lang"), "content").filter(F.instr(F.hex(F.substring("content", 1, 8000)), "00") % 2 == 0)
+    f = read.select("path", language_of(F.col("path")).alias("lang"), F.make_valid_utf8(F.col("content").cast("string")).alias("src")).filter(F.locate("\0", F.substring("src", 1, 8000)) == 0)
     for g in exclude:
         f = f.filter(~F.col("path").rlike(glob_regex("**/" + g)))
-    f = f.filter(extension(F.col("path")).isin(*LANGUAGES)).withColumn("src", F.decode(F.try_validate_utf8(F.col("content").cast("string")).cast("binary"), F.lit("UTF-8")))
+    f = f.filter(extension(F.col("path")).isin(*LANGUAGES))
     return f.join(dense_ids(f, ["path"], "file_id"), "path").select("file_id", "path", "lang", "src")
 
 
