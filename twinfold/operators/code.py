@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scale import cut, spread
 from .similarity import bands, bucket_pairs, multiset_jaccard, signatures
 
 _SCHEMA = "file_id long, path string, kind string, name string, start_line int, end_line int, tokens int, tree long, shapes array<long>"
@@ -70,7 +71,7 @@ def python_units(files: DataFrame) -> DataFrame:
             rows = [(i, p, *u) for i, p, s in zip(f.file_id, f.path, f.src) for u in _units(s or "")]
             yield pd.DataFrame(rows, columns=["file_id", "path", "kind", "name", "start_line", "end_line", "tokens", "tree", "shapes"])
 
-    return src.mapInPandas(run, _SCHEMA)
+    return spread(src).mapInPandas(run, _SCHEMA)
 
 
 def sized(units: DataFrame) -> DataFrame:
@@ -87,8 +88,6 @@ def near_clones(units: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(a, b, score): pairs of distinct trees whose shape multisets have a Jaccard
     of `threshold` or more, proposed by MinHash bands."""
     reps = sized(units).groupBy("tree").agg(F.min("shapes").alias("grams")).withColumnRenamed("tree", "class_id").filter("size(grams) > 0")
-    from .scale import cut
-
     reps = cut(reps)
     cand = bucket_pairs(bands(signatures(reps)), ["band", "key"], "class_id")
     j = cand.join(reps.select(F.col("class_id").alias("a"), F.col("grams").alias("x")), "a").join(reps.select(F.col("class_id").alias("b"), F.col("grams").alias("y")), "b")

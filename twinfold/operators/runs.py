@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from .scale import lookup
+from .scale import lookup, spread
 from .similarity import hash60
 
 #: Lines of a window, and of the shortest run that is reported.
@@ -18,7 +18,7 @@ def line_windows(files: DataFrame, key: str, lang: Column, src: str, k: int = K)
     """(file, lang, pos, gram): hashes of k significant lines in a row; pos counts
     the significant lines of a file from 0."""
     lines = F.filter(F.transform(F.split(F.col(src), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r]+", " "))), lambda x: ~T.is_trivial_line(x))
-    rows = files.filter(F.col(src).isNotNull()).select(F.col(key).alias("file"), lang.alias("lang"), lines.alias("l")).filter(F.size("l") >= k)
+    rows = spread(files.filter(F.col(src).isNotNull())).select(F.col(key).alias("file"), lang.alias("lang"), lines.alias("l")).filter(F.size("l") >= k)
     grams = F.transform(T.windows(F.col("l"), k), lambda s: F.concat_ws("\n", *(s[f"x{i}"] for i in range(k))))
     return rows.select("file", "lang", F.posexplode(grams).alias("pos", "t")).select("file", "lang", "pos", hash60("t").alias("gram"))
 

@@ -47,6 +47,14 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as there are cores, for a stage that
+    computes much on few bytes. Data that already has that many is left alone, so
+    only inputs of a few file splits are ever moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def _offsets(parts: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """Exclusive running totals over partitions. `parts` has one row per
     (keys, partition), so the window is over as many rows as there are partitions."""

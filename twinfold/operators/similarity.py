@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from .scale import cut, lookup
+from .scale import cut, lookup, spread
 
 #: Signature length and rows per band; a bucket above BUCKET is not expanded into all pairs.
 PERMS, ROWS, BUCKET = 128, 4, 48
@@ -45,7 +45,7 @@ def representatives(cls: DataFrame) -> DataFrame:
 def word_shingles(reps: DataFrame, n: int = 5) -> DataFrame:
     """(class_id, size, grams): sorted hashes of the distinct n-word shingles."""
     grams = F.array_sort(F.array_distinct(F.transform(T.shingles(T.words(F.col("norm")), n), hash60)))
-    return cut(reps.select("class_id", grams.alias("grams"))).withColumn("size", F.size("grams")).filter("size > 0")
+    return cut(spread(reps).select("class_id", grams.alias("grams"))).withColumn("size", F.size("grams")).filter("size > 0")
 
 
 def jaccard_links(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -161,7 +161,7 @@ def winnow(reps: DataFrame, k: int = 5, w: int = 4) -> DataFrame:
     low = F.transform(T.windows(F.col("h"), w), lambda s: F.least(*(s[f"x{i}"] for i in range(w))))
     n = F.size("h")
     mins = F.when(n == 0, F.array().cast("array<bigint>")).when(n < w, F.array(F.array_min("h"))).otherwise(low)
-    hashed = cut(reps.select("class_id", h.alias("h")))  # or every slice would hash the text again
+    hashed = cut(spread(reps).select("class_id", h.alias("h")))  # or every slice would hash the text again
     return hashed.select("class_id", F.array_sort(F.array_distinct(mins)).alias("fps"))
 
 
