@@ -35,12 +35,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scale import cut
+
 #: Records used for training at most.
 SAMPLE = 16_000
 BITS = 18
 #: A length is a limit if this many records of a source have it, and this share of them.
 LIMIT_ROWS, LIMIT_SHARE = 5, 0.01
 THRESHOLD = 0.5
+#: Limits are broadcast up to this many sources.
+BROADCAST_ROWS = 100_000
 #: Artificial cuts leave at least this many characters; limits below do not hold texts.
 SHORTEST = 48
 
@@ -241,7 +245,9 @@ def limits(docs: DataFrame, text: str, source: str) -> DataFrame:
 
 
 def _limited(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    lim = limits(docs, text, source)
+    lim = cut(limits(docs, text, source))
+    if lim.count() <= BROADCAST_ROWS:  # one row per source; with more sources than that the join is left to Spark
+        lim = F.broadcast(lim)
     j = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(source).alias("source")).join(lim, F.col("source") == F.col("_source"), "left")
     return j.select("k", "source", "t", F.coalesce((F.length("t") >= F.col("_limit") - 1) & (F.length("t") <= F.col("_limit") + 1), F.lit(False)).cast("int").alias("at"))
 
