@@ -192,3 +192,24 @@ def test_streaming(spark, sf, tmp_path):
     w = I.windowed_counts(st, "ts", "event_type").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     w.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM w").first()[0] == ev.count()
+
+
+def test_anchors(spark):
+    from twinfold.operators import anchors as A
+
+    u = spark.createDataFrame([(1, [(7, 30), (8, 5)]), (2, [(7, 25)]), (3, [(8, 5)]), *((i, [(9, 40)]) for i in range(10, 18))], "unit_id long, anchors array<struct<hash:long,weight:int>>")
+    assert [tuple(r) for r in A.rare_anchor_pairs(u).collect()] == [(1, 2, 25)]
+    s = spark.createDataFrame([(20,), (80,)], "w int").select(A.anchor_score(F.col("w")))
+    assert [round(r[0], 4) for r in s.collect()] == [0.72, 0.81]
+    v = spark.createDataFrame([(1, [4, 3, 2, 1], True), (2, [1, 2, 3, 4], True), (3, [1, 2, 3, 4], False), (4, [1, 1], True)], "unit_id long, value array<long>, exact_safe boolean")
+    assert sorted(tuple(r) for r in A.value_classes(v).collect()) == [(1, 1, 2), (2, 1, 2)]
+    big = list(range(100, 110))
+    schema = "unit_id long, path string, start_line int, end_line int, token_count int, value array<long>, returns array<long>, cond_sinks array<long>, called_helper_returns array<long>, anchors array<struct<hash:long,weight:int,line_start:int,line_end:int>>, pure_single_return boolean, used_length_contract boolean, exact_safe boolean"
+    rows = [
+        (1, "h.py", 1, 5, 25, big, [5], [100], [], [], True, False, True), (2, "c.py", 1, 50, 90, [*big, 5], [], [], [], [(5, 30, 10, 20)], False, False, True),
+        (3, "d.py", 1, 50, 90, [*big, 5], [], [], [5], [(5, 30, 10, 20)], False, False, True), (4, "e.py", 1, 50, 90, [1], [], [], [], [(5, 30, 10, 20)], False, False, True), (5, "f.py", 30, 50, 90, big, [], [], [], [(5, 30, 10, 20)], False, False, True),
+    ]
+    assert [tuple(r) for r in A.reinvented(spark.createDataFrame(rows, schema)).collect()] == [(2, 1, 5)]
+    lit = lambda *x: [("int" if isinstance(v, int) else "float", str(v)) for v in x]
+    m = spark.createDataFrame([("f", "py", "F", lit(1, 2)), ("f", "py", "F", lit(1, 3.5)), ("g", "py", "F", lit(1, 2)), ("g", "py", "F", lit(2, 3)), ("h", "py", "F", lit(1)), ("h", "go", "F", lit(2))], "family_id string, lang string, kind string, literals array<struct<kind:string,value:string>>")
+    assert [tuple(r) for r in A.abstraction(m).collect()] == [("f", 1, ["float", "int"], True)]

@@ -65,3 +65,21 @@ def enclosing(inner: DataFrame, outer: DataFrame) -> DataFrame:
     j = overlap_join(inner, outer.withColumnRenamed("name", "outer")).filter("r_start <= start AND end <= r_end")
     best = F.min(F.struct((F.col("r_end") - F.col("r_start")).alias("n"), F.col("r_start").alias("s"), F.col("outer").alias("outer")))
     return j.groupBy("id").agg(best.alias("b")).select("id", F.col("b.outer").alias("outer"))
+
+
+def subsumed(rows: DataFrame, share: float = 0.6) -> DataFrame:
+    """(family_id, by): families of which every member overlaps a member of one
+    family before it by `share` of its own lines or more. Before means more lines in
+    all, then more value, then the smaller id; of several the first counts."""
+    total = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    r = rows.select("family_id", "members", "value", total.alias("total"))
+    m = r.select("family_id", "value", "total", F.posexplode("members").alias("i", "m")).select("family_id", "value", "total", "i", F.col("m.path").alias("file"), F.col("m.start_line").alias("start"), F.col("m.end_line").alias("end"))
+    inner = m.withColumnsRenamed({"family_id": "a", "value": "a_value", "total": "a_total"})
+    outer = m.drop("i").withColumnsRenamed({"family_id": "b", "value": "b_value", "total": "b_total"}).distinct()
+    j = overlap_join(inner.filter("file IS NOT NULL"), outer.filter("file IS NOT NULL")).filter("a <> b")
+    j = j.filter((F.least("end", "r_end") - F.greatest("start", "r_start") + 1) >= share * (F.col("end") - F.col("start") + 1) - 1e-9)
+    before = (F.col("b_total") > F.col("a_total")) | ((F.col("b_total") == F.col("a_total")) & ((F.col("b_value") > F.col("a_value")) | ((F.col("b_value") == F.col("a_value")) & (F.col("b") < F.col("a")))))
+    g = j.filter(before).groupBy("a", "b").agg(F.count_distinct("i").alias("covered"), F.first("b_total").alias("t"), F.first("b_value").alias("v"))
+    n = r.select(F.col("family_id").alias("a"), F.size("members").alias("n"))
+    all_in = g.join(n, "a").filter("covered = n")
+    return all_in.groupBy("a").agg(F.min(F.struct((-F.col("t")).alias("t"), (-F.col("v")).alias("v"), "b")).alias("m")).select(F.col("a").alias("family_id"), F.col("m.b").alias("by"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import ranking as R
 from ..operators import spans as SP
 from ..operators import temporal as TM
@@ -86,7 +87,25 @@ def fam_kept_members(spark, d):
     return SP.without_overlaps(rows(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (fam_figures, fam_top, fam_at, fam_dashboard, fam_hotspots, fam_json, fam_status, fam_status_counts, fam_unignored, fam_divergence, fam_overlaps, fam_kept_members)}
+def fam_subsumed(spark, d):
+    """Families whose members all lie in those of one larger family."""
+    return SP.subsumed(rows(spark, d))
+
+
+def fam_surface(spark, d):
+    """Where a family is shown: template, generated, tests, small, or recommended."""
+    gen = F.size(F.filter("members", lambda m: F.coalesce(T.is_generated_path(m["path"]), F.lit(False))))
+    surface = F.when(F.col("is_template"), "template").when((gen > 0) & (gen == F.size("members")), "generated").when(F.col("scope") == "test", "tests").when(F.col("mean_lines") < 5, "small").otherwise("recommended")
+    return rows(spark, d).select("family_id", surface.alias("surface"))
+
+
+def fam_edges(spark, d):
+    """Path pairs that families name, with how many families name them and the best score."""
+    r = rows(spark, d).filter("n_members = 2").select("score", F.expr("members[0].path").alias("p"), F.expr("members[1].path").alias("q")).filter("p IS NOT NULL AND q IS NOT NULL AND p <> q")
+    return r.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count(F.lit(1)).alias("families"), F.max("score").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (fam_subsumed, fam_surface, fam_edges, fam_figures, fam_top, fam_at, fam_dashboard, fam_hotspots, fam_json, fam_status, fam_status_counts, fam_unignored, fam_divergence, fam_overlaps, fam_kept_members)}
 _FILTERS = {
     "fam_filter_scope": (["scope=prod,mixed"], "scope IN ('prod', 'mixed')"),
     "fam_filter_path": (["path~wiki"], "len(list_filter(members, lambda m: contains(m.path, 'wiki'))) > 0"),
@@ -118,6 +137,15 @@ SELECT family_id, members, touched FROM g WHERE touched > 0 AND touched < member
     "fam_overlaps": f"""{_F}, mem AS (SELECT DISTINCT family_id, m.path AS path, m.start_line AS s, m.end_line AS e FROM (SELECT family_id, unnest(members) AS m FROM fam) WHERE m.path IS NOT NULL AND m.end_line >= m.start_line),
 p AS (SELECT x.family_id AS a, y.family_id AS b, x.path, x.s AS xs, x.e AS xe, y.s AS ys, y.e AS ye FROM mem x JOIN mem y ON x.path = y.path AND x.family_id < y.family_id AND 2 * (least(x.e, y.e) - greatest(x.s, y.s) + 1) >= least(x.e - x.s, y.e - y.s) + 1)
 SELECT a, b, least(count(DISTINCT (path, xs, xe)), count(DISTINCT (path, ys, ye))) AS shared_members FROM p GROUP BY a, b HAVING least(count(DISTINCT (path, xs, xe)), count(DISTINCT (path, ys, ye))) >= 2""",
+    "fam_subsumed": f"""{_F}, r AS (SELECT family_id, members, value, coalesce(list_sum(lines), 0)::BIGINT AS total FROM fam),
+m AS (SELECT family_id, value, total, i, m.path AS path, m.start_line AS s, m.end_line AS e FROM (SELECT family_id, value, total, unnest(members) AS m, unnest(range(len(members))) AS i FROM r)),
+j AS (SELECT x.family_id AS a, y.family_id AS b, y.total AS t, y.value AS v, count(DISTINCT x.i) AS covered FROM m x JOIN m y ON x.path = y.path AND x.family_id <> y.family_id AND x.e >= x.s AND y.e >= y.s AND x.s <= y.e AND y.s <= x.e
+  AND least(x.e, y.e) - greatest(x.s, y.s) + 1 >= 0.6 * (x.e - x.s + 1) - 1e-9 AND (y.total > x.total OR (y.total = x.total AND (y.value > x.value OR (y.value = x.value AND y.family_id < x.family_id)))) GROUP BY ALL)
+SELECT a AS family_id, arg_min(b, (-t, -v, b)) AS by FROM j JOIN r ON r.family_id = a WHERE covered = len(members) GROUP BY a""",
+    "fam_surface": rf"""{_F} SELECT family_id, CASE WHEN is_template THEN 'template' WHEN len(members) > 0 AND len(list_filter(paths, lambda p: regexp_matches(lower(p), '(^|/)(generated|gen|autogen|__generated__)/') OR regexp_matches(lower(p), '(\.generated\.|\.gen\.|_pb2\.py$|\.pb\.go$|\.min\.(js|css)$)'))) = len(members) THEN 'generated'
+WHEN scope = 'test' THEN 'tests' WHEN mean_lines < 5 THEN 'small' ELSE 'recommended' END AS surface FROM fam""",
+    "fam_edges": f"""{_F} SELECT least(members[1].path, members[2].path) AS a, greatest(members[1].path, members[2].path) AS b, count(*) AS families, max(CASE WHEN isnan(score) THEN NULL ELSE score END) AS score FROM fam
+WHERE n_members = 2 AND members[1].path IS NOT NULL AND members[2].path IS NOT NULL AND members[1].path <> members[2].path GROUP BY ALL""",
 }
 SQL |= {k: f"{_F} SELECT {_COLS} FROM fam WHERE {w}" for k, (_, w) in _FILTERS.items()}
 SQL |= {
