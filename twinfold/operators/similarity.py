@@ -31,21 +31,25 @@ def hash60(c: Column) -> Column:
 
 
 def classes(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(id, class_id, norm): documents with a text that is not blank; equal
-    normalised texts share the smallest id as class."""
-    one = docs.select(F.col(key).alias("id"), text.alias("norm")).filter("norm IS NOT NULL AND norm <> ''")
-    low = one.groupBy("norm").agg(F.min("id").alias("class_id"))
-    return lookup(one, low, "norm").select("id", "class_id", "norm")
+    """(id, class_id): documents with a text that is not blank; equal normalised
+    texts share the smallest id as class. Texts are compared by their SHA-256, so
+    no text is shuffled."""
+    one = spread(docs.select(F.col(key).alias("id"), text.alias("norm")))
+    one = cut(one.filter("norm IS NOT NULL AND norm <> ''").select("id", F.sha2("norm", 256).alias("h")))
+    low = one.groupBy("h").agg(F.min("id").alias("class_id"))
+    return lookup(one, low, "h").select("id", "class_id")
 
 
-def representatives(cls: DataFrame) -> DataFrame:
-    return cls.filter("id = class_id").select("class_id", "norm")
+def representatives(cls: DataFrame, docs: DataFrame, key: str, text: Column) -> DataFrame:
+    """(class_id, norm): the normalised text of one document per class."""
+    first = cls.filter("id = class_id").select("class_id").distinct()
+    return docs.select(F.col(key).alias("class_id"), text.alias("norm")).join(first, "class_id", "left_semi")
 
 
 def word_shingles(reps: DataFrame, n: int = 5) -> DataFrame:
     """(class_id, size, grams): sorted hashes of the distinct n-word shingles."""
     grams = F.array_sort(F.array_distinct(F.transform(T.shingles(T.words(F.col("norm")), n), hash60)))
-    return cut(spread(reps).select("class_id", grams.alias("grams"))).withColumn("size", F.size("grams")).filter("size > 0")
+    return cut(reps.select("class_id", grams.alias("grams"))).withColumn("size", F.size("grams")).filter("size > 0")
 
 
 def jaccard_links(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -161,7 +165,7 @@ def winnow(reps: DataFrame, k: int = 5, w: int = 4) -> DataFrame:
     low = F.transform(T.windows(F.col("h"), w), lambda s: F.least(*(s[f"x{i}"] for i in range(w))))
     n = F.size("h")
     mins = F.when(n == 0, F.array().cast("array<bigint>")).when(n < w, F.array(F.array_min("h"))).otherwise(low)
-    hashed = cut(spread(reps).select("class_id", h.alias("h")))  # or every slice would hash the text again
+    hashed = cut(reps.select("class_id", h.alias("h")))  # or every slice would hash the text again
     return hashed.select("class_id", F.array_sort(F.array_distinct(mins)).alias("fps"))
 
 

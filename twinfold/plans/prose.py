@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import prose_families as PF
 from ..operators import similarity as S
 from ..operators.graph import connected
-from ..operators.scale import cut
+from ..operators.scale import cut, spread
 from ..tables import table
 
 
@@ -52,14 +52,22 @@ def md_code(spark, d):
     return docs(spark, d).filter("text LIKE '%```%'").select("doc_id", F.md5(T.extract_code(F.col("text"))).alias("code_md5"))
 
 
+def norm_text():
+    return simple_norm(F.col("text"))
+
+
 def reps(spark, d):
-    cls = S.classes(docs(spark, d), "doc_id", simple_norm(F.col("text")))
-    return cls
+    return S.classes(docs(spark, d), "doc_id", norm_text())
+
+
+def texts_of(spark, d, cls):
+    """The texts of the representatives, over all cores."""
+    return spread(docs(spark, d)).transform(lambda x: S.representatives(cls, x, "doc_id", norm_text()))
 
 
 def sets_of(spark, d):
     cls = cut(reps(spark, d))
-    return cls, cut(S.word_shingles(S.representatives(cls)))
+    return cls, S.word_shingles(texts_of(spark, d, cls))
 
 
 def md_exact_classes(spark, d):
@@ -91,7 +99,7 @@ def md_minhash_estimate(spark, d):
 
 def md_winnow_candidates(spark, d):
     cls = cut(reps(spark, d))
-    fps = cut(S.winnow(S.representatives(cls)))
+    fps = cut(S.winnow(texts_of(spark, d, cls)))
     return S.shared_rare(fps, "fps", 3, min(max(8, fps.count() // 25), 40))  # bounded posting lists at any size
 
 
