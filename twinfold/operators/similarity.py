@@ -187,12 +187,21 @@ def idf_table(sets: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))  # n is one row
 
 
+def idf_once(n: int) -> Column:
+    """The idf of an element that one of `n` sets holds."""
+    return F.log(F.lit((n - 1 + 0.5) / (1 + 0.5) + 1))
+
+
 def cosine_pairs(pairs: DataFrame, sets: DataFrame, idf: DataFrame) -> DataFrame:
     """(a, b, cosine, commonness) of binary tf-idf vectors; commonness is the mean
-    document share of the grams that a pair has in common."""
-    long = lookup(sets.select("class_id", F.explode("grams").alias("g")), idf, "g")
-    norm = long.groupBy("class_id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+    document share of the grams that a pair has in common. `idf` may leave out the
+    grams of one set."""
     used = pairs.select("a", "b")
+    ends = used.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    long = lookup(sets.join(ends, "class_id", "left_semi").select("class_id", F.explode("grams").alias("g")), idf, "g", "left")
+    weight = F.coalesce("idf", idf_once(sets.count()))
+    norm = long.groupBy("class_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    long = long.filter("df > 1")
     left = used.join(long.select(F.col("class_id").alias("a"), "g", "idf", "df", "n"), "a")
     both = left.join(long.select(F.col("class_id").alias("b"), "g"), ["b", "g"])
     dot = both.groupBy("a", "b").agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"), F.avg(F.col("df") / F.col("n")).alias("commonness"))
@@ -207,6 +216,31 @@ def accept(cosine: Column, containment: Column, shared: Column, least_score: flo
     return score, (score >= least_score) & (shared >= least_shared)
 
 
+def accept_candidates(sets: DataFrame, idf: DataFrame, least_score: float = 0.5, contained: float = 0.8, least_shared: int = 24) -> DataFrame:
+    """(a, b) with a < b, distinct: every pair that `accept` can take, by either rule.
+
+    With the elements of each set ordered by rarity, take the first one a pair
+    shares. Cosine: what follows it holds the whole dot product, so on both sides
+    it must hold `least_score` of the norm (Cauchy-Schwarz). Containment: in the
+    smaller set it must leave `contained` of the size; it may stand anywhere in
+    the larger one. In both, `least_shared` elements must still follow."""
+    long = lookup(sets.filter(F.col("size") >= least_shared).select("class_id", "size", F.explode("grams").alias("g")), idf.filter("df > 1").select("g", "df", "idf"), "g")
+    w = Window.partitionBy("class_id")
+    on_from = w.orderBy(F.col("df").desc(), F.col("g").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sq, n = F.col("idf") * F.col("idf"), F.count(F.lit(1))
+    whole = F.sum(sq).over(w) + (F.col("size") - n.over(w)) * F.pow(idf_once(sets.count()), 2)  # elements of one set come first
+    placed = cut(long.select("class_id", "size", "g", n.over(on_from).alias("left"), (F.sum(sq).over(on_from) / whole).alias("mass")).filter(F.col("left") >= least_shared))
+    on = (F.col("l.g") == F.col("r.g")) & (F.col("l.class_id") != F.col("r.class_id"))
+    ends = [F.least("l.class_id", "r.class_id").alias("a"), F.greatest("l.class_id", "r.class_id").alias("b")]
+    least_mass = least_score * least_score - 1e-9
+    heavy = placed.filter(F.col("mass") >= least_mass)
+    alike = heavy.alias("l").join(heavy.alias("r"), on & (F.col("l.class_id") < F.col("r.class_id")) & (F.col("l.mass") * F.col("r.mass") >= least_mass)).select(*ends)
+    need = F.col("size") * contained - 1e-9
+    small = placed.filter(F.col("left") >= need).withColumn("need", need)
+    inside = small.alias("l").join(placed.alias("r"), on & (F.col("l.size") <= F.col("r.size")) & (F.col("r.left") >= F.col("l.need"))).select(*ends)
+    return alike.unionByName(inside).distinct()
+
+
 def multiset_jaccard(a: Column, b: Column) -> Column:
     """Sum of minima over sum of maxima of two arrays with repetitions; two empty
     arrays give 1. The k-th repetition of a value is made a value of its own."""

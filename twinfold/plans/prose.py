@@ -109,10 +109,12 @@ def md_idf(spark, d):
 
 
 def accepted(spark, d):
-    """(cls, sets, pairs with score, cosine, containment, shared, jaccard, commonness)."""
+    """(cls, sets, pairs with score, cosine, containment, shared, jaccard, commonness):
+    all accepted pairs of the corpus, not only those that share a MinHash band."""
     cls, sets = sets_of(spark, d)
-    cand = cut(S.bucket_pairs(S.bands(S.signatures(sets)), ["band", "key"], "class_id"))
-    cos = S.cosine_pairs(cand, sets, S.idf_table(sets))
+    idf = cut(S.idf_table(sets).filter("df > 1"))
+    cand = cut(S.accept_candidates(sets, idf))
+    cos = S.cosine_pairs(cand, sets, idf)
     j = S.score_pairs(cand, sets).join(cos, ["a", "b"])
     score, ok = S.accept(F.col("cosine"), F.col("containment"), F.col("shared"))
     return cls, sets, cut(j.filter(ok).withColumn("score", score))
