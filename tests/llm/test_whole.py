@@ -1,0 +1,28 @@
+"""Results are whole: passages that used to be passed over."""
+
+from twinfold.llm import p7_leaks
+
+ITEM = [f"item{i}" for i in range(90)]
+
+
+def leaks(*parts):
+    index = p7_leaks.Index([1], [" ".join(ITEM)])
+    doc = [w for p in parts for w in p]
+    return p7_leaks.scan(index, [[index.vocab.get(w, 0) for w in doc]])[0]
+
+
+def test_p7_passage_behind_a_longer_equal_block():
+    noisy = [f"other{i}" if i in (7, 15, 23) else w for i, w in enumerate(ITEM[:30])]
+    assert [(n, e, a, z) for _, n, e, a, z in leaks(ITEM[60:75], noisy)] == [(30, 3, 15, 45)]
+
+
+def test_p7_every_passage_of_an_item():
+    gap = ["between"] * 20
+    assert [(n, a, z) for _, n, _, a, z in leaks(ITEM[:40], gap, ITEM[:40])] == [(40, 0, 40), (40, 60, 100)]
+    assert [(n, a, z) for _, n, _, a, z in leaks(ITEM[50:85], gap, ITEM[:35])] == [(35, 0, 35), (35, 55, 90)]
+
+
+def test_p7_dropped_and_added_words():
+    dropped = [w for i, w in enumerate(ITEM[:50]) if i not in (12, 33)]
+    added = dropped[:20] + ["new"] + dropped[20:]
+    assert [(n, e) for _, n, e, _, _ in leaks(["x"], added, ["y"])] == [(50, 3)]

@@ -2,7 +2,8 @@
 
 Method: the n-grams of the normalised test items are a broadcast hash set; the
 windows of every document are looked up in it batch by batch; hits are verified
-by aligning the document's words around them with the item's; spans or whole
+by following the edit distance from equal stretches both ways, again and again on
+what lies before and after a run; spans or whole
 documents can then be removed.
 
 A leak is a run of at least RUN consecutive item words in which at most one word
@@ -30,7 +31,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -117,27 +117,84 @@ def hashes(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def best_run(item: list[int], doc: list[int]) -> tuple[int, int, int, int]:
+def _blocks_of(item: list[int], doc: list[int], lo: int, hi: int) -> list[tuple[int, int, int]]:
+    """(item place, doc place, words) of the maximal equal stretches of SEED words
+    or more within doc[lo:hi]."""
+    at: dict[tuple, list[int]] = {}
+    for i in range(len(item) - SEED + 1):
+        at.setdefault(tuple(item[i : i + SEED]), []).append(i)
+    out, upto = [], {}
+    for j in range(lo, hi - SEED + 1):
+        for i in at.get(tuple(doc[j : j + SEED]), ()):
+            if upto.get(i - j, -1) > j:
+                continue
+            n = SEED
+            while i + n < len(item) and j + n < hi and item[i + n] == doc[j + n]:
+                n += 1
+            upto[i - j] = j + n - SEED + 1
+            out.append((i, j, n))
+    return out
+
+
+def _reach(item: list[int], doc: list[int], i0: int, j0: int, end: int, step: int, most: int) -> list[tuple[int, int]]:
+    """For 0, 1, ... `most` errors how many item and document words can follow
+    (step 1) or precede (step -1) the places i0 and j0, ending on an equal word;
+    by furthest points on the diagonals."""
+    wide, deep = (len(item) - i0 if step > 0 else i0 + 1), (end - j0 if step > 0 else j0 - end + 1)
+    front, out, best = {0: 0}, [(0, 0)], (0, 0)
+    for _ in range(most):
+        new: dict[int, int] = {}
+        for d, x in front.items():  # x item words and x - d document words are behind
+            for nd, nx in ((d, x + 1), (d + 1, x + 1), (d - 1, x)):  # changed, dropped, added
+                if nx <= wide and nx - nd <= deep and nx > new.get(nd, -1):
+                    new[nd] = nx
+        for d, x in new.items():
+            y = x
+            while y < wide and y - d < deep and item[i0 + step * y] == doc[j0 + step * (y - d)]:
+                y += 1
+            new[d] = y
+            if y > x and y > best[0]:
+                best = (y, y - d)
+        front = new
+        out.append(best)
+        if not new:
+            break
+    return out
+
+
+def best_run(item: list[int], doc: list[int], lo: int = 0, hi: int | None = None) -> tuple[int, int, int, int]:
     """(item words, errors, first and last place in `doc`) of the longest run of
-    the item in `doc` within the allowed errors; 0 words if it has less than RUN."""
-    blocks = [b for b in SequenceMatcher(None, item, doc, autojunk=False).get_matching_blocks() if b.size]
+    the item in doc[lo:hi] within the allowed errors; 0 words if it has less than
+    RUN. A run holds an equal stretch of SEED words; from each of these the edit
+    distance is followed both ways."""
+    hi = len(doc) if hi is None else hi
     best = (0, 0, 0, 0)
-    for s in range(len(blocks)):
-        errors = 0
-        for e in range(s, len(blocks)):
-            if e > s:
-                p, q = blocks[e - 1], blocks[e]
-                errors += max(q.a - p.a - p.size, q.b - p.b - p.size)
-            # errors inside the run; words beyond the last match may be errors too
-            n = blocks[e].a + blocks[e].size - blocks[s].a
-            spare = max(0, min(int(ERRORS * RUN) - errors, len(item) - n)) if n < RUN else 0
-            if n + spare >= RUN and errors + spare <= ERRORS * (n + spare) and n > best[0]:
-                best = (n, errors, blocks[s].b, blocks[e].b + blocks[e].size)
-            if errors > ERRORS * len(item) + 1:
-                break
+    most = int(ERRORS * len(item)) + 1
+    for i, j, size in sorted(_blocks_of(item, doc, lo, hi), key=lambda x: -x[2]):
+        after = _reach(item, doc, i + size, j + size, hi, 1, most)
+        before = _reach(item, doc, i - 1, j - 1, lo, -1, most)
+        for e, (n1, m1) in enumerate(after):
+            for f, (n0, m0) in enumerate(before):
+                n, errors = n0 + size + n1, e + f
+                # errors inside the run; words beyond the last match may be errors too
+                spare = max(0, min(int(ERRORS * RUN) - errors, len(item) - n)) if n < RUN else 0
+                if n + spare >= RUN and errors + spare <= ERRORS * (n + spare) and (n, -errors) > (best[0], -best[1]):
+                    best = (n, errors, j - m0, j + size + m1)
     return best
 
 
+def runs(item: list[int], doc: list[int], lo: int, hi: int) -> list[tuple[int, int, int, int]]:
+    """The longest run in doc[lo:hi], and those of what lies before and after it."""
+    out, todo = [], [(lo, hi)]
+    while todo:
+        a, z = todo.pop()
+        r = best_run(item, doc, a, z) if z - a >= RUN * (1 - 2 * ERRORS) else (0,)
+        if r[0]:
+            out.append(r)
+            todo += [(a, r[2]), (r[3], z)]
+    return sorted(out, key=lambda r: r[2])
+
+
 def scan(index: Index, docs: list[list[int]]) -> list[list[tuple]]:
     """Per document the leaks (item number, words, errors, first, last word)."""
     out: list[list[tuple]] = [[] for _ in docs]
@@ -169,7 +226,8 @@ def scan(index: Index, docs: list[list[int]]) -> list[list[tuple]]:
     spans: dict[int, list[list[int]]] = {}
     for x in np.nonzero(dense)[0].tolist():
         d = int(doc_of[order[x]])
-        a, z = int(p[x] - starts[d]) - RUN, int(p[x + k] - starts[d]) + SEED + RUN
+        room = RUN + len(index.items[int(key[x]) % len(index.items)]) * 11 // 10  # a run ends within this of its hits
+        a, z = int(p[x] - starts[d]) - room, int(p[x + k] - starts[d]) + SEED + room
         own = spans.setdefault(int(key[x]), [])
         if own and a <= own[-1][1]:
             own[-1][1] = z
@@ -178,10 +236,7 @@ def scan(index: Index, docs: list[list[int]]) -> list[list[tuple]]:
     for x, own in spans.items():
         d, i = divmod(x, len(index.items))
         for a, z in own:
-            lo = max(0, a)
-            n, errors, b, e = best_run(index.items[i], docs[d][lo : max(z, 0)])
-            if n:
-                out[d].append((i, n, errors, lo + b, lo + e))
+            out[d] += [(i, *r) for r in runs(index.items[i], docs[d], max(a, 0), min(z, len(docs[d])))]
     return out
 
 
