@@ -1,6 +1,6 @@
-"""Results are whole: passages that used to be passed over."""
+"""Results are whole: passages, markers and errors that used to be passed over."""
 
-from twinfold.llm import p7_leaks
+from twinfold.llm import p5_handwritten, p7_leaks
 
 ITEM = [f"item{i}" for i in range(90)]
 
@@ -26,3 +26,9 @@ def test_p7_dropped_and_added_words():
     dropped = [w for i, w in enumerate(ITEM[:50]) if i not in (12, 33)]
     added = dropped[:20] + ["new"] + dropped[20:]
     assert [(n, e) for _, n, e, _, _ in leaks(["x"], added, ["y"])] == [(50, 3)]
+
+
+def test_p5_marker_behind_a_long_licence():
+    licence = "\n".join("// This bundled licence has many words, line %d." % i for i in range(2000))
+    assert p5_handwritten.says_generated(p5_handwritten.head_comment(licence + "\n// Code generated by a tool. DO NOT EDIT.\nvar x = 1\n"))
+    assert len(p5_handwritten.head_comment("//\n" * 100_000 + "// end\ncode\n")) < 20

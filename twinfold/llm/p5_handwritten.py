@@ -71,6 +71,8 @@ _RELEASE = r"(?:^|/)[A-Za-z][\w.-]*-v?\d+\.\d+(?:\.\d+)*/"
 _BY_NAME = r"\.generated\.[^/]+$|_pb2(?:_grpc)?\.pyi?$|\.pb\.(?:go|cc|h|c)$|\.g\.[a-z]+$"
 _MIN_NAME = r"\.(?:min|bundle)\.[mc]?js$"
 
+_WORD = re.compile(r"\w")
+_LINE = re.compile(r"[^\n\r\v\f\x1c-\x1e\x85\u2028\u2029]+")  # as splitlines() parts them
 _COMMENT = re.compile(r"\s*(?://|#(?!\s*(?:include|define|if|ifdef|ifndef|pragma)\b|\[|!\[)|/?\*|--|=begin|<!--|;;)")
 _LITERALS = re.compile(r"[\s\[({]*(?:(?:-?(?:0[xX][0-9a-fA-F]+|\d[\w.]*)|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|-?\d[\w.]*)\s*[,:]?\s*[\])}]*,?\s*)+;?$")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{40,}")
@@ -80,12 +82,14 @@ _COUNTED = re.compile(r"[A-Za-z_](\d{1,4})\b|\[(\d{1,4})\]")
 def head_comment(text: str) -> str:
     """The comment lines before the first line of code."""
     out, block = [], False
-    for line in text[:20000].splitlines():
+    for m in _LINE.finditer(text):
+        line = m.group()
         s = line.strip()
         if not s or s.startswith("#!"):
             continue
         if block or _COMMENT.match(line):
-            out.append(s)
+            if not out or _WORD.search(s) or _WORD.search(out[-1]):  # of lines of marks in a row the first says all
+                out.append(s)
             if not block and s.startswith("/*"):
                 block = True
             if "*/" in s:
