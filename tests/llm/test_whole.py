@@ -1,6 +1,7 @@
 """Results are whole: passages, markers and errors that used to be passed over."""
 
 from twinfold.llm import p5_handwritten, p7_leaks
+from twinfold.llm.syntax import check
 
 ITEM = [f"item{i}" for i in range(90)]
 
@@ -32,3 +33,13 @@ def test_p5_marker_behind_a_long_licence():
     licence = "\n".join("// This bundled licence has many words, line %d." % i for i in range(2000))
     assert p5_handwritten.says_generated(p5_handwritten.head_comment(licence + "\n// Code generated by a tool. DO NOT EDIT.\nvar x = 1\n"))
     assert len(p5_handwritten.head_comment("//\n" * 100_000 + "// end\ncode\n")) < 20
+
+
+def test_p1_ruby_interpolation():
+    for inner in ("a + ", "foo(1, ", "x y z)", "def"):
+        for text in ('"a #{%s} b"', "/a #{%s} b/", "%%W[a #{%s} b]", "`a #{%s}`", ':"a #{%s}"', "<<~T\n  a #{%s} b\nT", '"#{"#{%s}"}"'):
+            assert check("rb", "x = " + text % inner + "\n") is not None, (text, inner)
+    for inner in ("", "a", "a ? 'b}' : \"c\"", "h.map { |k, v| \"#{k}=#{v}\" }.join(', ')", "x.gsub(/}/, '')", "if a then b else c end", "@a; b"):
+        for text in ('"a #{%s} b"', "/a #{%s} b/", "%%W[a #{%s} b]", "<<~T\n  a \\#{ #{%s} b\nT"):
+            assert check("rb", "x = " + text % inner + "\n") is None, (text, inner)
+    assert check("rb", "x = <<~'T'\n  #{a + }\nT\n") is None

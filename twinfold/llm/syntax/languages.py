@@ -49,6 +49,9 @@ def check(ext: str, src: str) -> tuple[int, str] | None:
         return src.count("\n", 0, e.at) + 1, "token"
     try:
         bad = tables.parse(grammar(lang), toks, rest[0] if rest else None)
+        for inner, places in rest[1] if len(rest) > 1 and bad < 0 else ():  # programs inside strings
+            if (k := tables.parse(grammar(lang), inner, None)) >= 0:
+                return src.count("\n", 0, places[min(k, len(places) - 1)]) + 1, inner[k] if k < len(inner) else "}"
     except tables.Undecided:
         return 0, "undecided"
     if bad < 0:

@@ -139,13 +139,22 @@ _CONT = {"OP", "=", "ASSIGN", ",", "DOT", "?", ":", "=>", "'<'", "<", "ANDOR", "
 
 
 def tokenize(src: str):
+    """(terminals, places, None, the same two of every interpolation)."""
+    inner: list[tuple[list[str], list[int]]] = []
+    toks, at, _, _ = _program(src, 1 if src.startswith("﻿") else 0, inner, False)
+    return toks, at, None, inner
+
+
+def _program(src: str, pos: int, inner: list, nested: bool):
+    """(terminals, places, end, heredocs that still wait for their bodies). A
+    nested program is an interpolation and ends behind the brace that closes it."""
     toks: list[str] = []
     at: list[int] = []
-    pos, n = (1 if src.startswith("﻿") else 0), len(src)
+    n = len(src)
     heredocs: list[tuple[str, bool, bool]] = []
     nest: list[str] = []  # open brackets, and "loop" while a loop head waits for its do
     space = True
-    line_start = True
+    line_start = not nested
 
     def put(t: str, p: int) -> None:
         toks.append(t)
@@ -154,19 +163,10 @@ def tokenize(src: str):
     def interpolation(p: int) -> int:
         """p is behind '#{'; the place behind the matching brace. What stands
         between is lexed and parsed as a program of its own."""
-        q, depth = p, 1
-        while q < n:
-            c = src[q]
-            if c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if not depth:
-                    return q + 1
-            elif c in "\"'`":
-                q = quoted(q + 1, c, c, c != "'") - 1
-            q += 1
-        raise LexError(p)
+        own, places, end, waiting = _program(src, p, inner, True)
+        inner.append((own, places))
+        heredocs.extend(waiting)
+        return end
 
     def quoted(p: int, opener: str, closer: str, interp: bool) -> int:
         q, depth = p, 1
@@ -188,20 +188,29 @@ def tokenize(src: str):
         raise LexError(p)
 
     def body_of_heredocs(p: int) -> int:
-        for tag, squiggly, interp in heredocs:
+        due = heredocs[:]
+        heredocs.clear()
+        for tag, squiggly, interp in due:
             start = p
             while True:
                 if p >= n:
                     raise LexError(start)
                 e = src.find("\n", p)
                 e = n if e < 0 else e
-                line = src[p:e].rstrip("\r")
+                line, begins = src[p:e].rstrip("\r"), p
                 p = min(e + 1, n)
                 if (line.strip() if squiggly else line) == tag:
                     break
                 if e >= n:
                     raise LexError(start)
-        heredocs.clear()
+            q = start
+            while interp and q < begins:
+                if src.startswith("#{", q):
+                    q = interpolation(q + 2)
+                    if q > begins:
+                        raise LexError(begins)
+                else:
+                    q += 2 if src[q] == "\\" else 1
         return p
 
     while pos < n:
@@ -386,6 +395,8 @@ def tokenize(src: str):
             elif text in (")", "]", "}"):
                 while nest and nest[-1] == "loop":
                     nest.pop()
+                if nested and not nest and text == "}":
+                    return toks, at, pos, heredocs
                 if not nest or nest.pop() != text:
                     raise LexError(p)
                 put(text, p)
@@ -417,11 +428,11 @@ def tokenize(src: str):
             else:
                 put(text, p)
         space = False
-    if heredocs:
+    if nested or heredocs:
         raise LexError(n)
     if any(x != "loop" for x in nest):
         raise LexError(n)
-    return toks, at
+    return toks, at, pos, heredocs
 
 
 def space_after(src: str, p: int) -> bool:
