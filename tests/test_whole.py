@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from twinfold.operators import code
 from twinfold.operators import similarity as S
 from twinfold.plans import prose
 
@@ -44,3 +45,13 @@ def test_accepted_are_those_of_all_pairs(spark, tmp_path):
     want = {(r.a, r.b) for r in j.filter(S.accept(F.col("cosine"), F.col("containment"), F.col("shared"))[1]).collect()}
     assert len(want) > 50
     assert {(r.a, r.b) for r in prose.md_accept_pairs(spark, d).collect()} == want
+
+
+def test_near_clones_beyond_a_bucket(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        shapes = sorted([1] * 30 + list(range(2, 60)) + [1000 + rng.randrange(40) for _ in range(10)])
+        rows.append((f"t{i:02}", i, "p", 1, 50, 200, shapes))
+    u = spark.createDataFrame(rows, "tree string, file_id long, path string, start_line int, end_line int, tokens int, shapes array<bigint>")
+    assert code.near_clones(u).count() == 60 * 59 // 2  # all alike by 88 of 108 at least

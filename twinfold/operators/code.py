@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scale import cut, spread
-from .similarity import bands, bucket_pairs, multiset_jaccard, signatures
+from .similarity import jaccard_links, multiset_jaccard
 
 _SCHEMA = "file_id long, path string, kind string, name string, start_line int, end_line int, tokens int, tree long, shapes array<long>"
 #: Units below these are too small to be worth a comparison.
@@ -86,9 +86,11 @@ def exact_clones(units: DataFrame) -> DataFrame:
 
 def near_clones(units: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(a, b, score): pairs of distinct trees whose shape multisets have a Jaccard
-    of `threshold` or more, proposed by MinHash bands."""
+    of `threshold` or more: exact. The k-th repetition of a shape is made an
+    element of its own, so the set join applies."""
     reps = sized(units).groupBy("tree").agg(F.min("shapes").alias("grams")).withColumnRenamed("tree", "class_id").filter("size(grams) > 0")
     reps = cut(reps)
-    cand = bucket_pairs(bands(signatures(reps)), ["band", "key"], "class_id")
+    tagged = F.transform("grams", lambda x, i: F.struct(x.alias("x"), (i - F.array_position("grams", x)).alias("k")))  # shapes are sorted
+    cand = jaccard_links(reps.select("class_id", F.size("grams").alias("size"), tagged.alias("grams")), threshold - 0.0005).select("a", "b")  # scores are rounded
     j = cand.join(reps.select(F.col("class_id").alias("a"), F.col("grams").alias("x")), "a").join(reps.select(F.col("class_id").alias("b"), F.col("grams").alias("y")), "b")
     return j.select("a", "b", F.round(multiset_jaccard(F.col("x"), F.col("y")), 3).alias("score")).filter(F.col("score") >= threshold)
