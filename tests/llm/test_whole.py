@@ -1,5 +1,7 @@
 """Results are whole: passages, markers and errors that used to be passed over."""
 
+import random
+
 from twinfold.llm import p5_handwritten, p7_leaks
 from twinfold.llm.syntax import check
 
@@ -43,3 +45,50 @@ def test_p1_ruby_interpolation():
         for text in ('"a #{%s} b"', "/a #{%s} b/", "%%W[a #{%s} b]", "<<~T\n  a \\#{ #{%s} b\nT"):
             assert check("rb", "x = " + text % inner + "\n") is None, (text, inner)
     assert check("rb", "x = <<~'T'\n  #{a + }\nT\n") is None
+
+
+def test_p7_passage_that_stands_in_an_item_many_times():
+    passage = [f"rep{i}" for i in range(40)]
+    for times in range(1, 11):
+        item = [w for k in range(times) for w in [*passage, f"gap{k}"]]
+        index = p7_leaks.Index([1], [" ".join(item)])
+        doc = ["lead"] * 7 + passage + ["end"] * 5
+        got = p7_leaks.scan(index, [[index.vocab.get(w, 0) for w in doc]])[0]
+        assert [(n, a, z) for _, n, _, a, z in got] == [(40, 7, 47)], times
+
+
+def test_p7_two_passages_at_any_distance():
+    for gap in (0, 1, 5, 20, 40, 60, 65, 66, 80, 200):
+        got = leaks(ITEM[50:85], ["between"] * gap, ITEM[:35])
+        assert [(n, a, z) for _, n, _, a, z in got] == [(35, 0, 35), (35, 35 + gap, 70 + gap)], gap
+
+
+def test_p7_no_run_of_thirty_words_is_lost():
+    rng = random.Random(11)
+    index = p7_leaks.Index([1], [" ".join(ITEM)])
+    docs = []
+    for _ in range(10_000):
+        start = rng.randrange(len(ITEM) - 29)
+        run = list(ITEM[start : start + 30])
+        for k in sorted(rng.sample(range(30), 3), reverse=True):
+            kind = rng.randrange(3)
+            if kind == 0:
+                run[k] = "changed"
+            elif kind == 1:
+                del run[k]
+            else:
+                run.insert(k, "added")
+        docs.append([f"a{i}" for i in range(rng.randrange(8))] + run + [f"z{i}" for i in range(rng.randrange(8))])
+    got = p7_leaks.scan(index, [[index.vocab.get(w, 0) for w in d] for d in docs])
+    assert all(got)
+
+
+def test_p7_instruction_of_any_length(spark):
+    lead = " ".join(f"lead{i}" for i in range(400))
+    items = spark.createDataFrame([(i, f"{lead} " + " ".join(f"own{i}x{k}" for k in range(40))) for i in range(8)], "k long, t string")
+    assert {(r.k, r.lead) for r in p7_leaks.with_openings(items).collect()} == {(i, 400) for i in range(8)}
+
+
+def test_p7_many_leaks_in_one_document():
+    got = leaks(*(ITEM[:40] for _ in range(300)))
+    assert len(got) == 300 and all(n == 40 for _, n, *_ in got)

@@ -9,17 +9,21 @@ documents can then be removed.
 A leak is a run of at least RUN consecutive item words in which at most one word
 in ten is changed, dropped or added. Some 30 words of it then have at most 3
 errors; the 27 others lie in at most 4 stretches and hold at least 27 - 4 * 4 = 11
-windows of SEED words. So SEEDS hits of one item within 33 words of the document
-are necessary, and only where they are found is anything aligned.
+windows of SEED words. So SEEDS places of the document with a hit of one item,
+all within 33 words, are necessary, and only where they are found is anything
+aligned. Where in the item the hits lie does not matter for that: a passage may
+stand in it many times.
 
 Normalisation: compatibility form, case folded, words are what stands between
 white space, without anything that is not a letter or digit; words of marks alone
-vanish. An opening that more than COMMON of all items share is an instruction and
-is taken off the items first. A passage in two items counts for both.
+vanish. An opening that COMMON of all items share, however long, is an instruction
+and is taken off the items first; openings are counted once, over the whole test
+set. A passage in two items counts for both.
 
 Scale: one narrow stage over the documents, no shuffle. The test set is collected
-only in blocks of at most BLOCK_CHARS characters; a larger one is scanned for in
-several passes, so what is broadcast stays bounded.
+block by block, each of about BLOCK_CHARS characters, and a block is given up as
+soon as it is broadcast; a test set above one block is scanned for in several
+passes. So what the driver and an executor hold does not grow with the test set.
 
 Defined results: null and empty texts leak nothing; repeated documents are found
 each; repeated rows of an item count once; a text shorter than RUN words leaks
@@ -28,15 +32,20 @@ nothing; no items give an empty result.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scale import cut
+
 RUN, ERRORS = 30, 0.1
 #: Words of a window, windows that a run must hold, and words of the document they lie within.
 SEED, SEEDS, REACH = 5, 11, 33
@@ -62,42 +71,52 @@ def placed_words(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def without_instruction(items: list[list[str]]) -> list[list[str]]:
-    """The items' words without the openings that many of them share."""
-    least = max(COMMON_ITEMS, COMMON * len(items))
-    count: dict[tuple, int] = {}
-    for ws in items:
-        for k in range(COMMON_WORDS, min(len(ws), 200) + 1):
-            key = tuple(ws[:k])
-            count[key] = count.get(key, 0) + 1
-    out = []
-    for ws in items:
-        k = COMMON_WORDS
-        while k <= len(ws) and count.get(tuple(ws[:k]), 0) >= least:
-            k += 1
-        out.append(ws[k - 1 :] if k > COMMON_WORDS else ws)
+def opening_hashes(ws: list[str]) -> list[int]:
+    """A hash of the first COMMON_WORDS words, of one more, and so on to all."""
+    out, h = [], 0
+    for k, w in enumerate(ws, 1):
+        h = xxhash.xxh64_intdigest(f"{h} {w}")
+        if k >= COMMON_WORDS:
+            out.append(h - (1 << 63))
     return out
 
 
+def with_openings(items: DataFrame) -> DataFrame:
+    """(k, t, lead): distinct items (k, t) with the number of words that are an
+    instruction. Openings of all lengths are counted over all items; of one length
+    at most 1 / COMMON are common, so what is joined back is short."""
+    least = F.lit(max(COMMON_ITEMS, COMMON * items.count()))
+    kind = dict(items.dtypes)["k"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([opening_hashes(words(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["k", "t", "h"])
+
+    hashed = items.mapInArrow(run, f"k {kind}, t string, h array<bigint>")
+    long = hashed.select(F.struct("k", "t").alias("item"), F.posexplode("h").alias("i", "h"))
+    common = long.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("h")
+    lead = long.join(common, "h", "left_semi").groupBy("item").agg((F.max("i") + COMMON_WORDS).alias("lead"))
+    return items.select(F.struct("k", "t").alias("item")).join(lead, "item", "left").select("item.k", "item.t", F.coalesce("lead", F.lit(0)).alias("lead"))
+
+
 class Index:
     """The items' words as numbers and their n-grams, sorted by hash."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        cut = without_instruction([words(t) for t in texts])
+    def __init__(self, ids: list, texts: list[str], leads: list[int] | None = None):
+        kept = [words(t)[lead:] for t, lead in zip(texts, leads or [0] * len(texts))]
         self.ids = ids
         self.vocab: dict[str, int] = {}
-        self.items = [[self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws] for ws in cut]
-        grams, owner, place = [], [], []
+        self.items = [[self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws] for ws in kept]
+        grams, owner = [], []
         for k, ws in enumerate(self.items):
             if len(ws) >= RUN:
                 g = hashes(np.asarray(ws, np.uint64))
                 grams.append(g)
                 owner.append(np.full(len(g), k, np.int32))
-                place.append(np.arange(len(g), dtype=np.int32))
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        g, self.owner, self.place = cat(grams, np.uint64), cat(owner, np.int32), cat(place, np.int32)
+        g, self.owner = cat(grams, np.uint64), cat(owner, np.int32)
         order = np.argsort(g, kind="stable")
-        self.grams, self.owner, self.place = g[order], self.owner[order], self.place[order]
+        self.grams, self.owner = g[order], self.owner[order]
 
 
 def hashes(ids: np.ndarray) -> np.ndarray:
@@ -162,39 +181,67 @@ def _reach(item: list[int], doc: list[int], i0: int, j0: int, end: int, step: in
     return out
 
 
-def best_run(item: list[int], doc: list[int], lo: int = 0, hi: int | None = None) -> tuple[int, int, int, int]:
-    """(item words, errors, first and last place in `doc`) of the longest run of
-    the item in doc[lo:hi] within the allowed errors; 0 words if it has less than
-    RUN. A run holds an equal stretch of SEED words; from each of these the edit
-    distance is followed both ways."""
-    hi = len(doc) if hi is None else hi
-    best = (0, 0, 0, 0)
+def extend(item: list[int], doc: list[int], i: int, j: int, size: int, lo: int, hi: int) -> tuple[int, int, int, int] | None:
+    """(item words, errors, first and last place in `doc`) of the longest run
+    within doc[lo:hi] that holds the equal stretch of `size` words from item place
+    i and document place j; None if there is none of RUN words. The edit distance
+    is followed from the stretch both ways."""
+    best = None
     most = int(ERRORS * len(item)) + 1
-    for i, j, size in sorted(_blocks_of(item, doc, lo, hi), key=lambda x: -x[2]):
-        after = _reach(item, doc, i + size, j + size, hi, 1, most)
-        before = _reach(item, doc, i - 1, j - 1, lo, -1, most)
-        for e, (n1, m1) in enumerate(after):
-            for f, (n0, m0) in enumerate(before):
-                n, errors = n0 + size + n1, e + f
-                # errors inside the run; words beyond the last match may be errors too
-                spare = max(0, min(int(ERRORS * RUN) - errors, len(item) - n)) if n < RUN else 0
-                if n + spare >= RUN and errors + spare <= ERRORS * (n + spare) and (n, -errors) > (best[0], -best[1]):
-                    best = (n, errors, j - m0, j + size + m1)
+    after = _reach(item, doc, i + size, j + size, hi, 1, most)
+    before = _reach(item, doc, i - 1, j - 1, lo, -1, most)
+    for e, (n1, m1) in enumerate(after):
+        for f, (n0, m0) in enumerate(before):
+            n, errors = n0 + size + n1, e + f
+            # errors inside the run; words beyond the last match may be errors too
+            spare = max(0, min(int(ERRORS * RUN) - errors, len(item) - n)) if n < RUN else 0
+            if n + spare >= RUN and errors + spare <= ERRORS * (n + spare) and (best is None or (n, -errors) > (best[0], -best[1])):
+                best = (n, errors, j - m0, j + size + m1)
     return best
 
 
 def runs(item: list[int], doc: list[int], lo: int, hi: int) -> list[tuple[int, int, int, int]]:
-    """The longest run in doc[lo:hi], and those of what lies before and after it."""
-    out, todo = [], [(lo, hi)]
-    while todo:
-        a, z = todo.pop()
-        r = best_run(item, doc, a, z) if z - a >= RUN * (1 - 2 * ERRORS) else (0,)
-        if r[0]:
+    """Disjoint runs of the item in doc[lo:hi], the longest first and then the
+    longest of what is left free, again and again; by place. Every run holds an
+    equal stretch of SEED words, so each of these is extended; one that meets a run
+    taken before is extended once more within what is free."""
+    heap: list[tuple] = []
+
+    def push(i: int, j: int, size: int, a: int, z: int) -> None:
+        if r := extend(item, doc, i, j, size, a, z):
+            heapq.heappush(heap, (-r[0], r[1], j, i, size, r))
+
+    for i, j, size in _blocks_of(item, doc, lo, hi):
+        push(i, j, size, lo, hi)
+    taken: list[tuple[int, int]] = []
+    out = []
+    while heap:
+        _, _, j, i, size, r = heapq.heappop(heap)
+        k = bisect.bisect_right(taken, (r[2], hi + 1))
+        if (not k or taken[k - 1][1] <= r[2]) and (k == len(taken) or r[3] <= taken[k][0]):
+            taken.insert(k, (r[2], r[3]))
             out.append(r)
-            todo += [(a, r[2]), (r[3], z)]
+            continue
+        k = max(bisect.bisect_right(taken, (j, hi + 1)) - 1, 0)  # the free parts of the stretch itself
+        at = j
+        while at < j + size:
+            while k < len(taken) and taken[k][1] <= at:
+                k += 1
+            if k < len(taken) and taken[k][0] <= at:
+                at = taken[k][1]
+                continue
+            end = min(j + size, taken[k][0] if k < len(taken) else hi)
+            if end - at >= SEED:
+                push(i + at - j, at, end - at, taken[k - 1][1] if k else lo, taken[k][0] if k < len(taken) else hi)
+            at = end
     return sorted(out, key=lambda r: r[2])
 
 
+def best_run(item: list[int], doc: list[int]) -> tuple[int, int, int, int]:
+    """The longest run of the item in `doc`; 0 words if it has less than RUN."""
+    return max(runs(item, doc, 0, len(doc)), default=(0, 0, 0, 0), key=lambda r: (r[0], -r[1]))
+
+
 def scan(index: Index, docs: list[list[int]]) -> list[list[tuple]]:
     """Per document the leaks (item number, words, errors, first, last word)."""
     out: list[list[tuple]] = [[] for _ in docs]
@@ -211,22 +258,24 @@ def scan(index: Index, docs: list[list[int]]) -> list[list[tuple]]:
     at = np.nonzero((h != 0) & (right > left))[0]
     if not len(at):
         return out
-    # every hit with each of its items, ordered by document, item and place
+    # every hit with each of its items; of one item a place of a document counts once
     times = right[at] - left[at]
     p = np.repeat(at, times)
     g = np.repeat(left[at], times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-    doc_of = np.searchsorted(starts, p, "right") - 1
-    key = doc_of * len(index.items) + index.owner[g]
+    key = (np.searchsorted(starts, p, "right") - 1) * len(index.items) + index.owner[g]
     order = np.lexsort((p, key))
-    key, p, q = key[order], p[order], index.place[g][order]
+    key, p = key[order], p[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (key[1:] != key[:-1]) | (p[1:] != p[:-1])
+    key, p = key[new], p[new]
     k = SEEDS - 1
     if len(p) <= k:
         return out
-    dense = (key[k:] == key[:-k]) & (p[k:] - p[:-k] <= REACH) & (np.abs(q[k:] - q[:-k]) <= REACH) & (q[k:] != q[:-k])
+    dense = (key[k:] == key[:-k]) & (p[k:] - p[:-k] <= REACH)
     spans: dict[int, list[list[int]]] = {}
     for x in np.nonzero(dense)[0].tolist():
-        d = int(doc_of[order[x]])
-        room = RUN + len(index.items[int(key[x]) % len(index.items)]) * 11 // 10  # a run ends within this of its hits
+        d, i = divmod(int(key[x]), len(index.items))
+        room = RUN + len(index.items[i]) * 11 // 10  # a run ends within this of its hits
         a, z = int(p[x] - starts[d]) - room, int(p[x + k] - starts[d]) + SEED + room
         own = spans.setdefault(int(key[x]), [])
         if own and a <= own[-1][1]:
@@ -240,16 +289,15 @@ def scan(index: Index, docs: list[list[int]]) -> list[list[tuple]]:
     return out
 
 
-def _blocks(items: DataFrame, key: str, text: str) -> list[Index]:
-    """The items in indexes of a bounded size each."""
+def _blocks(items: DataFrame, key: str, text: str) -> Iterator[Index]:
+    """The items in indexes of a bounded size each, one at a time."""
     one = items.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).distinct()
+    one = cut(with_openings(one))
     total = one.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     n = -(-total // BLOCK_CHARS) or 1
-    out = []
     for b in range(n):
-        rows = one.filter(F.pmod(F.xxhash64("k"), F.lit(n)) == b).orderBy("k", "t").collect()  # at most about BLOCK_CHARS characters
-        out.append(Index([r.k for r in rows], [r.t for r in rows]))
-    return out
+        rows = one.filter(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b).orderBy("k", "t").collect()  # about BLOCK_CHARS characters
+        yield Index([r.k for r in rows], [r.t for r in rows], [r.lead for r in rows])
 
 
 def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:
@@ -261,6 +309,7 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
     out = None
     for index in _blocks(items, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)
+        del index  # the broadcast is a file; the driver keeps no block
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ix = shared.value
@@ -277,7 +326,8 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
                             rows.append((k, ix.ids[i], n, e, places[a][1], places[z - 1][2]))
                 cols = list(zip(*rows)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.int64() if item_kind == "bigint" else pa.string()), *(pa.array(c, pa.int32()) for c in cols[2:])], names=["k", "item", "n_words", "n_errors", "start", "end"]
+                    [pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.int64() if item_kind == "bigint" else pa.string()), *(pa.array(c, pa.int32()) for c in cols[2:])],
+                    names=["k", "item", "n_words", "n_errors", "start", "end"],
                 )
 
         part = src.mapInArrow(run, schema)
