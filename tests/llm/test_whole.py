@@ -2,7 +2,9 @@
 
 import random
 
-from twinfold.llm import p5_handwritten, p7_leaks
+from pyspark.sql import functions as F
+
+from twinfold.llm import p5_handwritten, p7_leaks, p8_truncated
 from twinfold.llm.syntax import check
 
 ITEM = [f"item{i}" for i in range(90)]
@@ -92,3 +94,19 @@ def test_p7_instruction_of_any_length(spark):
 def test_p7_many_leaks_in_one_document():
     got = leaks(*(ITEM[:40] for _ in range(300)))
     assert len(got) == 300 and all(n == 40 for _, n, *_ in got)
+
+
+def test_p8_sample_is_a_bound(spark):
+    own = F.concat(F.lit("Text number "), F.col("id").cast("string"), F.lit(" says something of its own and then it ends here."))
+    rows = spark.range(20_000).select(F.col("id").alias("k"), F.when(F.col("id") % 4 > 0, F.lit("A boilerplate text of some words that most records hold.")).otherwise(own).alias("t"), F.lit(0).alias("at"))
+    assert 0 < p8_truncated.sampled(rows, 20_000, 200).count() <= 200
+    same = rows.withColumn("k", F.lit(7).cast("long"))  # keys that are all equal: all are picked or none
+    got = p8_truncated.sampled(same, 20_000, 200).limit(200).count()
+    assert got <= 200
+
+
+def test_p8_limits_are_of_distinct_texts(spark):
+    texts = [("s", "x" * 100)] * 40 + [("s", f"{i:03}" + "y" * 197) for i in range(20)] + [("s", f"{i:03}" + "z" * 297) for i in range(20)] + [("s", "w" * (400 + i)) for i in range(50)]
+    d = spark.createDataFrame(texts, "source string, text string")
+    got = p8_truncated.limits(p8_truncated.lengths(d, "text", "source")).collect()
+    assert [sorted(r._limits) for r in got] == [[200, 300]]

@@ -10,17 +10,21 @@ positives and is fitted again.
 Features: closing characters and their shapes, punctuation, the kind of the last
 line (prose, list, table, heading, code, link, comment, signature), whether code
 spans, code blocks, brackets and table rows are closed, how the last sentence and
-the last list item begin and how long they are, and the length against the limit
-of the source, which is the length that occurs conspicuously often in it.
-
-Scale: the lengths per source are counted map-side over all records; at most
-SAMPLE records (a documented bound) are used for training and their hashed
-features, some megabytes, are all that is sent to the driver; the weights (1 MB)
-are broadcast and scoring is one narrow stage over whole texts.
+the last list item begin and how long they are, and the length against the limits
+of the source, which are the lengths that occur conspicuously often in it. Lengths
+are counted over distinct texts, so copies of one text make no limit.
+
+Scale: the lengths per source are counted over all records, of which source,
+length and a hash of the text are shuffled; at most SAMPLE records (a documented
+bound) are used for training. Records are picked by a hash of the key, and of
+equal texts among them one is used, so a text with very many copies does not swell
+the sample; a limit on the rows keeps the bound whatever the keys are. Their
+hashed features, some megabytes, are all that is sent to the driver; the weights
+(1 MB) are broadcast and scoring is one narrow stage over whole texts.
 
 Defined results: null, empty and blank texts are never cut (score null);
-repeated records score alike; with no records that can be cut to train on, every
-score is null.
+repeated records score alike; records without a source have no limit; with no
+records that can be cut to train on, every score is null.
 """
 
 from __future__ import annotations
@@ -38,9 +42,11 @@ from pyspark.sql import functions as F
 from ..operators.scale import cut
 
 #: Records used for training at most.
-SAMPLE = 16_000
+SAMPLE = 8_000
+#: Training rows that one record gives at most: itself, 3 cuts, 2 shortened to the end of a block.
+MADE = 6
 BITS = 18
-#: A length is a limit if this many records of a source have it, and this share of them.
+#: A length is a limit if this many distinct texts of a source have it, and this share of them.
 LIMIT_ROWS, LIMIT_SHARE = 5, 0.01
 THRESHOLD = 0.5
 #: Limits are broadcast up to this many sources.
@@ -179,7 +185,7 @@ def _complete(text: str, k: int) -> bool:
     """Whether text[:k] stops where something ends, so that it is no positive."""
     a, b = text[:k], text[k:]
     if len(_FENCE.findall(a)) % 2:
-        return not a.rstrip(" ").endswith("\n") and False
+        return False
     if not b.strip():
         return True
     end = a.rstrip()
@@ -237,26 +243,45 @@ def train(made: np.ndarray, rows: list[np.ndarray], off: list[np.ndarray], on: l
     return fit(label, used, weight).astype(np.float32)
 
 
-def limits(docs: DataFrame, text: str, source: str) -> DataFrame:
-    """(source, limit): the length that occurs conspicuously often in a source."""
-    n = docs.filter(F.length(F.trim(text)) > 0).groupBy(source, F.length(text).alias("n")).agg(F.count(F.lit(1)).alias("c"))
-    per = n.groupBy(source).agg(F.max(F.struct("c", "n")).alias("top"), F.sum("c").alias("all"))
-    return per.filter((F.col("top.c") >= LIMIT_ROWS) & (F.col("top.c") >= F.col("all") * LIMIT_SHARE) & (F.col("top.n") >= 64)).select(F.col(source).alias("_source"), F.col("top.n").alias("_limit"))
+def lengths(docs: DataFrame, text: str, source: str) -> DataFrame:
+    """(source, n, texts, records): how many distinct texts and how many records
+    that are not blank have a length in a source."""
+    one = docs.filter(F.length(F.trim(text)) > 0).select(F.col(source).alias("source"), F.length(text).alias("n"), F.xxhash64(text).alias("h"))
+    per = one.groupBy("source", "n", "h").agg(F.count(F.lit(1)).alias("records"))
+    return per.groupBy("source", "n").agg(F.count(F.lit(1)).alias("texts"), F.sum("records").alias("records"))
+
+
+def limits(counted: DataFrame) -> DataFrame:
+    """(source, limits): the lengths that occur conspicuously often in a source, at
+    most 1 / LIMIT_SHARE of them."""
+    every = counted.groupBy("source").agg(F.sum("texts").alias("all"))
+    top = counted.filter((F.col("texts") >= LIMIT_ROWS) & (F.col("n") >= 64)).join(every, "source").filter(F.col("texts") >= F.col("all") * LIMIT_SHARE)
+    return top.groupBy(F.col("source").alias("_source")).agg(F.collect_list("n").alias("_limits"))
 
 
-def _limited(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    lim = cut(limits(docs, text, source))
+def _limited(docs: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame, int]:
+    """((k, source, t, at), how many of them are not blank)."""
+    counted = cut(lengths(docs, text, source))
+    n = counted.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    lim = cut(limits(counted))
     if lim.count() <= BROADCAST_ROWS:  # one row per source; with more sources than that the join is left to Spark
         lim = F.broadcast(lim)
     j = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(source).alias("source")).join(lim, F.col("source") == F.col("_source"), "left")
-    return j.select("k", "source", "t", F.coalesce((F.length("t") >= F.col("_limit") - 1) & (F.length("t") <= F.col("_limit") + 1), F.lit(False)).cast("int").alias("at"))
+    near = F.exists("_limits", lambda x: F.abs(F.length("t") - x) <= 1)
+    return j.select("k", "source", "t", F.coalesce(near, F.lit(False)).cast("int").alias("at")), n
+
+
+def sampled(rows: DataFrame, n: int, sample: int = SAMPLE) -> DataFrame:
+    """(t, at) of distinct texts of about `sample` of the `n` rows that are not
+    blank; five deviations below it, so that more are hardly ever picked."""
+    share = 1.0 if n <= sample else max(sample - 5 * math.sqrt(sample), 1) / n
+    parts = 1 << 40
+    picked = rows.filter(F.length(F.trim("t")) > 0).filter(F.pmod(F.xxhash64("k"), F.lit(parts)) < int(share * parts))
+    return picked.groupBy(F.xxhash64("t").alias("h")).agg(F.min(F.struct("k", "t", "at")).alias("r")).select("r.t", "r.at")
 
 
-def model(rows: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
-    """Weights trained on at most about `sample` of `rows` (k, t, at)."""
-    n = rows.count()
-    share = min(1.0, sample / max(n, 1))
-    picked = rows.filter("t IS NOT NULL AND trim(t) <> ''").filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+def model(rows: DataFrame, n: int, sample: int = SAMPLE) -> np.ndarray | None:
+    """Weights trained on at most `sample` of the `n` rows (k, t, at)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -275,7 +300,8 @@ def model(rows: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
             cols = [pa.array(y, pa.int32()), pa.array(first, pa.bool_()), pa.array(at, pa.int32()), pa.array(ending, pa.int64()), *(pa.array(c, pa.list_(pa.int32())) for c in parts)]
             yield pa.RecordBatch.from_arrays(cols, names=["y", "first", "at", "ending", "f", "off", "on"])
 
-    got = picked.select("t", "at").mapInArrow(make, "y int, first boolean, at int, ending long, f array<int>, off array<int>, on array<int>").toArrow()
+    made = sampled(rows, n, sample).mapInArrow(make, "y int, first boolean, at int, ending long, f array<int>, off array<int>, on array<int>")
+    got = made.limit(MADE * sample).toArrow()  # a bound for keys that are equal or hash alike
     y = got.column("y").to_numpy()
     if not y.any() or y.all():
         return None
@@ -290,8 +316,8 @@ def model(rows: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
 
 def score(docs: DataFrame, key: str, text: str, source: str, sample: int = SAMPLE) -> DataFrame:
     """(key, source, score): how sure the text was cut, for every record."""
-    rows = _limited(docs, key, text, source)
-    w = model(rows, sample)
+    rows, n = _limited(docs, key, text, source)
+    w = model(rows, n, sample)
     kind = dict(rows.dtypes)["k"]
     if w is None:
         return rows.select(F.col("k").alias(key), "source", F.lit(None).cast("double").alias("score"))
