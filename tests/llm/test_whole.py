@@ -110,3 +110,21 @@ def test_p8_limits_are_of_distinct_texts(spark):
     d = spark.createDataFrame(texts, "source string, text string")
     got = p8_truncated.limits(p8_truncated.lengths(d, "text", "source")).collect()
     assert [sorted(r._limits) for r in got] == [[200, 300]]
+
+
+def test_p1_ambiguous_nests_of_any_depth():
+    for n in (15, 60, 300):
+        assert check("js", "x=" + "(a=" * n + "1" + ")" * n + ";") is None
+        assert check("ts", "x = " + "a<b>(" * n + "1" + ")" * n + ";") is None
+        assert check("c", "int x = " + "(a)-" * n + "1;") is None
+        assert check("js", "x=" + "(a=" * n + "1" + ")" * (n - 1) + ";") is not None
+        assert check("c", "int x = " + "(a)-" * n + ";") is not None
+
+
+def test_p1_forgetting_changes_nothing(monkeypatch):
+    from twinfold.llm.syntax import tables
+
+    src = "".join(f"function f{i}(a) {{ " + "if (a) { " * (i % 9) + f"b({i}); return a ? [1, {{c: a}}] : a\n" + "} " * (i % 9) + "}\n" for i in range(900))
+    whole = check("js", src), check("js", src[:-2])
+    monkeypatch.setattr(tables, "REMEMBERED", 3)
+    assert (check("js", src), check("js", src[:-2])) == whole and whole[0] is None and whole[1]

@@ -10,9 +10,7 @@ some megabytes that does not grow with the data. The rates aggregate map-side.
 
 Defined results: a null text and a path without a known extension are not checked
 (`valid` null) and are not cases; an empty text is valid in every language here
-but Go, whose files need a package clause; repeated rows are checked each. A
-file whose readings multiply beyond tables.MOST_STACKS is reported as
-`undecided` and is not a case.
+but Go, whose files need a package clause; repeated rows are checked each.
 """
 
 from __future__ import annotations
@@ -51,8 +49,7 @@ def parse_files(files: DataFrame, key: str, path: str, src: str) -> DataFrame:
                 known = languages.EXTENSIONS.get(ext)
                 bad = languages.check(ext, text) if known and text is not None else None
                 lang.append(known)
-                undecided = bad is not None and bad[1] == "undecided"
-                valid.append(None if not known or text is None or undecided else bad is None)
+                valid.append(None if not known or text is None else bad is None)
                 line.append(bad[0] if bad else None)
                 what.append(bad[1] if bad else None)
             yield pa.RecordBatch.from_arrays(

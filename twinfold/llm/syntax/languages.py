@@ -16,6 +16,7 @@ EXTENSIONS = {
     "rb": "ruby",
 }
 _BUILT: dict[str, tables.Tables] = {}
+_MACHINES: dict[str, tables.Machine] = {}
 
 
 def _module(lang: str):
@@ -30,6 +31,13 @@ def grammar(lang: str) -> tables.Tables:
     return _BUILT[lang]
 
 
+def machine(lang: str) -> tables.Machine:
+    built = grammar(lang)
+    if lang not in _MACHINES or _MACHINES[lang].tables is not built:
+        _MACHINES[lang] = tables.Machine(built)
+    return _MACHINES[lang]
+
+
 def warm() -> dict[str, tables.Tables]:
     """The tables of all languages, to be handed to the workers."""
     return {lang: grammar(lang) for lang in sorted(set(EXTENSIONS.values()))}
@@ -47,13 +55,11 @@ def check(ext: str, src: str) -> tuple[int, str] | None:
         toks, at, *rest = mod.tokenize(src)
     except LexError as e:
         return src.count("\n", 0, e.at) + 1, "token"
-    try:
-        bad = tables.parse(grammar(lang), toks, rest[0] if rest else None)
-        for inner, places in rest[1] if len(rest) > 1 and bad < 0 else ():  # programs inside strings
-            if (k := tables.parse(grammar(lang), inner, None)) >= 0:
-                return src.count("\n", 0, places[min(k, len(places) - 1)]) + 1, inner[k] if k < len(inner) else "}"
-    except tables.Undecided:
-        return 0, "undecided"
+    m = machine(lang)
+    bad = tables.parse(m, toks, rest[0] if rest else None)
+    for inner, places in rest[1] if len(rest) > 1 and bad < 0 else ():  # programs inside strings
+        if (k := tables.parse(m, inner, None)) >= 0:
+            return src.count("\n", 0, places[min(k, len(places) - 1)]) + 1, inner[k] if k < len(inner) else "}"
     if bad < 0:
         return None
     if bad >= len(toks):

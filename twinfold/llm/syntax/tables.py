@@ -5,8 +5,14 @@ terminals, lower-case nonterminals, ( ) groups and the suffixes ? * +. The first
 rule is the start. Lookaheads come from the relations of DeRemer and Pennello.
 
 A cell may hold several actions; the parser then follows all of them side by side
-on stacks that share their lower part, so a grammar may be ambiguous. It only
-recognises: no tree is built.
+on a graph-structured stack: stacks that end in the same state are one node with
+several nodes below it, so there are never more heads than states and an
+ambiguous stretch costs polynomial time, whatever it is. It only recognises: no
+tree is built.
+
+Nodes are interned, and what a set of heads becomes by a token is remembered with
+the set. Source text repeats its constructions, so nearly every token of a corpus
+is one look-up; only a construction met for the first time runs the tables.
 """
 
 from __future__ import annotations
@@ -16,12 +22,8 @@ import re
 _LEX = re.compile(r"\s*(?:(#[^\n]*)|('(?:[^'\\]|\\.)+'|\w+|[:|;()?*+]))")
 
 
-#: Readings of one file that are followed side by side at most.
-MOST_STACKS = 20_000
-
-
-class Undecided(Exception):
-    pass
+#: Sets of heads remembered at most; beyond it all are forgotten, which changes no result.
+REMEMBERED = 50_000
 
 
 class Tables:
@@ -225,77 +227,168 @@ def build(text: str, prefer_shift=()) -> Tables:
     return Tables(action, goto, [len(r) for _, r in prods], [names.get(lhs, -1) for lhs, _ in prods])
 
 
-def parse(tables: Tables, tokens: list[str], may_end=None) -> int:
-    """-1 if the grammar derives `tokens`, else the index of the first token at
-    which no derivation goes on (len(tokens) for an unexpected end).
+class Node:
+    """A state on top of any of the nodes `below`; one object per such pair."""
 
-    may_end(i): whether a statement may end before token i without a sign of its
-    own; the terminal END is then tried where the token itself does not fit."""
-    action, goto, sizes, heads = tables.action, tables.goto, tables.sizes, tables.heads
-    tops = [(0, None)]
-    i, n = 0, len(tokens)
-    tokens = [*tokens, "$"]
-    while True:
-        tok = tokens[i]
-        if len(tops) == 1:
-            node = tops[0]
-            while True:  # the common case: one stack, one action
-                a = action[node[0]].get(tok)
+    __slots__ = ("state", "below")
+
+    def __init__(self, state: int, below: frozenset):
+        self.state, self.below = state, below
+
+
+class _Open:
+    """A head while the reductions of one token are followed: its set grows."""
+
+    __slots__ = ("state", "below", "closed")
+
+    def __init__(self, state: int, below):
+        self.state, self.below, self.closed = state, set(below), None
+
+
+class Heads(dict):
+    """A set of heads as a map from a token to the set after it: False where no
+    reading goes on, True where the input is accepted."""
+
+    __slots__ = ("nodes", "machine")
+
+    def __missing__(self, tok: str):
+        self[tok] = out = self.machine.step(self.nodes, tok)
+        return out
+
+
+class Machine:
+    """The parser of one grammar with what it remembers."""
+
+    def __init__(self, tables: Tables):
+        self.tables = tables
+        self.forget()
+
+    def forget(self) -> None:
+        self.interned: dict[tuple, Node] = {}
+        self.known: dict[frozenset, Heads] = {}
+
+    def heads(self, nodes: frozenset) -> Heads:
+        h = self.known.get(nodes)
+        if h is None:
+            h = self.known[nodes] = Heads()
+            h.nodes, h.machine = nodes, self
+        return h
+
+    def start(self) -> Heads:
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        return self.heads(frozenset((self.node(0, frozenset()),)))
+
+    def fresh(self, h: Heads) -> Heads:
+        """`h` again after forgetting, where too much is remembered."""
+        if len(self.known) <= REMEMBERED:
+            return h
+        self.forget()
+        return self.heads(h.nodes)
+
+    def node(self, state: int, below: frozenset) -> Node:
+        key = (state, below)
+        n = self.interned.get(key)
+        if n is None:
+            n = self.interned[key] = Node(state, below)
+        return n
+
+    def step(self, nodes: frozenset, tok: str):
+        action, goto, sizes, heads = self.tables.action, self.tables.goto, self.tables.sizes, self.tables.heads
+        if len(nodes) == 1:  # the common case: one head, one action, one node below
+            (n,) = nodes
+            while True:
+                a = action[n.state].get(tok)
+                if a is None:
+                    return False
                 if a.__class__ is not int:
                     break
                 if a > 0:
-                    node = (a, node)
-                    i += 1
-                    if i > n:
-                        return -1
-                    tok = tokens[i]
-                elif a:
-                    base = node
-                    for _ in range(sizes[-a]):
-                        base = base[1]
-                    node = (goto[base[0]][heads[-a]], base)
+                    return self.heads(frozenset((self.node(a, frozenset((n,))),)))
+                if a == 0:
+                    return True
+                base = n
+                for _ in range(sizes[-a]):
+                    if len(base.below) != 1:
+                        base = None
+                        break
+                    (base,) = base.below
+                if base is None:
+                    break
+                n = self.node(goto[base.state][heads[-a]], frozenset((base,)))
+            nodes = (n,)
+        front = {n.state: _Open(n.state, n.below) for n in nodes}
+        todo = [(w, None) for w in front.values()]  # a head, and the one new node below it, or None for all
+        inner = []  # open heads that stand on open heads, by an empty rule
+        shifts: dict[int, set] = {}
+        while todo:
+            w, new = todo.pop()
+            acts = action[w.state].get(tok)
+            if acts is None:
+                continue
+            for a in (acts,) if acts.__class__ is int else acts:
+                if a > 0:
+                    shifts.setdefault(a, set()).add(w)
+                    continue
+                if a == 0:
+                    return True
+                m = sizes[-a]
+                if not m:
+                    bases = {w}
                 else:
-                    return -1
-            tops = [node]
-        nxt = _step(action, goto, sizes, heads, tops, tok)
-        if nxt is True:
-            return -1
-        if not nxt:
+                    bases = {new} if new else set(w.below)
+                    for _ in range(m - 1):
+                        bases = set().union(*(b.below for b in bases))
+                for base in bases:
+                    state = goto[base.state].get(heads[-a])
+                    if state is None:
+                        continue
+                    v = front.get(state)
+                    if v is None:
+                        v = front[state] = _Open(state, ())
+                    if base not in v.below:
+                        v.below.add(base)
+                        if base.__class__ is _Open:
+                            inner.append(v)
+                        todo.append((v, base))
+                        todo += [(x, None) for x in inner if x is not v]
+        if not shifts:
+            return False
+        return self.heads(frozenset(self.node(a, frozenset(self.close(w) for w in ws)) for a, ws in shifts.items()))
+
+    def close(self, w) -> Node:
+        if w.__class__ is Node:
+            return w
+        if w.closed is None:
+            w.closed = self.node(w.state, frozenset(self.close(b) for b in w.below))
+        return w.closed
+
+
+def parse(machine: Machine, tokens: list[str], may_end=None) -> int:
+    """-1 if the grammar derives `tokens`, else the index of the first token at
+    which no derivation goes on (len(tokens) for an unexpected end).
+
+    may_end(i): whether a statement may end before token i without a sign of its
+    own; the terminal END is then tried where the token itself does not fit."""
+    h = machine.start()
+    i = 0
+    for i, tok in enumerate(tokens):
+        nxt = h[tok]
+        if nxt is False:
             if may_end is None or not may_end(i):
                 return i
-            ended = _step(action, goto, sizes, heads, tops, "END")
-            nxt = ended and ended is not True and _step(action, goto, sizes, heads, ended, tok)
-            if nxt is True:
-                return -1
-            if not nxt:
+            nxt = h["END"]
+            nxt = nxt if nxt is False else nxt[tok]
+            if nxt is False:
                 return i
-        tops = nxt
-        if len(tops) > MOST_STACKS:
-            raise Undecided
-        i += 1
-
-
-def _step(action, goto, sizes, heads, tops, tok):
-    """All stacks after shifting `tok`; True if the input is accepted."""
-    todo, seen, out, alive = list(tops), set(), {}, []
-    while todo:
-        node = todo.pop()
-        alive.append(node)  # ids stay unique while the nodes live
-        key = (node[0], id(node[1]))
-        if key in seen:
-            continue
-        seen.add(key)
-        acts = action[node[0]].get(tok)
-        if acts is None:
-            continue
-        for a in (acts,) if acts.__class__ is int else acts:
-            if a > 0:
-                out[a, key] = (a, node)
-            elif a == 0:
-                return True
-            else:
-                base = node
-                for _ in range(sizes[-a]):
-                    base = base[1]
-                todo.append((goto[base[0]][heads[-a]], base))
-    return list(out.values())
+        h = nxt
+        if not i & 0xFFF:
+            h = machine.fresh(h)
+    n = len(tokens)
+    if h["$"] is True:
+        return -1
+    if may_end is not None and may_end(n):
+        h = h["END"]
+        if h is not False and h["$"] is True:
+            return -1
+    return n
