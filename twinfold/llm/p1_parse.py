@@ -1,12 +1,14 @@
 """Problem 1: source files that do not parse.
 
 Method: LALR(1) tables are built from the grammars in `syntax` on the driver
-(about 4 seconds, once per process) and broadcast; every file is lexed and its
-whole token stream is parsed; the first error from which no reading goes on is
-reported with its line. No tree is built and nothing is imported or run.
+(about a second, once per process) and broadcast; every file is lexed and its
+whole token stream is parsed, a C file in as many readings as its conditional
+groups need; the first error from which no reading goes on is reported with its
+line. No tree is built and nothing is imported or run.
 
 Scale: one narrow stage over the files, no shuffle; the tables are a constant of
-some megabytes that does not grow with the data. The rates aggregate map-side.
+some megabytes that does not grow with the data, and so is what a worker remembers
+of constructions it has parsed (tables.REMEMBERED). The rates aggregate map-side.
 
 Defined results: a null text and a path without a known extension are not checked
 (`valid` null) and are not cases; an empty text is valid in every language here

@@ -1,8 +1,16 @@
 """C: a small preprocessor, tokens and grammar.
 
-Conditional groups: `#if 0` is skipped, else the first branch is taken and the
-others are not looked at. Macros defined in the file are expanded. Whether a name
-is a type is not known without the headers; the parser follows both readings."""
+Conditional groups: a file is read once with the first branch of every group, and
+as often again as it takes to have every other branch read too, each time under
+one choice of truth values: conditions on the same macro are decided alike. A
+branch that no choice can reach (`#if 0`, the C++ side of `__cplusplus`) is not
+read, and of a group without `#else` only its branch. Every reading must parse.
+
+Macros defined in the file are expanded; an upper-case name next to a string is
+taken for a macro that stands for one. Whether a name is a type is not known
+without the headers; the parser follows both readings. `(a) - b` is the exception:
+where a sign follows a single name in brackets the name is read as a value, since
+wherever the cast is valid the subtraction is valid too."""
 
 from __future__ import annotations
 
@@ -65,17 +73,17 @@ cond : bin | bin '?' expr ':' cond | bin '?' ':' cond ;
 bin : cast | bin op cast ;
 op : BIN | '*' | '+' | '-' | '&' ;
 cast : unary | '(' tname ')' cast ;
-unary : postfix | INC unary | unop cast | 'sizeof' unary | 'sizeof' '(' tname ')' | '_Alignof' '(' tname ')' | ANDAND ID ;
+unary : postfix | INC unary | unop cast | 'sizeof' unary | 'sizeof' '(' tname ')' | '_Alignof' '(' tname ')' ;
 unop : '&' | '*' | '+' | '-' | UN ;
 postfix : primary | postfix '[' expr ']' | postfix '(' ')' | postfix '(' args ')' | postfix '.' ID | postfix '->' ID | postfix INC | '(' tname ')' '{' '}' | '(' tname ')' '{' items ','? '}' ;
 args : arg (',' arg)* ;
 arg : assign | tname ;
-primary : ID | NUMBER | CHAR | strings | '(' expr ')' | '(' block ')' | generic ;
+primary : ID | IDX | NUMBER | CHAR | strings | '(' expr ')' | '(' block ')' | generic ;
 strings : string+ ;
-string : STRING | MACROSTR ;
+string : STRING | SMACRO | SMACRO '(' args? ')' ;
 generic : '_Generic' '(' assign (',' assoc)+ ')' ;
 assoc : tname ':' assign | 'default' ':' assign ;
-""".replace(" | ANDAND ID", "").replace(" | MACROSTR", "")
+"""
 PREFER_SHIFT = {"else"}
 
 _KEYWORDS = set(
@@ -109,47 +117,87 @@ def _lex(src: str, pos: int, n: int):
         pos = m.end()
 
 
-def _conditional(src: str) -> list[tuple[int, int]]:
-    """The stretches of `src` that are compiled, directives left out, with the
-    defines as (start, -end)."""
-    out, taken = [], []  # taken: [a branch was taken, this branch is live, an else was seen]
-    pos, n, in_comment = 0, len(src), False
-    start = 0
-    live = True
-    line = re.compile(r"(?:[^\n\\]|\\\r?\n|\\)*(?:\n|$)")
+#: Macros that no C compiler defines when it reads C (fixed values).
+_NEVER = {"__cplusplus", "__ASSEMBLER__", "__ASSEMBLY__", "__OBJC__"}
+_PLAIN = {"include", "undef", "pragma", "error", "warning", "line", "include_next", "import", "embed", "ident", ""}
+_LINE = re.compile(r"(?:[^\n\\]|\\\r?\n|\\)*(?:\n|$)")
+_DIRECTIVE = re.compile(r"[ \t]*(?:/\*[^\n]*?\*/[ \t]*)?#[ \t]*(\w*)")
+_DEFINED = re.compile(r"(!?)\s*defined\s*(?:\(\s*(\w+)\s*\)|(\w+))")
+
+
+def condition(word: str, rest: str):
+    """True or False where it is known, else (what is tested, what it must be)."""
+    rest = re.sub(r"//.*|/\*.*?\*/", " ", rest, flags=re.S).strip()
+    if word in ("ifdef", "ifndef", "elifdef", "elifndef"):
+        name = rest.split()[0] if rest else ""
+        want = not word.endswith("ndef")
+        return (not want) if name in _NEVER else (name, want)
+    if m := _DEFINED.fullmatch(rest):
+        name = m[2] or m[3]
+        return bool(m[1]) if name in _NEVER else (name, not m[1])
+    if re.fullmatch(r"\(?0\)?", rest) or rest.split("(")[0].split()[:1] == ["__cplusplus"]:
+        return False
+    if re.fullmatch(r"\(?1\)?", rest):
+        return True
+    return re.sub(r"\s+", " ", rest), True
+
+
+class Branch:
+    """One branch of a conditional group: the branches before it, the one around it."""
+
+    def __init__(self, cond, before: list, around):
+        self.cond, self.before, self.around = cond, before, around
+
+    def wants(self) -> dict | None:
+        """What must hold for it to be read; None if that is impossible."""
+        out: dict = {}
+        b = self
+        while b:
+            for cond, is_true in [*((x.cond, False) for x in b.before), (b.cond, True)]:
+                if cond is True or cond is False:
+                    if cond is not is_true:
+                        return None
+                elif out.setdefault(cond[0], cond[1] is is_true) is not (cond[1] is is_true):
+                    return None
+            b = b.around
+        return out
+
+
+def _pieces(src: str) -> tuple[list[tuple], list[Branch]]:
+    """(pieces of the file in order, all branches). A piece is (start, end, branch)
+    for text, (start, -end, branch) for the definition of a macro."""
+    out, branches, open_ = [], [], []  # open_: [branches so far, an else was seen]
+    pos, n, in_comment, start = 0, len(src), False, 0
+    here = None
     while pos < n:
-        m = line.match(src, pos)
+        m = _LINE.match(src, pos)
         end = m.end() if m.end() > pos else n
         text = m.group()
-        head = None if in_comment else re.match(r"[ \t]*(?:/\*[^\n]*?\*/[ \t]*)?#[ \t]*(\w*)", text)
+        head = None if in_comment else _DIRECTIVE.match(text)
         if head:
-            if live and pos > start:
-                out.append((start, pos))
+            if pos > start:
+                out.append((start, pos, here))
             word = head.group(1)
             rest = text[head.end() :].strip()
             if word in ("if", "ifdef", "ifndef"):
-                on = live and not (word == "if" and re.match(r"\(?0\)?(?:\s|/[/*]|$)", rest))
-                taken.append([on or not live, live, False])
-                live = on
-            elif word in ("elif", "elifdef", "elifndef"):
-                if not taken or taken[-1][2]:
+                here = Branch(condition(word, rest), [], here)
+                open_.append([[here], False])
+                branches.append(here)
+            elif word in ("elif", "elifdef", "elifndef", "else"):
+                if not open_ or open_[-1][1]:
                     raise LexError(pos)
-                live = taken[-1][1] and not taken[-1][0] and not (word == "elif" and re.match(r"\(?0\)?(?:\s|$)", rest))
-                taken[-1][0] |= live
-            elif word == "else":
-                if not taken or taken[-1][2]:
-                    raise LexError(pos)
-                live = taken[-1][1] and not taken[-1][0]
-                taken[-1][0] = taken[-1][2] = True
+                group = open_[-1][0]
+                here = Branch(True if word == "else" else condition(word, rest), list(group), group[0].around)
+                group.append(here)
+                branches.append(here)
+                open_[-1][1] = word == "else"
             elif word == "endif":
-                if not taken:
+                if not open_:
                     raise LexError(pos)
-                live = taken.pop()[1]
-            elif live and word == "define":
-                out.append((pos + head.end(), -end))
-            elif live and word not in ("include", "undef", "pragma", "error", "warning", "line", "include_next", "import", "embed", "ident", "") and word:
-                raise LexError(pos)
-            elif live and word == "include" and not re.match(r"<[^>\n]+>|\"[^\"\n]+\"|[A-Za-z_]\w*", rest):
+                here = open_.pop()[0][0].around
+            elif word == "define":
+                out.append((pos + head.end(), -end, here))
+            elif (word not in _PLAIN or word == "include" and not re.match(r"<[^>\n]+>|\"[^\"\n]+\"|[A-Za-z_]\w*", rest)) and (here is None or here.wants() is not None):
                 raise LexError(pos)
             start = end
             # a comment may open on a directive
@@ -157,10 +205,37 @@ def _conditional(src: str) -> list[tuple[int, int]]:
         else:
             in_comment = _opens(text, in_comment)
         pos = end
-    if taken:
+    if open_:
         raise LexError(n)
-    if live and n > start:
-        out.append((start, n))
+    if n > start:
+        out.append((start, n, here))
+    return out, branches
+
+
+def _read(branches: list[Branch], chosen: dict) -> set:
+    """The branches that are read under a choice of truth values: of every group the
+    first that is not known to be false."""
+    done: set = set()
+    for b in branches:  # outer branches come first
+        if (b.around is None or b.around in done) and b.cond is not False and not any(x in done for x in b.before):
+            if b.cond is True or chosen.get(b.cond[0], b.cond[1]) is b.cond[1]:
+                done.add(b)
+    return done
+
+
+def choices(branches: list[Branch]) -> list[set]:
+    """Sets of branches to read, one per reading of the file; together they hold
+    every branch that can be read."""
+    out = [_read(branches, {})]
+    left = {b: w for b in branches if b not in out[0] and (w := b.wants()) is not None}
+    while left:
+        first = next(iter(left))
+        chosen = dict(left.pop(first))
+        for w in left.values():  # as many others as agree with it
+            if all(chosen.get(k, v) is v for k, v in w.items()):
+                chosen.update(w)
+        out.append(_read(branches, chosen))
+        left = {b: w for b, w in left.items() if b not in out[-1]}
     return out
 
 
@@ -237,9 +312,28 @@ def _expand(toks: list[tuple], macros: dict, hidden=frozenset(), budget=None) ->
     return out
 
 
-def tokenize(src: str):
-    if src.startswith("﻿"):
+def readings(src: str):
+    """(terminals, places) of every reading of a file."""
+    if src.startswith("\ufeff"):
         src = " " + src[1:]
+    pieces, branches = _pieces(src)
+    for taken in choices(branches):
+        yield _tokens(src, [(a, z) for a, z, b in pieces if b is None or b in taken])
+
+
+def tokenize(src: str):
+    """The first reading."""
+    return next(readings(src))
+
+
+_DEFINE = re.compile(r"[ \t]*([^\W\d]\w*)(\([^)\n]*\))?")
+_UPPER = re.compile(r"_?[A-Z][A-Z0-9_]\w*$")
+#: Before `( name )` these make it something else than a value in brackets.
+_NO_VALUE = {"ID", "typeof", "sizeof", "_Alignof", "_Alignas", "_Atomic", "__attribute__", "asm", ")", "]"}
+_SIGNS = {"*", "&", "+", "-"}
+
+
+def _tokens(src: str, stretches: list[tuple[int, int]]) -> tuple[list[str], list[int]]:
     macros: dict = {}
     raw: list[tuple] = []
 
@@ -248,12 +342,12 @@ def tokenize(src: str):
         raw.clear()
 
     done: list[tuple] = []
-    for a, b in _conditional(src):
+    for a, b in stretches:
         if b > 0:
             raw += [t for t in _lex(src, a, b) if t[0] != "nl"]
             continue
         flush()
-        m = re.compile(r"[ \t]*([^\W\d]\w*)(\([^)\n]*\))?").match(src, a)
+        m = _DEFINE.match(src, a)
         if not m:
             raise LexError(a)
         body = [t for t in _lex(src, m.end(), -b) if t[0] != "nl"]
@@ -264,16 +358,21 @@ def tokenize(src: str):
     flush()
     toks: list[str] = []
     at: list[int] = []
-    for kind, text, p in done:
+    last = len(done) - 1
+    for k, (kind, text, p) in enumerate(done):
         if kind == "id":
             text = _SAME.get(text, text)
             if text is None:
                 continue
             t = text if text in _KEYWORDS else "ID"
+            if t == "ID" and (toks and toks[-1] in ("STRING", "SMACRO") or k < last and done[k + 1][0] == "string") and _UPPER.match(text):
+                t = "SMACRO"
         elif kind == "op":
             if text in ("#", "##"):
                 raise LexError(p)
             t = "ASSIGN" if text in _ASSIGN else "BIN" if text in _BIN else "INC" if text in ("++", "--") else "UN" if text in ("!", "~") else text
+            if t in _SIGNS and len(toks) > 2 and toks[-1] == ")" and toks[-2] == "ID" and toks[-3] == "(" and (len(toks) < 4 or toks[-4] not in _NO_VALUE):
+                toks[-2] = "IDX"
         else:
             if kind == "number" and not _NUMBER.match(text):
                 raise LexError(p)

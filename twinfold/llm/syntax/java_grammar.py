@@ -7,7 +7,8 @@ import re
 from .python_grammar import LexError
 
 GRAMMAR = r"""
-file : package? import* type_decl* | module ;
+file : package? import* type_decl* | module | import* compact* method compact* ;
+compact : type_decl | field | method ;
 package : annotation* 'package' qname ';' ;
 import : 'import' 'static'? qname ';' | 'import' 'static'? qname '.' '*' ';' | ';' ;
 module : import* annotation* 'open'? 'module' qname '{' directive* '}' ;

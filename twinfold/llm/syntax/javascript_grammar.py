@@ -23,9 +23,10 @@ stmt : block | var semi | ';' | expr_s semi | 'if' '(' expr ')' stmt | 'if' '('
 catch : 'catch' block | 'catch' '(' param_one ')' block ;
 param_one : binding ;
 case : 'case' expr ':' item* | 'default' ':' item* ;
-var : var_kind decl (',' decl)* ;
+var : ('var' | 'let') decl (',' decl)* | 'const' decl_c (',' decl_c)* ;
 var_kind : 'var' | 'let' | 'const' ;
-decl : binding | binding '=' assign ;
+decl : ident | binding '=' assign ;
+decl_c : binding '=' assign ;
 for_init : expr | var ;
 for_head : lhs | var_kind binding ;
 binding : ident | '[' elems? ']' | '{' props? '}' ;
@@ -43,7 +44,7 @@ class_decl : decorator* 'class' ident heritage? '{' member* '}' ;
 class : decorator* 'class' ident? heritage? '{' member* '}' ;
 heritage : 'extends' lhs ;
 decorator : '@' dotted | '@' dotted args | '@' '(' expr ')' ;
-dotted : ident | dotted '.' ident ;
+dotted : ident | dotted '.' name ;
 member : ';' | decorator* member_mods method | decorator* member_mods field semi | decorator* method | decorator* field semi | 'static' block ;
 member_mods : 'static' ;
 field : propname | propname '=' assign ;
@@ -117,6 +118,7 @@ _TOKEN = re.compile(
 |(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\].;,<>+\-*%&|^!~?:=@/`])""",
     re.X | re.S,
 )
+_BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))")
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[a-zA-Z]*")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
 _ASSIGN = set("+= -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
@@ -208,9 +210,13 @@ def tokenize(src: str, keywords=_KEYWORDS, soft=_SOFT, split_gt: bool = False):
                     put(text, p)
             elif text in ("++", "--"):
                 put("POST" if toks and toks[-1] in _OPERAND and not nl else "INC", p)
-            elif split_gt and text in (">>", ">>>"):
-                for k in range(len(text)):
-                    put(">", p + k)
+            elif split_gt and text in (">>", ">>>", ">=", ">>=", ">>>="):
+                # `>` may close type arguments: each sign by itself, those that touch the one before told apart
+                if text[-1] == "=" and src.startswith(">", pos):  # an arrow behind type arguments
+                    text, pos = text[:-1], pos - 1
+                put(">", p)
+                for k in range(1, len(text)):
+                    put("GT_ADJ" if text[k] == ">" else "EQ_ADJ", p + k)
             elif text in _ASSIGN:
                 put("ASSIGN", p)
             elif text in _BIN:
@@ -221,6 +227,8 @@ def tokenize(src: str, keywords=_KEYWORDS, soft=_SOFT, split_gt: bool = False):
                 put(text, p)
         elif kind == "private":
             put("PRIVATE", p)
+        elif kind == "string" and "\\" in text and _BAD_ESCAPE.search(text):
+            raise LexError(p)
         else:
             put(kind.upper(), p)
 

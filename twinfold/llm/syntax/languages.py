@@ -50,18 +50,17 @@ def install(built: dict[str, tables.Tables]) -> None:
 def check(ext: str, src: str) -> tuple[int, str] | None:
     """None if `src` is valid, else (line, what stands there) of the first error."""
     lang = EXTENSIONS[ext]
-    mod = _module(lang)
+    mod, m = _module(lang), machine(lang)
     try:
-        toks, at, *rest = mod.tokenize(src)
+        for toks, at, *rest in mod.readings(src) if hasattr(mod, "readings") else (mod.tokenize(src),):
+            bad = tables.parse(m, toks, rest[0] if rest else None)
+            if bad >= len(toks):
+                return src.count("\n") + 1, "end of file"
+            if bad >= 0:
+                return src.count("\n", 0, at[bad]) + 1, toks[bad]
+            for inner, places in rest[1] if len(rest) > 1 else ():  # programs inside strings
+                if (k := tables.parse(m, inner, None)) >= 0:
+                    return src.count("\n", 0, places[min(k, len(places) - 1)]) + 1, inner[k] if k < len(inner) else "}"
     except LexError as e:
         return src.count("\n", 0, e.at) + 1, "token"
-    m = machine(lang)
-    bad = tables.parse(m, toks, rest[0] if rest else None)
-    for inner, places in rest[1] if len(rest) > 1 and bad < 0 else ():  # programs inside strings
-        if (k := tables.parse(m, inner, None)) >= 0:
-            return src.count("\n", 0, places[min(k, len(places) - 1)]) + 1, inner[k] if k < len(inner) else "}"
-    if bad < 0:
-        return None
-    if bad >= len(toks):
-        return src.count("\n") + 1, "end of file"
-    return src.count("\n", 0, at[bad]) + 1, toks[bad]
+    return None

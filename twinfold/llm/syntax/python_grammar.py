@@ -9,9 +9,12 @@ GRAMMAR = r"""
 file : (NEWLINE | stmt)* ;
 stmt : simple | compound ;
 simple : small (';' small)* ';'? NEWLINE ;
-small : assign | 'del' targets | 'pass' | 'break' | 'continue' | 'return' stars? | 'raise' | 'raise' test | 'raise' test 'from' test
+small : assign | 'del' dels | 'pass' | 'break' | 'continue' | 'return' stars? | 'raise' | 'raise' test | 'raise' test 'from' test
   | 'global' names | 'nonlocal' names | 'assert' test | 'assert' test ',' test | import | 'type' name tparams? '=' test ;
-assign : stars | single ':' test | single ':' test '=' (stars | yield) | single AUG (stars | yield) | (targets '=')+ (stars | yield) | yield ;
+assign : stars | one ':' test | one ':' test '=' (stars | yield) | one AUG (stars | yield) | (targets '=')+ (stars | yield) | yield ;
+one : name | primary '.' name | primary '[' subs ']' | '(' one ')' ;
+dels : del (',' del)* ','? ;
+del : name | primary '.' name | primary '[' subs ']' | '(' dels? ')' | '[' dels? ']' ;
 names : name (',' name)* ;
 import : 'import' dotted_as (',' dotted_as)* | 'from' from 'import' ('*' | as_names | '(' as_names ','? ')') ;
 from : dots | dots dotted | dotted ;
@@ -29,8 +32,9 @@ if : 'if' named ':' block ('elif' named ':' block)* else? ;
 else : 'else' ':' block ;
 while : 'while' named ':' block else? ;
 for : 'for' targets 'in' stars ':' block else? ;
-try : 'try' ':' block (handler+ else? finally? | finally) ;
-handler : 'except' ':' block | 'except' stars ':' block | 'except' test 'as' name ':' block | 'except' '*' test ':' block | 'except' '*' test 'as' name ':' block ;
+try : 'try' ':' block ((handler+ | star_handler+) else? finally? | finally) ;
+handler : 'except' ':' block | 'except' test (',' test)* ','? ':' block | 'except' test 'as' name ':' block ;
+star_handler : 'except' '*' test ':' block | 'except' '*' test 'as' name ':' block ;
 finally : 'finally' ':' block ;
 with : 'with' items ':' block | 'with' '(' items ','? ')' ':' block ;
 items : item (',' item)* ;
@@ -39,8 +43,18 @@ def : 'async'? 'def' name tparams? '(' params? ')' ('->' test)? ':' block ;
 class : 'class' name tparams? ('(' args? ')')? ':' block ;
 tparams : '[' tparam (',' tparam)* ','? ']' ;
 tparam : name (':' test)? ('=' test)? | '*' name ('=' stars)? | '**' name ('=' test)? ;
-params : param (',' param)* ','? ;
-param : name | name '=' test | name ':' test | name ':' test '=' test | '*' | '*' name | '*' name ':' star_or_test | '**' name | '**' name ':' test | '/' ;
+params : p_pos ','? | p_pos ',' p_stars ','? | p_stars ','? ;
+p_pos : p_plains p_slash? | p_plains p_slash ',' p_plains | p_plains p_slash ',' p_plains ',' p_defaults | p_plains p_slash ',' p_defaults | p_plains ',' p_defaults p_slash?
+  | p_plains ',' p_defaults p_slash ',' p_defaults | p_defaults p_slash? | p_defaults p_slash ',' p_defaults ;
+p_slash : ',' '/' ;
+p_plains : p_plain (',' p_plain)* ;
+p_defaults : p_default (',' p_default)* ;
+p_plain : name | name ':' test ;
+p_default : name '=' test | name ':' test '=' test ;
+p_stars : '*' p_star (',' p_kwonly)* (',' p_dstar)? | '*' (',' p_kwonly)+ (',' p_dstar)? | p_dstar ;
+p_star : name | name ':' star_or_test ;
+p_kwonly : p_plain | p_default ;
+p_dstar : '**' p_plain ;
 star_or_test : test | '*' expr ;
 
 match : 'match' stars ':' NEWLINE INDENT clause+ DEDENT ;
@@ -67,8 +81,18 @@ stars : star | star ',' | star (',' star)+ ','? ;
 star : test | '*' expr ;
 named : test | name ':=' test ;
 test : or | or 'if' or 'else' test | 'lambda' ':' test | 'lambda' lparams ':' test ;
-lparams : lparam (',' lparam)* ','? ;
-lparam : name | name '=' test | '*' | '*' name | '**' name | '/' ;
+lparams : l_pos ','? | l_pos ',' l_stars ','? | l_stars ','? ;
+l_pos : l_plains l_slash? | l_plains l_slash ',' l_plains | l_plains l_slash ',' l_plains ',' l_defaults | l_plains l_slash ',' l_defaults | l_plains ',' l_defaults l_slash?
+  | l_plains ',' l_defaults l_slash ',' l_defaults | l_defaults l_slash? | l_defaults l_slash ',' l_defaults ;
+l_slash : ',' '/' ;
+l_plains : l_plain (',' l_plain)* ;
+l_defaults : l_default (',' l_default)* ;
+l_plain : name ;
+l_default : name '=' test ;
+l_stars : '*' l_star (',' l_kwonly)* (',' l_dstar)? | '*' (',' l_kwonly)+ (',' l_dstar)? | l_dstar ;
+l_star : name ;
+l_kwonly : l_plain | l_default ;
+l_dstar : '**' l_plain ;
 or : not | or BOOL not ;
 not : comp | 'not' not ;
 comp : expr | comp cmp expr ;
@@ -78,13 +102,17 @@ bin : BIN | '*' | '-' | '+' | '/' | '|' | '@' ;
 unary : power | '-' unary | '+' unary | '~' unary ;
 power : await | await '**' unary ;
 await : primary | 'await' primary ;
-primary : atom | primary '.' name | primary '(' ')' | primary '(' args ')' | primary '[' subs ']' ;
-args : arg (',' arg)* ','? ;
-arg : named | named comp_for | name '=' test | '*' test | '**' test ;
+primary : atom | primary '.' name | primary '(' ')' | primary '(' args ')' | primary '(' named comp_for ')' | primary '[' subs ']' ;
+args : pargs ','? | pargs ',' kwargs ','? | kwargs ','? ;
+pargs : parg (',' parg)* ;
+parg : named | '*' test ;
+kwargs : kw_star (',' kw_star)* | kw_star (',' kw_star)* ',' kw_dstar (',' kw_dstar)* | kw_dstar (',' kw_dstar)* ;
+kw_star : name '=' test | '*' test ;
+kw_dstar : name '=' test | '**' test ;
 subs : sub (',' sub)* ','? ;
 sub : named | '*' expr | test? ':' test? | test? ':' test? ':' test? ;
-atom : name | NUMBER | strings | '...' | 'None' | 'True' | 'False' | '(' ')' | '(' yield ')' | '(' inner ')' | '(' named_star comp_for ')'
-  | '[' ']' | '[' inner ']' | '[' named_star comp_for ']' | '{' '}' | '{' dict ','? '}' | '{' pair comp_for '}' | '{' inner '}' | '{' named_star comp_for '}' ;
+atom : name | NUMBER | strings | '...' | 'None' | 'True' | 'False' | '(' ')' | '(' yield ')' | '(' named ')' | '(' named_star ',' ')' | '(' named_star (',' named_star)+ ','? ')' | '(' named comp_for ')'
+  | '[' ']' | '[' inner ']' | '[' named comp_for ']' | '{' '}' | '{' dict ','? '}' | '{' pair comp_for '}' | '{' inner '}' | '{' named comp_for '}' ;
 inner : named_star (',' named_star)* ','? ;
 named_star : named | '*' expr ;
 dict : entry (',' entry)* ;
@@ -94,7 +122,7 @@ comp_for : 'async'? 'for' targets 'in' or comp_rest ;
 comp_rest : ('if' cond)* comp_for? ;
 cond : or | name ':=' or | 'lambda' ':' test | 'lambda' lparams ':' test ;
 yield : 'yield' stars? | 'yield' 'from' test ;
-strings : string+ ;
+strings : string+ | BSTRING+ ;
 string : STRING | FSTART (FTEXT | field)* FEND ;
 field : '{' (stars | yield) '='? CONV? '}' | '{' (stars | yield) '='? CONV? ':' (FTEXT | field)* '}' ;
 """
@@ -108,7 +136,7 @@ _TOKEN = re.compile(
 |(?P<comment>\#[^\r\n]*)
 |(?P<string>(?:[bBuU]|[rR][bB]?|[bB][rR])?(?:\"\"\"(?:[^\\"]|\\.|"(?!""))*\"\"\"|'''(?:[^\\']|\\.|'(?!''))*'''|"(?:[^\\"\r\n]|\\\r?.)*"|'(?:[^\\'\r\n]|\\\r?.)*'))
 |(?P<fstring>(?:[fFtT][rR]?|[rR][fFtT])(?:\"\"\"|'''|"|'))
-|(?P<number>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*|\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w))
+|(?P<number>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*|\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?:(?!\w)|(?=(?:and|else|for|if|in|is|not|or)\b)))
 |(?P<name>[^\W\d]\w*)
 |(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|<=|>=|==|!=|[+\-*/%@&|^]=|[-+*/%@&|^~<>()\[\]{},:.;=])""",
     re.X | re.S,
@@ -118,6 +146,8 @@ _BIN = set("% & ^ // << >>".split())
 _CMP = set("< > <= >= == !=".split())
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 _FBODY = {q: re.compile(r"(?:[^\\{}" + q[0] + ("" if len(q) == 3 else "\r\n") + r"]|\\N\{[^}]*\}|\\(?:\r\n|[^{}])|\\(?=[{}])|\{\{|\}\}" + (f"|{q[0]}(?!{q[0] * 2})" if len(q) == 3 else "") + ")+", re.S) for q in ("'", '"', "'''", '"""')}
+_BAD_BYTES = re.compile(r"(?<!\\)(?:\\\\)*\\x(?![0-9a-fA-F]{2})")
+_BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4})|N(?!\{[^}\n]+\}))")
 _FSPEC = re.compile(r"[^{}\r\n'\"]+")
 
 
@@ -274,7 +304,15 @@ def tokenize(src: str) -> tuple[list[str], list[int]]:
             put("NEWLINE", p)
             line_start = True
         elif kind == "string":
-            put("STRING", p)
+            raw = text[0] in "rR" or text[1] in "rR" and text[0] in "bB"
+            if text[0] in "bB" or text[0] in "rR" and text[1] in "bB":
+                if not text.isascii() or not raw and "\\" in text and _BAD_BYTES.search(text):
+                    raise LexError(p)
+                put("BSTRING", p)
+            else:
+                if not raw and "\\" in text and _BAD_ESCAPE.search(text):
+                    raise LexError(p)
+                put("STRING", p)
         elif kind == "number":
             if re.match(r"0[0-9_]*[1-9]", text) and not re.search(r"[.eEjJ]", text) and not re.match(r"0[xXbBoO]", text):
                 raise LexError(p)

@@ -8,14 +8,14 @@ _TYPES = r"""
 ident : 'type' | 'interface' | 'namespace' | 'module' | 'declare' | 'abstract' | 'readonly' | 'public' | 'private' | 'protected' | 'keyof' | 'infer' | 'is'
   | 'asserts' | 'unique' | 'global' | 'override' | 'satisfies' | 'implements' | 'accessor' | 'out' | 'require' ;
 keyword : 'implements_' ;
-item : declaration | 'declare' declaration | 'export' declaration | 'export' 'declare' declaration | 'declare' var semi | 'declare' class_decl
+item : declaration | 'declare' declaration | 'export' declaration | 'export' 'declare' declaration | 'declare' var semi | 'declare' 'const' ident semi | 'declare' class_decl
   | 'export' 'declare' var semi | 'export' 'declare' class_decl | 'abstract' class_decl | 'export' 'abstract' class_decl | 'export' 'default' 'abstract' class_decl
   | 'declare' 'abstract' class_decl | 'export' 'declare' 'abstract' class_decl
   | 'export' '=' expr semi | 'export' 'as' 'namespace' ident semi | 'import' ident '=' 'require' '(' STRING ')' semi | 'import' ident '=' dotted semi
   | 'export' 'import' ident '=' dotted semi | 'import' 'type' clause 'from' STRING semi | 'export' 'type' names semi | 'export' 'type' names 'from' STRING semi
   | 'export' 'type' '*' 'from' STRING semi | 'declare' 'global' block | 'export' 'default' interface ;
 spec : 'type' modname | 'type' modname 'as' modname ;
-declaration : interface | 'type' ident tparams? '=' type semi | 'const'? 'enum' ident '{' '}' | 'const'? 'enum' ident '{' enum_item (',' enum_item)* ','? '}'
+declaration : interface | 'type' ident tparams? eq type semi | 'const'? 'enum' ident '{' '}' | 'const'? 'enum' ident '{' enum_item (',' enum_item)* ','? '}'
   | 'namespace' dotted block | 'module' dotted block | 'module' STRING block | 'module' STRING semi | function_sig semi ;
 enum_item : propname | propname '=' assign ;
 interface : 'interface' ident tparams? extends_types? body_type ;
@@ -30,27 +30,32 @@ member : decorator* index_sig semi | decorator* member_mods index_sig semi | dec
 signature : propname '?'? sig | 'get' propname sig | 'set' propname sig | 'async' propname sig ;
 member_mods : modifier+ ;
 modifier : 'static' | 'public' | 'private' | 'protected' | 'readonly' | 'abstract' | 'override' | 'declare' | 'accessor' ;
-field : propname '?' ('=' assign)? | propname '!'? ':' type ('=' assign)? | propname '?' ':' type ('=' assign)? ;
+field : propname '?' ('=' assign)? | propname '!'? ':' type (eq assign)? | propname '?' ':' type (eq assign)? ;
 method : propname '?' sig block ;
 sig : '(' params? ')' ':' rtype | tparams '(' params? ')' | tparams '(' params? ')' ':' rtype ;
 rtype : type | ident 'is' type | 'this' 'is' type | 'asserts' ident | 'asserts' ident 'is' type | 'asserts' 'this' ;
-param : pattern_t | pattern_t '=' assign | '...' binding ':' type | decorator+ param_mods? binding | decorator+ param_mods? pattern_t | decorator+ param_mods? pattern_t '=' assign
-  | param_mods binding | param_mods binding '=' assign | param_mods pattern_t | param_mods pattern_t '=' assign | 'this' ':' type ;
+param : pattern_t | pattern_t eq assign | '...' binding ':' type | decorator+ param_mods? binding | decorator+ param_mods? pattern_t | decorator+ param_mods? pattern_t eq assign
+  | param_mods binding | param_mods binding '=' assign | param_mods pattern_t | param_mods pattern_t eq assign | 'this' ':' type ;
 param_mods : param_mod+ ;
 param_mod : 'public' | 'private' | 'protected' | 'readonly' | 'override' ;
 pattern_t : binding ':' type | binding '?' ':' type | binding '?' ;
 param_one : binding ':' type ;
-decl : binding ':' type | binding ':' type '=' assign | ident '!' ':' type ;
+decl : binding ':' type | binding ':' type eq assign | ident '!' ':' type ;
+decl_c : ident ':' type | binding ':' type eq assign ;
+eq : '=' | EQ_ADJ ;
+gt : '>' | GT_ADJ ;
+gt_assign : '>' GT_ADJ EQ_ADJ | '>' GT_ADJ GT_ADJ EQ_ADJ ;
+assign% : lhs% gt_assign assign | newexp gt_assign assign ;
 lhs% : lhs% targs args | lhs% targs template | lhs% '!' | lhs% '?.' targs args ;
 newexp : 'new' lhs targs ;
-unary% : '<' type '>' unary ;
+unary% : '<' type gt unary ;
 bin% : bin% 'as' type | bin% 'as' 'const' | bin% 'satisfies' type ;
-op : '|' | '&' | '>' '>' | '>' '>' '>' ;
+op : '|' | '&' | '>' GT_ADJ | '>' GT_ADJ GT_ADJ | '>' EQ_ADJ ;
 prefix : '!' ;
 arrow : 'abstract_' ;
-targs : '<' type (',' type)* ','? '>' ;
-tparams : '<' tparam (',' tparam)* ','? '>' ;
-tparam : tparam_mod* ident ('extends' type)? ('=' type)? ;
+targs : '<' type (',' type)* ','? gt ;
+tparams : '<' tparam (',' tparam)* ','? gt ;
+tparam : tparam_mod* ident ('extends' type)? (eq type)? ;
 tparam_mod : 'const' | 'in' | 'out' ;
 type : union | function_type | union 'extends' union '?' type ':' type ;
 function_type : tparams? '(' params? ')' '=>' rtype | 'new' tparams? '(' params? ')' '=>' type | 'abstract' 'new' tparams? '(' params? ')' '=>' type ;
