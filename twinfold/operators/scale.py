@@ -8,9 +8,11 @@ by the number of partitions (`prefix_sums`, `dense_ids`) or by MAX_HOT rows
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,7 +22,8 @@ HOT_ROWS, MAX_HOT = 200_000, 10_000
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: `spark.checkpoint.dir` of the session; a
-    temporary one only where that is unset and the session is local."""
+    temporary one, removed at the end, only where that is unset and the session is
+    local."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known:
@@ -30,6 +33,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = tempfile.mkdtemp(prefix="twinfold-checkpoint-")
+        atexit.register(shutil.rmtree, place, ignore_errors=True)
     sc.setCheckpointDir(place)
     return place
 
@@ -40,11 +44,35 @@ def cut(df: DataFrame) -> DataFrame:
     A checkpointed DataFrame keeps the constraints and statistics of the plan it
     came from; over the rounds of an iterative operator they multiply until
     planning takes longer than running. So the rows are wrapped afresh, and
-    adaptive execution sizes the joins that follow."""
+    adaptive execution sizes the joins that follow. The files go when the rows are
+    not referred to any more, if `spark.cleaner.referenceTracking.cleanCheckpoints`
+    is set, or at once by `release`."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     done = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
+    rdd = done.queryExecution().toRdd()
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(rdd, done.schema(), False), spark)
+    out._cut_rdd = done.queryExecution().logical().rdd()
+    return out
+
+
+def cut_counted(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """`cut` with figures over the rows (`n`, their number, and any others), taken
+    while they are written. A task that runs again may count twice, so the figures
+    steer how to go on, never what comes out."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *(F.coalesce(c, F.lit(0)).alias(k) for k, c in figures.items())))
+    return out, seen.get
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files behind frames of `cut` that nothing reads any more."""
+    for df in frames:
+        rdd = getattr(df, "_cut_rdd", None)
+        file = rdd.getCheckpointFile() if rdd is not None else None
+        if file is not None and file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
