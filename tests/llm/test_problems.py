@@ -85,7 +85,10 @@ def _union_find(edges, extra):
     return {x: min(m, key=str.encode) for m in groups.values() for x in m}
 
 
-def test_p2_against_union_find(spark):
+@pytest.mark.parametrize("core, numbers", [(p2_groups.CORE, 0), (0, 0), (0, 5)])
+def test_p2_against_union_find(spark, monkeypatch, core, numbers):
+    if numbers:  # so few numbers that paths share them
+        monkeypatch.setattr(p2_groups, "number", lambda c: F.pmod(F.xxhash64(c), F.lit(numbers)))
     rnd = random.Random(7)
     e = [(f"p{rnd.randrange(150):03}", f"p{rnd.randrange(150):03}") for _ in range(90)]
     e += [(f"chain{i:03}", f"chain{i + 1:03}") for i in range(70)]  # one long path
@@ -96,7 +99,7 @@ def test_p2_against_union_find(spark):
     e += [e[0], e[0], ("x", "x"), (None, "p001"), ("p002", None), (e[3][1], e[3][0])]
     alone = ["alone", "x", None]
     v = spark.createDataFrame([(a,) for p in e for a in p] + [(a,) for a in alone], "path string").withColumn("group_path", F.lit("clash"))
-    got = {r.path: r.group_path for r in p2_groups.group_paths(v, spark.createDataFrame(e, "a string, b string")).collect()}
+    got = {r.path: r.group_path for r in p2_groups.group_paths(v, spark.createDataFrame(e, "a string, b string"), core).collect()}
     assert got == _union_find(e, {x for p in e for x in p if x} | {"alone", "x"})
     empty = spark.createDataFrame([], "a string, b string")
     assert [tuple(r) for r in p2_groups.group_paths(spark.createDataFrame([("a",), ("a",)], "path string"), empty).collect()] == [("a", "a")]
