@@ -162,7 +162,7 @@ def test_p5(spark):
 def test_p6(spark):
     from tokenizers import Tokenizer
 
-    enc = p6_encode.encoder(p6_encode.vocabulary_path())
+    enc = p6_encode.encoder(p6_encode.load(p6_encode.vocabulary_path()))
     hf = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
     hf.encode_special_tokens = True
     rnd = random.Random(3)
@@ -175,6 +175,14 @@ def test_p6(spark):
         assert all(enc.decode(x) == texts[i] for i, x in got.items())
 
 
+def test_p6_unsplit_words_come_by_tree_concatenation(spark, sf):
+    enc = p6_encode.encoder(p6_encode.load(p6_encode.vocabulary_path()))
+    got = p6_encode.p6_unsplit(spark, sf).collect()
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.regexp_replace("text", r"\P{L}+", "").alias("text")).collect()}
+    assert len(got) == len(text) and sum(len(t or "") > 256 for t in text.values()) > 20
+    assert all(r.ids == (None if text[r.doc_id] is None else enc.encode_ordinary(text[r.doc_id])) for r in got)
+
+
 def _item(n, seed=0):
     return [f"w{seed}x{i}" for i in range(n)]
 

@@ -17,8 +17,8 @@ put together again, which needs a rule for where a cut is harmless:
 
 Scale: one pass over the documents with no shuffle; only documents above LONG
 characters are spread by (document, piece) and gathered by document, whose ids
-have to end in one row anyway. The vocabulary (under 1 MB) is read by each
-Python worker once from the path in `vocabulary`, or sent along by the driver.
+have to end in one row anyway. The vocabulary (under 1 MB, a constant) is read by
+the driver and broadcast; executors need no copy of the file.
 
 Defined results: null gives null, the empty text an empty list; strings that look
 like special tokens are ordinary text; repeated documents are encoded alike.
@@ -44,19 +44,26 @@ _SAFE = regex.compile(r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})|(?<=\S)(?=[ \n])
 _ENCODERS: dict = {}
 
 
-def encoder(path: str):
-    """The encoder for a vocabulary file in rank form (base64 token, rank)."""
-    if path not in _ENCODERS:
-        import public_tokenizers
+def load(path: str) -> tuple[bytes, str]:
+    """A vocabulary file in rank form (base64 token, rank) and its splitting pattern."""
+    import public_tokenizers
+
+    with open(path, "rb") as f:
+        return f.read(), public_tokenizers.PATTERN
+
+
+def encoder(vocabulary: tuple[bytes, str], whole: bool = False):
+    """The encoder of a vocabulary; with `whole`, of texts that are one word."""
+    key = (*vocabulary, whole)
+    if key not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary[0].splitlines() if line.strip())}
+        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str="(?s:.+)" if whole else vocabulary[1], mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[key]
 
 
-def cut_text(text: str, most: int) -> list[tuple[str, bool]]:
+def cut_text(text: str, most: int, pattern: str) -> list[tuple[str, bool]]:
     """`text` in pieces of about `most` characters or less: (piece, whether it
     starts at a harmless cut). A word without one is cut into halves."""
     pieces, start = [], 0
@@ -68,7 +75,7 @@ def cut_text(text: str, most: int) -> list[tuple[str, bool]]:
         if at is None:  # no harmless cut within reach: take the whole stretch and halve it
             m = next((m for m in _SAFE.finditer(text, start + most) if m.start() > start), None)
             end = m.start() if m else len(text)
-            pieces += _by_word(text[start:end], most)
+            pieces += _by_word(text[start:end], most, pattern)
             start = end
         else:
             pieces.append((text[start:at], True))
@@ -78,13 +85,11 @@ def cut_text(text: str, most: int) -> list[tuple[str, bool]]:
     return pieces
 
 
-def _by_word(stretch: str, most: int) -> list[tuple[str, bool]]:
+def _by_word(stretch: str, most: int, pattern: str) -> list[tuple[str, bool]]:
     """A stretch between harmless cuts, split into the pattern's words; short
     words stay together and a word of more than `most` characters is halved."""
-    import public_tokenizers
-
     out, short = [], ""
-    for m in regex.finditer(public_tokenizers.PATTERN, stretch):
+    for m in regex.finditer(pattern, stretch):
         word = m.group()
         if short and len(short) + len(word) > most:
             out.append((short, True))
@@ -103,18 +108,29 @@ def halves(text: str, most: int) -> list[str]:
     return halves(text[:mid], most) + halves(text[mid:], most)
 
 
+def _text(enc, ids: list[int]) -> str | None:
+    """The text of `ids`, None if it starts or ends inside a character."""
+    try:
+        return enc.decode_bytes(ids).decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+
+
 def join_ids(enc, a: list[int], b: list[int], window: int = WINDOW) -> list[int]:
-    """The ids of the joined texts of `a` and `b`, which are one word."""
-    w = window
+    """The ids of the joined texts of `a` and `b`, which are one word; `enc` encodes
+    words. A window starts and ends between characters."""
+    x, y = min(window, len(a)), min(window, len(b))
     while a and b:
-        left, right = a[-w:], b[:w]
-        whole = len(left) == len(a) and len(right) == len(b)
-        mid = enc._core_bpe.encode_single_piece(enc.decode_bytes(left + right))
-        ok_left = len(left) == len(a) or mid[0] == left[0]
-        ok_right = len(right) == len(b) or mid[-1] == right[-1]
-        if whole or (ok_left and ok_right):
-            return a[: len(a) - len(left)] + mid + b[len(right) :]
-        w *= 2
+        while (left := _text(enc, a[len(a) - x :])) is None:
+            x += 1
+        while (right := _text(enc, b[:y])) is None:
+            y += 1
+        mid = enc.encode_ordinary(left + right)
+        ok_left = x == len(a) or mid[0] == a[len(a) - x]
+        ok_right = y == len(b) or mid[-1] == b[y - 1]
+        if ok_left and ok_right:
+            return a[: len(a) - x] + mid + b[y:]
+        x, y = min(2 * x, len(a)), min(2 * y, len(b))
     return a + b
 
 
@@ -125,7 +141,8 @@ def tree_join(enc, parts: list[list[int]]) -> list[int]:
 
 
 def put_together(enc, pieces: list[tuple[list[int], bool]]) -> list[int]:
-    """Pieces in order, (ids, starts at a harmless cut) -> the ids of the text."""
+    """Pieces in order, (ids, starts at a harmless cut) -> the ids of the text;
+    `enc` encodes words."""
     out: list[int] = []
     run: list[list[int]] = []
     for ids, safe in [*pieces, ([], True)]:
@@ -150,9 +167,10 @@ def encode(docs: DataFrame, key: str, text: str, vocabulary: str, long: int = LO
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = dict(src.dtypes)["k"]
     schema = f"k {kind}, ids array<int>"
+    shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(shared.value)
         for b in batches:
             ids = [None if t is None else np.asarray(enc.encode_ordinary(t), np.int32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), _ids_array(ids)], names=["k", "ids"])
@@ -160,20 +178,20 @@ def encode(docs: DataFrame, key: str, text: str, vocabulary: str, long: int = LO
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, t in zip(b.column(0), b.column(1).to_pylist()):
-                cuts = cut_text(t, long)
+                cuts = cut_text(t, long, shared.value[1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k.as_py()] * len(cuts), b.column(0).type), pa.array(range(len(cuts)), pa.int32()), pa.array([s for _, s in cuts]), pa.array([p for p, _ in cuts], pa.string())],
                     names=["k", "n", "safe", "piece"],
                 )
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(shared.value)
         for b in batches:
             ids = [np.asarray(enc.encode_ordinary(t), np.int32) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), _ids_array(ids)], names=["k", "n", "safe", "ids"])
 
     def gather(t: pa.Table) -> pa.Table:
-        enc = encoder(vocabulary)
+        enc = encoder(shared.value, whole=True)
         t = t.sort_by("n")
         ids = put_together(enc, list(zip(t.column("ids").to_pylist(), t.column("safe").to_pylist())))
         return pa.table({"k": t.column("k").slice(0, 1), "ids": pa.array([ids], pa.list_(pa.int32()))})
@@ -203,3 +221,13 @@ def p6_ids(spark, sf_dir: str) -> DataFrame:
     from ..tables import table
 
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary_path())
+
+
+def p6_unsplit(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, ids) of the letters of every document as one word without a harmless
+    cut, in pieces of at most 256 characters: all rows above that come by tree
+    concatenation."""
+    from ..tables import table
+
+    letters = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\P{L}+", "").alias("text"))
+    return encode(letters, "doc_id", "text", vocabulary_path(), long=256)

@@ -19,6 +19,7 @@ def queries() -> dict:
         "p5_kinds": p5_handwritten.p5_kinds,
         "p5_statistics": p5_handwritten.p5_statistics,
         "p6_ids": p6_encode.p6_ids,
+        "p6_unsplit": p6_encode.p6_unsplit,
         "p7_found": p7_leaks.p7_found,
         "p7_spans": p7_leaks.p7_spans,
         "p7_items": p7_leaks.p7_items,
