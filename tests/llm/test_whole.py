@@ -128,3 +128,25 @@ def test_p1_forgetting_changes_nothing(monkeypatch):
     whole = check("js", src), check("js", src[:-2])
     monkeypatch.setattr(tables, "REMEMBERED", 3)
     assert (check("js", src), check("js", src[:-2])) == whole and whole[0] is None and whole[1]
+
+
+def test_p5_layout():
+    limits = p5_handwritten.THRESHOLDS["js"]
+    judged = lambda text: p5_handwritten.by_layout(p5_handwritten.layout(text, limits.long_line), limits)
+    licence = "/* " + "\n * a licence of many short lines".join([""] * 30) + " */\n"
+    packed = "!function(){" + "".join(f"var q=function(e,t){{for(;e<t;)e*={i%7};return e+'x'}};" for i in range(60)) + "}();\n"
+    assert judged(packed) == judged(licence + packed) == (True, False, False)
+    assert judged("const a = [\n" + "  12, 'x', 0x1f,\n" * 50 + "];\n") == (False, True, False)
+    blob = "".join(chr(65 + i * 7 % 26) + chr(97 + i * 5 % 26) + str(i % 10) for i in range(400))
+    assert judged(f'const a = "{blob}";\n') == (False, True, False)
+    assert not p5_handwritten.is_encoded("+".join(f"a{i}" for i in range(40))) and not p5_handwritten.is_encoded("a_very_long_name_of_a_function_that_says_what_it_does_2")
+    wide = "".join(f"register(handlers.item{i}, {{ name: 'item{i}', run: () => step({i}), text: '{'long text ' * 25}' }});\n" for i in range(12))
+    assert judged(wide)[2]  # lines of any length count as numbered
+    assert judged("function f(x) {\n  return x + 1;\n}\n") == (False, False, False)
+
+
+def test_p5_tune(spark):
+    rows = [("py", 80, 30.0, 0.2, x, 0.0, 0.0) for x in (0.1, 0.3, 0.7, 0.9)] + [("go", 80, 30.0, 0.2, 0.1, 0.0, 0.0), (None, 80, 30.0, 0.2, 0.6, 0.0, 0.0)]
+    stats = spark.createDataFrame(rows, "language string, longest int, mean_line double, space double, literal double, encoded double, numbered double")
+    got = {r.language: r for r in p5_handwritten.tune(stats).collect()}
+    assert got["py"].literal == 0.5 and got["go"].literal == 0.5 and got["go"].n_files == 1 and set(got) == {"py", "go"}

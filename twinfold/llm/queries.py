@@ -18,6 +18,8 @@ def queries() -> dict:
         "p5_found": p5_handwritten.p5_found,
         "p5_kinds": p5_handwritten.p5_kinds,
         "p5_statistics": p5_handwritten.p5_statistics,
+        "p5_ways": p5_handwritten.p5_ways,
+        "p5_thresholds": p5_handwritten.p5_thresholds,
         "p6_ids": p6_encode.p6_ids,
         "p6_unsplit": p6_encode.p6_unsplit,
         "p7_found": p7_leaks.p7_found,
