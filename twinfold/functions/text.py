@@ -20,23 +20,38 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[ \t\r\n\f]+", " "))
 
 
+#: A white-space character of any script, in the syntax that Java and RE2 share.
+WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Markdown syntax and what takes its place, in order: code, images and links (their text stays), inline code,
+#: headings, quotes, list marks, emphasis, table rules, cell borders. A line ends at a line feed only.
+MARKDOWN = (
+    (r"(?s)```.*?```", " "),
+    (r"!\[([^\]]*)\]\([^)]*\)", " $1 "),
+    (r"\[([^\]]*)\]\([^)]*\)", " $1 "),
+    (r"`[^`]*`", " "),
+    (rf"(?dm)^#{{1,6}}{WS}+", ""),
+    (rf"(?dm)^{WS}*>{WS}?", ""),
+    (rf"(?dm)^{WS}*(?:[-*+]|\p{{Nd}}+\.){WS}+", ""),
+    (r"\*\*|__|\*|_|~~", ""),
+    (r"(?dm)^[ \t|:-]*-[ \t|:-]*$", " "),
+    (r"\|", " "),
+)
+
+
 def normalize_text(c: Column, strip_markdown: bool = True) -> Column:
-    """Lower-case text without Markdown syntax, white space collapsed."""
+    """Lower-case text without Markdown syntax, widths folded, white space collapsed."""
     if strip_markdown:
-        for pattern, by in (
-            (r"(?s)```.*?```", " "),
-            (r"!\[[^\]]*\]\([^)]*\)", " "),
-            (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-            (r"`([^`]*)`", "$1"),
-            (r"(?m)^[ \t]{0,3}#{1,6}[ \t]*", ""),
-            (r"(?m)^[ \t]*>[ \t]?", ""),
-            (r"(?m)^[ \t]*(?:[-*+]|[0-9]+[.)])[ \t]+", ""),
-            (r"\*\*|__|\*|_", ""),
-            (r"(?m)^[ \t]*\|?[ \t:|-]*---[ \t:|-]*$", " "),
-            (r"\|", " "),
-        ):
+        for pattern, by in MARKDOWN:
             c = F.regexp_replace(c, pattern, by)
-    return squeeze(F.lower(fold_width(c)))
+    return F.trim(F.regexp_replace(F.lower(fold_width(c)), f"{WS}+", " "))
+
+
+def normalize_sql(c: str) -> str:
+    """The same in SQL for RE2."""
+    for pattern, by in MARKDOWN:
+        pattern, by = pattern.replace("(?dm)", "(?m)").replace("'", "''"), by.replace("$1", "\\1")
+        c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
+    return f"trim(regexp_replace(lower(translate({c}, '{_WIDE}', '{_ASCII.replace(chr(39), chr(39) * 2)}')), '{WS}+', ' ', 'g'), ' ')"
 
 
 def extract_code(c: Column) -> Column:
@@ -96,24 +111,36 @@ def numbered_lines(c: Column) -> Column:
     return F.filter(lines, lambda x: x["text"] != "")
 
 
-# Bare control keywords of block-structured languages (fixed values).
-_BARE = ("else", "do", "try", "finally", "begin", "end", "then", "fi", "done", "esac", "loop", "ensure", "rescue", "default:", "else:", "try:", "finally:", "return", "break", "continue", "pass", "break;", "continue;", "return;", "} else {", "else {", "try {", "do {", "} finally {")
+# Lines that say nothing by themselves (fixed values).
+_BARE = ("return", "break", "continue", "else", "else {", "};", "})", "});")
 
 
 def is_trivial_line(c: Column) -> Column:
-    """Blank, only delimiters, or a bare control keyword."""
-    t = F.trim(c)
-    return t.rlike(r"^[\s{}()\[\];,.:]*$") | t.isin(*_BARE)
+    """Blank, only delimiters, or a bare control keyword; of a trimmed line."""
+    return c.rlike(r"^[{}()\[\];, \t]*\z") | c.isin(*_BARE)
+
+
+def is_trivial_sql(c: str) -> str:
+    return f"(regexp_full_match({c}, '[{{}}()\\[\\];, \\t]*') OR {c} IN ({', '.join(chr(39) + b + chr(39) for b in _BARE)}))"
+
+
+# Where tests and where generated and foreign files lie, by common conventions (fixed values, of the path in lower case).
+TEST_PATH = r"/(?:tests?|__tests__|spec)/|^tests?/|_test\.go$|conftest\.py$|[_.]test\.|[_.]spec\.|(?:^|/)test_[^/]*$"
+FOREIGN_PATH = r"vendor/|third[_-]party/|/deps/|node_modules/|/dist/|/build/|\.min\.|\.pb\.|_pb2|\.g\.dart|\.d\.ts|generated/|/gen/|\.generated\."
 
 
 def is_test_path(path: Column) -> Column:
-    p = F.lower(path)
-    return p.rlike(r"(^|/)(tests?|__tests__|spec|specs|testing|testdata|fixtures?)/") | p.rlike(r"(^|/)(test_[^/]*|[^/]*(_test|_spec|\.test|\.spec)\.[a-z]+)$")
+    return F.lower(path).rlike(TEST_PATH)
+
+
+def is_test_site(path: Column, name: Column) -> Column:
+    """A test by its path or by the name of the unit."""
+    return is_test_path(path) | F.coalesce(name.startswith("Test") | name.startswith("test_"), F.lit(False))
 
 
 def is_generated_path(path: Column) -> Column:
-    p = F.lower(path)
-    return p.rlike(r"(^|/)(generated|gen|autogen|__generated__)/") | p.rlike(r"(\.generated\.|\.gen\.|_pb2\.py$|\.pb\.go$|\.min\.(js|css)$)")
+    """Vendored, generated and other files that are not the maintainer's to merge."""
+    return F.lower(path).rlike(FOREIGN_PATH)
 
 
 def is_dependency_path(path: Column) -> Column:

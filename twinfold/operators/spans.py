@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scale import cut, cut_counted
+
 BLOCK = 256
 
 
@@ -41,12 +43,17 @@ def divergence(rows: DataFrame, changed: DataFrame) -> DataFrame:
 
 def overlapping(rows: DataFrame, least: int = 2) -> DataFrame:
     """(a, b, shared_members): families of which at least `least` members on either
-    side overlap one of the other by half of the shorter span or more."""
-    m = members(rows).filter("file IS NOT NULL").select("family_id", "file", "start", "end").distinct()
-    j = overlap_join(m.withColumnRenamed("family_id", "a"), m.withColumnRenamed("family_id", "b")).filter("a < b")
+    side overlap one of the other by half of the shorter span or more. Members are
+    matched one to one, in their order, each with the first that is still free."""
+    m = members(rows).filter("file IS NOT NULL")
+    j = overlap_join(m.withColumnRenamed("family_id", "a"), m.withColumnsRenamed({"family_id": "b", "i": "k"})).filter("a < b")
     j = j.filter(2 * (F.least("end", "r_end") - F.greatest("start", "r_start") + 1) >= F.least(F.col("end") - F.col("start"), F.col("r_end") - F.col("r_start")) + 1)
-    n = F.least(F.count_distinct("file", "start", "end"), F.count_distinct("file", "r_start", "r_end"))
-    return j.groupBy("a", "b").agg(n.alias("shared_members")).filter(F.col("shared_members") >= least)
+    g = j.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("i", "k"))).alias("m"), F.count_distinct("i").alias("ni"), F.count_distinct("k").alias("nk")).filter((F.col("ni") >= least) & (F.col("nk") >= least))
+    none = F.expr("cast(array() as array<int>)")
+    free = lambda s, x: ~F.array_contains(s["i"], x["i"]) & ~F.array_contains(s["k"], x["k"])
+    take = lambda s, x: F.struct(F.concat(s["i"], F.array(x["i"])).alias("i"), F.concat(s["k"], F.array(x["k"])).alias("k"))
+    n = F.aggregate("m", F.struct(none.alias("i"), none.alias("k")), lambda s, x: F.when(free(s, x), take(s, x)).otherwise(s), lambda s: F.size(s["i"]))
+    return g.select("a", "b", n.alias("shared_members")).filter(F.col("shared_members") >= least)
 
 
 def without_overlaps(rows: DataFrame, share: float = 0.5) -> DataFrame:
@@ -67,19 +74,36 @@ def enclosing(inner: DataFrame, outer: DataFrame) -> DataFrame:
     return j.groupBy("id").agg(best.alias("b")).select("id", F.col("b.outer").alias("outer"))
 
 
-def subsumed(rows: DataFrame, share: float = 0.6) -> DataFrame:
-    """(family_id, by): families of which every member overlaps a member of one
-    family before it by `share` of its own lines or more. Before means more lines in
-    all, then more value, then the smaller id; of several the first counts."""
+def covers(rows: DataFrame, share: float = 0.6) -> DataFrame:
+    """(by, family_id, o): pairs in which every member of `family_id` overlaps a
+    member of `by`, a family before it, by `share` of its own lines or more. Before
+    means more lines in all, then more value, then the smaller first place; `o` is
+    the place of `by` in that order."""
     total = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    r = rows.select("family_id", "members", "value", total.alias("total"))
-    m = r.select("family_id", "value", "total", F.posexplode("members").alias("i", "m")).select("family_id", "value", "total", "i", F.col("m.path").alias("file"), F.col("m.start_line").alias("start"), F.col("m.end_line").alias("end"))
-    inner = m.withColumnsRenamed({"family_id": "a", "value": "a_value", "total": "a_total"})
-    outer = m.drop("i").withColumnsRenamed({"family_id": "b", "value": "b_value", "total": "b_total"}).distinct()
-    j = overlap_join(inner.filter("file IS NOT NULL"), outer.filter("file IS NOT NULL")).filter("a <> b")
+    place = F.array_min(F.expr("transform(members, m -> struct(m.path AS p, m.start_line AS s, m.end_line AS e))"))
+    r = rows.select("family_id", "members", F.struct((-total).alias("t"), (-F.coalesce("value", F.lit(0.0))).alias("v"), place.alias("p"), "family_id").alias("o"))
+    m = r.select("family_id", "o", F.posexplode("members").alias("i", "m")).select("family_id", "o", "i", F.col("m.path").alias("file"), F.col("m.start_line").alias("start"), F.col("m.end_line").alias("end")).filter("file IS NOT NULL")
+    outer = m.drop("i").withColumnsRenamed({"family_id": "by", "o": "by_o"}).distinct()
+    j = overlap_join(m, outer).filter((F.col("by") != F.col("family_id")) & (F.col("by_o") < F.col("o")))
     j = j.filter((F.least("end", "r_end") - F.greatest("start", "r_start") + 1) >= share * (F.col("end") - F.col("start") + 1) - 1e-9)
-    before = (F.col("b_total") > F.col("a_total")) | ((F.col("b_total") == F.col("a_total")) & ((F.col("b_value") > F.col("a_value")) | ((F.col("b_value") == F.col("a_value")) & (F.col("b") < F.col("a")))))
-    g = j.filter(before).groupBy("a", "b").agg(F.count_distinct("i").alias("covered"), F.first("b_total").alias("t"), F.first("b_value").alias("v"))
-    n = r.select(F.col("family_id").alias("a"), F.size("members").alias("n"))
-    all_in = g.join(n, "a").filter("covered = n")
-    return all_in.groupBy("a").agg(F.min(F.struct((-F.col("t")).alias("t"), (-F.col("v")).alias("v"), "b")).alias("m")).select(F.col("a").alias("family_id"), F.col("m.b").alias("by"))
+    g = j.groupBy("by", "family_id", "by_o").agg(F.count_distinct("i").alias("covered"))
+    return g.join(r.select("family_id", F.size("members").alias("n")), "family_id").filter("covered = n").select("by", "family_id", F.col("by_o").alias("o"))
+
+
+def subsumed(rows: DataFrame, share: float = 0.6) -> DataFrame:
+    """(family_id, by): families that one before them covers which is itself kept;
+    of several the first counts. A family that only dropped ones cover is kept.
+
+    Settled in rounds over the pairs: what no open family covers is kept, what a kept
+    one covers is dropped; every round settles at least the first open family of
+    every chain of covers, and chains are short."""
+    pairs, state = cut_counted(covers(rows, share))
+    gone = pairs.limit(0)
+    while state["n"]:
+        kept = pairs.select("by").distinct().join(pairs.select(F.col("family_id").alias("by")).distinct(), "by", "left_anti")
+        hit = cut(pairs.join(kept, "by", "left_semi"))
+        dropped = hit.select("family_id").distinct()
+        gone = gone.unionByName(hit)
+        left = pairs.join(dropped, "family_id", "left_anti").join(dropped.withColumnRenamed("family_id", "by"), "by", "left_anti")
+        pairs, state = cut_counted(left)
+    return gone.groupBy("family_id").agg(F.min(F.struct("o", "by")).alias("m")).select("family_id", F.col("m.by").alias("by"))

@@ -10,27 +10,31 @@ from pyspark.sql import functions as F
 from ..functions.text import glob_regex
 
 
+def places(families: DataFrame) -> DataFrame:
+    """(family_id, place, digest): members by where they are, and by that with what
+    is known of their content (kind and heading)."""
+    m = families.filter("family_id IS NOT NULL").select("family_id", F.explode("members").alias("m")).filter("m.path IS NOT NULL")
+    place = F.concat_ws("|", "m.path", "m.start_line", "m.end_line")
+    return m.select("family_id", F.md5(place).alias("place"), F.md5(F.concat_ws("|", place, "m.kind", F.coalesce("m.heading", F.lit("")))).alias("digest")).distinct()
+
+
 def snapshots(families: DataFrame, before: str) -> tuple[DataFrame, DataFrame]:
-    """(baseline, current): the families reported before a day, and those from
-    half a year before it on. Members are keyed by path and digested with span."""
-    one = families.filter("family_id IS NOT NULL").select("family_id", "reported_at", "members").distinct()
-    m = one.select("family_id", "reported_at", F.explode("members").alias("m"))
-    m = m.select("family_id", "reported_at", F.col("m.path").alias("path"), F.md5(F.concat_ws("|", "m.path", "m.start_line", "m.end_line")).alias("digest")).filter("path IS NOT NULL").distinct()
+    """(baseline, current): the families reported before a day, and those from it on."""
     day = F.lit(before).cast("timestamp_ntz")
-    return m.filter(F.col("reported_at") < day), m.filter(F.col("reported_at") >= F.date_sub(day.cast("date"), 182).cast("timestamp_ntz"))
+    return places(families.filter(F.col("reported_at") < day)), places(families.filter(F.col("reported_at") >= day))
 
 
 def status(base: DataFrame, now: DataFrame) -> DataFrame:
-    """(family_id, status) of (family_id, path, digest) tables: unchanged if every
-    member's digest is in the baseline, changed if some member's digest or path is,
-    new if none; resolved for baseline families no member of which is left."""
+    """(family_id, status) of (family_id, place, digest) tables: unchanged if every
+    member's digest is in the baseline, changed if some member's digest or place is,
+    new if none; resolved for baseline families of which no member is met again."""
     known = base.select("digest").distinct().withColumn("d", F.lit(True))
-    paths = base.select("path").distinct().withColumn("p", F.lit(True))
-    j = now.join(known, "digest", "left").join(paths, "path", "left")
+    spots = base.select("place").distinct().withColumn("p", F.lit(True))
+    j = now.join(known, "digest", "left").join(spots, "place", "left")
     g = j.groupBy("family_id").agg(F.count(F.lit(1)).alias("n"), F.count("d").alias("same"), F.count("p").alias("near"))
     s = g.select("family_id", F.when(F.col("same") == F.col("n"), "unchanged").when(F.col("same") + F.col("near") > 0, "changed").otherwise("new").alias("status"))
-    left = base.join(now.select("digest").distinct(), "digest", "left_semi").select("family_id").distinct()
-    gone = base.select("family_id").distinct().join(left, "family_id", "left_anti").join(now.select("family_id").distinct(), "family_id", "left_anti")
+    met = base.join(now.select("place").distinct(), "place", "left_semi").select("family_id").distinct()
+    gone = base.select("family_id").distinct().join(met, "family_id", "left_anti").join(now.select("family_id").distinct(), "family_id", "left_anti")
     return s.unionByName(gone.withColumn("status", F.lit("resolved")))
 
 
@@ -67,11 +71,11 @@ def without_ignored(rows: DataFrame, entries: list[dict], today: str) -> DataFra
     return rows.filter(~reduce(lambda a, b: a | b, tests)) if tests else rows
 
 
-STATUS_SQL = """
-WITH one AS (SELECT DISTINCT family_id, reported_at, members FROM families WHERE family_id IS NOT NULL),
-m AS (SELECT DISTINCT family_id, reported_at, m.path AS path, md5(concat_ws('|', m.path, m.start_line, m.end_line)) AS digest FROM (SELECT family_id, reported_at, unnest(members) AS m FROM one) WHERE m.path IS NOT NULL),
-base AS (SELECT * FROM m WHERE reported_at < TIMESTAMP '2024-07-01'), now_ AS (SELECT * FROM m WHERE reported_at >= TIMESTAMP '2024-01-01'),
-g AS (SELECT n.family_id, count(*) AS n, count(*) FILTER (digest IN (SELECT digest FROM base)) AS same, count(*) FILTER (path IN (SELECT path FROM base)) AS near FROM now_ n GROUP BY n.family_id),
-lft AS (SELECT DISTINCT family_id FROM base WHERE digest IN (SELECT digest FROM now_))
+_PLACES_SQL = """SELECT DISTINCT family_id, md5(concat_ws('|', m.path, m.start_line, m.end_line)) AS place, md5(concat_ws('|', m.path, m.start_line, m.end_line, m.kind, coalesce(m.heading, ''))) AS digest
+  FROM (SELECT family_id, unnest(members) AS m FROM families WHERE family_id IS NOT NULL AND {}) WHERE m.path IS NOT NULL"""
+STATUS_SQL = f"""
+WITH base AS ({_PLACES_SQL.format("reported_at < TIMESTAMP '2024-07-01'")}), now_ AS ({_PLACES_SQL.format("reported_at >= TIMESTAMP '2024-07-01'")}),
+g AS (SELECT n.family_id, count(*) AS n, count(*) FILTER (digest IN (SELECT digest FROM base)) AS same, count(*) FILTER (place IN (SELECT place FROM base)) AS near FROM now_ n GROUP BY n.family_id),
+met AS (SELECT DISTINCT family_id FROM base WHERE place IN (SELECT place FROM now_))
 SELECT family_id, CASE WHEN same = n THEN 'unchanged' WHEN same + near > 0 THEN 'changed' ELSE 'new' END AS status FROM g
-UNION ALL SELECT DISTINCT family_id, 'resolved' FROM base WHERE family_id NOT IN (SELECT family_id FROM lft) AND family_id NOT IN (SELECT family_id FROM now_)"""
+UNION ALL SELECT DISTINCT family_id, 'resolved' FROM base WHERE family_id NOT IN (SELECT family_id FROM met) AND family_id NOT IN (SELECT family_id FROM now_)"""

@@ -54,7 +54,7 @@ def code_line_idf(spark, d):
     """Files that hold a significant line, per language."""
     lines = F.array_distinct(F.filter(F.transform(F.split("src", "\n"), lambda x: F.trim(x)), lambda x: ~T.is_trivial_line(x)))
     x = files(spark, d).select(T.language_of(F.col("path")).alias("language"), F.explode(lines).alias("line"))
-    return x.groupBy("language", "line").agg(F.count(F.lit(1)).alias("df")).filter("df >= 3")
+    return x.groupBy("language", "line").agg(F.count(F.lit(1)).alias("df"))
 
 
 def code_py_units(spark, d):
@@ -171,12 +171,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _LANG = "CASE regexp_extract(lower(path), '\\.([a-z0-9]+)$', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGES.items()) + " END"
-_TEST = r"(regexp_matches(lower(path), '(^|/)(tests?|__tests__|spec|specs|testing|testdata|fixtures?)/') OR regexp_matches(lower(path), '(^|/)(test_[^/]*|[^/]*(_test|_spec|\.test|\.spec)\.[a-z]+)$'))"
-_BARE = ", ".join("'" + b + "'" for b in T._BARE)
-
-
-def _trivial(c: str) -> str:
-    return rf"(regexp_full_match({c}, '[\s{{}}()\[\];,.:]*') OR {c} IN ({_BARE}))"
+_TEST = f"regexp_matches(lower(path), '{T.TEST_PATH}')"
 
 
 _GRADED = """WITH fr AS (SELECT * FROM families WHERE family_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY family_id ORDER BY loaded_at DESC NULLS LAST, reported_at DESC NULLS LAST) = 1),
@@ -186,16 +181,16 @@ v AS (SELECT score, sum(good::INT) AS g, sum((NOT good)::INT) AS b FROM s GROUP
 c AS (SELECT *, sum(g) OVER (ORDER BY score DESC) AS cg, sum(b) OVER (ORDER BY score DESC) AS cb FROM v)"""
 SQL = {
     "code_languages": f"SELECT {_LANG} AS language, count(*) AS files, sum(n_bytes)::BIGINT AS bytes, sum(len(string_split(src, chr(10))))::BIGINT AS lines FROM source_files GROUP BY 1",
-    "code_paths": rf"SELECT file_id, {_TEST} AS test, regexp_matches(lower(path), '(^|/)(generated|gen|autogen|__generated__)/') OR regexp_matches(lower(path), '(\.generated\.|\.gen\.|_pb2\.py$|\.pb\.go$|\.min\.(js|css)$)') AS generated, regexp_matches(lower(path), '(^|/)(node_modules|vendor|third_party|external|bower_components|site-packages|dist|build)/') AS dependency, regexp_extract(path, '^(.*)/[^/]*$', 1) AS module FROM source_files",
+    "code_paths": rf"SELECT file_id, {_TEST} AS test, regexp_matches(lower(path), '{T.FOREIGN_PATH}') AS generated, regexp_matches(lower(path), '(^|/)(node_modules|vendor|third_party|external|bower_components|site-packages|dist|build)/') AS dependency, regexp_extract(path, '^(.*)/[^/]*$', 1) AS module FROM source_files",
     "code_excluded": r"SELECT file_id FROM source_files WHERE NOT regexp_full_match(path, '(.*/)?vendor/.*') AND NOT regexp_full_match(path, '(.*/)?[^/]*\.min\.js') AND NOT path LIKE 'gen/%'",
     "code_latest": "SELECT repo, path, arg_max(file_id, (scanned_at, file_id)) AS file_id FROM source_files GROUP BY repo, path",
-    "code_runs": rf"""WITH l AS (SELECT file_id AS file, {_LANG} AS lang, list_filter(list_transform(string_split(src, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'), ' ')), lambda y: NOT {_trivial('y')}) AS l FROM source_files),
+    "code_runs": rf"""WITH l AS (SELECT file_id AS file, {_LANG} AS lang, list_filter(list_transform(string_split(src, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'), ' ')), lambda y: NOT {T.is_trivial_sql('y')}) AS l FROM source_files),
 w AS (SELECT file, lang, i - 1 AS pos, md5(array_to_string(l[i : i + 4], chr(10))) AS g FROM (SELECT file, lang, l, unnest(range(1, len(l) - 3)) AS i FROM l WHERE len(l) >= 5)),
 f AS (SELECT lang, g, min((file, pos)) AS f FROM w GROUP BY lang, g HAVING count(*) > 1),
 j AS (SELECT f[1] AS a, file AS b, f[2] AS a_pos, pos AS b_pos, f[2] - pos AS d FROM w JOIN f ON w.g = f.g AND w.lang IS NOT DISTINCT FROM f.lang WHERE f[1] <> file),
 i AS (SELECT *, b_pos - row_number() OVER (PARTITION BY a, b, d ORDER BY b_pos) AS i FROM j)
 SELECT a, b, min(a_pos) AS a_pos, min(b_pos) AS b_pos, count(*) + 4 AS lines FROM i GROUP BY a, b, d, i HAVING count(*) + 4 >= 6""",
-    "code_line_idf": rf"SELECT language, line, count(*) AS df FROM (SELECT DISTINCT file_id, {_LANG} AS language, trim(unnest(string_split(src, chr(10))), ' ') AS line FROM source_files) WHERE NOT {_trivial('line')} GROUP BY ALL HAVING count(*) >= 3",
+    "code_line_idf": rf"SELECT language, line, count(*) AS df FROM (SELECT DISTINCT file_id, {_LANG} AS language, trim(unnest(string_split(src, chr(10))), ' ') AS line FROM source_files) WHERE NOT {T.is_trivial_sql('line')} GROUP BY ALL",
     "code_enclosing": """WITH i AS (SELECT DISTINCT witness_id AS id, a_path AS file, a_start AS s, a_end AS e FROM witness_refs WHERE a_path IS NOT NULL AND a_end >= a_start)
 SELECT id, min((end_line - start_line, start_line, unit_id))[3] AS outer FROM i JOIN md_units u ON u.path = i.file AND u.start_line <= s AND e <= u.end_line GROUP BY id""",
     "eval_ranking": f"{_GRADED} SELECT round(sum(b * (cg - g / 2.0)) / (sum(g) * sum(b)), 6) AS auc, round(sum(g * cg::DOUBLE / (cg + cb)) / sum(g), 6) AS average_precision, sum(g)::BIGINT AS positives, sum(b)::BIGINT AS negatives FROM c",

@@ -105,7 +105,7 @@ def md_winnow_candidates(spark, d):
 
 def md_idf(spark, d):
     _, sets = sets_of(spark, d)
-    return S.idf_table(sets).filter("df >= 3").select("g", "df", F.round("idf", 6).alias("idf"))
+    return S.idf_table(sets).select("g", "df", F.round("idf", 6).alias("idf"))
 
 
 def accepted(spark, d):
@@ -209,7 +209,6 @@ lab AS (SELECT v, min(r) AS label FROM reach GROUP BY v)"""
 _LINES = r"""
 x AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
 ln AS (SELECT DISTINCT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t\r]+', ' ', 'g'), ' ') AS line FROM x)"""
-_BARE_SQL = ", ".join("'" + b + "'" for b in T._BARE)
 
 SQL = {
     "md_words": f"SELECT doc_id, len(w)::INT AS n_words, len(list_distinct(w))::INT AS n_distinct FROM (SELECT doc_id, regexp_extract_all({_NORM}, '{_WORD}') AS w FROM documents WHERE text IS NOT NULL)",
@@ -231,12 +230,12 @@ fp AS (SELECT DISTINCT class_id, unnest(CASE WHEN len(h) < 4 THEN [list_min(h)]
 df AS (SELECT f FROM fp GROUP BY f HAVING count(*) BETWEEN 2 AND (SELECT least(greatest(8, count(*) // 25), 40) FROM reps)),
 r AS (SELECT class_id, f FROM fp JOIN df USING (f))
 SELECT x.class_id AS a, y.class_id AS b, count(*) AS shared FROM r x JOIN r y ON x.f = y.f AND x.class_id < y.class_id GROUP BY ALL HAVING count(*) >= 3""",
-    "md_idf": f"WITH {_SETS}, nn AS (SELECT count(*) AS n FROM sz) SELECT g, count(*) AS df, round(ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM gr, nn GROUP BY g, n HAVING count(*) >= 3",
+    "md_idf": f"WITH {_SETS}, nn AS (SELECT count(*) AS n FROM sz) SELECT g, count(*) AS df, round(ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM gr, nn GROUP BY g, n",
     "md_accept_pairs": f"WITH {_ACC} SELECT a, b, shared, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment, round(cosine, 6) AS cosine, round(commonness, 6) AS commonness, round(score, 6) AS score FROM ok",
     "md_components": f"WITH RECURSIVE {_COMP} SELECT id AS doc_id, coalesce(label, class_id) AS component FROM cls LEFT JOIN lab ON v = class_id",
     "md_families": f"WITH RECURSIVE {_COMP}, {PF.FAMILIES_SQL}",
     "md_line_idf": f"""WITH {_LINES}, nn AS (SELECT count(*) AS n FROM x),
-df AS (SELECT line, count(*) AS df, any_value(n) AS n FROM ln, nn WHERE line <> '' AND NOT regexp_full_match(line, '[\\s{{}}()\\[\\];,.:]*') AND line NOT IN ({_BARE_SQL}) GROUP BY line)
+df AS (SELECT line, count(*) AS df, any_value(n) AS n FROM ln, nn WHERE NOT {T.is_trivial_sql('line')} GROUP BY line)
 SELECT line, df, round(CASE WHEN n <= 1 THEN 1.0 ELSE greatest(0.0, least(1.0, (0.60 - df::DOUBLE / n) / 0.35)) END, 6) AS weight FROM df""",
     "md_language_share": "SELECT source, lower(coalesce(lang, '?')) AS lang, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY source), 6) AS share FROM documents GROUP BY source, lower(coalesce(lang, '?'))",
 }
