@@ -209,6 +209,55 @@ def cosine_pairs(pairs: DataFrame, sets: DataFrame, idf: DataFrame) -> DataFrame
     return j.select("a", "b", (F.col("dot") / (F.col("x") * F.col("y"))).alias("cosine"), "commonness")
 
 
+def weighted(sets: DataFrame) -> tuple[DataFrame, int]:
+    """((class_id, size, grams, dfs, norm), n): the sets with how many of all `n`
+    hold each element, and the length of the tf-idf vector. A set with `copies`
+    counts so many times."""
+    copies = F.col("copies") if "copies" in sets.columns else F.lit(1).cast("bigint")
+    df = sets.select(copies.alias("c"), F.explode("grams").alias("g")).groupBy("g").agg(F.sum("c").alias("df")).filter("df > 1")
+    n = sets.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
+    long = lookup(sets.select("class_id", F.explode("grams").alias("g")), df, "g", "left").select("class_id", "g", F.coalesce("df", F.lit(1)).cast("int").alias("df"))
+    weight = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    g = long.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("g", "df"))).alias("x"), F.sqrt(F.sum(weight * weight)).alias("norm"))
+    return g.select("class_id", F.size("x").alias("size"), F.col("x.g").alias("grams"), F.col("x.df").alias("dfs"), "norm"), n
+
+
+def pair_stats(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """(a, b, shared, jaccard, containment, cosine, commonness, small_in_large) of
+    pairs of `weighted` sets, of which there are `n`: all figures in one pass over the
+    two arrays. commonness is the mean share of the sets that hold a shared element."""
+    side = lambda k: sets.select(F.col("class_id").alias(k), F.col("grams").alias(f"g{k}"), F.col("norm").alias(f"l{k}"))
+    j = pairs.select("a", "b").join(side("a"), "a").join(side("b").join(sets.select(F.col("class_id").alias("b"), F.col("dfs").alias("db")), "b"), "b").select("a", "b", "ga", "la", "gb", "lb", "db")
+    kinds = dict(pairs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            figures = np.zeros((m, 4))
+            counts = np.zeros(m, np.int32)
+            cols = [batch.column(k) for k in (2, 4, 6)]
+            flat = [c.values.to_numpy(zero_copy_only=False) for c in cols]
+            offs = [c.offsets.to_numpy() for c in cols]
+            la, lb = batch.column(3).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False)
+            small = np.zeros(m, bool)
+            for i in range(m):
+                x, y, d = (f[o[i] : o[i + 1]] for f, o in zip(flat, offs))
+                at = np.searchsorted(x, y)
+                hit = np.zeros(len(y), bool)
+                ok = at < len(x)
+                hit[ok] = x[at[ok]] == y[ok]
+                df = d[hit].astype(float)
+                k = len(df)
+                counts[i] = k
+                w = np.log((n - df + 0.5) / (df + 0.5) + 1)
+                least = min(len(x), len(y))
+                figures[i] = (k / (len(x) + len(y) - k), k / least, float((w * w).sum()) / (la[i] * lb[i]) if la[i] * lb[i] else 0.0, float(df.mean()) / n if k else 0.0)
+                small[i] = 2 * least < max(len(x), len(y)) and figures[i, 1] >= 0.8 and figures[i, 1] > figures[i, 2]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), *(pa.array(figures[:, k]) for k in range(4)), pa.array(small)], names=["a", "b", "shared", "jaccard", "containment", "cosine", "commonness", "small_in_large"])
+
+    return j.mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}, shared int, jaccard double, containment double, cosine double, commonness double, small_in_large boolean")
+
+
 def accept(cosine: Column, containment: Column, shared: Column, least_score: float = 0.5, least_shared: int = 24) -> tuple[Column, Column]:
     """(score, whether the pair is accepted): containment counts where it is high
     and above the cosine."""
@@ -216,6 +265,35 @@ def accept(cosine: Column, containment: Column, shared: Column, least_score: flo
     return score, (score >= least_score) & (shared >= least_shared)
 
 
+def with_block(pairs: DataFrame, texts: DataFrame, least_lines: int = 2) -> DataFrame:
+    """`pairs` without those of a small text in a large one that have no block of
+    equal lines in common: words alone may be contained by chance. `texts` has
+    (class_id, lines), the normalised lines that are not blank; only the texts of
+    such pairs are joined."""
+    from .align import line_witness
+
+    small = pairs.filter("small_in_large")
+    side = lambda k: texts.select(F.col("class_id").alias(k), F.array_join("lines", "\n").alias(f"{k}_text"))
+    seen = line_witness(small.select("a", "b").join(side("a"), "a").join(side("b"), "b")).filter(F.col("matched") >= least_lines).select("a", "b")
+    return pairs.filter("NOT small_in_large").unionByName(small.join(seen, ["a", "b"], "left_semi"))
+
+
+def char_sets(reps: DataFrame) -> DataFrame:
+    """(class_id, size, grams): sorted hashes of the distinct grams of 3 or 5
+    characters, by the script of the text, of (class_id, norm)."""
+    n3, n5 = T.char_ngrams(F.col("norm"), 3), T.char_ngrams(F.col("norm"), 5)
+    grams = F.when(T.gram_size(F.col("norm")) == 3, n3).otherwise(n5)
+    hashed = F.array_sort(F.array_distinct(F.transform(grams, hash60)))
+    return cut(reps.select("class_id", hashed.alias("grams"))).withColumn("size", F.size("grams")).filter("size > 0")
+
+
+def candidates(sets: DataFrame, fps: DataFrame, stop_df: int, least: int = 3) -> DataFrame:
+    """(a, b) distinct: pairs of a MinHash band, and pairs that share `least`
+    winnowing fingerprints of (class_id, fps) held by at most `stop_df` texts."""
+    near = bucket_pairs(bands(signatures(sets)), ["band", "key"], "class_id")
+    return near.unionByName(shared_rare(fps, "fps", least, stop_df).select("a", "b")).distinct()
+
+
 def accept_candidates(sets: DataFrame, idf: DataFrame, least_score: float = 0.5, contained: float = 0.8, least_shared: int = 24) -> DataFrame:
     """(a, b) with a < b, distinct: every pair that `accept` can take, by either rule.
 

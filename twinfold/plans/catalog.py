@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import code, families, prose
+from . import code, families, prose, sections
 
-_MODULES = (prose, families, code)
+_MODULES = (prose, sections, families, code)
 
 
 def queries() -> dict:

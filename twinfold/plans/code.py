@@ -182,6 +182,8 @@ c AS (SELECT *, sum(g) OVER (ORDER BY score DESC) AS cg, sum(b) OVER (ORDER BY s
 SQL = {
     "code_languages": f"SELECT {_LANG} AS language, count(*) AS files, sum(n_bytes)::BIGINT AS bytes, sum(len(string_split(src, chr(10))))::BIGINT AS lines FROM source_files GROUP BY 1",
     "code_paths": rf"SELECT file_id, {_TEST} AS test, regexp_matches(lower(path), '{T.FOREIGN_PATH}') AS generated, regexp_matches(lower(path), '(^|/)(node_modules|vendor|third_party|external|bower_components|site-packages|dist|build)/') AS dependency, regexp_extract(path, '^(.*)/[^/]*$', 1) AS module FROM source_files",
+    "code_declarations": r"""WITH l AS (SELECT file_id, list_filter(list_transform(string_split(src, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM source_files)
+SELECT file_id, CASE WHEN len(l) > 0 THEN round(len(list_filter(l, lambda x: regexp_matches(x, '^(import |from |#include|use |pub use |require|package |using |export \* from|export \{)')))::DOUBLE / len(l), 6) WHEN l IS NOT NULL THEN 0.0 END AS share FROM l""",
     "code_excluded": r"SELECT file_id FROM source_files WHERE NOT regexp_full_match(path, '(.*/)?vendor/.*') AND NOT regexp_full_match(path, '(.*/)?[^/]*\.min\.js') AND NOT path LIKE 'gen/%'",
     "code_latest": "SELECT repo, path, arg_max(file_id, (scanned_at, file_id)) AS file_id FROM source_files GROUP BY repo, path",
     "code_runs": rf"""WITH l AS (SELECT file_id AS file, {_LANG} AS lang, list_filter(list_transform(string_split(src, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'), ' ')), lambda y: NOT {T.is_trivial_sql('y')}) AS l FROM source_files),

@@ -44,8 +44,10 @@ def md_ngrams(spark, d):
 
 
 def md_units(spark, d):
-    """Heading-rooted sections, a preamble, or one unit for a text without headings."""
-    return PF.units(docs(spark, d), "doc_id", "text").filter("n_words >= 8")
+    """Heading-rooted sections, what stands before the first heading, or one unit for
+    a text without headings; of eight words at least."""
+    u = PF.units(spread(docs(spark, d)), "doc_id", "text")
+    return u.select("doc_id", "unit_no", "kind", "heading", "start_line", "end_line", "n_words", F.md5("norm").alias("norm_md5"))
 
 
 def md_code(spark, d):
@@ -108,16 +110,21 @@ def md_idf(spark, d):
     return S.idf_table(sets).select("g", "df", F.round("idf", 6).alias("idf"))
 
 
+def lines_of(spark, d):
+    """(class_id, lines): the normalised lines of the documents that are not blank."""
+    return docs(spark, d).filter("text IS NOT NULL").select(F.col("doc_id").alias("class_id"), F.filter(F.transform(F.split("text", "\n"), lambda x: T.normalize_text(x)), lambda x: x != "").alias("lines"))
+
+
 def accepted(spark, d):
     """(cls, sets, pairs with score, cosine, containment, shared, jaccard, commonness):
     all accepted pairs of the corpus, not only those that share a MinHash band."""
     cls, sets = sets_of(spark, d)
     idf = cut(S.idf_table(sets).filter("df > 1"))
     cand = cut(S.accept_candidates(sets, idf))
-    cos = S.cosine_pairs(cand, sets, idf)
-    j = S.score_pairs(cand, sets).join(cos, ["a", "b"])
+    j = S.pair_stats(cand, *S.weighted(sets))
     score, ok = S.accept(F.col("cosine"), F.col("containment"), F.col("shared"))
-    return cls, sets, cut(j.filter(ok).withColumn("score", score))
+    p = cut(j.filter(ok).withColumn("score", score))
+    return cls, sets, cut(S.with_block(p, lines_of(spark, d)))
 
 
 def md_accept_pairs(spark, d):
@@ -193,7 +200,8 @@ cand AS (
   SELECT x.class_id AS a, y.class_id AS b FROM bk x JOIN bk y USING (band, key) JOIN bs USING (band, key) WHERE n <= {S.BUCKET} AND x.class_id < y.class_id
   UNION SELECT first, class_id FROM bk JOIN bs USING (band, key) WHERE n > {S.BUCKET} AND class_id > first
   UNION SELECT p, class_id FROM (SELECT class_id, lag(class_id) OVER (PARTITION BY band, key ORDER BY class_id) AS p FROM bk JOIN bs USING (band, key) WHERE n > {S.BUCKET}) WHERE p IS NOT NULL)"""
-_ACC = f"""{_LSH},
+_ACC = f"""{_SETS},
+cand AS (SELECT x.class_id AS a, y.class_id AS b FROM gr x JOIN gr y ON x.g = y.g AND x.class_id < y.class_id GROUP BY ALL HAVING count(*) >= 24),
 nn AS (SELECT count(*) AS n FROM sz),
 idf AS (SELECT g, count(*) AS df, n, ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM gr, nn GROUP BY g, n),
 nrm AS (SELECT class_id, sqrt(sum(idf * idf)) AS l FROM gr JOIN idf USING (g) GROUP BY class_id),
@@ -201,7 +209,10 @@ dots AS (SELECT a, b, count(*) AS shared, sum(idf * idf) AS dot, avg(df::DOUBLE
 sc AS (SELECT a, b, shared, shared::DOUBLE / (p.size + q.size - shared) AS jaccard, shared::DOUBLE / least(p.size, q.size) AS containment, dot / (u.l * v.l) AS cosine, commonness
        FROM dots JOIN sz p ON p.class_id = a JOIN sz q ON q.class_id = b JOIN nrm u ON u.class_id = a JOIN nrm v ON v.class_id = b),
 acc AS (SELECT *, CASE WHEN containment >= 0.8 AND containment > cosine THEN containment ELSE cosine END AS score FROM sc),
-ok AS (SELECT * FROM acc WHERE score >= 0.5 AND shared >= 24)"""
+lna AS (SELECT doc_id AS class_id, list_filter(list_transform(string_split(text, chr(10)), lambda t: {T.normalize_sql('t')}), lambda t: t <> '') AS l FROM documents WHERE text IS NOT NULL),
+{PF.BLOCKS_SQL},
+ok AS (SELECT acc.* FROM acc JOIN sz p ON p.class_id = a JOIN sz q ON q.class_id = b WHERE score >= 0.5 AND shared >= 24
+       AND (NOT (2 * least(p.size, q.size) < greatest(p.size, q.size) AND containment >= 0.8 AND containment > cosine) OR (a, b) IN (SELECT (a, b) FROM near2)))"""
 _COMP = f"""{_ACC},
 e AS (SELECT a, b FROM ok WHERE score >= 0.7 UNION SELECT b, a FROM ok WHERE score >= 0.7),
 reach(v, r) AS (SELECT a, a FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.v),
@@ -211,6 +222,9 @@ x AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
 ln AS (SELECT DISTINCT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t\r]+', ' ', 'g'), ' ') AS line FROM x)"""
 
 SQL = {
+    "md_normalize": f"SELECT doc_id, {T.normalize_sql('text')} AS norm FROM documents WHERE text IS NOT NULL",
+    "md_units": f"WITH {PF.UNITS_SQL} SELECT doc_id, unit_no, kind, heading, start_line, end_line, n_words, md5(norm) AS norm_md5 FROM uw WHERE n_words >= 8",
+    "md_top_families": f"WITH RECURSIVE {_COMP}, {PF.FAMILIES_SQL}, tf AS (SELECT * FROM ({PF.FAMILIES_SELECT})) SELECT *, (row_number() OVER (ORDER BY is_template, -removable * score, -members, representative))::INT AS rank FROM tf ORDER BY rank LIMIT 20",
     "md_words": f"SELECT doc_id, len(w)::INT AS n_words, len(list_distinct(w))::INT AS n_distinct FROM (SELECT doc_id, regexp_extract_all({_NORM}, '{_WORD}') AS w FROM documents WHERE text IS NOT NULL)",
     "md_gram_size": f"""SELECT doc_id, CASE WHEN l > 0 AND d * 100 > l * 30 THEN 3 ELSE 5 END AS gram_size FROM (SELECT doc_id, length(regexp_replace(lower(text), '[^\\pL]', '', 'g')) AS l, length(regexp_replace(lower(text), '[^{T.NOSPACE}]', '', 'g')) AS d FROM documents WHERE text IS NOT NULL)""",
     "md_ngrams": f"""WITH n AS (SELECT doc_id, {_NORM} AS n FROM documents WHERE text IS NOT NULL),
@@ -233,7 +247,7 @@ SELECT x.class_id AS a, y.class_id AS b, count(*) AS shared FROM r x JOIN r y ON
     "md_idf": f"WITH {_SETS}, nn AS (SELECT count(*) AS n FROM sz) SELECT g, count(*) AS df, round(ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM gr, nn GROUP BY g, n",
     "md_accept_pairs": f"WITH {_ACC} SELECT a, b, shared, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment, round(cosine, 6) AS cosine, round(commonness, 6) AS commonness, round(score, 6) AS score FROM ok",
     "md_components": f"WITH RECURSIVE {_COMP} SELECT id AS doc_id, coalesce(label, class_id) AS component FROM cls LEFT JOIN lab ON v = class_id",
-    "md_families": f"WITH RECURSIVE {_COMP}, {PF.FAMILIES_SQL}",
+    "md_families": f"WITH RECURSIVE {_COMP}, {PF.FAMILIES_SQL} {PF.FAMILIES_SELECT}",
     "md_line_idf": f"""WITH {_LINES}, nn AS (SELECT count(*) AS n FROM x),
 df AS (SELECT line, count(*) AS df, any_value(n) AS n FROM ln, nn WHERE NOT {T.is_trivial_sql('line')} GROUP BY line)
 SELECT line, df, round(CASE WHEN n <= 1 THEN 1.0 ELSE greatest(0.0, least(1.0, (0.60 - df::DOUBLE / n) / 0.35)) END, 6) AS weight FROM df""",
