@@ -231,3 +231,11 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 
     links = md_links(table(spark, sf_dir, "witness_refs"), table(spark, sf_dir, "families"))
     return group_paths(table(spark, sf_dir, "md_units"), links)
+
+
+P2_SQL = """WITH RECURSIVE lk AS (SELECT a_path AS a, b_path AS b FROM witness_refs WHERE a_path IS NOT NULL AND b_path IS NOT NULL
+UNION SELECT list_min(p), unnest(p) FROM (SELECT list_filter(list_transform(members, lambda m: m.path), lambda x: x IS NOT NULL) AS p FROM families) WHERE len(p) > 1),
+e AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk),
+cc(v, g) USING KEY (v) AS (SELECT v, v FROM (SELECT a AS v FROM e UNION SELECT path FROM md_units WHERE path IS NOT NULL)
+  UNION (SELECT e.b, min(cc.g) FROM cc JOIN e ON e.a = cc.v JOIN recurring.cc AS r ON r.v = e.b WHERE cc.g < r.g GROUP BY e.b))
+SELECT DISTINCT g AS group_path, path FROM md_units JOIN cc ON v = path"""

@@ -4,7 +4,7 @@ Method: term frequency times smoothed logarithmic inverse document frequency,
 with length normalisation. The counts of the collection are aggregated
 map-side and joined back to the records' terms:
 
-    weight = tf / size of the record * (ln((1 + N) / (1 + df)) + 1)
+    weight = tf * (ln((1 + N) / (1 + df)) + 1)
     score  = weight / sqrt(sum of the record's squared weights)
 
 N is the number of files of all scans and df the number of those that hold the

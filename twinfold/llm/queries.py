@@ -33,6 +33,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "p2_found": p2_groups.P2_SQL,
         "p3_ranking": p3_ranking.P3_SQL,
         "p4_found": p4_distinctive.P4_FOUND_SQL,
         "p4_scores": p4_distinctive.P4_SCORES_SQL,
