@@ -19,12 +19,19 @@ def sentence(rng, n):
     return [f"w{rng.randrange(100_000)}" for _ in range(n)]
 
 
+def in_lines(words, n=10):
+    return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+
 def test_accepts_small_in_large(spark, tmp_path):
     rng = random.Random(1)
     texts = []
     for _ in range(8):  # Jaccard about 0.07, containment 1
         short = sentence(rng, 60)
-        texts += [" ".join(short), " ".join(sentence(rng, 400) + short + sentence(rng, 400))]
+        texts += [in_lines(short), in_lines(sentence(rng, 400) + short + sentence(rng, 400))]
+    for _ in range(4):  # the same words, but no block of lines in common
+        short = sentence(rng, 60)
+        texts += [in_lines(short), in_lines(sentence(rng, 403) + short + sentence(rng, 400))]
     got = {(r.a, r.b) for r in prose.md_accept_pairs(spark, documents(spark, tmp_path, texts)).collect()}
     assert got == {(i, i + 1) for i in range(0, 16, 2)}
 
@@ -37,12 +44,12 @@ def test_accepted_are_those_of_all_pairs(spark, tmp_path):
         x = list(rng.choice(base))
         for _ in range(rng.randrange(4)):
             x[rng.randrange(len(x))] = f"v{rng.randrange(100_000)}"
-        texts.append(" ".join(x[: rng.randrange(len(x) // 2, len(x) + 1)] + sentence(rng, rng.choice((0, 20, 200)))))
+        texts.append(in_lines(x[: rng.randrange(len(x) // 2, len(x) + 1)] + sentence(rng, rng.choice((0, 20, 200)))))
     d = documents(spark, tmp_path, texts)
     _, sets = prose.sets_of(spark, d)
     every = sets.alias("l").join(sets.alias("r"), F.col("l.class_id") < F.col("r.class_id")).select(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b"))
-    j = S.score_pairs(every, sets).join(S.cosine_pairs(every, sets, S.idf_table(sets)), ["a", "b"])
-    want = {(r.a, r.b) for r in j.filter(S.accept(F.col("cosine"), F.col("containment"), F.col("shared"))[1]).collect()}
+    j = S.pair_stats(every, *S.weighted(sets))
+    want = {(r.a, r.b) for r in S.with_block(j.filter(S.accept(F.col("cosine"), F.col("containment"), F.col("shared"))[1]), prose.lines_of(spark, d)).collect()}
     assert len(want) > 50
     assert {(r.a, r.b) for r in prose.md_accept_pairs(spark, d).collect()} == want
 

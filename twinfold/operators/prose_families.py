@@ -49,7 +49,7 @@ us AS (SELECT doc_id, l, len(h) > 0 AS rooted, CASE WHEN len(h) = 0 THEN [1] WHE
 ue AS (SELECT doc_id, l, rooted, s, unnest(range(len(s))) AS unit_no FROM us),
 ur AS (SELECT doc_id, unit_no::INT AS unit_no, rooted, s[unit_no + 1]::INT AS start_line, coalesce(s[unit_no + 2] - 1, len(l))::INT AS end_line, l[s[unit_no + 1]] AS first, array_to_string(l[s[unit_no + 1] : coalesce(s[unit_no + 2] - 1, len(l))], chr(10)) AS raw FROM ue),
 units AS (SELECT doc_id, unit_no, CASE WHEN rooted THEN 'Section' ELSE 'Document' END AS kind,
-  CASE WHEN regexp_matches(first, '{HEADING}') THEN regexp_replace(regexp_replace(first, '{HEADING}', ''), '^{T.WS}+|{T.WS}+\z', '', 'g') END AS heading, start_line, end_line, {T.normalize_sql("raw")} AS norm
+  CASE WHEN regexp_matches(first, '{HEADING}') THEN regexp_replace(regexp_replace(first, '{HEADING}', ''), '^{T.WS}+|{T.WS}+\\z', '', 'g') END AS heading, start_line, end_line, {T.normalize_sql("raw")} AS norm
   FROM ur WHERE NOT rooted OR regexp_matches(first, '{HEADING}') OR regexp_matches(raw, '[^{T.WS[1:]}')),
 uw AS (SELECT *, len(list_filter(string_split(norm, ' '), lambda x: x <> ''))::INT AS n_words FROM units)"""
 

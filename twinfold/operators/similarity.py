@@ -187,28 +187,6 @@ def idf_table(sets: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))  # n is one row
 
 
-def idf_once(n: int) -> Column:
-    """The idf of an element that one of `n` sets holds."""
-    return F.log(F.lit((n - 1 + 0.5) / (1 + 0.5) + 1))
-
-
-def cosine_pairs(pairs: DataFrame, sets: DataFrame, idf: DataFrame) -> DataFrame:
-    """(a, b, cosine, commonness) of binary tf-idf vectors; commonness is the mean
-    document share of the grams that a pair has in common. `idf` may leave out the
-    grams of one set."""
-    used = pairs.select("a", "b")
-    ends = used.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
-    long = lookup(sets.join(ends, "class_id", "left_semi").select("class_id", F.explode("grams").alias("g")), idf, "g", "left")
-    weight = F.coalesce("idf", idf_once(sets.count()))
-    norm = long.groupBy("class_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
-    long = long.filter("df > 1")
-    left = used.join(long.select(F.col("class_id").alias("a"), "g", "idf", "df", "n"), "a")
-    both = left.join(long.select(F.col("class_id").alias("b"), "g"), ["b", "g"])
-    dot = both.groupBy("a", "b").agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"), F.avg(F.col("df") / F.col("n")).alias("commonness"))
-    j = dot.join(norm.select(F.col("class_id").alias("a"), F.col("norm").alias("x")), "a").join(norm.select(F.col("class_id").alias("b"), F.col("norm").alias("y")), "b")
-    return j.select("a", "b", (F.col("dot") / (F.col("x") * F.col("y"))).alias("cosine"), "commonness")
-
-
 def weighted(sets: DataFrame) -> tuple[DataFrame, int]:
     """((class_id, size, grams, dfs, norm), n): the sets with how many of all `n`
     hold each element, and the length of the tf-idf vector. A set with `copies`
@@ -294,23 +272,49 @@ def candidates(sets: DataFrame, fps: DataFrame, stop_df: int, least: int = 3) ->
     return near.unionByName(shared_rare(fps, "fps", least, stop_df).select("a", "b")).distinct()
 
 
-def accept_candidates(sets: DataFrame, idf: DataFrame, least_score: float = 0.5, contained: float = 0.8, least_shared: int = 24) -> DataFrame:
-    """(a, b) with a < b, distinct: every pair that `accept` can take, by either rule.
+def accept_candidates(sets: DataFrame, n: int, least_score: float = 0.5, contained: float = 0.8, least_shared: int = 24) -> DataFrame:
+    """(a, b) with a < b, distinct: every pair of `weighted` sets, of which there are
+    `n`, that `accept` can take, by either rule.
 
     With the elements of each set ordered by rarity, take the first one a pair
     shares. Cosine: what follows it holds the whole dot product, so on both sides
     it must hold `least_score` of the norm (Cauchy-Schwarz). Containment: in the
     smaller set it must leave `contained` of the size; it may stand anywhere in
-    the larger one. In both, `least_shared` elements must still follow."""
-    long = lookup(sets.filter(F.col("size") >= least_shared).select("class_id", "size", F.explode("grams").alias("g")), idf.filter("df > 1").select("g", "df", "idf"), "g")
-    w = Window.partitionBy("class_id")
-    on_from = w.orderBy(F.col("df").desc(), F.col("g").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sq, n = F.col("idf") * F.col("idf"), F.count(F.lit(1))
-    whole = F.sum(sq).over(w) + (F.col("size") - n.over(w)) * F.pow(idf_once(sets.count()), 2)  # elements of one set come first
-    placed = cut(long.select("class_id", "size", "g", n.over(on_from).alias("left"), (F.sum(sq).over(on_from) / whole).alias("mass")).filter(F.col("left") >= least_shared))
+    the larger one. In both, `least_shared` elements must still follow. What follows
+    each element is counted inside its row; only elements that can be the first
+    shared one of some pair are shuffled."""
+    kind = dict(sets.dtypes)["class_id"]
+    least_mass = least_score * least_score - 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (grams, dfs), norms = ((c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in (batch.column(1), batch.column(2))), batch.column(3).to_numpy(zero_copy_only=False)
+            owner, g_out, left_out, mass_out, size_out = [], [], [], [], []
+            for i in range(batch.num_rows):
+                g, d = grams[0][grams[1][i] : grams[1][i + 1]], dfs[0][dfs[1][i] : dfs[1][i + 1]].astype(float)
+                size = len(g)
+                if size < least_shared:
+                    continue
+                shared = d > 1  # an element of one set joins nothing
+                g, d = g[shared], d[shared]
+                order = np.lexsort((g, d))[::-1]  # the most common first
+                g, d = g[order], d[order]
+                w = np.log((n - d + 0.5) / (d + 0.5) + 1)
+                left, mass = np.arange(1, len(g) + 1), np.cumsum(w * w) / (norms[i] * norms[i])
+                keep = left >= least_shared
+                k = int(keep.sum())
+                owner.append(np.full(k, i))
+                g_out.append(g[keep])
+                left_out.append(left[keep])
+                mass_out.append(mass[keep])
+                size_out.append(np.full(k, size))
+            cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
+            ids = batch.column(0).take(pa.array(cat(owner, np.int64)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(cat(size_out, np.int32)), pa.array(cat(g_out, np.int64)), pa.array(cat(left_out, np.int32)), pa.array(cat(mass_out, np.float64))], names=["class_id", "size", "g", "left", "mass"])
+
+    placed = cut(sets.select("class_id", "grams", "dfs", "norm").mapInArrow(run, f"class_id {kind}, size int, g bigint, left int, mass double"))
     on = (F.col("l.g") == F.col("r.g")) & (F.col("l.class_id") != F.col("r.class_id"))
     ends = [F.least("l.class_id", "r.class_id").alias("a"), F.greatest("l.class_id", "r.class_id").alias("b")]
-    least_mass = least_score * least_score - 1e-9
     heavy = placed.filter(F.col("mass") >= least_mass)
     alike = heavy.alias("l").join(heavy.alias("r"), on & (F.col("l.class_id") < F.col("r.class_id")) & (F.col("l.mass") * F.col("r.mass") >= least_mass)).select(*ends)
     need = F.col("size") * contained - 1e-9

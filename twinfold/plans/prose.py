@@ -119,9 +119,9 @@ def accepted(spark, d):
     """(cls, sets, pairs with score, cosine, containment, shared, jaccard, commonness):
     all accepted pairs of the corpus, not only those that share a MinHash band."""
     cls, sets = sets_of(spark, d)
-    idf = cut(S.idf_table(sets).filter("df > 1"))
-    cand = cut(S.accept_candidates(sets, idf))
-    j = S.pair_stats(cand, *S.weighted(sets))
+    w, n = S.weighted(sets)
+    w = cut(w)
+    j = S.pair_stats(cut(S.accept_candidates(w, n)), w, n)
     score, ok = S.accept(F.col("cosine"), F.col("containment"), F.col("shared"))
     p = cut(j.filter(ok).withColumn("score", score))
     return cls, sets, cut(S.with_block(p, lines_of(spark, d)))
