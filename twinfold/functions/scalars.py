@@ -116,3 +116,111 @@ def reduce_list(xs: Column, f) -> Column:
 
 def value_or_default(a: Column, d: Column) -> Column:
     return F.coalesce(a, d)
+
+
+def wrap_neg(a: Column) -> Column:
+    return wrap_sub(F.lit(0).cast("bigint"), a)
+
+
+def float_floor_div(a: Column, b: Column) -> Column:
+    return F.floor(a / F.when(b == 0, None).otherwise(b)).cast("double")
+
+
+def float_mod(a: Column, b: Column) -> Column:
+    """The remainder with the sign of the dividend; null for a zero divisor."""
+    return a % F.when(b == 0, None).otherwise(b)
+
+
+def float_pow(a: Column, b: Column) -> Column:
+    return F.pow(a, b)
+
+
+def bit_and(a: Column, b: Column) -> Column:
+    return a.bitwiseAND(b)
+
+
+def bit_or(a: Column, b: Column) -> Column:
+    return a.bitwiseOR(b)
+
+
+def bit_xor(a: Column, b: Column) -> Column:
+    return a.bitwiseXOR(b)
+
+
+def bit_not(a: Column) -> Column:
+    return F.bitwise_not(a)
+
+
+def shift_left(a: Column, n: Column) -> Column:
+    """The shift counts modulo 64, as the machine takes it."""
+    return F.call_function("shiftleft", a, n.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def shift_right(a: Column, n: Column) -> Column:
+    return F.call_function("shiftright", a, n.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def truthy_number(a: Column) -> Column:
+    """Not zero; NaN is true, null false."""
+    return F.coalesce(a != 0, F.lit(False))
+
+
+def truthy_list(xs: Column) -> Column:
+    """Also of strings as lists of pieces."""
+    return F.coalesce(F.size(xs) > 0, F.lit(False))
+
+
+def is_in(x: Column, xs: Column) -> Column:
+    return F.array_contains(xs, x)
+
+
+def length(xs: Column) -> Column:
+    """Of a list; null for null."""
+    return F.when(xs.isNotNull(), F.size(xs))
+
+
+def is_empty(xs: Column) -> Column:
+    return F.when(xs.isNotNull(), F.size(xs) == 0)
+
+
+def starts_with(pieces: Column, affix: Column) -> Column:
+    """Of strings as lists of opaque pieces."""
+    return F.when(F.size(affix) > F.size(pieces), False).otherwise(F.slice(pieces, 1, F.size(affix)) == affix)
+
+
+def ends_with(pieces: Column, affix: Column) -> Column:
+    return starts_with(F.reverse(pieces), F.reverse(affix))
+
+
+def string_contains(pieces: Column, needle: Column) -> Column:
+    """True where the pieces of the needle stand in a row; otherwise unknown, since
+    pieces are opaque."""
+    n = F.size(needle)
+    at = F.sequence(F.lit(1), F.greatest(F.size(pieces) - n + 1, F.lit(1)))
+    return F.when((n == 0) | F.exists(at, lambda i: F.slice(pieces, i, F.greatest(n, F.lit(1))) == needle), True)
+
+
+def join_pieces(separator: Column, items: Column) -> Column:
+    """The pieces of the items with those of the separator between them."""
+    parts = F.transform(items, lambda x, i: F.when(i > 0, F.concat(separator, x)).otherwise(x))
+    return F.flatten(parts)
+
+
+def reject(xs: Column, f) -> Column:
+    return F.filter(xs, lambda x: ~f(x))
+
+
+def flat_map(xs: Column, f) -> Column:
+    return F.flatten(F.transform(xs, f))
+
+
+def filter_map(xs: Column, f) -> Column:
+    return F.filter(F.transform(xs, f), lambda x: x.isNotNull())
+
+
+def get_or_default(m: Column, key: Column, d: Column) -> Column:
+    return F.coalesce(F.try_element_at(m, key), d)
+
+
+def append(xs: Column, x: Column) -> Column:
+    return F.array_append(xs, x)

@@ -201,3 +201,31 @@ def glob_regex(glob: str) -> str:
         else:
             out, i = out + ("\\" + c if not c.isalnum() and c not in "_/-" else c), i + 1
     return f"^{out}$"
+
+
+def skip_reason(path: Column, src: Column) -> Column:
+    """Why a source file is no source: binary content, the output of a highlighter, or
+    a C++ header under a C name; null if it is one."""
+    escapes = F.size(F.split(src, "\x1b\\[")) - 1
+    code = F.regexp_replace(src, r"(?s)/\*.*?\*/|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"", " ")
+    cpp = code.rlike(r"\bnamespace\b|template ?<|std::|\bclass\s+[A-Za-z_]|public:|private:|protected:")
+    return (
+        F.when(F.locate("\0", src) > 0, "binary-source-artifact")
+        .when(src.rlike(r"\A(?:\x89PNG\r\n|GIF8[79]a|%PDF-|PK\x03\x04)"), "binary-source-artifact")
+        .when(escapes >= 3, "ansi-highlight-output")
+        .when(F.lower(path).endswith(".h") & cpp, "unsupported-cpp-header")
+    )
+
+
+# What generators write into the first lines of a file (fixed values, in lower case).
+GENERATED_HEADER = r"@generated|generated by|code generated|automatically generated|auto-generated"
+
+
+def generated_header(src: Column) -> Column:
+    """Whether one of the first eight lines says that a tool wrote the file."""
+    head = F.slice(F.split(src, "\n"), 1, 8)
+    return F.exists(head, lambda x: F.lower(x).rlike(GENERATED_HEADER))
+
+
+# Folders in which no prose is worth comparing (fixed values).
+PROSE_EXCLUDED = ("node_modules", "vendor", ".venv", "venv", "dist", "build", "target", "bower_components", ".next", ".nuxt", "site-packages", ".tox", ".mypy_cache", "__pycache__", ".cache", ".git")

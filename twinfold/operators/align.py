@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Lines of a text that are aligned are all of them; the matrix is two rows at a time.
+#: Lines of a text that are aligned are all of them; a byte per cell is kept for the way back.
 MATCH, MISS, GAP = 2, -1, -1
 
 
@@ -48,24 +48,41 @@ def smith_waterman(a: list[str], b: list[str]) -> tuple[int, int, int, int, int]
 
 
 def lcs_diff(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """('=', '-', '+') lines of the longest common subsequence; ties delete first."""
+    """('=', '-', '+') lines of the longest common subsequence; ties delete first.
+
+    The lengths of the common subsequences of all suffixes are kept as one bit per
+    cell (a whole row of the table is one integer), whether the lengths of two
+    neighbouring columns differ; the bits are all that the walk needs."""
     n, m = len(a), len(b)
-    t = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
+    rb = b[::-1]
+    where: dict[str, int] = {}
+    for j, y in enumerate(rb):
+        where[y] = where.get(y, 0) | 1 << j
+    full = (1 << m) - 1
+    row = full  # of reversed prefixes: bit j is 0 where the length grows at column j
+    rows = [row]
+    for x in reversed(a):
+        hit = row & where.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        rows.append(row)
+    rows.reverse()  # rows[i] belongs to the suffix a[i:]
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
+    while i < n and j < m:
+        if a[i] == b[j]:
             out.append(("=", a[i]))
             i, j = i + 1, j + 1
-        elif i < n and (j == m or t[i + 1][j] >= t[i][j + 1]):
+            continue
+        # length(i + 1, j) >= length(i, j + 1)?  Both lie between length(i + 1, j + 1) and one more.
+        low = (1 << (m - j - 1)) - 1
+        right = (m - j - 1) - (rows[i] & low).bit_count()
+        down = (m - j) - (rows[i + 1] & (low << 1 | 1)).bit_count()
+        if down >= right:
             out.append(("-", a[i]))
             i += 1
         else:
             out.append(("+", b[j]))
             j += 1
-    return out
+    return [*out, *(("-", x) for x in a[i:]), *(("+", y) for y in b[j:])]
 
 
 def kind_of(texts: list[str]) -> str:

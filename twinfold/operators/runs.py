@@ -34,3 +34,39 @@ def shared_runs(windows: DataFrame, k: int = K, least: int = LEAST) -> DataFrame
     island = F.col("b_pos") - F.row_number().over(Window.partitionBy("a", "b", "d").orderBy("b_pos"))
     runs = j.withColumn("i", island).groupBy("a", "b", "d", "i").agg(F.min("a_pos").alias("a_pos"), F.min("b_pos").alias("b_pos"), (F.count(F.lit(1)) + k - 1).alias("lines"))
     return runs.filter(F.col("lines") >= least).select("a", "b", "a_pos", "b_pos", "lines")
+
+
+def significant_lines(files: DataFrame, key: str, src: str) -> DataFrame:
+    """(file, pos, line): the source line of every significant line."""
+    numbered = F.transform(F.split(F.col(src), "\n"), lambda x, i: F.struct((i + 1).alias("no"), F.trim(F.regexp_replace(x, r"[ \t\r]+", " ")).alias("t")))
+    kept = F.filter(numbered, lambda x: ~T.is_trivial_line(x["t"]))
+    return files.filter(F.col(src).isNotNull()).select(F.col(key).alias("file"), F.posexplode(F.transform(kept, lambda x: x["no"])).alias("pos", "line"))
+
+
+def with_lines(runs: DataFrame, files: DataFrame, key: str, src: str) -> DataFrame:
+    """`runs` with a_from, a_to, b_from, b_to: the source lines that they cover."""
+    asked = runs.select(F.col("a").alias("file")).unionByName(runs.select(F.col("b").alias("file"))).distinct()
+    at = significant_lines(files.join(asked.withColumnRenamed("file", key), key, "left_semi"), key, src)
+    out = runs
+    for side in "ab":
+        for name, pos in (("from", F.col(f"{side}_pos")), ("to", F.col(f"{side}_pos") + F.col("lines") - 1)):
+            out = out.withColumn("pos", pos.cast("int")).join(at.select(F.col("file").alias(side), "pos", F.col("line").alias(f"{side}_{name}")), [side, "pos"]).drop("pos")
+    return out.select("a", "b", "a_pos", "b_pos", "lines", "a_from", "a_to", "b_from", "b_to")
+
+
+def marked_lines(files: DataFrame, key: str, src: str, mark: str) -> DataFrame:
+    """(file, start, end): lines that hold a mark which asks to leave them out."""
+    lines = F.transform(F.split(F.col(src), "\n"), lambda x, i: F.when(x.contains(mark), i + 1))
+    return files.filter(F.col(src).isNotNull()).select(F.col(key).alias("file"), F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("start")).withColumn("end", F.col("start"))
+
+
+def without_marked(runs: DataFrame, marked: DataFrame) -> DataFrame:
+    """`runs` of which no side covers a marked range: an anti-join on ranges."""
+    from .spans import overlap_join
+
+    keyed = runs.withColumn("id", F.struct("a", "b", "a_pos", "b_pos"))
+    hit = None
+    for side in "ab":
+        part = overlap_join(keyed.select("id", F.col(side).alias("file"), F.col(f"{side}_from").alias("start"), F.col(f"{side}_to").alias("end")), marked).select("id")
+        hit = part if hit is None else hit.unionByName(part)
+    return keyed.join(hit.distinct(), "id", "left_anti").drop("id")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import code, families, prose, sections
+from . import checks, code, families, prose, sections
 
-_MODULES = (prose, sections, families, code)
+_MODULES = (prose, sections, families, code, checks)
 
 
 def queries() -> dict:

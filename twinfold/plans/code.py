@@ -174,6 +174,13 @@ _LANG = "CASE regexp_extract(lower(path), '\\.([a-z0-9]+)$', 1) " + " ".join(f"W
 _TEST = f"regexp_matches(lower(path), '{T.TEST_PATH}')"
 
 
+RUNS_SQL = rf"""WITH l AS (SELECT file_id AS file, {_LANG} AS lang, list_filter(list_transform(string_split(src, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'), ' ')), lambda y: NOT {T.is_trivial_sql('y')}) AS l FROM source_files),
+w AS (SELECT file, lang, i - 1 AS pos, md5(array_to_string(l[i : i + 4], chr(10))) AS g FROM (SELECT file, lang, l, unnest(range(1, len(l) - 3)) AS i FROM l WHERE len(l) >= 5)),
+f AS (SELECT lang, g, min((file, pos)) AS f FROM w GROUP BY lang, g HAVING count(*) > 1),
+j AS (SELECT f[1] AS a, file AS b, f[2] AS a_pos, pos AS b_pos, f[2] - pos AS d FROM w JOIN f ON w.g = f.g AND w.lang IS NOT DISTINCT FROM f.lang WHERE f[1] <> file),
+i AS (SELECT *, b_pos - row_number() OVER (PARTITION BY a, b, d ORDER BY b_pos) AS i FROM j),
+runs AS (SELECT a, b, min(a_pos) AS a_pos, min(b_pos) AS b_pos, count(*) + 4 AS lines FROM i GROUP BY a, b, d, i HAVING count(*) + 4 >= 6)
+"""
 _GRADED = """WITH fr AS (SELECT * FROM families WHERE family_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY family_id ORDER BY loaded_at DESC NULLS LAST, reported_at DESC NULLS LAST) = 1),
 g AS (SELECT family_id, avg(grade) >= 1.5 AS good FROM review_labels WHERE grade IS NOT NULL GROUP BY family_id),
 s AS (SELECT score, good FROM fr JOIN g USING (family_id) WHERE score IS NOT NULL AND NOT isnan(score)),
@@ -186,12 +193,7 @@ SQL = {
 SELECT file_id, CASE WHEN len(l) > 0 THEN round(len(list_filter(l, lambda x: regexp_matches(x, '^(import |from |#include|use |pub use |require|package |using |export \* from|export \{)')))::DOUBLE / len(l), 6) WHEN l IS NOT NULL THEN 0.0 END AS share FROM l""",
     "code_excluded": r"SELECT file_id FROM source_files WHERE NOT regexp_full_match(path, '(.*/)?vendor/.*') AND NOT regexp_full_match(path, '(.*/)?[^/]*\.min\.js') AND NOT path LIKE 'gen/%'",
     "code_latest": "SELECT repo, path, arg_max(file_id, (scanned_at, file_id)) AS file_id FROM source_files GROUP BY repo, path",
-    "code_runs": rf"""WITH l AS (SELECT file_id AS file, {_LANG} AS lang, list_filter(list_transform(string_split(src, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'), ' ')), lambda y: NOT {T.is_trivial_sql('y')}) AS l FROM source_files),
-w AS (SELECT file, lang, i - 1 AS pos, md5(array_to_string(l[i : i + 4], chr(10))) AS g FROM (SELECT file, lang, l, unnest(range(1, len(l) - 3)) AS i FROM l WHERE len(l) >= 5)),
-f AS (SELECT lang, g, min((file, pos)) AS f FROM w GROUP BY lang, g HAVING count(*) > 1),
-j AS (SELECT f[1] AS a, file AS b, f[2] AS a_pos, pos AS b_pos, f[2] - pos AS d FROM w JOIN f ON w.g = f.g AND w.lang IS NOT DISTINCT FROM f.lang WHERE f[1] <> file),
-i AS (SELECT *, b_pos - row_number() OVER (PARTITION BY a, b, d ORDER BY b_pos) AS i FROM j)
-SELECT a, b, min(a_pos) AS a_pos, min(b_pos) AS b_pos, count(*) + 4 AS lines FROM i GROUP BY a, b, d, i HAVING count(*) + 4 >= 6""",
+    "code_runs": RUNS_SQL + "SELECT a, b, a_pos, b_pos, lines FROM runs",
     "code_line_idf": rf"SELECT language, line, count(*) AS df FROM (SELECT DISTINCT file_id, {_LANG} AS language, trim(unnest(string_split(src, chr(10))), ' ') AS line FROM source_files) WHERE NOT {T.is_trivial_sql('line')} GROUP BY ALL",
     "code_enclosing": """WITH i AS (SELECT DISTINCT witness_id AS id, a_path AS file, a_start AS s, a_end AS e FROM witness_refs WHERE a_path IS NOT NULL AND a_end >= a_start)
 SELECT id, min((end_line - start_line, start_line, unit_id))[3] AS outer FROM i JOIN md_units u ON u.path = i.file AND u.start_line <= s AND e <= u.end_line GROUP BY id""",
