@@ -40,6 +40,17 @@ def pair_scores(found: DataFrame, gold: DataFrame, by: str | None = None) -> Dat
     return agg.select(*keys, "found", "gold", "hits", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / F.when(p + r > 0, p + r), 6).alias("f1"))
 
 
+def held_pairs(found: DataFrame, a: DataFrame, b: DataFrame, gold: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of found pairs (a, b) against groups, given as their
+    members by either side (family_id, a) and (family_id, b), and the number of pairs
+    in all groups, one row (gold). hits: found pairs that some group holds; held: how
+    often groups hold one. Only found pairs are joined, no group is expanded."""
+    met = found.join(a, "a").join(b, ["family_id", "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+    n = found.agg(F.count(F.lit(1)).alias("found")).crossJoin(gold).crossJoin(met.agg(F.count(F.lit(1)).alias("hits"), F.coalesce(F.sum("k"), F.lit(0)).alias("held")))  # one row each
+    p, r = F.col("hits") / F.when(F.col("found") > 0, F.col("found")), F.col("held") / F.when(F.col("gold") > 0, F.col("gold"))
+    return n.select("found", "gold", "hits", "held", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / F.when(p + r > 0, p + r), 6).alias("f1"))
+
+
 def soundness(rows: DataFrame) -> DataFrame:
     """(fp, n, violations) of (id, fp, behaviour): rows whose behaviour differs from
     that of the first row with the same fingerprint."""

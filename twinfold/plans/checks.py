@@ -223,6 +223,14 @@ def value_higher(spark, d):
     )
 
 
+def md_channels(spark, d):
+    """Pairs of documents of the exact and the near channel together."""
+    from ..options import Options, combine, detectors
+
+    units = prose.docs(spark, d).select(F.col("doc_id").alias("id"), prose.norm_text().alias("norm"))
+    return combine(detectors(Options()), units).select("a", "b", F.round("score", 6).alias("score"), "channel", "channels")
+
+
 def capabilities(spark, d):
     """What the query language knows: fields, their kind and closed sets of values."""
     return spark.createDataFrame(_CAPABILITIES, "kind string, name string, allowed string")
@@ -235,7 +243,7 @@ _CAPABILITIES = [
 
 QUERIES = {f.__name__: f for f in (
     eval_reachable, eval_calibration, eval_slices, eval_channels, eval_macro, eval_top10, code_literals, code_probes, code_exclusions, fam_gap_impact, fam_budget, fam_ids, code_imports, code_run_spans, code_unsuppressed, code_predictions,
-    md_shared_lines, md_varying_spots, value_battery, value_behaviour, value_floats, value_bits, value_pieces, value_higher, capabilities,
+    md_shared_lines, md_varying_spots, value_battery, value_behaviour, value_floats, value_bits, value_pieces, value_higher, capabilities, md_channels,
 )}
 
 # ---- SQL -----------------------------------------------------------------
@@ -315,5 +323,6 @@ SELECT p_partkey, true AS starts, p[2:3] = p[greatest(len(p) - len(p[2:3]) + 1,
     "value_higher": """WITH g AS (SELECT l_orderkey, list_sort(list(l_partkey::BIGINT)) AS xs FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, coalesce(list_sum(list_filter(xs, lambda x: x % 2 <> 0)), 0)::BIGINT AS odd, (2 * len(xs))::INT AS both, coalesce(list_sum(list_transform(list_filter(xs, lambda x: x % 3 = 0), lambda x: x * 2)), 0)::BIGINT AS threes,
 (len(xs) * (len(xs) - 1) // 2)::BIGINT AS keys, coalesce(list_sum(list_transform(range(1, len(xs) + 1), lambda i: (i - 1) * xs[i])), 0)::BIGINT AS weighted, (100 - list_sum(xs))::BIGINT AS left, 7::BIGINT AS d, (len(xs) + 1)::INT AS more, coalesce(xs[10], 0)::BIGINT AS tenth FROM g""",
+    "md_channels": f"WITH {prose._LINKS} SELECT a, b, round(jaccard, 6) AS score, 'near' AS channel, 1::BIGINT AS channels FROM links UNION ALL SELECT class_id, id, 1.0, 'exact', 1 FROM cls WHERE id <> class_id",
     "capabilities": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}', '{v}')" for k, n, v in _CAPABILITIES) + ") t(kind, name, allowed)",
 }

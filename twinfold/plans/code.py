@@ -105,10 +105,14 @@ def eval_recall(spark, d):
 
 
 def eval_pairs(spark, d):
-    """Witness pairs against the pairs of paths that families name first."""
-    w = table(spark, d, "witness_refs").filter("a_path IS NOT NULL AND b_path IS NOT NULL AND a_path <> b_path").select(F.col("a_path").alias("a"), F.col("b_path").alias("b"))
-    g = table(spark, d, "families").filter("size(members) >= 2").select(F.expr("members[0].path").alias("a"), F.expr("members[1].path").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    return metrics.pair_scores(w, g)
+    """Witness pairs against the pairs of paths that families hold. A pair is right if
+    one family names both; how many pairs a family of n holds is counted, not listed."""
+    w = table(spark, d, "witness_refs").filter("a_path IS NOT NULL AND b_path IS NOT NULL AND a_path <> b_path").select(F.least("a_path", "b_path").alias("a"), F.greatest("a_path", "b_path").alias("b")).distinct()
+    p = F.array_distinct(F.expr("filter(transform(members, m -> m.path), p -> p IS NOT NULL)"))
+    fam = ranking.family_rows(table(spark, d, "families")).select("family_id", p.alias("p")).filter("size(p) > 1")
+    held = fam.select("family_id", F.explode("p").alias("path"))
+    side = lambda k: held.select("family_id", F.col("path").alias(k))
+    return metrics.held_pairs(w, side("a"), side("b"), fam.agg(F.coalesce(F.sum(F.size("p") * (F.size("p") - 1) / 2), F.lit(0)).cast("bigint").alias("gold")))
 
 
 def eval_soundness(spark, d):
@@ -199,10 +203,13 @@ SELECT file_id, CASE WHEN len(l) > 0 THEN round(len(list_filter(l, lambda x: reg
 SELECT id, min((end_line - start_line, start_line, unit_id))[3] AS outer FROM i JOIN md_units u ON u.path = i.file AND u.start_line <= s AND e <= u.end_line GROUP BY id""",
     "eval_ranking": f"{_GRADED} SELECT round(sum(b * (cg - g / 2.0)) / (sum(g) * sum(b)), 6) AS auc, round(sum(g * cg::DOUBLE / (cg + cb)) / sum(g), 6) AS average_precision, sum(g)::BIGINT AS positives, sum(b)::BIGINT AS negatives FROM c",
     "eval_recall": f"{_GRADED} SELECT 0.8::DOUBLE AS precision, round(coalesce(max(CASE WHEN cg::DOUBLE / (cg + cb) >= 0.8 THEN cg ELSE 0 END)::DOUBLE / sum(g), 0.0), 6) AS recall FROM c",
-    "eval_pairs": """WITH f AS (SELECT DISTINCT least(a_path, b_path) AS x, greatest(a_path, b_path) AS y FROM witness_refs WHERE a_path IS NOT NULL AND b_path IS NOT NULL AND a_path <> b_path),
-g AS (SELECT DISTINCT least(members[1].path, members[2].path) AS x, greatest(members[1].path, members[2].path) AS y FROM families WHERE len(members) >= 2 AND members[1].path IS NOT NULL AND members[2].path IS NOT NULL AND members[1].path <> members[2].path),
-n AS (SELECT (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM g) AS gold, (SELECT count(*) FROM f JOIN g USING (x, y)) AS hits)
-SELECT found, gold, hits, round(hits::DOUBLE / found, 6) AS precision, round(hits::DOUBLE / gold, 6) AS recall, round(2 * (hits::DOUBLE / found) * (hits::DOUBLE / gold) / (hits::DOUBLE / found + hits::DOUBLE / gold), 6) AS f1 FROM n""",
+    "eval_pairs": """WITH w AS (SELECT DISTINCT least(a_path, b_path) AS a, greatest(a_path, b_path) AS b FROM witness_refs WHERE a_path IS NOT NULL AND b_path IS NOT NULL AND a_path <> b_path),
+fr AS (SELECT * FROM families WHERE family_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY family_id ORDER BY loaded_at DESC NULLS LAST, reported_at DESC NULLS LAST) = 1),
+f AS (SELECT family_id, list_distinct(list_filter(list_transform(members, lambda m: m.path), lambda p: p IS NOT NULL)) AS p FROM fr),
+h AS (SELECT family_id, unnest(p) AS path FROM f WHERE len(p) > 1),
+m AS (SELECT a, b, count(*) AS k FROM w JOIN h x ON x.path = a JOIN h y ON y.path = b AND y.family_id = x.family_id GROUP BY a, b),
+n AS (SELECT (SELECT count(*) FROM w) AS found, (SELECT coalesce(sum(len(p) * (len(p) - 1) // 2), 0)::BIGINT FROM f) AS gold, (SELECT count(*) FROM m) AS hits, (SELECT coalesce(sum(k), 0)::BIGINT FROM m) AS held)
+SELECT found, gold, hits, held, round(hits::DOUBLE / found, 6) AS precision, round(held::DOUBLE / gold, 6) AS recall, round(2 * (hits::DOUBLE / found) * (held::DOUBLE / gold) / (hits::DOUBLE / found + held::DOUBLE / gold), 6) AS f1 FROM n""",
     "eval_soundness": """WITH u AS (SELECT unit_id, heading, kind, count(*) OVER (PARTITION BY heading) AS n, first_value(kind) OVER (PARTITION BY heading ORDER BY unit_id) AS b0 FROM md_units WHERE heading IS NOT NULL)
 SELECT heading AS fp, any_value(n) AS n, sum((kind <> b0)::INT)::BIGINT AS violations FROM u WHERE n > 1 GROUP BY heading""",
     "eval_completeness": """WITH t AS (SELECT kind, heading, count(*) AS k FROM md_units WHERE heading IS NOT NULL GROUP BY ALL), p AS (SELECT kind, sum(k)::BIGINT AS n, sum(k * (k - 1) // 2)::BIGINT AS met FROM t GROUP BY kind)

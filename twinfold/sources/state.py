@@ -10,25 +10,65 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import LANGUAGES, extension, glob_regex, language_of
+from ..functions.text import LANGUAGES, PROSE_EXCLUDED, extension, glob_regex, language_of, skip_reason
 from ..operators.scale import dense_ids
 from ..operators.temporal import check_ignores
 
 _SETTINGS = {"mode", "exclude", "sort", "top", "min_lines", "min_tokens", "threshold", "baseline", "ignores"}
 
 
-def discover(spark: SparkSession, roots: list[str], exclude: list[str] = ()) -> DataFrame:
-    """(file_id, path, lang, src) of the source files below `roots`; ids follow the
-    order of the paths. Binary files are left out, bad bytes replaced."""
-    globs = "*.{" + ",".join(sorted(LANGUAGES)) + "}"
-    read = spark.read.format("binaryFile").option("pathGlobFilter", globs).option("recursiveFileLookup", "true").load(roots)
-    f = read.select("path", language_of(F.col("path")).alias("lang"), F.make_valid_utf8(F.col("content").cast("string")).alias("src")).filter(F.locate("\0", F.substring("src", 1, 8000)) == 0)
+def ignore_rules(root: str) -> list[tuple[str, bool]]:
+    """(pattern of whole paths, whether it takes back) from the .gitignore files of a
+    local folder, outer files first; the last pattern that matches a path decides."""
+    out = []
+    base = Path(root)
+    for f in sorted(base.rglob(".gitignore"), key=lambda p: (len(p.parts), str(p))):
+        folder = re.escape(f.parent.as_posix().rstrip("/"))
+        for line in f.read_text(errors="replace").splitlines():
+            line = line.rstrip()
+            if not line or line.startswith("#"):
+                continue
+            back, line = line.startswith("!"), line.removeprefix("!").removeprefix("\\")
+            rooted, only_folder = "/" in line.rstrip("/"), line.endswith("/")
+            body = glob_regex(line.strip("/")).removeprefix("^").removesuffix("$")
+            out.append((f"{folder}/{'' if rooted else '(?:.*/)?'}{body}{'/.*' if only_folder else '(?:/.*)?'}$", back))
+    return out
+
+
+def not_ignored(files: DataFrame, rules: list[tuple[str, bool]]) -> DataFrame:
+    if not rules:
+        return files
+    gone = F.lit(False)
+    for pattern, back in rules:
+        gone = F.when(F.col("path").rlike(pattern), not back).otherwise(gone)
+    return files.filter(~gone)
+
+
+def _read(spark: SparkSession, roots: list[str], extensions: list[str], exclude: list[str]) -> DataFrame:
+    """(path, src) of the files with these extensions that no rule leaves out; bad bytes replaced."""
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(sorted(extensions)) + "}").option("recursiveFileLookup", "true").load(roots)
+    f = read.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("src"))
     for g in exclude:
         f = f.filter(~F.col("path").rlike(glob_regex("**/" + g)))
-    f = f.filter(extension(F.col("path")).isin(*LANGUAGES))
+    return not_ignored(f, [r for root in roots if Path(root).is_dir() for r in ignore_rules(root)])
+
+
+def discover(spark: SparkSession, roots: list[str], exclude: list[str] = ()) -> DataFrame:
+    """(file_id, path, lang, src) of the source files below `roots`; ids follow the
+    order of the paths. Left out are what .gitignore files name, binary content, the
+    output of highlighters and C++ headers under a C name."""
+    f = _read(spark, roots, list(LANGUAGES), list(exclude)).filter(extension(F.col("path")).isin(*LANGUAGES))
+    f = f.filter(skip_reason(F.col("path"), F.col("src")).isNull()).withColumn("lang", language_of(F.col("path")))
     return f.join(dense_ids(f, ["path"], "file_id"), "path").select("file_id", "path", "lang", "src")
 
 
+def discover_prose(spark: SparkSession, roots: list[str], exclude: list[str] = ()) -> DataFrame:
+    """(file_id, path, src) of the Markdown files below `roots`, without the folders
+    of PROSE_EXCLUDED and what .gitignore files name."""
+    f = _read(spark, roots, ["md", "markdown"], list(exclude)).filter(~F.col("path").rlike("/(?:" + "|".join(map(re.escape, PROSE_EXCLUDED)) + ")/"))
+    return f.join(dense_ids(f, ["path"], "file_id"), "path").select("file_id", "path", "src")
+
+
 def settings(path: str) -> dict:
     """The [query] table of a TOML file; unknown keys are errors."""
     with open(path, "rb") as f:
@@ -91,6 +131,21 @@ def missing_from_cache(files: DataFrame, cache: DataFrame) -> DataFrame:
     return keyed.join(cache.select("key").distinct(), "key", "left_anti")
 
 
+def add_to_cache(features: DataFrame, cache: str, options: str) -> None:
+    """Append features (key, ...) to the cache, in a folder of their own for each
+    digest of the options, so that other options never meet them."""
+    features.withColumn("options", F.lit(options)).write.mode("append").partitionBy("options").parquet(cache)
+
+
+def read_cache(spark: SparkSession, cache: str, options: str) -> DataFrame:
+    return spark.read.parquet(cache).filter(F.col("options") == options).drop("options")
+
+
+def write_predictions(pairs: DataFrame, path: str, tool: str = "twinfold") -> None:
+    """Pairs with a column `json` as JSON lines in the form that evaluations read."""
+    pairs.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(tool).alias("tool"), F.col("json").alias("duplicate"))).alias("value")).write.mode("overwrite").text(path)
+
+
 def sarif(findings: DataFrame) -> DataFrame:
     """One SARIF result object per (family_id, tier, file, start, end), as JSON text."""
     region = F.struct(F.col("start").alias("startLine"), F.col("end").alias("endLine"))

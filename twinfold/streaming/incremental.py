@@ -27,21 +27,27 @@ def session_counts(stream: DataFrame, time: str, key: str, gap: str = "30 minute
     return s.groupBy(F.session_window("ts", gap), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), key, "n")
 
 
+def _exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def match_batches(stream: DataFrame, known: str, out: str, checkpoint: str):
     """A query that, batch by batch, writes (doc_id, first_id) of texts seen before
-    to `out` and adds the new ones to the Parquet table `known`. A batch that runs
-    again finds its own rows there and writes the same result."""
+    to `out` and adds the new ones to the Parquet table `known`, in a folder for each
+    batch. A batch that runs again reads the batches before it only and writes its
+    own folders anew, so it gives the same result and leaves nothing twice."""
 
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.filter("text IS NOT NULL").select("doc_id", F.md5(squeeze(F.lower("text"))).alias("key"))
-        try:
-            seen = spark.read.parquet(known)
-        except Exception:  # the first batch
+        if _exists(spark, known):
+            seen = spark.read.schema("key string, first_id long, epoch long").parquet(known).filter(F.col("epoch") < epoch).drop("epoch")
+        else:
             seen = spark.createDataFrame([], "key string, first_id long")
         firsts = new.groupBy("key").agg(F.min("doc_id").alias("first_id"))
         merged = firsts.join(seen.withColumnRenamed("first_id", "old"), "key", "left").select("key", F.coalesce("old", "first_id").alias("first_id"), F.col("old").isNull().alias("fresh"))
         new.join(merged, "key").filter("doc_id <> first_id").select("doc_id", "first_id").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        merged.filter("fresh").select("key", "first_id").write.mode("append").parquet(known)
+        merged.filter("fresh").select("key", "first_id").write.mode("overwrite").parquet(f"{known}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
