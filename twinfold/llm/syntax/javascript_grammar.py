@@ -108,22 +108,28 @@ _KEYWORDS = set(
 )
 _SOFT = {"async", "of", "get", "set", "static", "from", "as"}
 _TOKEN = re.compile(
-    r"""(?P<ws>[ \t\f\v ﻿ - 　]+)
+    r"""[ \t\f\v ﻿ - 　]*(?:(?P<end>\Z)
 |(?P<nl>\r\n|[\n\r  ])
 |(?P<comment>//[^\n\r  ]*|/\*(?:[^*]|\*(?!/))*\*/)
 |(?P<id>(?:[^\W\d]|\$|\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))(?:\w|\$|‌|‍|\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))*)
 |(?P<private>\#(?:[^\W\d]|\$)(?:\w|\$)*)
 |(?P<number>(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*|\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?|\d(?:_?\d)*n)(?![\w$]))
 |(?P<string>"(?:[^"\\\n\r]|\\(?:\r\n|.))*"|'(?:[^'\\\n\r]|\\(?:\r\n|.))*')
-|(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\].;,<>+\-*%&|^!~?:=@/`])""",
+|(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\].;,<>+\-*%&|^!~?:=@/`]))""",
     re.X | re.S,
 )
+_SPACE = re.compile(r"[ \t\f\v ﻿ - 　]*")
 _BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))")
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[a-zA-Z]*")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
 _ASSIGN = set("+= -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
 _BIN = set("=== !== == != <= >= && || ?? << >> >>> ** % & | ^".split())
 _UNARY = {"!", "~"}
+#: Signs that stand for a kind of token whatever is around them.
+_PLAIN = {**dict.fromkeys(_ASSIGN, "ASSIGN"), **dict.fromkeys(_BIN, "BIN"), **dict.fromkeys(_UNARY, "UNARY"), **{c: c for c in ("(", ")", "[", "]", ".", ";", ",", "<", ">", "+", "-", "*", "?", ":", "=", "@", "=>", "?.", "...")}}
+_PLAIN_SPLIT = {k: k if k in ("|", "&", "!") else v for k, v in _PLAIN.items() if k not in (">>", ">>>", ">=", ">>=", ">>>=")}
+for _PLAINS in (_PLAIN, _PLAIN_SPLIT):
+    _PLAINS.pop("/=", None)  # may begin a regular expression
 #: After these a slash divides.
 _OPERAND = {"ID", "NAME", "NUMBER", "STRING", "REGEX", "TEMPLATE", "TTAIL", ")", "]", "this", "super", "null", "true", "false", "PRIVATE", "POST"} | _SOFT
 #: After these a line break ends the statement.
@@ -166,28 +172,35 @@ def tokenize(src: str, keywords=_KEYWORDS, soft=_SOFT, split_gt: bool = False):
             raise LexError(p)
 
     match = _TOKEN.match
-    while pos < n:
+    words, plain = keywords | soft, _PLAIN_SPLIT if split_gt else _PLAIN
+    while True:
         m = match(src, pos)
         if not m:
-            raise LexError(pos)
-        kind, text, p = m.lastgroup, m.group(), pos
+            raise LexError(_SPACE.match(src, pos).end())
+        kind = m.lastgroup
+        text = m[kind]
         pos = m.end()
-        if kind == "ws":
+        if kind == "id":
+            last = toks[-1] if toks else ""
+            if nl and last in _RESTRICTED:
+                put("NAME" if last in (".", "?.") else text if text in words else "ID", pos - len(text))
+                continue
+            toks.append("NAME" if last == "." or last == "?." else text if text in words else "ID")
+            at.append(pos - len(text))
+            breaks.append(nl)
+            nl = False
             continue
-        if kind == "nl":
-            nl = True
-        elif kind == "comment":
-            if "\n" in text:
-                nl = True
-        elif kind == "id":
-            if toks and toks[-1] in (".", "?."):
-                put("NAME", p)
-            elif text in keywords or text in soft:
-                put(text, p)
-            else:
-                put("ID", p)
-        elif kind == "op":
-            if text in ("/", "/="):
+        p = pos - len(text)
+        if kind == "op":
+            t = plain.get(text)
+            if t is not None:
+                if nl:
+                    put(t, p)
+                else:
+                    toks.append(t)
+                    at.append(p)
+                    breaks.append(False)
+            elif text in ("/", "/="):
                 if not (toks and toks[-1] in _OPERAND):
                     r = _REGEX.match(src, p)
                     if not r:
@@ -210,21 +223,19 @@ def tokenize(src: str, keywords=_KEYWORDS, soft=_SOFT, split_gt: bool = False):
                     put(text, p)
             elif text in ("++", "--"):
                 put("POST" if toks and toks[-1] in _OPERAND and not nl else "INC", p)
-            elif split_gt and text in (">>", ">>>", ">=", ">>=", ">>>="):
-                # `>` may close type arguments: each sign by itself, those that touch the one before told apart
+            else:  # `>` may close type arguments: each sign by itself, those that touch the one before told apart
                 if text[-1] == "=" and src.startswith(">", pos):  # an arrow behind type arguments
                     text, pos = text[:-1], pos - 1
                 put(">", p)
                 for k in range(1, len(text)):
                     put("GT_ADJ" if text[k] == ">" else "EQ_ADJ", p + k)
-            elif text in _ASSIGN:
-                put("ASSIGN", p)
-            elif text in _BIN:
-                put(text if split_gt and text in ("|", "&") else "BIN", p)
-            elif text in _UNARY:
-                put(text if split_gt and text == "!" else "UNARY", p)
-            else:
-                put(text, p)
+        elif kind == "nl":
+            nl = True
+        elif kind == "comment":
+            if "\n" in text:
+                nl = True
+        elif kind == "end":
+            break
         elif kind == "private":
             put("PRIVATE", p)
         elif kind == "string" and "\\" in text and _BAD_ESCAPE.search(text):

@@ -131,21 +131,24 @@ _KEYWORDS = set(
     "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
 )
 _TOKEN = re.compile(
-    r"""(?P<ws>[ \t\f]+|\\\r?\n)
+    r"""(?:[ \t\f]|\\\r?\n)*(?:(?P<end>\Z)
 |(?P<nl>\r?\n|\r)
 |(?P<comment>\#[^\r\n]*)
 |(?P<string>(?:[bBuU]|[rR][bB]?|[bB][rR])?(?:\"\"\"(?:[^\\"]|\\.|"(?!""))*\"\"\"|'''(?:[^\\']|\\.|'(?!''))*'''|"(?:[^\\"\r\n]|\\\r?.)*"|'(?:[^\\'\r\n]|\\\r?.)*'))
 |(?P<fstring>(?:[fFtT][rR]?|[rR][fFtT])(?:\"\"\"|'''|"|'))
 |(?P<number>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*|\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?:(?!\w)|(?=(?:and|else|for|if|in|is|not|or)\b)))
 |(?P<name>[^\W\d]\w*)
-|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|<=|>=|==|!=|[+\-*/%@&|^]=|[-+*/%@&|^~<>()\[\]{},:.;=])""",
+|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|<=|>=|==|!=|[+\-*/%@&|^]=|[-+*/%@&|^~<>()\[\]{},:.;=]))""",
     re.X | re.S,
 )
 _AUG = set("+= -= *= /= %= @= &= |= ^= **= //= >>= <<=".split())
 _BIN = set("% & ^ // << >>".split())
 _CMP = set("< > <= >= == !=".split())
+_PLAIN = {**dict.fromkeys(_AUG, "AUG"), **dict.fromkeys(_BIN, "BIN"), **dict.fromkeys(_CMP - {"!="}, "CMP"), **{c: c for c in (",", ".", ";", "=", "+", "-", "*", "/", "|", "@", "~", "**", "->", "...")}}
+_SPACE = re.compile(r"(?:[ \t\f]|\\\r?\n)*")
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 _FBODY = {q: re.compile(r"(?:[^\\{}" + q[0] + ("" if len(q) == 3 else "\r\n") + r"]|\\N\{[^}]*\}|\\(?:\r\n|[^{}])|\\(?=[{}])|\{\{|\}\}" + (f"|{q[0]}(?!{q[0] * 2})" if len(q) == 3 else "") + ")+", re.S) for q in ("'", '"', "'''", '"""')}
+_INDENT, _REST, _BREAK = re.compile(r"[ \t\f]*"), re.compile(r"[^\r\n]*"), re.compile(r"\r?\n|\r")
 _BAD_BYTES = re.compile(r"(?<!\\)(?:\\\\)*\\x(?![0-9a-fA-F]{2})")
 _BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4})|N(?!\{[^}\n]+\}))")
 _FSPEC = re.compile(r"[^{}\r\n'\"]+")
@@ -216,9 +219,10 @@ def tokenize(src: str) -> tuple[list[str], list[int]]:
         else:
             f_text(fstrings[-1][0])
 
+    match = _TOKEN.match
     while pos < n:
         if line_start and not depth:
-            m = re.compile(r"[ \t\f]*").match(src, pos)
+            m = _INDENT.match(src, pos)
             ws = m.group()
             end = m.end()
             if end < n and src[end] in "\r\n#" or src.startswith("\\\n", end):
@@ -226,8 +230,8 @@ def tokenize(src: str) -> tuple[list[str], list[int]]:
                 line_start = False
                 if src[end] not in "\\":
                     if src[end] == "#":
-                        pos = end + len(re.compile(r"[^\r\n]*").match(src, end).group())
-                    m = re.compile(r"\r?\n|\r").match(src, pos)
+                        pos = _REST.match(src, end).end()
+                    m = _BREAK.match(src, pos)
                     pos = m.end() if m else n
                     line_start = True
                 continue
@@ -252,22 +256,29 @@ def tokenize(src: str) -> tuple[list[str], list[int]]:
                     raise LexError(end)
             pos = end
             line_start = False
-        m = _TOKEN.match(src, pos)
+        m = match(src, pos)
         if not m:
+            pos = _SPACE.match(src, pos).end()
             if depth and depth[-1] == "f" and src[pos] == "!" and re.match(r"![rsa]\b", src[pos : pos + 3]):
                 put("CONV", pos)
                 pos += 2
                 continue
             raise LexError(pos)
-        kind, text, p = m.lastgroup, m.group(), pos
+        kind = m.lastgroup
+        text = m[kind]
         pos = m.end()
+        p = pos - len(text)
         if kind == "name":
             if text in _KEYWORDS:
-                put("BOOL" if text in ("and", "or") else text, p)
+                toks.append("BOOL" if text == "and" or text == "or" else text)
             elif text in ("match", "case", "type") and (not toks or toks[-1] in ("NEWLINE", "INDENT", "DEDENT", ";", ":")):
-                put(text, p)
+                toks.append(text)
             else:
-                put("NAME", p)
+                toks.append("NAME")
+            at.append(p)
+        elif kind == "op" and (t := _PLAIN.get(text)) is not None:
+            toks.append(t)
+            at.append(p)
         elif kind == "op":
             if text in _OPEN:
                 depth.append(_OPEN[text])
