@@ -62,3 +62,10 @@ def test_near_clones_beyond_a_bucket(spark):
         rows.append((f"t{i:02}", i, "p", 1, 50, 200, shapes))
     u = spark.createDataFrame(rows, "tree string, file_id long, path string, start_line int, end_line int, tokens int, shapes array<bigint>")
     assert code.near_clones(u).count() == 60 * 59 // 2  # all alike by 88 of 108 at least
+
+
+def test_near_clones_of_one_multiset_are_tied_to_the_first(spark):
+    rows = [(f"t{i}", i, "p", 1, 50, 200, list(range(40))) for i in range(30)] + [("u", 99, "p", 1, 50, 200, list(range(2, 42)))]
+    u = spark.createDataFrame(rows, "tree string, file_id long, path string, start_line int, end_line int, tokens int, shapes array<bigint>")
+    got = {(r.a, r.b): r.score for r in code.near_clones(u).collect()}
+    assert got == {**{("t0", f"t{i}"): 1.0 for i in range(1, 30)}, ("t0", "u"): round(38 / 42, 3)}

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scale import cut, spread
-from .similarity import jaccard_links, multiset_jaccard
+from .scale import cut, lookup, spread
+from .similarity import jaccard_links
 
 _SCHEMA = "file_id long, path string, kind string, name string, start_line int, end_line int, tokens int, tree long, shapes array<long>"
 #: Units below these are too small to be worth a comparison.
@@ -85,12 +85,16 @@ def exact_clones(units: DataFrame) -> DataFrame:
 
 
 def near_clones(units: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(a, b, score): pairs of distinct trees whose shape multisets have a Jaccard
-    of `threshold` or more: exact. The k-th repetition of a shape is made an
-    element of its own, so the set join applies."""
-    reps = sized(units).groupBy("tree").agg(F.min("shapes").alias("grams")).withColumnRenamed("tree", "class_id").filter("size(grams) > 0")
-    reps = cut(reps)
-    tagged = F.transform("grams", lambda x, i: F.struct(x.alias("x"), (i - F.array_position("grams", x)).alias("k")))  # shapes are sorted
-    cand = jaccard_links(reps.select("class_id", F.size("grams").alias("size"), tagged.alias("grams")), threshold - 0.0005).select("a", "b")  # scores are rounded
-    j = cand.join(reps.select(F.col("class_id").alias("a"), F.col("grams").alias("x")), "a").join(reps.select(F.col("class_id").alias("b"), F.col("grams").alias("y")), "b")
-    return j.select("a", "b", F.round(multiset_jaccard(F.col("x"), F.col("y")), 3).alias("score")).filter(F.col("score") >= threshold)
+    """(a, b, score): pairs of distinct trees whose shape multisets have a Jaccard of
+    `threshold` or more: exact. Trees with equal multisets are one class: each is tied
+    to the smallest tree of its class with score 1, and classes are compared by these
+    only, so a template with a million instances gives a million rows, not their pairs.
+    The k-th repetition of a shape is made an element of its own, a hash of both, so
+    the set join applies."""
+    trees = cut(sized(units).groupBy("tree").agg(F.min("shapes").alias("shapes")).filter("size(shapes) > 0").withColumn("h", F.sha2(F.to_json(F.struct("shapes")), 256)))
+    kinds = trees.groupBy("h").agg(F.min("tree").alias("class_id"), F.min("shapes").alias("shapes"))
+    copies = lookup(trees.select("tree", "h"), kinds.select("h", "class_id"), "h").filter("tree <> class_id").select(F.col("class_id").alias("a"), F.col("tree").alias("b"), F.lit(1.0).alias("score"))
+    tagged = F.transform("shapes", lambda x, i: F.xxhash64(x, i - F.array_position("shapes", x)))  # shapes are sorted
+    sets = cut(kinds.select("class_id", F.size("shapes").alias("size"), tagged.alias("grams")))
+    links = jaccard_links(sets, threshold - 0.0005).select("a", "b", F.round("jaccard", 3).alias("score"))  # scores are rounded
+    return links.filter(F.col("score") >= threshold).unionByName(copies)
