@@ -55,7 +55,8 @@ def parse_files(files: DataFrame, key: str, path: str, src: str) -> DataFrame:
                 line.append(bad[0] if bad else None)
                 what.append(bad[1] if bad else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(lang, pa.string()), pa.array(valid, pa.bool_()), pa.array(line, pa.int32()), pa.array(what, pa.string())], names=["k", "language", "valid", "line", "what"]
+                [b.column(0), pa.array(lang, pa.string()), pa.array(valid, pa.bool_()), pa.array(line, pa.int32()), pa.array(what, pa.string())],
+                    names=["k", "language", "valid", "line", "what"]
             )
 
     out = rows.mapInArrow(run, f"k {kind}, language string, valid boolean, line int, what string")

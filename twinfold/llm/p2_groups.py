@@ -65,9 +65,11 @@ def rank_lists(heads: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)
-        nxt = rows.select(F.col("v").alias("cur"), F.col("to").alias("head"), F.col("cur").alias("cur2"), F.col("head").alias("head2"), F.col("mn").alias("mn2"), F.col("open").alias("open2"))
+        nxt = rows.select(F.col("v").alias("cur"), F.col("to").alias("head"), F.col("cur").alias("cur2"), F.col("head").alias("head2"),
+            F.col("mn").alias("mn2"), F.col("open").alias("open2"))
         on = parts[-1].filter("open").join(nxt, ["cur", "head"])
-        moved = on.select("v", "to", F.col("cur2").alias("cur"), F.col("head2").alias("head"), F.least("mn", "mn2").alias("mn"), F.col("open2").alias("open"), (F.col("mn2") < F.col("mn")).alias("less"))
+        moved = on.select("v", "to", F.col("cur2").alias("cur"), F.col("head2").alias("head"), F.least("mn", "mn2").alias("mn"),
+            F.col("open2").alias("open"), (F.col("mn2") < F.col("mn")).alias("less"))
         walk, state = cut_counted(moved, **is_open, less=F.sum(F.col("less").cast("long")))
         tables.append(walk)
         parts[-1] = parts[-1].filter("NOT open")
@@ -123,7 +125,8 @@ def contract(edges: DataFrame, size: int) -> tuple[DataFrame, int, DataFrame]:
     n = state["n"]
     while True:
         up = hook.select(F.col("v").alias("parent"), F.col("parent").alias("top"))
-        step = lookup(hook.select("v", "parent"), up, "parent", rows=n).select("v", F.col("top").alias("parent"), (F.col("top") != F.col("parent")).cast("long").alias("moved"))
+        step = lookup(hook.select("v", "parent"), up, "parent", rows=n).select("v", F.col("top").alias("parent"),
+            (F.col("top") != F.col("parent")).cast("long").alias("moved"))
         nxt, state = cut_counted(step, moved=F.sum("moved"))
         release(hook)
         hook = nxt
@@ -201,7 +204,8 @@ def group_paths(vertices: DataFrame, links: DataFrame, core: int = CORE) -> Data
     asked = vertices.filter("path IS NOT NULL").select("path", F.lit(True).alias("asked")).distinct()
     ends = links.select(F.explode(F.array("a", "b")).alias("path")).distinct().withColumn("asked", F.lit(False))
     every = asked.unionByName(ends).withColumn("id", number(F.col("path")))
-    ids, state = cut_counted(every.groupBy("id").agg(F.min("path").alias("path"), F.max("path").alias("other"), F.max("asked").alias("asked")), twins=F.sum((F.col("path") != F.col("other")).cast("long")))
+    ids, state = cut_counted(every.groupBy("id").agg(F.min("path").alias("path"), F.max("path").alias("other"), F.max("asked").alias("asked")),
+        twins=F.sum((F.col("path") != F.col("other")).cast("long")))
     n = state["n"]
     if state["twins"]:  # two paths with one number
         release(ids)
@@ -234,7 +238,8 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 
 
 P2_SQL = """WITH RECURSIVE lk AS (SELECT a_path AS a, b_path AS b FROM witness_refs WHERE a_path IS NOT NULL AND b_path IS NOT NULL
-UNION SELECT list_min(p), unnest(p) FROM (SELECT list_filter(list_transform(members, lambda m: m.path), lambda x: x IS NOT NULL) AS p FROM families) WHERE len(p) > 1),
+UNION SELECT list_min(p), unnest(p) FROM (SELECT list_filter(list_transform(members, lambda m: m.path), lambda x: x IS NOT NULL) AS p FROM families)
+  WHERE len(p) > 1),
 e AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk),
 cc(v, g) USING KEY (v) AS (SELECT v, v FROM (SELECT a AS v FROM e UNION SELECT path FROM md_units WHERE path IS NOT NULL)
   UNION (SELECT e.b, min(cc.g) FROM cc JOIN e ON e.a = cc.v JOIN recurring.cc AS r ON r.v = e.b WHERE cc.g < r.g GROUP BY e.b))

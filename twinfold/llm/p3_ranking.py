@@ -55,14 +55,17 @@ def net_flow(items: DataFrame, key: str, scores, indifference: float = INDIFFERE
     mids = ranked.select("s", "x", "c", (F.col("cum_c") * 2 - F.col("c")).alias("m"))
     mids = cut(mids)
     n = mids.groupBy("s").agg(F.sum("c").alias("n"))
-    n = n.withColumn("q", F.round(F.col("n") * (2 * indifference)).cast("long")).withColumn("p", F.greatest(F.round(F.col("n") * (2 * preference)).cast("long"), F.col("q") + 1))
+    n = n.withColumn("q", F.round(F.col("n") * (2 * indifference)).cast("long")).withColumn("p",
+        F.greatest(F.round(F.col("n") * (2 * preference)).cast("long"), F.col("q") + 1))
     at = mids.join(F.broadcast(n), "s")  # one row per score
     # every percentile asks for F and S at four points; data rows carry weight, questions none
     data = at.select("s", F.col("m").alias("t"), F.col("c"), (F.col("c").cast(_BIG) * F.col("m")).cast(_BIG).alias("w"))
     asks = at.select("s", F.explode(F.array(F.col("m") - F.col("p"), F.col("m") - F.col("q"), F.col("m") + F.col("q"), F.col("m") + F.col("p"))).alias("t"))
-    points = data.unionByName(asks.select("s", "t", F.lit(0).cast("long").alias("c"), F.lit(0).cast(_BIG).alias("w"))).groupBy("s", "t").agg(F.sum("c").alias("c"), F.sum("w").cast(_BIG).alias("w"))
+    points = data.unionByName(asks.select("s", "t", F.lit(0).cast("long").alias("c"), F.lit(0).cast(_BIG).alias("w"))).groupBy("s",
+        "t").agg(F.sum("c").alias("c"), F.sum("w").cast(_BIG).alias("w"))
     curve = cut(prefix_sums(points, ["s"], ["t"], ["c", "w"]).select("s", "t", F.col("cum_c").cast(_BIG).alias("f"), F.col("cum_w").cast(_BIG).alias("g")))
-    four = at.select("s", "x", "m", "n", "q", "p", F.posexplode(F.array(F.col("m") - F.col("p"), F.col("m") - F.col("q"), F.col("m") + F.col("q"), F.col("m") + F.col("p"))).alias("i", "t"))
+    four = at.select("s", "x", "m", "n", "q", "p",
+        F.posexplode(F.array(F.col("m") - F.col("p"), F.col("m") - F.col("q"), F.col("m") + F.col("q"), F.col("m") + F.col("p"))).alias("i", "t"))
     got = four.join(curve, ["s", "t"]).groupBy("s", "x", "m", "n", "q", "p")
     got = got.agg(*(F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for i in range(4) for c in "fg"))
     d = lambda c: F.col(c).cast("double")
@@ -75,7 +78,8 @@ def net_flow(items: DataFrame, key: str, scores, indifference: float = INDIFFERE
     wide = each.groupBy(key).agg(*(F.coalesce(F.max(F.when(F.col("s") == s, F.col("flow"))), F.lit(0.0)).alias(f"flow_{s}") for s in names))
     net = sum((F.col(f"flow_{s}") * (w / total) for s, w, _ in scores), F.lit(0.0))
     wide = wide.withColumn("net_flow", F.round(net, 9))
-    order = wide.select(key, *(F.round(f"flow_{s}", 9).alias(f"flow_{s}") for s in names), "net_flow", (-F.col("net_flow")).alias("_o"), F.lit(1).cast("long").alias("_one"))
+    order = wide.select(key, *(F.round(f"flow_{s}", 9).alias(f"flow_{s}") for s in names), "net_flow", (-F.col("net_flow")).alias("_o"),
+        F.lit(1).cast("long").alias("_one"))
     return prefix_sums(order, [], ["_o", key], ["_one"]).select(key, *(f"flow_{s}" for s in names), "net_flow", F.col("cum__one").alias("rank"))
 
 
@@ -128,7 +132,8 @@ long AS (
 ranked AS (
   SELECT family_id, s, 2 * (rank() OVER w - 1) + count(*) OVER (PARTITION BY s, x) AS m, count(*) OVER (PARTITION BY s) AS n
   FROM long WHERE x IS NOT NULL AND NOT isnan(x) WINDOW w AS (PARTITION BY s ORDER BY x)),
-steps AS (SELECT s, any_value(n) AS n, round(any_value(n) * 0.1)::BIGINT AS q, greatest(round(any_value(n) * 1.0)::BIGINT, round(any_value(n) * 0.1)::BIGINT + 1) AS p FROM ranked GROUP BY s),
+steps AS (SELECT s, any_value(n) AS n, round(any_value(n) * 0.1)::BIGINT AS q, greatest(round(any_value(n) * 1.0)::BIGINT, round(any_value(n) *
+  0.1)::BIGINT + 1) AS p FROM ranked GROUP BY s),
 pairs AS (
   SELECT a.family_id, a.s, t.n,
          sum(greatest(0, least(1, (a.m - b.m - t.q)::DOUBLE / (t.p - t.q))) - greatest(0, least(1, (b.m - a.m - t.q)::DOUBLE / (t.p - t.q)))) AS d

@@ -69,7 +69,8 @@ counts AS (SELECT line, sum(d)::BIGINT AS df FROM once WHERE line IS NOT NULL GR
 total AS (SELECT sum(n)::BIGINT AS n FROM (SELECT max(n_files) AS n FROM line_idf GROUP BY scan_id)),
 fam AS (SELECT DISTINCT family_id, rank_lines FROM shared_lines WHERE family_id IS NOT NULL),
 terms AS (SELECT family_id, line, count(*) AS tf FROM (SELECT family_id, unnest(rank_lines) AS line FROM fam) WHERE line IS NOT NULL GROUP BY ALL),
-raw AS (SELECT t.*, coalesce(c.df, 0) AS df, t.tf * (ln((1 + n)::DOUBLE / (1 + coalesce(c.df, 0))) + 1) AS w FROM terms t LEFT JOIN counts c USING (line), total),
+raw AS (SELECT t.*, coalesce(c.df, 0) AS df, t.tf * (ln((1 + n)::DOUBLE / (1 + coalesce(c.df, 0))) + 1) AS w FROM terms t LEFT JOIN counts c USING
+  (line), total),
 scored AS (SELECT family_id, line, tf, df, round(w / sqrt(sum(w * w) OVER (PARTITION BY family_id)), 9) AS score FROM raw)
 """
 P4_SCORES_SQL = _SQL + "SELECT family_id, line, tf, df, score FROM scored"

@@ -207,8 +207,10 @@ def statistics(files: DataFrame, key: str, path: str, src: str) -> DataFrame:
                     c.append(v)
                 project.append(names_project(head))
                 language.append(ext if ext in THRESHOLDS else None)
-            cols = [b.column(0), b.column(1), pa.array(language, pa.string()), pa.array(stats[0], pa.int32()), *(pa.array(c, pa.float64()) for c in stats[1:]), *(pa.array(c, pa.bool_()) for c in flags), pa.array(project, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["k", "path", "language", *(x.split()[0] for x in _STATS.split(", ")), "minified", "data", "numbered_code", "says_generated", "project"])
+            cols = [b.column(0), b.column(1), pa.array(language, pa.string()), pa.array(stats[0], pa.int32()),
+                *(pa.array(c, pa.float64()) for c in stats[1:]), *(pa.array(c, pa.bool_()) for c in flags), pa.array(project, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["k", "path", "language", *(x.split()[0] for x in _STATS.split(", ")), "minified", "data",
+                "numbered_code", "says_generated", "project"])
 
     return rows.mapInArrow(run, f"k {kind}, path string, language string, {_STATS}, minified boolean, data boolean, numbered_code boolean, says_generated boolean, project string").withColumnRenamed("k", key)
 
@@ -218,23 +220,27 @@ def classify(files: DataFrame, key: str, path: str, src: str, repo: str | None =
     for hand-written source, else one of generated, minified, vendored, data, and the
     last two say which of the two ways of judging found it. `repo`, if given, is the
     project the file belongs to, whose own name in a head does not make it a copy."""
-    keyed = files.withColumn("_key", F.struct(F.monotonically_increasing_id().alias("n"), F.col(key).alias("id"), (F.lower(repo) if repo else F.lit(None).cast("string")).alias("repo")))
+    keyed = files.withColumn("_key", F.struct(F.monotonically_increasing_id().alias("n"), F.col(key).alias("id"),
+        (F.lower(repo) if repo else F.lit(None).cast("string")).alias("repo")))
     s = statistics(keyed, "_key", path, src).withColumn("project", F.when(F.col("project").eqNullSafe(F.col("_key.repo")), None).otherwise(F.col("project")))
     named = lambda p: F.coalesce(F.col("path").rlike(p), F.lit(False))
     vendored = F.col("project").isNotNull() | named(_FOLDER) | named(_RELEASE)
     words = F.when(vendored, "vendored").when(F.col("says_generated") | named(_BY_NAME), "generated").when(named(_MIN_NAME), "minified")
     shape = F.when(F.col("minified"), "minified").when(F.col("numbered_code"), "generated").when(F.col("data"), "data")
-    return s.select(F.col("_key.id").alias("id"), F.col("_key.n").alias("n"), "path", "project", F.coalesce(words, shape).alias("kind"), shape.isNotNull().alias("by_layout"), words.isNotNull().alias("by_words"))
+    return s.select(F.col("_key.id").alias("id"), F.col("_key.n").alias("n"), "path", "project", F.coalesce(words, shape).alias("kind"),
+        shape.isNotNull().alias("by_layout"), words.isNotNull().alias("by_words"))
 
 
 def vendored_by_name(judged: DataFrame) -> DataFrame:
     """`judged` with kind vendored for files below a folder named after a project
     that a head names somewhere in the collection."""
     names = judged.filter("project IS NOT NULL").select(F.col("project").alias("folder")).distinct()
-    folders = judged.filter("kind IS NULL AND path LIKE '%/%'").select("n", F.explode(F.array_distinct(F.slice(F.split(F.lower("path"), "/"), 1, F.size(F.split("path", "/")) - 1))).alias("folder"))
+    folders = judged.filter("kind IS NULL AND path LIKE '%/%'").select("n",
+        F.explode(F.array_distinct(F.slice(F.split(F.lower("path"), "/"), 1, F.size(F.split("path", "/")) - 1))).alias("folder"))
     hit = folders.join(names, "folder", "left_semi").select("n").distinct().withColumn("hit", F.lit(True))
     found = F.coalesce("hit", F.lit(False))
-    return judged.join(hit, "n", "left").select("id", "path", "project", F.coalesce("kind", F.when(found, "vendored")).alias("kind"), "by_layout", (F.col("by_words") | found).alias("by_words"))
+    return judged.join(hit, "n", "left").select("id", "path", "project", F.coalesce("kind", F.when(found, "vendored")).alias("kind"), "by_layout",
+        (F.col("by_words") | found).alias("by_words"))
 
 
 def tune(stats: DataFrame) -> DataFrame:

@@ -180,7 +180,8 @@ def encode(docs: DataFrame, key: str, text: str, vocabulary: str, long: int = LO
             for k, t in zip(b.column(0), b.column(1).to_pylist()):
                 cuts = cut_text(t, long, shared.value[1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k.as_py()] * len(cuts), b.column(0).type), pa.array(range(len(cuts)), pa.int32()), pa.array([s for _, s in cuts]), pa.array([p for p, _ in cuts], pa.string())],
+                    [pa.array([k.as_py()] * len(cuts), b.column(0).type), pa.array(range(len(cuts)), pa.int32()), pa.array([s for _, s in cuts]),
+                        pa.array([p for p, _ in cuts], pa.string())],
                     names=["k", "n", "safe", "piece"],
                 )
 

@@ -90,7 +90,8 @@ def with_openings(items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([opening_hashes(words(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["k", "t", "h"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1),
+                pa.array([opening_hashes(words(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["k", "t", "h"])
 
     hashed = items.mapInArrow(run, f"k {kind}, t string, h array<bigint>")
     long = hashed.select(F.struct("k", "t").alias("item"), F.posexplode("h").alias("i", "h"))
@@ -326,7 +327,8 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
                             rows.append((k, ix.ids[i], n, e, places[a][1], places[z - 1][2]))
                 cols = list(zip(*rows)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.int64() if item_kind == "bigint" else pa.string()), *(pa.array(c, pa.int32()) for c in cols[2:])],
+                    [pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.int64() if item_kind == "bigint" else pa.string()),
+                        *(pa.array(c, pa.int32()) for c in cols[2:])],
                     names=["k", "item", "n_words", "n_errors", "start", "end"],
                 )
 
@@ -344,7 +346,9 @@ def remove_spans(docs: DataFrame, doc: str, text: str, spans: DataFrame) -> Data
     state = F.aggregate(
         "_spans",
         F.struct(F.lit("").alias("kept"), F.lit(0).alias("upto")),
-        lambda s, x: F.struct(F.concat(s["kept"], F.when(x["start"] > s["upto"], F.substring(t, s["upto"] + 1, x["start"] - s["upto"])).otherwise("")).alias("kept"), F.greatest(s["upto"], x["end"]).alias("upto")),
+        lambda s, x: F.struct(F.concat(s["kept"],
+            F.when(x["start"] > s["upto"], F.substring(t, s["upto"] + 1, x["start"] - s["upto"])).otherwise("")).alias("kept"),
+                F.greatest(s["upto"], x["end"]).alias("upto")),
         lambda s: F.concat(s["kept"], F.substring(t, s["upto"] + 1, F.length(t))),
     )
     return docs.join(per, doc, "left").withColumn(text, F.when(F.col("_spans").isNull(), t).otherwise(state)).drop("_spans")

@@ -122,14 +122,17 @@ def features(text: str) -> tuple[list[int], list[int], list[int]]:
     tail = text[len(body) :]
     sh = shape(s)
     f = [
-        "b", f"k{kind}", f"d{dots}", f"kd{kind}{dots}", f"t{'n' if tail.startswith(chr(10)) else 's' if tail else ''}", f"kt{kind}{'n' if tail.startswith(chr(10)) else 's' if tail else ''}",
+        "b", f"k{kind}", f"d{dots}", f"kd{kind}{dots}", f"t{'n' if tail.startswith(chr(10)) else 's' if tail else ''}",
+            f"kt{kind}{'n' if tail.startswith(chr(10)) else 's' if tail else ''}",
         f"kc{kind}{char_class(last)}", f"kcd{kind}{char_class(last)}{dots}", f"k2{kind}{''.join(map(char_class, s[-2:]))}", f"k3{kind}{''.join(map(char_class, s[-3:]))}",
         f"ke{kind}{ended}{dots}", f"ti{kind}{ticks}", f"op{kind}{open_}", f"w1{w1[-24:]}", f"kw1{kind}{w1[-24:].lower()}", f"w2{w2[-40:]}", f"sg{single}{kind}{ended}",
-        f"sn{kind}{min(len(sw), 12)}{ended}", f"s3{' '.join(sw[:3])[:40]}{dots}", f"s2{' '.join(sw[:2])[:30]}{ended}{dots}", f"sh{kind}{sh[-14:]}", f"shl{kind}{sh[:60]}" if kind != "prose" else f"shp{sh[-24:]}",
+        f"sn{kind}{min(len(sw), 12)}{ended}", f"s3{' '.join(sw[:3])[:40]}{dots}", f"s2{' '.join(sw[:2])[:30]}{ended}{dots}", f"sh{kind}{sh[-14:]}",
+            f"shl{kind}{sh[:60]}" if kind != "prose" else f"shp{sh[-24:]}",
         f"w1s{shape(w1)[-16:]}{kind}",
     ]
     if single:
-        f += [f"1l{min(len(body) // 16, 12)}", f"1w{' '.join(words[:3])[:40]}", f"1e{w2[-40:]}{ended}", f"1n{len(words) if len(words) < 14 else 14}{words[0][:1].islower() if words else ''}"]
+        f += [f"1l{min(len(body) // 16, 12)}", f"1w{' '.join(words[:3])[:40]}", f"1e{w2[-40:]}{ended}",
+            f"1n{len(words) if len(words) < 14 else 14}{words[0][:1].islower() if words else ''}"]
     if len(body) < SHORTEST:
         f += [f"xs{i}" for i in range(8)]  # several, so that length weighs as much as the words, which may be new
     if kind == "list":
@@ -137,9 +140,11 @@ def features(text: str) -> tuple[list[int], list[int], list[int]]:
         head, colon, rest = item.partition(": ")
         rw = rest.split()
         prev = _LIST.sub("", above_line, count=1).partition(": ")[2].split()
-        f += [f"lc{bool(colon)}{len(rw)}", f"lf{rw[0].lower() if rw else ''}{len(rw)}", f"lp{len(rw) - len(prev) if prev else 'x'}", f"lw{rw[-1].lower() if rw else ''}", f"lb{len(rw)}{prev[:1] == rw[:1]}{len(prev) == len(rw)}"]
+        f += [f"lc{bool(colon)}{len(rw)}", f"lf{rw[0].lower() if rw else ''}{len(rw)}", f"lp{len(rw) - len(prev) if prev else 'x'}",
+            f"lw{rw[-1].lower() if rw else ''}", f"lb{len(rw)}{prev[:1] == rw[:1]}{len(prev) == len(rw)}"]
     if kind == "table":
-        f += [f"tp{s.count('|') - above_line.count('|') if above_line.startswith('|') else 'x'}", f"te{s.endswith('|')}", f"tc{s.endswith('|')}{s.count('|') == above_line.count('|')}"]
+        f += [f"tp{s.count('|') - above_line.count('|') if above_line.startswith('|') else 'x'}", f"te{s.endswith('|')}",
+            f"tc{s.endswith('|')}{s.count('|') == above_line.count('|')}"]
     if kind == "fence":
         f += [f"fl{s[:12]}{fences % 2}"]
     mask = (1 << BITS) - 1
@@ -297,7 +302,8 @@ def model(rows: DataFrame, n: int, sample: int = SAMPLE) -> np.ndarray | None:
                     ending.append(fold_of(t))
                     for c, x in zip(parts, f):
                         c.append(x)
-            cols = [pa.array(y, pa.int32()), pa.array(first, pa.bool_()), pa.array(at, pa.int32()), pa.array(ending, pa.int64()), *(pa.array(c, pa.list_(pa.int32())) for c in parts)]
+            cols = [pa.array(y, pa.int32()), pa.array(first, pa.bool_()), pa.array(at, pa.int32()), pa.array(ending, pa.int64()),
+                *(pa.array(c, pa.list_(pa.int32())) for c in parts)]
             yield pa.RecordBatch.from_arrays(cols, names=["y", "first", "at", "ending", "f", "off", "on"])
 
     made = sampled(rows, n, sample).mapInArrow(make, "y int, first boolean, at int, ending long, f array<int>, off array<int>, on array<int>")
@@ -311,7 +317,8 @@ def model(rows: DataFrame, n: int, sample: int = SAMPLE) -> np.ndarray | None:
         o, flat = col.offsets.to_numpy(), col.values.to_numpy()
         return [flat[o[i] : o[i + 1]] for i in range(len(y))]
 
-    return train(y, lists("f"), lists("off"), lists("on"), got.column("first").to_numpy(zero_copy_only=False), got.column("at").to_numpy(), got.column("ending").to_numpy())
+    return train(y, lists("f"), lists("off"), lists("on"), got.column("first").to_numpy(zero_copy_only=False), got.column("at").to_numpy(),
+        got.column("ending").to_numpy())
 
 
 def score(docs: DataFrame, key: str, text: str, source: str, sample: int = SAMPLE) -> DataFrame:
@@ -351,5 +358,6 @@ def p8_found(spark, sf_dir: str) -> DataFrame:
 
 def p8_rates(spark, sf_dir: str) -> DataFrame:
     """(source, n_docs, n_cut, rate) over the records that are not blank."""
-    g = _scored(spark, sf_dir).filter("score IS NOT NULL").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum((F.col("score") > THRESHOLD).cast("long")).alias("n_cut"))
+    g = _scored(spark, sf_dir).filter("score IS NOT NULL").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"),
+        F.sum((F.col("score") > THRESHOLD).cast("long")).alias("n_cut"))
     return g.withColumn("rate", F.round(F.col("n_cut") / F.col("n_docs"), 6))

@@ -90,7 +90,9 @@ _KEYWORDS = set(
     """auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union
     unsigned void volatile while _Alignas _Alignof _Atomic _Bool _Complex _Generic _Noreturn _Static_assert _Thread_local __attribute__ asm typeof""".split()
 )
-_SAME = {"__asm__": "asm", "__asm": "asm", "__inline": "inline", "__inline__": "inline", "__restrict": "restrict", "__restrict__": "restrict", "__const": "const", "__volatile__": "volatile", "__typeof__": "typeof", "static_assert": "_Static_assert", "alignas": "_Alignas", "alignof": "_Alignof", "thread_local": "_Thread_local", "bool": "_Bool", "__extension__": None}
+_SAME = {"__asm__": "asm", "__asm": "asm", "__inline": "inline", "__inline__": "inline", "__restrict": "restrict", "__restrict__": "restrict",
+    "__const": "const", "__volatile__": "volatile", "__typeof__": "typeof", "static_assert": "_Static_assert", "alignas": "_Alignas",
+        "alignof": "_Alignof", "thread_local": "_Thread_local", "bool": "_Bool", "__extension__": None}
 _TOKEN = re.compile(
     r"""(?P<ws>(?:[ \t\f\v\r]|\\\r?\n)+)|(?P<nl>\n)|(?P<comment>//(?:[^\n\\]|\\\r?\n|\\)*|/\*(?:[^*]|\*(?!/))*\*/)
 |(?P<string>(?:u8|[uUL])?"(?:[^"\\\n]|\\(?:\r\n|.))*")

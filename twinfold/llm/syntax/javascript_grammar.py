@@ -126,7 +126,8 @@ _ASSIGN = set("+= -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
 _BIN = set("=== !== == != <= >= && || ?? << >> >>> ** % & | ^".split())
 _UNARY = {"!", "~"}
 #: Signs that stand for a kind of token whatever is around them.
-_PLAIN = {**dict.fromkeys(_ASSIGN, "ASSIGN"), **dict.fromkeys(_BIN, "BIN"), **dict.fromkeys(_UNARY, "UNARY"), **{c: c for c in ("(", ")", "[", "]", ".", ";", ",", "<", ">", "+", "-", "*", "?", ":", "=", "@", "=>", "?.", "...")}}
+_PLAIN = {**dict.fromkeys(_ASSIGN, "ASSIGN"), **dict.fromkeys(_BIN, "BIN"), **dict.fromkeys(_UNARY, "UNARY"),
+    **{c: c for c in ("(", ")", "[", "]", ".", ";", ",", "<", ">", "+", "-", "*", "?", ":", "=", "@", "=>", "?.", "...")}}
 _PLAIN_SPLIT = {k: k if k in ("|", "&", "!") else v for k, v in _PLAIN.items() if k not in (">>", ">>>", ">=", ">>=", ">>>=")}
 for _PLAINS in (_PLAIN, _PLAIN_SPLIT):
     _PLAINS.pop("/=", None)  # may begin a regular expression

@@ -144,7 +144,8 @@ _TOKEN = re.compile(
 _AUG = set("+= -= *= /= %= @= &= |= ^= **= //= >>= <<=".split())
 _BIN = set("% & ^ // << >>".split())
 _CMP = set("< > <= >= == !=".split())
-_PLAIN = {**dict.fromkeys(_AUG, "AUG"), **dict.fromkeys(_BIN, "BIN"), **dict.fromkeys(_CMP - {"!="}, "CMP"), **{c: c for c in (",", ".", ";", "=", "+", "-", "*", "/", "|", "@", "~", "**", "->", "...")}}
+_PLAIN = {**dict.fromkeys(_AUG, "AUG"), **dict.fromkeys(_BIN, "BIN"), **dict.fromkeys(_CMP - {"!="}, "CMP"),
+    **{c: c for c in (",", ".", ";", "=", "+", "-", "*", "/", "|", "@", "~", "**", "->", "...")}}
 _SPACE = re.compile(r"(?:[ \t\f]|\\\r?\n)*")
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 _FBODY = {q: re.compile(r"(?:[^\\{}" + q[0] + ("" if len(q) == 3 else "\r\n") + r"]|\\N\{[^}]*\}|\\(?:\r\n|[^{}])|\\(?=[{}])|\{\{|\}\}" + (f"|{q[0]}(?!{q[0] * 2})" if len(q) == 3 else "") + ")+", re.S) for q in ("'", '"', "'''", '"""')}

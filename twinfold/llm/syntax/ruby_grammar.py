@@ -131,7 +131,8 @@ _OP = re.compile(
 _SYMBOL = re.compile(r":(?:[^\W\d]\w*[?!=]?(?![=~>])|[^\W\d]\w*[?!]?|@@?[^\W\d]\w*|\$\w+|\[\]=?|\*\*|<=>|===?|=~|![~=]?|<<|>>|<=|>=|[+\-~]@?|[*/%&|^<>`])")
 _CLOSE = {"(": ")", "[": "]", "{": "}", "<": ">"}
 #: After one of these a value has ended.
-_VALUE = {"ID", "CONST", "ID_Q", "IVAR", "NUMBER", "STRING", "SYMBOL", "REGEX", "WORDS", "XSTR", "CHAR", ")", "]", "}", "end", "self", "nil", "true", "false", "__FILE__", "__LINE__", "__ENCODING__", "FNAME", "redo", "retry"}
+_VALUE = {"ID", "CONST", "ID_Q", "IVAR", "NUMBER", "STRING", "SYMBOL", "REGEX", "WORDS", "XSTR", "CHAR", ")", "]", "}", "end", "self", "nil", "true",
+    "false", "__FILE__", "__LINE__", "__ENCODING__", "FNAME", "redo", "retry"}
 _CMD = {"ID", "ID_Q", "FNAME", "CONST", "super", "yield", "return", "break", "next"}
 _ASSIGN = set("+= -= *= /= %= &= |= ^= <<= >>= **= &&= ||=".split())
 _BIN = set("** <=> == === != >= <= && || =~ !~ << >> + - * / % & ^ >".split())
@@ -261,7 +262,8 @@ def _program(src: str, pos: int, inner: list, nested: bool):
                 word = m.group()
                 if pos < n and src[pos] in "?!" and src[pos + 1 : pos + 2] != "=":
                     pos += 1
-                elif prev != "DOT" and pos < n and src[pos] == "=" and src[pos + 1 : pos + 2] not in ("=", "~", ">") and (src[pos + 1 : pos + 2] in "( \n" or True) and prev == "def" and src[pos + 1 : pos + 2] in "(":
+                elif prev != "DOT" and pos < n and src[pos] == "=" and src[pos + 1 : pos + 2] not in ("=", "~",
+                    ">") and (src[pos + 1 : pos + 2] in "( \n" or True) and prev == "def" and src[pos + 1 : pos + 2] in "(":
                     pos += 1
                 if prev == "DOT" and not (len(toks) > 2 and toks[-3] == "def"):
                     t = "CONST" if word[0].isupper() else "ID" if src[pos - 1] not in "?!" else "ID_Q"
@@ -304,7 +306,8 @@ def _program(src: str, pos: int, inner: list, nested: bool):
                     space = False
                     continue
             if word in _KEYWORDS:
-                if word in ("if", "unless", "while", "until", "rescue") and not begin or word in ("if", "unless", "while", "until") and prev in ("return", "break", "next", "super", "yield"):
+                if word in ("if", "unless", "while", "until", "rescue") and not begin or word in ("if", "unless", "while",
+                    "until") and prev in ("return", "break", "next", "super", "yield"):
                     put("RESCUEMOD" if word == "rescue" else "MOD", p)
                 elif word in ("while", "until", "for"):
                     put("while" if word != "for" else "for", p)
