@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 # Named colours and the properties whose box values expand (fixed values, CSS).
-_COLOURS = {"white": "#ffffff", "black": "#000000", "red": "#ff0000", "lime": "#00ff00", "blue": "#0000ff", "gray": "#808080", "grey": "#808080", "yellow": "#ffff00", "transparent": "#00000000"}
+_COLOURS = {"white": "#ffffff", "black": "#000000", "red": "#ff0000", "lime": "#00ff00", "blue": "#0000ff", "gray": "#808080", "grey": "#808080",
+    "yellow": "#ffff00", "transparent": "#00000000"}
 _BOX = {"margin", "padding", "border-width", "border-style", "border-color", "inset"}
 
 
@@ -132,7 +133,8 @@ def regions(html: str) -> list[tuple[str, int, str]]:
             continue
         if kind == "script" and lang and "json" in lang[1].lower():
             continue
-        out.append(("typescript" if kind == "script" and lang and lang[1].lower() in ("ts", "typescript") else "javascript" if kind == "script" else "css", html.count("\n", 0, m.start(3)) + 1, m[3]))
+        out.append(("typescript" if kind == "script" and lang and lang[1].lower() in ("ts",
+            "typescript") else "javascript" if kind == "script" else "css", html.count("\n", 0, m.start(3)) + 1, m[3]))
     return out
 
 

@@ -92,7 +92,8 @@ def list_range(start: Column, stop: Column, step: Column) -> Column:
     """start, start + step, ... before stop; null for a zero step."""
     n = F.when(step > 0, F.ceil((stop - start) / step)).when(step < 0, F.ceil((start - stop) / -step))
     empty = F.array().cast("array<bigint>")
-    return F.when(step == 0, None).when(n <= 0, empty).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(n - 1, F.lit(0)).cast("bigint")), lambda i: start + i * step))
+    return F.when(step == 0, None).when(n <= 0,
+        empty).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(n - 1, F.lit(0)).cast("bigint")), lambda i: start + i * step))
 
 
 def zip_short(a: Column, b: Column) -> Column:

@@ -158,8 +158,10 @@ def extension(path: Column) -> Column:
 
 # Extension to language (fixed values).
 LANGUAGES = {
-    "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript",
-    "tsx": "typescript", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "rb": "ruby", "swift": "swift", "cs": "csharp", "css": "css", "scss": "css", "html": "html", "htm": "html",
+    "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript",
+        "mts": "typescript", "cts": "typescript",
+    "tsx": "typescript", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "rb": "ruby", "swift": "swift", "cs": "csharp", "css": "css",
+        "scss": "css", "html": "html", "htm": "html",
     "vue": "vue", "svelte": "svelte", "md": "markdown", "markdown": "markdown",
 }
 
@@ -228,4 +230,5 @@ def generated_header(src: Column) -> Column:
 
 
 # Folders in which no prose is worth comparing (fixed values).
-PROSE_EXCLUDED = ("node_modules", "vendor", ".venv", "venv", "dist", "build", "target", "bower_components", ".next", ".nuxt", "site-packages", ".tox", ".mypy_cache", "__pycache__", ".cache", ".git")
+PROSE_EXCLUDED = ("node_modules", "vendor", ".venv", "venv", "dist", "build", "target", "bower_components", ".next", ".nuxt", "site-packages", ".tox",
+    ".mypy_cache", "__pycache__", ".cache", ".git")

@@ -144,7 +144,8 @@ def line_witness(pairs: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = [smith_waterman([x.strip() for x in (s or "").splitlines() if x.strip()], [x.strip() for x in (t or "").splitlines() if x.strip()]) for s, t in zip(f.a_text, f.b_text)]
+            got = [smith_waterman([x.strip() for x in (s or "").splitlines() if x.strip()],
+                [x.strip() for x in (t or "").splitlines() if x.strip()]) for s, t in zip(f.a_text, f.b_text)]
             out = pd.DataFrame(got, columns=["matched", "a_from", "a_to", "b_from", "b_to"], dtype="int32")
             yield pd.concat([f[["a", "b"]].reset_index(drop=True), out], axis=1)
 

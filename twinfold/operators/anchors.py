@@ -16,7 +16,8 @@ def rare_anchor_pairs(units: DataFrame) -> DataFrame:
     """(a, b, weight) of units (unit_id, anchors ARRAY<STRUCT<hash, weight>>) that
     share a rare heavy anchor; weight is the largest of the smaller ones. At most
     15 pairs come from an anchor, since at most MOST units hold it."""
-    long = units.select("unit_id", F.explode("anchors").alias("x")).select("unit_id", F.col("x.hash").alias("h"), F.col("x.weight").alias("w")).filter(F.col("w") >= WEIGHT)
+    long = units.select("unit_id", F.explode("anchors").alias("x")).select("unit_id", F.col("x.hash").alias("h"),
+        F.col("x.weight").alias("w")).filter(F.col("w") >= WEIGHT)
     long = long.groupBy("unit_id", "h").agg(F.max("w").alias("w"))
     rare = long.join(long.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, MOST)), "h")
     l, r = rare.alias("l"), rare.alias("r")
@@ -55,8 +56,10 @@ def reinvented(units: DataFrame) -> DataFrame:
     every guard of the helper and does not call it already. Of several helpers of
     an anchor the first by path and line counts."""
     h = units.filter("pure_single_return AND exact_safe AND NOT used_length_contract AND size(returns) = 1 AND size(value) >= 8 AND token_count >= 20")
-    h = h.select(F.get("returns", F.lit(0)).alias("hash"), F.struct("path", "start_line", "unit_id").alias("o"), F.col("unit_id").alias("helper"), F.col("cond_sinks").alias("sinks"), F.col("token_count").alias("h_tokens"))
-    c = units.select(F.col("unit_id").alias("container"), "path", "start_line", "end_line", "value", "called_helper_returns", "token_count", F.explode("anchors").alias("x"))
+    h = h.select(F.get("returns", F.lit(0)).alias("hash"), F.struct("path", "start_line", "unit_id").alias("o"), F.col("unit_id").alias("helper"),
+        F.col("cond_sinks").alias("sinks"), F.col("token_count").alias("h_tokens"))
+    c = units.select(F.col("unit_id").alias("container"), "path", "start_line", "end_line", "value", "called_helper_returns", "token_count",
+        F.explode("anchors").alias("x"))
     c = c.filter("x.line_start >= start_line AND x.line_end <= end_line").withColumn("hash", F.col("x.hash"))
     j = c.join(h, "hash").filter("container <> helper AND token_count > h_tokens").filter(F.size(F.array_except("sinks", "value")) == 0)
     j = j.filter(~F.coalesce(F.array_contains("called_helper_returns", F.col("hash")), F.lit(False)))
@@ -67,7 +70,8 @@ def abstraction(members: DataFrame) -> DataFrame:
     """(family_id, pos, kinds, parametric) of families whose members differ in the
     literal at exactly one position. members: (family_id, lang, kind, literals
     ARRAY<STRUCT<kind, value>>); languages, kinds and lengths must be the same."""
-    same = members.groupBy("family_id").agg(F.count_distinct("lang", "kind", F.size("literals")).alias("n"), F.count(F.lit(1)).alias("m")).filter("n = 1 AND m > 1").select("family_id")
+    same = members.groupBy("family_id").agg(F.count_distinct("lang", "kind", F.size("literals")).alias("n"),
+        F.count(F.lit(1)).alias("m")).filter("n = 1 AND m > 1").select("family_id")
     pos = members.join(same, "family_id").select("family_id", F.posexplode("literals").alias("pos", "x"))
     varies = pos.groupBy("family_id", "pos").agg(F.count_distinct("x.kind", "x.value").alias("n"), F.array_sort(F.collect_set("x.kind")).alias("kinds")).filter("n > 1")
     one = varies.groupBy("family_id").agg(F.count(F.lit(1)).alias("k"), F.first("pos").alias("pos"), F.first("kinds").alias("kinds")).filter("k = 1")

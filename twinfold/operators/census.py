@@ -21,7 +21,8 @@ def battery(spark: SparkSession, wide: bool = False) -> DataFrame:
     slot j the pool's value at the j-th digit of e."""
     pool, width, count = (WIDE_POOL, 5, 243) if wide else (POOL, 4, 64)
     n = len(pool)
-    values = spark.createDataFrame([(i, None if isinstance(v, list) else v, v if isinstance(v, list) else None) for i, v in enumerate(pool)], "i int, number bigint, list array<bigint>")
+    values = spark.createDataFrame([(i, None if isinstance(v, list) else v, v if isinstance(v, list) else None) for i, v in enumerate(pool)],
+        "i int, number bigint, list array<bigint>")
     cells = spark.range(count).select(F.col("id").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("slot"))
     at = (F.floor(F.col("row") / F.pow(F.lit(n), F.col("slot"))) % n).cast("int")
     return cells.withColumn("i", at).join(F.broadcast(values), "i").select("row", "slot", "number", "list")  # a pool of at most 16 values
@@ -58,7 +59,8 @@ def mined_literals(files: DataFrame, src: str, k: int = 16) -> DataFrame:
 def gap_impact(nodes: DataFrame) -> DataFrame:
     """(lang, kind, files, units, lines, raw, impact) of (lang, kind, file, lines, raw
     BOOLEAN): what it would bring to handle a kind of construct."""
-    g = nodes.groupBy("lang", "kind").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("units"), F.sum("lines").alias("lines"), F.sum(F.col("raw").cast("long")).alias("raw"))
+    g = nodes.groupBy("lang", "kind").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("units"), F.sum("lines").alias("lines"),
+        F.sum(F.col("raw").cast("long")).alias("raw"))
     impact = 10 * (F.col("units") * F.log1p("files") + F.log1p("lines") + F.log1p("raw"))
     return g.withColumn("impact", F.round(impact, 4))
 
@@ -76,10 +78,12 @@ def reachable(gold: DataFrame, units: DataFrame, candidates: DataFrame) -> DataF
     most counts, then the smaller one."""
     from .spans import overlap_join
 
-    ends = gold.select("id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_file").alias("file"), F.col(f"{s}_start").alias("start"), F.col(f"{s}_end").alias("end")) for s in "lr"))).alias("x")).select("id", "x.*")
+    ends = gold.select("id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_file").alias("file"),
+        F.col(f"{s}_start").alias("start"), F.col(f"{s}_end").alias("end")) for s in "lr"))).alias("x")).select("id", "x.*")
     j = overlap_join(ends, units)
     share = (F.least("end", "r_end") - F.greatest("start", "r_start") + 1) / (F.col("end") - F.col("start") + 1)
-    best = j.withColumn("share", share).filter("share >= 0.5").groupBy("id", "side").agg(F.min(F.struct((-F.col("share")).alias("s"), "unit")).alias("m")).select("id", "side", F.col("m.unit").alias("unit"))
+    best = j.withColumn("share", share).filter("share >= 0.5").groupBy("id",
+        "side").agg(F.min(F.struct((-F.col("share")).alias("s"), "unit")).alias("m")).select("id", "side", F.col("m.unit").alias("unit"))
     two = best.groupBy("id").agg(F.min("unit").alias("a"), F.max("unit").alias("b"), F.count(F.lit(1)).alias("n")).filter("n = 2 AND a <> b")
     known = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("c", F.lit(1))
     met = two.join(known, ["a", "b"], "left").agg(F.count(F.lit(1)).alias("unit_reachable"), F.count("c").alias("candidate_reachable"))
@@ -89,7 +93,8 @@ def reachable(gold: DataFrame, units: DataFrame, candidates: DataFrame) -> DataF
 def neighbours(rows: DataFrame, key: str, order: str, near: int = 32) -> DataFrame:
     """(a, b): every row with the `near` ones behind it in the order of (order, key).
     Numbers come from running counts, and a row meets its block and the next one."""
-    placed = prefix_sums(rows.select(F.col(order).alias("o"), F.col(key).alias("k"), F.lit(1).cast("bigint").alias("_one")), [], ["o", "k"], ["_one"]).select("k", (F.col("cum__one") - 1).alias("i"))
+    placed = prefix_sums(rows.select(F.col(order).alias("o"), F.col(key).alias("k"), F.lit(1).cast("bigint").alias("_one")), [], ["o", "k"],
+        ["_one"]).select("k", (F.col("cum__one") - 1).alias("i"))
     block = F.floor(F.col("i") / near)
     left = placed.select(F.col("k").alias("a"), F.col("i").alias("x"), F.explode(F.array(block, block + 1)).alias("b0"))
     right = placed.select(F.col("k").alias("b"), F.col("i").alias("y"), block.alias("b0"))
@@ -108,7 +113,8 @@ def calibration(pairs: DataFrame) -> DataFrame:
 def over_budget(counts: DataFrame, budget: DataFrame) -> DataFrame:
     """(key, n, budget, over): counts (key, n) against a stored budget (key, budget);
     a key without one has none."""
-    j = counts.join(budget, "key", "full").select("key", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("budget", F.lit(0)).cast("bigint").alias("budget"))
+    j = counts.join(budget, "key", "full").select("key", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
+        F.coalesce("budget", F.lit(0)).cast("bigint").alias("budget"))
     return j.withColumn("over", F.greatest(F.col("n") - F.col("budget"), F.lit(0)))
 
 

@@ -57,7 +57,8 @@ def _units(src: str) -> list[tuple]:
             count += 1
             tree[id(x)] = h(tags[id(x)] + "(" + ",".join(str(tree[id(k)]) for k in kids) + ")")
             shapes.append(h(type(x).__name__ + "(" + ",".join(type(k).__name__ for k in kids) + ")"))
-        out.append(("Class" if isinstance(node, ast.ClassDef) else "Function", node.name, node.lineno, node.end_lineno or node.lineno, count, tree[id(node)], sorted(shapes)))
+        out.append(("Class" if isinstance(node, ast.ClassDef) else "Function", node.name, node.lineno, node.end_lineno or node.lineno, count,
+            tree[id(node)], sorted(shapes)))
     return out
 
 
@@ -93,7 +94,8 @@ def near_clones(units: DataFrame, threshold: float = 0.7) -> DataFrame:
     the set join applies."""
     trees = cut(sized(units).groupBy("tree").agg(F.min("shapes").alias("shapes")).filter("size(shapes) > 0").withColumn("h", F.sha2(F.to_json(F.struct("shapes")), 256)))
     kinds = trees.groupBy("h").agg(F.min("tree").alias("class_id"), F.min("shapes").alias("shapes"))
-    copies = lookup(trees.select("tree", "h"), kinds.select("h", "class_id"), "h").filter("tree <> class_id").select(F.col("class_id").alias("a"), F.col("tree").alias("b"), F.lit(1.0).alias("score"))
+    copies = lookup(trees.select("tree", "h"), kinds.select("h", "class_id"), "h").filter("tree <> class_id").select(F.col("class_id").alias("a"),
+        F.col("tree").alias("b"), F.lit(1.0).alias("score"))
     tagged = F.transform("shapes", lambda x, i: F.xxhash64(x, i - F.array_position("shapes", x)))  # shapes are sorted
     sets = cut(kinds.select("class_id", F.size("shapes").alias("size"), tagged.alias("grams")))
     links = jaccard_links(sets, threshold - 0.0005).select("a", "b", F.round("jaccard", 3).alias("score"))  # scores are rounded

@@ -23,13 +23,15 @@ def connected(links: DataFrame) -> DataFrame:
         hook, state = cut_counted(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")))
         n = state["n"]
         while True:
-            jump = lookup(hook.select("u", "p"), hook.select(F.col("u").alias("p"), F.col("p").alias("q")), "p", rows=n).select("u", F.col("q").alias("p"), (F.col("p") != F.col("q")).cast("long").alias("moved"))
+            jump = lookup(hook.select("u", "p"), hook.select(F.col("u").alias("p"), F.col("p").alias("q")), "p", rows=n).select("u",
+                F.col("q").alias("p"), (F.col("p") != F.col("q")).cast("long").alias("moved"))
             step, state = cut_counted(jump, moved=F.sum("moved"))
             release(hook)
             hook = step
             if not state["moved"]:
                 break
-        old, label = label, cut(lookup(label, hook.select(F.col("u").alias("label"), F.col("p")), "label", "left", rows=rows).select("v", F.coalesce("p", "label").alias("label")))
+        old, label = label, cut(lookup(label, hook.select(F.col("u").alias("label"), F.col("p")), "label", "left", rows=rows).select("v",
+            F.coalesce("p", "label").alias("label")))
         e = lookup(edges, hook.select("u", F.col("p").alias("x")), "u", rows=m).select("v", "x")
         e = lookup(e, hook.select(F.col("u").alias("v"), F.col("p").alias("y")), "v", rows=m)
         left, state = cut_counted(e.filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())

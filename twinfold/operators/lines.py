@@ -130,4 +130,5 @@ def pair_spots(pairs: DataFrame) -> DataFrame:
             yield out.astype({k: "Int32" for k in fields[:5]})
 
     k = dict(pairs.dtypes)
-    return pairs.select("a", "b", "a_lines", "b_lines").mapInPandas(run, f"a {k['a']}, b {k['b']}, param int, a_from int, a_to int, b_from int, b_to int, a_text string, b_text string")
+    return pairs.select("a", "b", "a_lines", "b_lines").mapInPandas(run,
+        f"a {k['a']}, b {k['b']}, param int, a_from int, a_to int, b_from int, b_to int, a_text string, b_text string")

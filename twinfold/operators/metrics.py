@@ -15,9 +15,11 @@ def ranking(scored: DataFrame) -> DataFrame:
     v = scored.filter("score IS NOT NULL AND good IS NOT NULL").groupBy((-F.col("score")).alias("x")).agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("b"))
     c = prefix_sums(v, [], ["x"], ["g", "b"])
     one = c.agg(
-        F.sum("g").alias("positives"), F.sum("b").alias("negatives"), F.sum(F.col("b") * (F.col("cum_g") - F.col("g") / 2)).alias("u"), F.sum(F.col("g") * F.col("cum_g") / (F.col("cum_g") + F.col("cum_b"))).alias("p")
+        F.sum("g").alias("positives"), F.sum("b").alias("negatives"), F.sum(F.col("b") * (F.col("cum_g") - F.col("g") / 2)).alias("u"),
+            F.sum(F.col("g") * F.col("cum_g") / (F.col("cum_g") + F.col("cum_b"))).alias("p")
     )
-    return one.select(F.round(F.col("u") / (F.col("positives") * F.col("negatives")), 6).alias("auc"), F.round(F.col("p") / F.col("positives"), 6).alias("average_precision"), "positives", "negatives")
+    return one.select(F.round(F.col("u") / (F.col("positives") * F.col("negatives")), 6).alias("auc"),
+        F.round(F.col("p") / F.col("positives"), 6).alias("average_precision"), "positives", "negatives")
 
 
 def recall_at(scored: DataFrame, precision: float) -> DataFrame:
@@ -25,7 +27,8 @@ def recall_at(scored: DataFrame, precision: float) -> DataFrame:
     v = scored.filter("score IS NOT NULL AND good IS NOT NULL").groupBy((-F.col("score")).alias("x")).agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("b"))
     c = prefix_sums(v, [], ["x"], ["g", "b"])
     ok = F.when(F.col("cum_g") / (F.col("cum_g") + F.col("cum_b")) >= precision, F.col("cum_g")).otherwise(0)
-    return c.agg(F.max(ok).alias("k"), F.sum("g").alias("n")).select(F.lit(precision).alias("precision"), F.round(F.coalesce(F.col("k") / F.col("n"), F.lit(0.0)), 6).alias("recall"))
+    return c.agg(F.max(ok).alias("k"), F.sum("g").alias("n")).select(F.lit(precision).alias("precision"),
+        F.round(F.coalesce(F.col("k") / F.col("n"), F.lit(0.0)), 6).alias("recall"))
 
 
 def pair_scores(found: DataFrame, gold: DataFrame, by: str | None = None) -> DataFrame:
@@ -35,9 +38,11 @@ def pair_scores(found: DataFrame, gold: DataFrame, by: str | None = None) -> Dat
     keys = [by] if by else []
     g = order(gold).select("x", "y", *keys).distinct().withColumn("g", F.lit(1))
     j = f.join(g, ["x", "y"], "full")
-    agg = (j.groupBy(*keys) if keys else j.groupBy()).agg(F.count("f").alias("found"), F.count("g").alias("gold"), F.sum(F.when(F.col("f").isNotNull() & F.col("g").isNotNull(), 1).otherwise(0)).alias("hits"))
+    agg = (j.groupBy(*keys) if keys else j.groupBy()).agg(F.count("f").alias("found"), F.count("g").alias("gold"),
+        F.sum(F.when(F.col("f").isNotNull() & F.col("g").isNotNull(), 1).otherwise(0)).alias("hits"))
     p, r = F.col("hits") / F.when(F.col("found") > 0, F.col("found")), F.col("hits") / F.when(F.col("gold") > 0, F.col("gold"))
-    return agg.select(*keys, "found", "gold", "hits", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / F.when(p + r > 0, p + r), 6).alias("f1"))
+    return agg.select(*keys, "found", "gold", "hits", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"),
+        F.round(2 * p * r / F.when(p + r > 0, p + r), 6).alias("f1"))
 
 
 def held_pairs(found: DataFrame, a: DataFrame, b: DataFrame, gold: DataFrame) -> DataFrame:
@@ -46,9 +51,11 @@ def held_pairs(found: DataFrame, a: DataFrame, b: DataFrame, gold: DataFrame) ->
     in all groups, one row (gold). hits: found pairs that some group holds; held: how
     often groups hold one. Only found pairs are joined, no group is expanded."""
     met = found.join(a, "a").join(b, ["family_id", "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    n = found.agg(F.count(F.lit(1)).alias("found")).crossJoin(gold).crossJoin(met.agg(F.count(F.lit(1)).alias("hits"), F.coalesce(F.sum("k"), F.lit(0)).alias("held")))  # one row each
+    n = found.agg(F.count(F.lit(1)).alias("found")).crossJoin(gold).crossJoin(met.agg(F.count(F.lit(1)).alias("hits"),
+        F.coalesce(F.sum("k"), F.lit(0)).alias("held")))  # one row each
     p, r = F.col("hits") / F.when(F.col("found") > 0, F.col("found")), F.col("held") / F.when(F.col("gold") > 0, F.col("gold"))
-    return n.select("found", "gold", "hits", "held", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / F.when(p + r > 0, p + r), 6).alias("f1"))
+    return n.select("found", "gold", "hits", "held", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"),
+        F.round(2 * p * r / F.when(p + r > 0, p + r), 6).alias("f1"))
 
 
 def soundness(rows: DataFrame) -> DataFrame:

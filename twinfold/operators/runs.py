@@ -32,7 +32,8 @@ def shared_runs(windows: DataFrame, k: int = K, least: int = LEAST) -> DataFrame
     j = lookup(keyed, first.select(F.struct("lang", "gram").alias("g"), F.col("f.file").alias("a"), F.col("f.pos").alias("a_pos")), "g")
     j = j.filter("a <> file").select("a", F.col("file").alias("b"), "a_pos", F.col("pos").alias("b_pos"), (F.col("a_pos") - F.col("pos")).alias("d"))
     island = F.col("b_pos") - F.row_number().over(Window.partitionBy("a", "b", "d").orderBy("b_pos"))
-    runs = j.withColumn("i", island).groupBy("a", "b", "d", "i").agg(F.min("a_pos").alias("a_pos"), F.min("b_pos").alias("b_pos"), (F.count(F.lit(1)) + k - 1).alias("lines"))
+    runs = j.withColumn("i", island).groupBy("a", "b", "d", "i").agg(F.min("a_pos").alias("a_pos"), F.min("b_pos").alias("b_pos"),
+        (F.count(F.lit(1)) + k - 1).alias("lines"))
     return runs.filter(F.col("lines") >= least).select("a", "b", "a_pos", "b_pos", "lines")
 
 
@@ -50,14 +51,16 @@ def with_lines(runs: DataFrame, files: DataFrame, key: str, src: str) -> DataFra
     out = runs
     for side in "ab":
         for name, pos in (("from", F.col(f"{side}_pos")), ("to", F.col(f"{side}_pos") + F.col("lines") - 1)):
-            out = out.withColumn("pos", pos.cast("int")).join(at.select(F.col("file").alias(side), "pos", F.col("line").alias(f"{side}_{name}")), [side, "pos"]).drop("pos")
+            out = out.withColumn("pos", pos.cast("int")).join(at.select(F.col("file").alias(side), "pos", F.col("line").alias(f"{side}_{name}")),
+                [side, "pos"]).drop("pos")
     return out.select("a", "b", "a_pos", "b_pos", "lines", "a_from", "a_to", "b_from", "b_to")
 
 
 def marked_lines(files: DataFrame, key: str, src: str, mark: str) -> DataFrame:
     """(file, start, end): lines that hold a mark which asks to leave them out."""
     lines = F.transform(F.split(F.col(src), "\n"), lambda x, i: F.when(x.contains(mark), i + 1))
-    return files.filter(F.col(src).isNotNull()).select(F.col(key).alias("file"), F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("start")).withColumn("end", F.col("start"))
+    return files.filter(F.col(src).isNotNull()).select(F.col(key).alias("file"),
+        F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("start")).withColumn("end", F.col("start"))
 
 
 def without_marked(runs: DataFrame, marked: DataFrame) -> DataFrame:

@@ -65,12 +65,17 @@ def group_witness(members: DataFrame) -> DataFrame:
     the first unit."""
     one = members.select("group_id", "unit_id", F.array_sort("value").alias("value"), "shapes", F.array_distinct("anchors").alias("anchors"), "safe")
     first = one.groupBy("group_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("value", "unit_id").alias("v0"), F.min_by("shapes", "unit_id").alias("s0"), F.min("unit_id").alias("u0"), F.count_distinct("value").alias("values"), F.min("safe").alias("safe")
+        F.count(F.lit(1)).alias("n"), F.min_by("value", "unit_id").alias("v0"), F.min_by("shapes", "unit_id").alias("s0"),
+            F.min("unit_id").alias("u0"), F.count_distinct("value").alias("values"), F.min("safe").alias("safe")
     )
-    shared = one.select("group_id", F.explode("anchors").alias("h")).groupBy("group_id", "h").agg(F.count(F.lit(1)).alias("k")).groupBy("group_id").agg(F.max("k").alias("most"))
+    shared = one.select("group_id", F.explode("anchors").alias("h")).groupBy("group_id",
+        "h").agg(F.count(F.lit(1)).alias("k")).groupBy("group_id").agg(F.max("k").alias("most"))
     others = one.join(first.select("group_id", "u0", "v0", "s0"), "group_id").filter("unit_id <> u0")
-    mean = others.groupBy("group_id").agg(F.round(F.avg(multiset_jaccard(F.col("v0"), F.col("value"))), 3).alias("mv"), F.round(F.avg(multiset_jaccard(F.col("s0"), F.col("shapes"))), 3).alias("ms"))
+    mean = others.groupBy("group_id").agg(F.round(F.avg(multiset_jaccard(F.col("v0"), F.col("value"))), 3).alias("mv"),
+        F.round(F.avg(multiset_jaccard(F.col("s0"), F.col("shapes"))), 3).alias("ms"))
     j = first.join(shared, "group_id", "left").join(mean, "group_id", "left")
-    kind = F.when((F.col("values") == 1) & F.col("safe") & (F.size("v0") >= EXACT_VALUES), "exact").when((F.col("n") >= 2) & (F.col("most") == F.col("n")), "subdag").otherwise("similar")
+    kind = F.when((F.col("values") == 1) & F.col("safe") & (F.size("v0") >= EXACT_VALUES),
+        "exact").when((F.col("n") >= 2) & (F.col("most") == F.col("n")), "subdag").otherwise("similar")
     similar = kind == "similar"
-    return j.select("group_id", kind.alias("kind"), F.when(kind == "exact", F.size("v0")).alias("value_nodes"), F.when(similar, F.coalesce("mv", F.lit(0.0))).alias("mean_value"), F.when(similar, F.coalesce("ms", F.lit(0.0))).alias("mean_shape"))
+    return j.select("group_id", kind.alias("kind"), F.when(kind == "exact", F.size("v0")).alias("value_nodes"),
+        F.when(similar, F.coalesce("mv", F.lit(0.0))).alias("mean_value"), F.when(similar, F.coalesce("ms", F.lit(0.0))).alias("mean_shape"))

@@ -65,7 +65,8 @@ def jaccard_links(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     long = sets.select("class_id", "size", F.explode("grams").alias("g"))
     placed = lookup(long, df, "g").groupBy("class_id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
     keep = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1
-    prefix = placed.select("class_id", "size", F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias("pos", "e")).select("class_id", "size", "pos", F.col("e.g").alias("g"), F.col("e.df").alias("df"))
+    prefix = placed.select("class_id", "size", F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias("pos", "e")).select("class_id", "size",
+        "pos", F.col("e.g").alias("g"), F.col("e.df").alias("df"))
     prefix = cut(prefix.filter("df > 1"))  # an element of one set joins nothing
     l, r = prefix.alias("l"), prefix.alias("r")
     near = (F.col("l.size") >= F.col("r.size") * threshold - 1e-9) & (F.col("r.size") >= F.col("l.size") * threshold - 1e-9)
@@ -127,7 +128,8 @@ def signatures(sets: DataFrame, k: int = PERMS) -> DataFrame:
 
 def bands(sigs: DataFrame, rows: int = ROWS, k: int = PERMS) -> DataFrame:
     """(class_id, band, key): one row per band."""
-    b = F.transform(F.sequence(F.lit(0), F.lit(k // rows - 1)), lambda i: F.array_join(F.transform(F.slice(F.col("sig"), i * rows + 1, rows), lambda x: x.cast("string")), ","))
+    b = F.transform(F.sequence(F.lit(0), F.lit(k // rows - 1)),
+        lambda i: F.array_join(F.transform(F.slice(F.col("sig"), i * rows + 1, rows), lambda x: x.cast("string")), ","))
     return sigs.select("class_id", F.posexplode(b).alias("band", "key"))
 
 
@@ -205,7 +207,8 @@ def pair_stats(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     pairs of `weighted` sets, of which there are `n`: all figures in one pass over the
     two arrays. commonness is the mean share of the sets that hold a shared element."""
     side = lambda k: sets.select(F.col("class_id").alias(k), F.col("grams").alias(f"g{k}"), F.col("norm").alias(f"l{k}"))
-    j = pairs.select("a", "b").join(side("a"), "a").join(side("b").join(sets.select(F.col("class_id").alias("b"), F.col("dfs").alias("db")), "b"), "b").select("a", "b", "ga", "la", "gb", "lb", "db")
+    j = pairs.select("a", "b").join(side("a"), "a").join(side("b").join(sets.select(F.col("class_id").alias("b"), F.col("dfs").alias("db")), "b"),
+        "b").select("a", "b", "ga", "la", "gb", "lb", "db")
     kinds = dict(pairs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +234,8 @@ def pair_stats(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
                 least = min(len(x), len(y))
                 figures[i] = (k / (len(x) + len(y) - k), k / least, float((w * w).sum()) / (la[i] * lb[i]) if la[i] * lb[i] else 0.0, float(df.mean()) / n if k else 0.0)
                 small[i] = 2 * least < max(len(x), len(y)) and figures[i, 1] >= 0.8 and figures[i, 1] > figures[i, 2]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), *(pa.array(figures[:, k]) for k in range(4)), pa.array(small)], names=["a", "b", "shared", "jaccard", "containment", "cosine", "commonness", "small_in_large"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), *(pa.array(figures[:, k]) for k in range(4)),
+                pa.array(small)], names=["a", "b", "shared", "jaccard", "containment", "cosine", "commonness", "small_in_large"])
 
     return j.mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}, shared int, jaccard double, containment double, cosine double, commonness double, small_in_large boolean")
 
@@ -288,7 +292,8 @@ def accept_candidates(sets: DataFrame, n: int, least_score: float = 0.5, contain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (grams, dfs), norms = ((c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in (batch.column(1), batch.column(2))), batch.column(3).to_numpy(zero_copy_only=False)
+            (grams, dfs), norms = ((c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in (batch.column(1),
+                batch.column(2))), batch.column(3).to_numpy(zero_copy_only=False)
             owner, g_out, left_out, mass_out, size_out = [], [], [], [], []
             for i in range(batch.num_rows):
                 g, d = grams[0][grams[1][i] : grams[1][i + 1]], dfs[0][dfs[1][i] : dfs[1][i + 1]].astype(float)
@@ -310,7 +315,8 @@ def accept_candidates(sets: DataFrame, n: int, least_score: float = 0.5, contain
                 size_out.append(np.full(k, size))
             cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
             ids = batch.column(0).take(pa.array(cat(owner, np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(cat(size_out, np.int32)), pa.array(cat(g_out, np.int64)), pa.array(cat(left_out, np.int32)), pa.array(cat(mass_out, np.float64))], names=["class_id", "size", "g", "left", "mass"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(cat(size_out, np.int32)), pa.array(cat(g_out, np.int64)),
+                pa.array(cat(left_out, np.int32)), pa.array(cat(mass_out, np.float64))], names=["class_id", "size", "g", "left", "mass"])
 
     placed = cut(sets.select("class_id", "grams", "dfs", "norm").mapInArrow(run, f"class_id {kind}, size int, g bigint, left int, mass double"))
     on = (F.col("l.g") == F.col("r.g")) & (F.col("l.class_id") != F.col("r.class_id"))

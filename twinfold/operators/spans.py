@@ -29,7 +29,8 @@ def overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def members(rows: DataFrame) -> DataFrame:
-    return rows.select("family_id", F.posexplode("members").alias("i", "m")).select("family_id", "i", F.col("m.path").alias("file"), F.col("m.start_line").alias("start"), F.col("m.end_line").alias("end"))
+    return rows.select("family_id", F.posexplode("members").alias("i", "m")).select("family_id", "i", F.col("m.path").alias("file"),
+        F.col("m.start_line").alias("start"), F.col("m.end_line").alias("end"))
 
 
 def divergence(rows: DataFrame, changed: DataFrame) -> DataFrame:
@@ -48,7 +49,8 @@ def overlapping(rows: DataFrame, least: int = 2) -> DataFrame:
     m = members(rows).filter("file IS NOT NULL")
     j = overlap_join(m.withColumnRenamed("family_id", "a"), m.withColumnsRenamed({"family_id": "b", "i": "k"})).filter("a < b")
     j = j.filter(2 * (F.least("end", "r_end") - F.greatest("start", "r_start") + 1) >= F.least(F.col("end") - F.col("start"), F.col("r_end") - F.col("r_start")) + 1)
-    g = j.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("i", "k"))).alias("m"), F.count_distinct("i").alias("ni"), F.count_distinct("k").alias("nk")).filter((F.col("ni") >= least) & (F.col("nk") >= least))
+    g = j.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("i", "k"))).alias("m"), F.count_distinct("i").alias("ni"),
+        F.count_distinct("k").alias("nk")).filter((F.col("ni") >= least) & (F.col("nk") >= least))
     none = F.expr("cast(array() as array<int>)")
     free = lambda s, x: ~F.array_contains(s["i"], x["i"]) & ~F.array_contains(s["k"], x["k"])
     take = lambda s, x: F.struct(F.concat(s["i"], F.array(x["i"])).alias("i"), F.concat(s["k"], F.array(x["k"])).alias("k"))
@@ -82,7 +84,8 @@ def covers(rows: DataFrame, share: float = 0.6) -> DataFrame:
     total = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x)
     place = F.array_min(F.expr("transform(members, m -> struct(m.path AS p, m.start_line AS s, m.end_line AS e))"))
     r = rows.select("family_id", "members", F.struct((-total).alias("t"), (-F.coalesce("value", F.lit(0.0))).alias("v"), place.alias("p"), "family_id").alias("o"))
-    m = r.select("family_id", "o", F.posexplode("members").alias("i", "m")).select("family_id", "o", "i", F.col("m.path").alias("file"), F.col("m.start_line").alias("start"), F.col("m.end_line").alias("end")).filter("file IS NOT NULL")
+    m = r.select("family_id", "o", F.posexplode("members").alias("i", "m")).select("family_id", "o", "i", F.col("m.path").alias("file"),
+        F.col("m.start_line").alias("start"), F.col("m.end_line").alias("end")).filter("file IS NOT NULL")
     outer = m.drop("i").withColumnsRenamed({"family_id": "by", "o": "by_o"}).distinct()
     j = overlap_join(m, outer).filter((F.col("by") != F.col("family_id")) & (F.col("by_o") < F.col("o")))
     j = j.filter((F.least("end", "r_end") - F.greatest("start", "r_start") + 1) >= share * (F.col("end") - F.col("start") + 1) - 1e-9)

@@ -71,11 +71,14 @@ def without_ignored(rows: DataFrame, entries: list[dict], today: str) -> DataFra
     return rows.filter(~reduce(lambda a, b: a | b, tests)) if tests else rows
 
 
-_PLACES_SQL = """SELECT DISTINCT family_id, md5(concat_ws('|', m.path, m.start_line, m.end_line)) AS place, md5(concat_ws('|', m.path, m.start_line, m.end_line, m.kind, coalesce(m.heading, ''))) AS digest
+_PLACES_SQL = """SELECT DISTINCT family_id, md5(concat_ws('|', m.path, m.start_line, m.end_line)) AS place, md5(concat_ws('|', m.path, m.start_line,
+  m.end_line, m.kind, coalesce(m.heading, ''))) AS digest
   FROM (SELECT family_id, unnest(members) AS m FROM families WHERE family_id IS NOT NULL AND {}) WHERE m.path IS NOT NULL"""
 STATUS_SQL = f"""
 WITH base AS ({_PLACES_SQL.format("reported_at < TIMESTAMP '2024-07-01'")}), now_ AS ({_PLACES_SQL.format("reported_at >= TIMESTAMP '2024-07-01'")}),
-g AS (SELECT n.family_id, count(*) AS n, count(*) FILTER (digest IN (SELECT digest FROM base)) AS same, count(*) FILTER (place IN (SELECT place FROM base)) AS near FROM now_ n GROUP BY n.family_id),
+g AS (SELECT n.family_id, count(*) AS n, count(*) FILTER (digest IN (SELECT digest FROM base)) AS same, count(*) FILTER (place IN (SELECT place FROM
+  base)) AS near FROM now_ n GROUP BY n.family_id),
 met AS (SELECT DISTINCT family_id FROM base WHERE place IN (SELECT place FROM now_))
 SELECT family_id, CASE WHEN same = n THEN 'unchanged' WHEN same + near > 0 THEN 'changed' ELSE 'new' END AS status FROM g
-UNION ALL SELECT DISTINCT family_id, 'resolved' FROM base WHERE family_id NOT IN (SELECT family_id FROM met) AND family_id NOT IN (SELECT family_id FROM now_)"""
+UNION ALL SELECT DISTINCT family_id, 'resolved' FROM base WHERE family_id NOT IN (SELECT family_id FROM met) AND family_id NOT IN (SELECT family_id
+  FROM now_)"""

@@ -40,7 +40,8 @@ def md_ngrams(spark, d):
     """Character grams per document: how many, and how many distinct ones."""
     n = simple_norm(F.col("text"))
     g = T.char_ngrams(F.col("n"), 5)
-    return docs(spark, d).filter("text IS NOT NULL").select("doc_id", n.alias("n")).select("doc_id", F.size(g).alias("n_grams"), F.size(F.array_distinct(g)).alias("n_distinct"))
+    return docs(spark, d).filter("text IS NOT NULL").select("doc_id", n.alias("n")).select("doc_id", F.size(g).alias("n_grams"),
+        F.size(F.array_distinct(g)).alias("n_distinct"))
 
 
 def md_units(spark, d):
@@ -112,7 +113,8 @@ def md_idf(spark, d):
 
 def lines_of(spark, d):
     """(class_id, lines): the normalised lines of the documents that are not blank."""
-    return docs(spark, d).filter("text IS NOT NULL").select(F.col("doc_id").alias("class_id"), F.filter(F.transform(F.split("text", "\n"), lambda x: T.normalize_text(x)), lambda x: x != "").alias("lines"))
+    return docs(spark, d).filter("text IS NOT NULL").select(F.col("doc_id").alias("class_id"),
+        F.filter(F.transform(F.split("text", "\n"), lambda x: T.normalize_text(x)), lambda x: x != "").alias("lines"))
 
 
 def accepted(spark, d):
@@ -136,7 +138,8 @@ def md_components(spark, d):
     """(doc_id, component): strong links only (score 0.7 or more)."""
     cls, _, p = accepted(spark, d)
     lab = connected(p.filter("score >= 0.7").select("a", "b"))
-    return cls.join(lab.select(F.col("v").alias("class_id"), "label"), "class_id", "left").select(F.col("id").alias("doc_id"), F.coalesce("label", "class_id").alias("component"))
+    return cls.join(lab.select(F.col("v").alias("class_id"), "label"), "class_id", "left").select(F.col("id").alias("doc_id"),
+        F.coalesce("label", "class_id").alias("component"))
 
 
 def md_families(spark, d):
@@ -167,7 +170,8 @@ def md_language_share(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    md_normalize, md_words, md_gram_size, md_ngrams, md_units, md_code, md_exact_classes, md_near_dups, md_jaccard_links, md_lsh_candidates, md_minhash_estimate, md_winnow_candidates,
+    md_normalize, md_words, md_gram_size, md_ngrams, md_units, md_code, md_exact_classes, md_near_dups, md_jaccard_links, md_lsh_candidates,
+        md_minhash_estimate, md_winnow_candidates,
     md_idf, md_accept_pairs, md_components, md_families, md_top_families, md_line_idf, md_language_share,
 )}
 
@@ -197,22 +201,28 @@ _LSH = f"""{_SIG},
 bk AS (SELECT class_id, i // 4 AS band, string_agg(m, ',' ORDER BY i) AS key FROM sig GROUP BY class_id, i // 4),
 bs AS (SELECT band, key, count(*) AS n, min(class_id) AS first FROM bk GROUP BY ALL HAVING count(*) > 1),
 cand AS (
-  SELECT x.class_id AS a, y.class_id AS b FROM bk x JOIN bk y USING (band, key) JOIN bs USING (band, key) WHERE n <= {S.BUCKET} AND x.class_id < y.class_id
+  SELECT x.class_id AS a, y.class_id AS b FROM bk x JOIN bk y USING (band, key) JOIN bs USING (band, key) WHERE n <= {S.BUCKET} AND x.class_id <
+  y.class_id
   UNION SELECT first, class_id FROM bk JOIN bs USING (band, key) WHERE n > {S.BUCKET} AND class_id > first
-  UNION SELECT p, class_id FROM (SELECT class_id, lag(class_id) OVER (PARTITION BY band, key ORDER BY class_id) AS p FROM bk JOIN bs USING (band, key) WHERE n > {S.BUCKET}) WHERE p IS NOT NULL)"""
+  UNION SELECT p, class_id FROM (SELECT class_id, lag(class_id) OVER (PARTITION BY band, key ORDER BY class_id) AS p FROM bk JOIN bs USING (band, key)
+  WHERE n > {S.BUCKET}) WHERE p IS NOT NULL)"""
 _ACC = f"""{_SETS},
 cand AS (SELECT x.class_id AS a, y.class_id AS b FROM gr x JOIN gr y ON x.g = y.g AND x.class_id < y.class_id GROUP BY ALL HAVING count(*) >= 24),
 nn AS (SELECT count(*) AS n FROM sz),
 idf AS (SELECT g, count(*) AS df, n, ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM gr, nn GROUP BY g, n),
 nrm AS (SELECT class_id, sqrt(sum(idf * idf)) AS l FROM gr JOIN idf USING (g) GROUP BY class_id),
-dots AS (SELECT a, b, count(*) AS shared, sum(idf * idf) AS dot, avg(df::DOUBLE / n) AS commonness FROM cand JOIN gr x ON x.class_id = a JOIN gr y ON y.class_id = b AND y.g = x.g JOIN idf ON idf.g = x.g GROUP BY a, b),
-sc AS (SELECT a, b, shared, shared::DOUBLE / (p.size + q.size - shared) AS jaccard, shared::DOUBLE / least(p.size, q.size) AS containment, dot / (u.l * v.l) AS cosine, commonness
+dots AS (SELECT a, b, count(*) AS shared, sum(idf * idf) AS dot, avg(df::DOUBLE / n) AS commonness FROM cand JOIN gr x ON x.class_id = a JOIN gr y ON
+  y.class_id = b AND y.g = x.g JOIN idf ON idf.g = x.g GROUP BY a, b),
+sc AS (SELECT a, b, shared, shared::DOUBLE / (p.size + q.size - shared) AS jaccard, shared::DOUBLE / least(p.size, q.size) AS containment, dot / (u.l
+  * v.l) AS cosine, commonness
        FROM dots JOIN sz p ON p.class_id = a JOIN sz q ON q.class_id = b JOIN nrm u ON u.class_id = a JOIN nrm v ON v.class_id = b),
 acc AS (SELECT *, CASE WHEN containment >= 0.8 AND containment > cosine THEN containment ELSE cosine END AS score FROM sc),
-lna AS (SELECT doc_id AS class_id, list_filter(list_transform(string_split(text, chr(10)), lambda t: {T.normalize_sql('t')}), lambda t: t <> '') AS l FROM documents WHERE text IS NOT NULL),
+lna AS (SELECT doc_id AS class_id, list_filter(list_transform(string_split(text, chr(10)), lambda t: {T.normalize_sql('t')}), lambda t: t <> '') AS l
+  FROM documents WHERE text IS NOT NULL),
 {PF.BLOCKS_SQL},
 ok AS (SELECT acc.* FROM acc JOIN sz p ON p.class_id = a JOIN sz q ON q.class_id = b WHERE score >= 0.5 AND shared >= 24
-       AND (NOT (2 * least(p.size, q.size) < greatest(p.size, q.size) AND containment >= 0.8 AND containment > cosine) OR (a, b) IN (SELECT (a, b) FROM near2)))"""
+       AND (NOT (2 * least(p.size, q.size) < greatest(p.size, q.size) AND containment >= 0.8 AND containment > cosine) OR (a, b) IN (SELECT (a, b)
+  FROM near2)))"""
 _COMP = f"""{_ACC},
 e AS (SELECT a, b FROM ok WHERE score >= 0.7 UNION SELECT b, a FROM ok WHERE score >= 0.7),
 reach(v, r) AS (SELECT a, a FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.v),
@@ -223,33 +233,48 @@ ln AS (SELECT DISTINCT doc_id, trim(regexp_replace(unnest(string_split(text, chr
 
 SQL = {
     "md_normalize": f"SELECT doc_id, {T.normalize_sql('text')} AS norm FROM documents WHERE text IS NOT NULL",
-    "md_units": f"WITH {PF.UNITS_SQL} SELECT doc_id, unit_no, kind, heading, start_line, end_line, n_words, md5(norm) AS norm_md5 FROM uw WHERE n_words >= 8",
-    "md_top_families": f"WITH RECURSIVE {_COMP}, {PF.FAMILIES_SQL}, tf AS (SELECT * FROM ({PF.FAMILIES_SELECT})) SELECT *, (row_number() OVER (ORDER BY is_template, -removable * score, -members, representative))::INT AS rank FROM tf ORDER BY rank LIMIT 20",
-    "md_words": f"SELECT doc_id, len(w)::INT AS n_words, len(list_distinct(w))::INT AS n_distinct FROM (SELECT doc_id, regexp_extract_all({_NORM}, '{_WORD}') AS w FROM documents WHERE text IS NOT NULL)",
-    "md_gram_size": f"""SELECT doc_id, CASE WHEN l > 0 AND d * 100 > l * 30 THEN 3 ELSE 5 END AS gram_size FROM (SELECT doc_id, length(regexp_replace(lower(text), '[^\\pL]', '', 'g')) AS l, length(regexp_replace(lower(text), '[^{T.NOSPACE}]', '', 'g')) AS d FROM documents WHERE text IS NOT NULL)""",
+    "md_units": f"""WITH {PF.UNITS_SQL} SELECT doc_id, unit_no, kind, heading, start_line, end_line, n_words, md5(norm) AS norm_md5 FROM uw WHERE
+  n_words >= 8""",
+    "md_top_families": f"""WITH RECURSIVE {_COMP}, {PF.FAMILIES_SQL}, tf AS (SELECT * FROM ({PF.FAMILIES_SELECT})) SELECT *, (row_number() OVER (ORDER
+  BY is_template, -removable * score, -members, representative))::INT AS rank FROM tf ORDER BY rank LIMIT 20""",
+    "md_words": f"""SELECT doc_id, len(w)::INT AS n_words, len(list_distinct(w))::INT AS n_distinct FROM (SELECT doc_id, regexp_extract_all({_NORM},
+  '{_WORD}') AS w FROM documents WHERE text IS NOT NULL)""",
+    "md_gram_size": f"""SELECT doc_id, CASE WHEN l > 0 AND d * 100 > l * 30 THEN 3 ELSE 5 END AS gram_size FROM (SELECT doc_id,
+  length(regexp_replace(lower(text), '[^\\pL]', '', 'g')) AS l, length(regexp_replace(lower(text), '[^{T.NOSPACE}]', '', 'g')) AS d FROM documents
+  WHERE text IS NOT NULL)""",
     "md_ngrams": f"""WITH n AS (SELECT doc_id, {_NORM} AS n FROM documents WHERE text IS NOT NULL),
-g AS (SELECT doc_id, n, CASE WHEN length(n) = 0 THEN [] WHEN length(n) < 5 THEN [n] ELSE list_transform(range(1, length(n) - 3), lambda i: substr(n, i, 5)) END AS g FROM n)
+g AS (SELECT doc_id, n, CASE WHEN length(n) = 0 THEN [] WHEN length(n) < 5 THEN [n] ELSE list_transform(range(1, length(n) - 3), lambda i: substr(n,
+  i, 5)) END AS g FROM n)
 SELECT doc_id, len(g)::INT AS n_grams, len(list_distinct(g))::INT AS n_distinct FROM g""",
-    "md_code": """SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '(?s)```[^\\n]*\\n(.*?)```', 1), lambda x: trim(x, ' ')), chr(10))) AS code_md5 FROM documents WHERE text LIKE '%```%'""",
+    "md_code": """SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '(?s)```[^\\n]*\\n(.*?)```', 1), lambda x: trim(x, ' ')),
+  chr(10))) AS code_md5 FROM documents WHERE text LIKE '%```%'""",
     "md_exact_classes": f"WITH {_CLS} SELECT id AS doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS n_copies FROM cls",
     "md_jaccard_links": f"WITH {_LINKS} SELECT a, b, shared, round(jaccard, 6) AS jaccard FROM links",
-    "md_near_dups": f"""WITH {_LINKS}, ends AS (SELECT class_id, count(*) AS n FROM (SELECT a AS class_id FROM links UNION ALL SELECT b FROM links) GROUP BY class_id)
+    "md_near_dups": f"""WITH {_LINKS}, ends AS (SELECT class_id, count(*) AS n FROM (SELECT a AS class_id FROM links UNION ALL SELECT b FROM links)
+  GROUP BY class_id)
 SELECT id AS doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS n_copies, coalesce(n, 0) AS n_links FROM cls LEFT JOIN ends USING (class_id)""",
     "md_lsh_candidates": f"WITH {_LSH} SELECT a, b FROM cand",
-    "md_minhash_estimate": f"WITH {_LSH} SELECT c.a, c.b, round(avg((x.m = y.m)::INT), 6) AS estimate FROM cand c JOIN sig x ON x.class_id = c.a JOIN sig y ON y.class_id = c.b AND y.i = x.i GROUP BY c.a, c.b",
+    "md_minhash_estimate": f"""WITH {_LSH} SELECT c.a, c.b, round(avg((x.m = y.m)::INT), 6) AS estimate FROM cand c JOIN sig x ON x.class_id = c.a
+  JOIN sig y ON y.class_id = c.b AND y.i = x.i GROUP BY c.a, c.b""",
     "md_winnow_candidates": f"""WITH {_CLS},
-h AS (SELECT class_id, CASE WHEN length(norm) < 5 THEN [norm] ELSE list_transform(range(1, length(norm) - 3), lambda i: substr(norm, i, 5)) END AS g FROM reps),
+h AS (SELECT class_id, CASE WHEN length(norm) < 5 THEN [norm] ELSE list_transform(range(1, length(norm) - 3), lambda i: substr(norm, i, 5)) END AS g
+  FROM reps),
 hh AS (SELECT class_id, list_transform(g, lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT) AS h FROM h),
-fp AS (SELECT DISTINCT class_id, unnest(CASE WHEN len(h) < 4 THEN [list_min(h)] ELSE list_transform(range(1, len(h) - 2), lambda i: list_min(h[i : i + 3])) END) AS f FROM hh),
+fp AS (SELECT DISTINCT class_id, unnest(CASE WHEN len(h) < 4 THEN [list_min(h)] ELSE list_transform(range(1, len(h) - 2), lambda i: list_min(h[i : i +
+  3])) END) AS f FROM hh),
 df AS (SELECT f FROM fp GROUP BY f HAVING count(*) BETWEEN 2 AND (SELECT least(greatest(8, count(*) // 25), 40) FROM reps)),
 r AS (SELECT class_id, f FROM fp JOIN df USING (f))
-SELECT x.class_id AS a, y.class_id AS b, count(*) AS shared FROM r x JOIN r y ON x.f = y.f AND x.class_id < y.class_id GROUP BY ALL HAVING count(*) >= 3""",
-    "md_idf": f"WITH {_SETS}, nn AS (SELECT count(*) AS n FROM sz) SELECT g, count(*) AS df, round(ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM gr, nn GROUP BY g, n",
-    "md_accept_pairs": f"WITH {_ACC} SELECT a, b, shared, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment, round(cosine, 6) AS cosine, round(commonness, 6) AS commonness, round(score, 6) AS score FROM ok",
+SELECT x.class_id AS a, y.class_id AS b, count(*) AS shared FROM r x JOIN r y ON x.f = y.f AND x.class_id < y.class_id GROUP BY ALL HAVING count(*) >=
+  3""",
+    "md_idf": f"""WITH {_SETS}, nn AS (SELECT count(*) AS n FROM sz) SELECT g, count(*) AS df, round(ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1),
+  6) AS idf FROM gr, nn GROUP BY g, n""",
+    "md_accept_pairs": f"""WITH {_ACC} SELECT a, b, shared, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment, round(cosine, 6) AS
+  cosine, round(commonness, 6) AS commonness, round(score, 6) AS score FROM ok""",
     "md_components": f"WITH RECURSIVE {_COMP} SELECT id AS doc_id, coalesce(label, class_id) AS component FROM cls LEFT JOIN lab ON v = class_id",
     "md_families": f"WITH RECURSIVE {_COMP}, {PF.FAMILIES_SQL} {PF.FAMILIES_SELECT}",
     "md_line_idf": f"""WITH {_LINES}, nn AS (SELECT count(*) AS n FROM x),
 df AS (SELECT line, count(*) AS df, any_value(n) AS n FROM ln, nn WHERE NOT {T.is_trivial_sql('line')} GROUP BY line)
 SELECT line, df, round(CASE WHEN n <= 1 THEN 1.0 ELSE greatest(0.0, least(1.0, (0.60 - df::DOUBLE / n) / 0.35)) END, 6) AS weight FROM df""",
-    "md_language_share": "SELECT source, lower(coalesce(lang, '?')) AS lang, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY source), 6) AS share FROM documents GROUP BY source, lower(coalesce(lang, '?'))",
+    "md_language_share": """SELECT source, lower(coalesce(lang, '?')) AS lang, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION
+  BY source), 6) AS share FROM documents GROUP BY source, lower(coalesce(lang, '?'))""",
 }

@@ -27,11 +27,14 @@ from ..operators import spans, temporal
 from ..operators.ranking import facet, folded
 
 STRINGS = {
-    "tier": "tier", "witness": "witness", "scope": "scope", "status": "status", "id": "family_id", "surface": "surface", "shape": "shape", "extraction_shape": "shape", "dir": "dir", "spotclass": "spotclass",
+    "tier": "tier", "witness": "witness", "scope": "scope", "status": "status", "id": "family_id", "surface": "surface", "shape": "shape",
+        "extraction_shape": "shape", "dir": "dir", "spotclass": "spotclass",
 }
 NUMBERS = {
-    "members": "n_members", "sites": "n_members", "copies": "n_members", "files": "n_files", "modules": "n_modules", "dirs": "n_modules", "langs": "n_langs", "languages": "n_langs", "lines": "mean_lines",
-    "mean_lines": "mean_lines", "dup": "dup_lines", "dup_lines": "dup_lines", "removable": "removable", "score": "score", "value": "value", "extractability": "extractability", "hazard": "hazard",
+    "members": "n_members", "sites": "n_members", "copies": "n_members", "files": "n_files", "modules": "n_modules", "dirs": "n_modules",
+        "langs": "n_langs", "languages": "n_langs", "lines": "mean_lines",
+    "mean_lines": "mean_lines", "dup": "dup_lines", "dup_lines": "dup_lines", "removable": "removable", "score": "score", "value": "value",
+        "extractability": "extractability", "hazard": "hazard",
     "shared": "shared_lines", "shared_lines": "shared_lines", "params": "params", "sem": "mean_sem",
 }
 BOOLEANS = {"exact": "is_exact", "template": "is_template", "same_symbol": "same_symbol"}
@@ -48,7 +51,8 @@ ALIASES = {"shared-core": "subdag", "copypaste": "copy-paste", "structural": "si
 #: Keys of groups beyond the fields above, and what stands where a family has none.
 GROUPS = {"lang": "first_lang", "language": "first_lang", "file": "file"}
 MISSING = {"spotclass": "unwitnessed", "lang": "", "language": "", "file": ""}
-SORTS = {"extractability": "extractability", "extract": "extractability", "value": "value", "sites": "n_members", "members": "n_members", "copies": "n_members", "hazard": "hazard", "removable": "removable", "score": "score"}
+SORTS = {"extractability": "extractability", "extract": "extractability", "value": "value", "sites": "n_members", "members": "n_members",
+    "copies": "n_members", "hazard": "hazard", "removable": "removable", "score": "score"}
 _TERM = re.compile(r"([a-z_]+)(!~|!=|~|>|<|=)(.*)", re.S)
 
 
@@ -219,7 +223,8 @@ def slices(rows: DataFrame) -> DataFrame:
     return folded(shown, spans.overlapping(shown))
 
 
-def view(rows: DataFrame, terms: list[str], *, baselines: dict[str, DataFrame] | None = None, changes: dict[str, DataFrame] | None = None, reinvented: DataFrame | None = None) -> DataFrame:
+def view(rows: DataFrame, terms: list[str], *, baselines: dict[str, DataFrame] | None = None, changes: dict[str, DataFrame] | None = None,
+    reinvented: DataFrame | None = None) -> DataFrame:
     """What a user sees of `rows` for `terms`. `baselines` and `changes` are the
     tables that since= and base= name: (family_id, place, digest) and (file, start,
     end); `reinvented` is the table of that view, with whether either side is a test."""

@@ -82,7 +82,8 @@ def md_candidate_recall(spark, d):
     near = S.bucket_pairs(S.bands(S.signatures(sets)), ["band", "key"], "class_id").withColumn("near", F.lit(1))
     rare = S.shared_rare(fps, "fps", 3, min(max(8, fps.count() // 25), POSTINGS)).select("a", "b", F.lit(1).alias("rare"))
     j = pairs.select("a", "b").join(near, ["a", "b"], "left").join(rare, ["a", "b"], "left")
-    return j.agg(F.count(F.lit(1)).alias("accepted"), F.count("near").alias("by_bands"), F.count("rare").alias("by_winnowing"), F.count(F.coalesce("near", "rare")).alias("by_either"))
+    return j.agg(F.count(F.lit(1)).alias("accepted"), F.count("near").alias("by_bands"), F.count("rare").alias("by_winnowing"),
+        F.count(F.coalesce("near", "rare")).alias("by_either"))
 
 
 QUERIES = {f.__name__: f for f in (sec_candidates, sec_pairs, sec_families, md_candidate_recall)}
@@ -92,47 +93,65 @@ _HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 _UNITS = f"""{PF.UNITS_SQL},
 un AS (SELECT doc_id * {PLACES} + unit_no AS id, doc_id, start_line, end_line, norm FROM uw WHERE n_words >= 8),
 cls AS (SELECT *, min(id) OVER (PARTITION BY norm) AS class_id, count(*) OVER (PARTITION BY norm) AS copies FROM un),
-reps AS (SELECT class_id, copies, norm, CASE WHEN length(regexp_replace(norm, '[^\\pL]', '', 'g')) > 0 AND length(regexp_replace(norm, '[^{T.NOSPACE}]', '', 'g')) * 100 > length(regexp_replace(norm, '[^\\pL]', '', 'g')) * 30 THEN 3 ELSE 5 END AS k FROM cls WHERE id = class_id),
-gr AS (SELECT DISTINCT class_id, copies, {_HASH.format("g")} AS g FROM (SELECT class_id, copies, unnest(CASE WHEN length(norm) < k THEN [norm] ELSE list_transform(range(1, length(norm) - k + 2), lambda i: substr(norm, i, k)) END) AS g FROM reps)),
+reps AS (SELECT class_id, copies, norm, CASE WHEN length(regexp_replace(norm, '[^\\pL]', '', 'g')) > 0 AND length(regexp_replace(norm,
+  '[^{T.NOSPACE}]', '', 'g')) * 100 > length(regexp_replace(norm, '[^\\pL]', '', 'g')) * 30 THEN 3 ELSE 5 END AS k FROM cls WHERE id = class_id),
+gr AS (SELECT DISTINCT class_id, copies, {_HASH.format("g")} AS g FROM (SELECT class_id, copies, unnest(CASE WHEN length(norm) < k THEN [norm] ELSE
+  list_transform(range(1, length(norm) - k + 2), lambda i: substr(norm, i, k)) END) AS g FROM reps)),
 sz AS (SELECT class_id, any_value(copies) AS copies, count(*) AS size FROM gr GROUP BY class_id)"""
 _CAND = f"""{_UNITS},
 perm(i, a, b) AS (VALUES {_PERM}),
 sig AS (SELECT class_id, i, min((a * (g % {S.PRIME}) + b) % {S.PRIME}) AS m FROM gr, perm GROUP BY class_id, i),
 bk AS (SELECT class_id, i // 4 AS band, string_agg(m, ',' ORDER BY i) AS key FROM sig GROUP BY class_id, i // 4),
 bs AS (SELECT band, key, count(*) AS n, min(class_id) AS first FROM bk GROUP BY ALL HAVING count(*) > 1),
-hh AS (SELECT class_id, list_transform(CASE WHEN length(norm) < 5 THEN [norm] ELSE list_transform(range(1, length(norm) - 3), lambda i: substr(norm, i, 5)) END, lambda x: {_HASH.format("x")}) AS h FROM reps),
-fp AS (SELECT DISTINCT class_id, unnest(CASE WHEN len(h) < 4 THEN [list_min(h)] ELSE list_transform(range(1, len(h) - 2), lambda i: list_min(h[i : i + 3])) END) AS f FROM hh),
+hh AS (SELECT class_id, list_transform(CASE WHEN length(norm) < 5 THEN [norm] ELSE list_transform(range(1, length(norm) - 3), lambda i: substr(norm,
+  i, 5)) END, lambda x: {_HASH.format("x")}) AS h FROM reps),
+fp AS (SELECT DISTINCT class_id, unnest(CASE WHEN len(h) < 4 THEN [list_min(h)] ELSE list_transform(range(1, len(h) - 2), lambda i: list_min(h[i : i +
+  3])) END) AS f FROM hh),
 fd AS (SELECT f FROM fp GROUP BY f HAVING count(*) BETWEEN 2 AND (SELECT least(greatest(8, count(*) // 25), {POSTINGS}) FROM reps)),
 fr AS (SELECT class_id, f FROM fp JOIN fd USING (f)),
 cand AS (
-  SELECT x.class_id AS a, y.class_id AS b FROM bk x JOIN bk y USING (band, key) JOIN bs USING (band, key) WHERE n <= {S.BUCKET} AND x.class_id < y.class_id
+  SELECT x.class_id AS a, y.class_id AS b FROM bk x JOIN bk y USING (band, key) JOIN bs USING (band, key) WHERE n <= {S.BUCKET} AND x.class_id <
+  y.class_id
   UNION SELECT first, class_id FROM bk JOIN bs USING (band, key) WHERE n > {S.BUCKET} AND class_id > first
-  UNION SELECT p, class_id FROM (SELECT class_id, lag(class_id) OVER (PARTITION BY band, key ORDER BY class_id) AS p FROM bk JOIN bs USING (band, key) WHERE n > {S.BUCKET}) WHERE p IS NOT NULL
-  UNION SELECT x.class_id, y.class_id FROM fr x JOIN fr y ON x.f = y.f AND x.class_id < y.class_id GROUP BY x.class_id, y.class_id HAVING count(*) >= 3)"""
+  UNION SELECT p, class_id FROM (SELECT class_id, lag(class_id) OVER (PARTITION BY band, key ORDER BY class_id) AS p FROM bk JOIN bs USING (band, key)
+  WHERE n > {S.BUCKET}) WHERE p IS NOT NULL
+  UNION SELECT x.class_id, y.class_id FROM fr x JOIN fr y ON x.f = y.f AND x.class_id < y.class_id GROUP BY x.class_id, y.class_id HAVING count(*) >=
+  3)"""
 _PAIRS = f"""{_CAND},
 nn AS (SELECT sum(copies)::BIGINT AS n FROM sz),
 idf AS (SELECT g, sum(copies)::BIGINT AS df, n, ln((n - sum(copies) + 0.5) / (sum(copies) + 0.5) + 1) AS idf FROM gr, nn GROUP BY g, n),
 gw AS (SELECT class_id, g, df, n, idf FROM gr JOIN idf USING (g)),
 nrm AS (SELECT class_id, sqrt(sum(idf * idf)) AS l, avg(df::DOUBLE / n) AS own FROM gw GROUP BY class_id),
-dots AS (SELECT a, b, count(*) AS shared, sum(x.idf * x.idf) AS dot, avg(x.df::DOUBLE / x.n) AS commonness FROM cand JOIN gw x ON x.class_id = a JOIN gr y ON y.class_id = b AND y.g = x.g GROUP BY a, b),
-sc AS (SELECT a, b, shared, shared::DOUBLE / (p.size + q.size - shared) AS jaccard, shared::DOUBLE / least(p.size, q.size) AS containment, dot / (u.l * v.l) AS cosine, commonness, p.size AS sa, q.size AS sb
+dots AS (SELECT a, b, count(*) AS shared, sum(x.idf * x.idf) AS dot, avg(x.df::DOUBLE / x.n) AS commonness FROM cand JOIN gw x ON x.class_id = a JOIN
+  gr y ON y.class_id = b AND y.g = x.g GROUP BY a, b),
+sc AS (SELECT a, b, shared, shared::DOUBLE / (p.size + q.size - shared) AS jaccard, shared::DOUBLE / least(p.size, q.size) AS containment, dot / (u.l
+  * v.l) AS cosine, commonness, p.size AS sa, q.size AS sb
        FROM dots JOIN sz p ON p.class_id = a JOIN sz q ON q.class_id = b JOIN nrm u ON u.class_id = a JOIN nrm v ON v.class_id = b),
 acc AS (SELECT *, CASE WHEN containment >= 0.8 AND containment > cosine THEN containment ELSE cosine END AS score FROM sc),
-lna AS (SELECT class_id, list_filter(list_transform(string_split(raw, chr(10)), lambda t: {T.normalize_sql("t")}), lambda t: t <> '') AS l FROM reps JOIN (SELECT doc_id * {PLACES} + unit_no AS class_id, raw FROM ur) USING (class_id)),
+lna AS (SELECT class_id, list_filter(list_transform(string_split(raw, chr(10)), lambda t: {T.normalize_sql("t")}), lambda t: t <> '') AS l FROM reps
+  JOIN (SELECT doc_id * {PLACES} + unit_no AS class_id, raw FROM ur) USING (class_id)),
 {PF.BLOCKS_SQL},
-ok AS (SELECT acc.* FROM acc WHERE score >= 0.5 AND shared >= 24 AND (NOT (2 * least(sa, sb) < greatest(sa, sb) AND containment >= 0.8 AND containment > cosine) OR (a, b) IN (SELECT (a, b) FROM near2)))"""
+ok AS (SELECT acc.* FROM acc WHERE score >= 0.5 AND shared >= 24 AND (NOT (2 * least(sa, sb) < greatest(sa, sb) AND containment >= 0.8 AND containment
+  > cosine) OR (a, b) IN (SELECT (a, b) FROM near2)))"""
 _FAMILIES = f"""{_PAIRS},
 e AS (SELECT a, b FROM ok WHERE score >= 0.7 UNION SELECT b, a FROM ok WHERE score >= 0.7),
 reach(v, r) AS (SELECT a, a FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.v),
-lab AS (SELECT class_id, size, copies, own, coalesce(label, class_id) AS family FROM sz JOIN nrm USING (class_id) LEFT JOIN (SELECT v AS class_id, min(r) AS label FROM reach GROUP BY v) USING (class_id)),
-ev AS (SELECT x.family, (x.copies * y.copies)::DOUBLE AS w, score, commonness, a, b FROM ok JOIN lab x ON x.class_id = a JOIN lab y ON y.class_id = b AND y.family = x.family
+lab AS (SELECT class_id, size, copies, own, coalesce(label, class_id) AS family FROM sz JOIN nrm USING (class_id) LEFT JOIN (SELECT v AS class_id,
+  min(r) AS label FROM reach GROUP BY v) USING (class_id)),
+ev AS (SELECT x.family, (x.copies * y.copies)::DOUBLE AS w, score, commonness, a, b FROM ok JOIN lab x ON x.class_id = a JOIN lab y ON y.class_id = b
+  AND y.family = x.family
   UNION ALL SELECT family, copies * (copies - 1) / 2, 1.0, own, class_id, class_id FROM lab WHERE copies > 1 AND size >= 24),
-mn AS (SELECT family, sum(w * score) / sum(w) AS score, sum(w * commonness) / sum(w) AS commonness, max((score, a, b)) AS best FROM ev GROUP BY family),
-ag AS (SELECT family, count(*) AS members, count(DISTINCT doc_id) AS files, count(DISTINCT class_id) AS texts, floor(avg(end_line - start_line + 1))::BIGINT AS mean_lines, min(id) AS representative FROM cls JOIN lab USING (class_id) GROUP BY family HAVING count(*) >= 2)
-SELECT family, members, files, round(score, 6) AS score, round(commonness, 6) AS commonness, texts = 1 AS is_exact, CASE WHEN texts = 1 THEN 'exact' WHEN score >= 0.9 THEN 'near-high' WHEN score >= 0.7 THEN 'near-med'
-  WHEN (best[2], best[3]) IN (SELECT (a, b) FROM met) THEN 'near-low' ELSE 'partial' END AS tier, texts > 1 AND members >= 8 AND files >= 4 AS is_template, (members - 1) * mean_lines AS removable, representative FROM ag JOIN mn USING (family)"""
+mn AS (SELECT family, sum(w * score) / sum(w) AS score, sum(w * commonness) / sum(w) AS commonness, max((score, a, b)) AS best FROM ev GROUP BY
+  family),
+ag AS (SELECT family, count(*) AS members, count(DISTINCT doc_id) AS files, count(DISTINCT class_id) AS texts, floor(avg(end_line - start_line +
+  1))::BIGINT AS mean_lines, min(id) AS representative FROM cls JOIN lab USING (class_id) GROUP BY family HAVING count(*) >= 2)
+SELECT family, members, files, round(score, 6) AS score, round(commonness, 6) AS commonness, texts = 1 AS is_exact, CASE WHEN texts = 1 THEN 'exact'
+  WHEN score >= 0.9 THEN 'near-high' WHEN score >= 0.7 THEN 'near-med'
+  WHEN (best[2], best[3]) IN (SELECT (a, b) FROM met) THEN 'near-low' ELSE 'partial' END AS tier, texts > 1 AND members >= 8 AND files >= 4 AS
+  is_template, (members - 1) * mean_lines AS removable, representative FROM ag JOIN mn USING (family)"""
 SQL = {
     "sec_candidates": f"WITH {_CAND} SELECT a, b FROM cand",
-    "sec_pairs": f"WITH {_PAIRS} SELECT a, b, shared::INT AS shared, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment, round(cosine, 6) AS cosine, round(commonness, 6) AS commonness, round(score, 6) AS score FROM ok",
+    "sec_pairs": f"""WITH {_PAIRS} SELECT a, b, shared::INT AS shared, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment,
+  round(cosine, 6) AS cosine, round(commonness, 6) AS commonness, round(score, 6) AS score FROM ok""",
     "sec_families": f"WITH RECURSIVE {_FAMILIES}",
 }

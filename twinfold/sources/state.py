@@ -143,7 +143,8 @@ def read_cache(spark: SparkSession, cache: str, options: str) -> DataFrame:
 
 def write_predictions(pairs: DataFrame, path: str, tool: str = "twinfold") -> None:
     """Pairs with a column `json` as JSON lines in the form that evaluations read."""
-    pairs.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(tool).alias("tool"), F.col("json").alias("duplicate"))).alias("value")).write.mode("overwrite").text(path)
+    pairs.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(tool).alias("tool"),
+        F.col("json").alias("duplicate"))).alias("value")).write.mode("overwrite").text(path)
 
 
 def sarif(findings: DataFrame) -> DataFrame:
@@ -152,12 +153,14 @@ def sarif(findings: DataFrame) -> DataFrame:
     place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     g = findings.groupBy("family_id", "tier").agg(F.array_sort(F.collect_set(place)).alias("locations"))
     msg = F.struct(F.concat(F.lit("duplicated in "), F.size("locations"), F.lit(" places")).alias("text"))
-    return g.select(F.to_json(F.struct(F.lit("duplicate").alias("ruleId"), msg.alias("message"), "locations", F.struct(F.col("family_id").alias("family")).alias("partialFingerprints"))).alias("result"))
+    return g.select(F.to_json(F.struct(F.lit("duplicate").alias("ruleId"), msg.alias("message"), "locations",
+        F.struct(F.col("family_id").alias("family")).alias("partialFingerprints"))).alias("result"))
 
 
 def sarif_document(results: list[str]) -> str:
     """The envelope around the result objects of a (bounded) report."""
-    return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "twinfold", "rules": [{"id": "duplicate"}]}}, "results": [json.loads(r) for r in results]}]})
+    return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "twinfold", "rules": [{"id": "duplicate"}]}},
+        "results": [json.loads(r) for r in results]}]})
 
 
 def markdown_report(rows: list, columns: list[str]) -> str:

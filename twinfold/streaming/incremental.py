@@ -46,7 +46,8 @@ def match_batches(stream: DataFrame, known: str, out: str, checkpoint: str):
         else:
             seen = spark.createDataFrame([], "key string, first_id long")
         firsts = new.groupBy("key").agg(F.min("doc_id").alias("first_id"))
-        merged = firsts.join(seen.withColumnRenamed("first_id", "old"), "key", "left").select("key", F.coalesce("old", "first_id").alias("first_id"), F.col("old").isNull().alias("fresh"))
+        merged = firsts.join(seen.withColumnRenamed("first_id", "old"), "key", "left").select("key", F.coalesce("old", "first_id").alias("first_id"),
+            F.col("old").isNull().alias("fresh"))
         new.join(merged, "key").filter("doc_id <> first_id").select("doc_id", "first_id").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         merged.filter("fresh").select("key", "first_id").write.mode("overwrite").parquet(f"{known}/epoch={epoch}")
 
