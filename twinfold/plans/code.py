@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as V
 from ..functions import text as T
-from ..operators import align, metrics, ranking, runs, similarity
+from ..operators import align, anchors, metrics, ranking, runs, scoring, similarity
 from ..operators import code as C
+from ..operators import features as X
 from ..operators import spans as SP
 from ..operators.scale import cut
 from ..tables import table
@@ -74,6 +75,50 @@ def code_py_near(spark, d):
     return C.near_clones(C.python_units(files(spark, d)))
 
 
+def _features(spark, d) -> DataFrame:
+    return cut(X.python_features(files(spark, d)))
+
+
+def code_features(spark, d):
+    """Python units, blocks included, with the sizes of their features."""
+    sizes = ("value", "shapes", "anchors", "returns", "cond_sinks", "calls", "literals")
+    return X.python_features(files(spark, d)).select("unit_id", "kind", "name", "start_line", "end_line", "token_count", *(F.size(c).alias(f"n_{c}") for c in sizes), "pure_single_return", "exact_safe")
+
+
+def code_anchor_pairs(spark, d):
+    """Units that share a rare part of some weight."""
+    p = anchors.rare_anchor_pairs(_features(spark, d))
+    return p.select("a", "b", "weight", F.round(anchors.anchor_score(F.col("weight")), 6).alias("score"))
+
+
+def code_value_classes(spark, d):
+    """Units with the same values."""
+    return anchors.value_classes(_features(spark, d))
+
+
+def code_reinvented(spark, d):
+    """Units that write out what a helper already returns."""
+    return anchors.reinvented(X.with_called_returns(_features(spark, d)))
+
+
+def code_abstractions(spark, d):
+    """Groups of units that differ in the literal at one place only."""
+    u = _features(spark, d).select(F.col("shape").alias("family_id"), F.lit("python").alias("lang"), "kind", "literals")
+    return anchors.abstraction(u)
+
+
+def code_pair_scores(spark, d):
+    """Pairs of units with the score of every channel."""
+    return X.scored_pairs(_features(spark, d)).select("a", "b", *(F.round(c, 6).alias(c) for c in ("exact", "near", "strict", "score")))
+
+
+def code_witnesses(spark, d):
+    """Why the units of a group of equal shape belong together."""
+    u = _features(spark, d)
+    g = u.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return scoring.group_witness(u.join(g, "shape").select(F.col("shape").alias("group_id"), "unit_id", "value", "shapes", F.transform("anchors", lambda x: x["hash"]).alias("anchors"), F.col("exact_safe").alias("safe")))
+
+
 def code_enclosing(spark, d):
     """The smallest Markdown section around each matched span."""
     inner = table(spark, d, "witness_refs").filter("a_path IS NOT NULL").select(F.col("witness_id").alias("id"), F.col("a_path").alias("file"),
@@ -184,7 +229,8 @@ def rel_sessions(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     code_languages, code_paths, code_declarations, code_excluded, code_latest, code_runs, code_line_idf, code_py_units, code_py_clones, code_py_near,
-        code_enclosing, md_witness, eval_ranking, eval_recall, eval_pairs,
+    code_features, code_anchor_pairs, code_value_classes, code_reinvented, code_abstractions, code_pair_scores, code_witnesses, code_enclosing, md_witness,
+    eval_ranking, eval_recall, eval_pairs,
     eval_soundness, eval_completeness, value_integers, value_wrapping, value_lists, rel_pricing, rel_nation_revenue, rel_sessions,
 )}
 
