@@ -233,3 +233,25 @@ def test_recall_of_reworded_sections(spark, tmp_path, ratio, floor):
 def test_candidates_of_documents_are_measured(spark, sf):
     r = sections.md_candidate_recall(spark, sf).first()
     assert r.by_either <= r.accepted and prose.md_accept_pairs(spark, sf).count() == r.accepted
+
+
+def test_token_runs(spark):
+    body = "\n".join(f"    value{i} = step(value{i}, {i})" for i in range(6))
+    renamed = body.replace("value", "other").replace("step", "walk")
+    names = "\n".join(f"    name{i}," for i in range(30))
+    f = spark.createDataFrame(
+        [(1, "a.py", "def f():\n" + body), (2, "b.py", "import x\n\n\nclass A:\n" + renamed + "  # the same\n"), (3, "c.py", body.split("\n")[0]), (4, "d.js", body), (5, "e.py", "X = [\n" + names), (6, "f.py", "y\n" + names), (7, "g.py", None), (8, "h.py", "")], "k int, p string, s string"
+    )
+    stream = runs.token_stream(f, "k", T.language_of(F.col("p")), "s")
+    assert {r.file: (r.tags[:4], r.lines[:4]) for r in stream.collect()}[3] == (["I", "=", "I", "("], [1, 1, 1, 1])
+    got = {(r.a, r.b): (r.tokens, r.a_from, r.a_to, r.b_from, r.b_to) for r in runs.token_runs(stream).collect()}
+    assert got == {(1, 2): (49, 1, 7, 4, 10)}  # from the colon before on; a list of names is none, and one line is too short
+
+
+def test_token_runs_go_as_far_as_both_stay_equal(spark):
+    rng = random.Random(8)
+    lines = [" ".join(rng.choice(runs.WORDS) for _ in range(12)) for _ in range(12)]  # every line has a form of its own
+    files = [(i, "p.py", "\n".join(lines[i : i + 3])) for i in range(10)] + [(20, "p.py", "\n".join(lines)), (21, "p.py", "x = 1\n" + "\n".join(lines))]
+    stream = runs.token_stream(spark.createDataFrame(files, "k int, p string, s string"), "k", F.lit("python"), "s")
+    got = {(r.a, r.b) for r in runs.token_runs(stream, lines=2).collect()}
+    assert {(i, 20) for i in range(10)} <= got and {(i, 21) for i in range(10)} <= got

@@ -153,6 +153,11 @@ def code_run_spans(spark, d):
     return _run_spans(spark, d)
 
 
+def code_token_runs(spark, d):
+    """Runs of equal tokens, names and literals apart, that compute something."""
+    return runs.token_runs(runs.token_stream(files(spark, d), "file_id", T.language_of(F.col("path")), "src"))
+
+
 def code_unsuppressed(spark, d):
     """Runs of which neither side covers a line that asks to be left out (here `TODO`)."""
     marks = runs.marked_lines(files(spark, d), "file_id", "src", "TODO")
@@ -265,7 +270,7 @@ _CAPABILITIES = [
 
 QUERIES = {f.__name__: f for f in (
     eval_reachable, eval_calibration, eval_slices, eval_channels, eval_macro, eval_top10, code_literals, code_probes, code_exclusions, fam_gap_impact,
-        fam_budget, fam_ids, code_imports, code_run_spans, code_unsuppressed, code_predictions,
+        fam_budget, fam_ids, code_imports, code_run_spans, code_token_runs, code_unsuppressed, code_predictions,
     md_shared_lines, md_varying_spots, value_battery, value_behaviour, value_floats, value_bits, value_pieces, value_higher, capabilities, md_channels,
 )}
 
@@ -291,6 +296,25 @@ rs AS (SELECT r.*, p.line::INT AS a_from, q.line::INT AS a_to, s.line::INT AS b_
   p.pos = a_pos JOIN sg q ON q.file = a AND q.pos = a_pos + lines - 1
   JOIN sg s ON s.file = b AND s.pos = b_pos JOIN sg t ON t.file = b AND t.pos = b_pos + lines - 1)
 """
+_Q = lambda xs: ", ".join("'" + x + "'" for x in xs)
+_TOK = runs.TOKEN.replace("'", "''")
+_TOKENS = rf"""WITH l AS (SELECT file_id AS file, {_LANG} AS lang, i, s[i] AS x FROM (SELECT file_id, path, s, unnest(range(1, len(s) + 1)) AS i FROM
+  (SELECT file_id, path, string_split(replace(src, chr(13), ''), chr(10)) AS s FROM source_files WHERE src IS NOT NULL))),
+t AS (SELECT file, lang, i, regexp_extract_all(regexp_replace(x, CASE WHEN lang IN ({_Q(runs.HASH_COMMENTS)}) THEN '#.*$' ELSE '//.*$' END, ''), '{_TOK}') AS t FROM l),
+u AS (SELECT file, lang, i, k, CASE WHEN w IN ({_Q(runs.WORDS)}) THEN w WHEN regexp_matches(w, '^[A-Za-z_]') THEN 'I' WHEN regexp_matches(w, '^[0-9]') THEN 'N' WHEN regexp_matches(w, '^["''].+') THEN 'S' ELSE w END AS w
+  FROM (SELECT file, lang, i, unnest(t) AS w, unnest(range(len(t))) AS k FROM t)),
+st AS (SELECT file, lang, list(w ORDER BY i, k) AS tags, list(i ORDER BY i, k) AS lines FROM u GROUP BY file, lang),
+w AS (SELECT file, lang, p - 1 AS pos, md5(array_to_string(tags[p : p + {runs.TOKEN_K} - 1], ' ')) AS gram FROM (SELECT file, lang, tags, unnest(range(1, len(tags) - {runs.TOKEN_K} + 2)) AS p FROM st WHERE len(tags) >= {runs.TOKEN_K})),
+f AS (SELECT lang, gram, min((file, pos)) AS f FROM w GROUP BY lang, gram HAVING count(*) > 1),
+sd AS (SELECT f[1] AS a, file AS b, f[2] - pos AS d, pos FROM w JOIN f ON w.gram = f.gram AND w.lang IS NOT DISTINCT FROM f.lang WHERE f[1] <> file),
+dg AS (SELECT DISTINCT a, b, d FROM sd),
+bo AS (SELECT dg.a, dg.b, dg.d, x.pos AS b_pos, y.pos AS a_pos FROM dg JOIN w x ON x.file = dg.b JOIN w y ON y.file = dg.a AND y.pos = x.pos + dg.d AND y.gram = x.gram),
+il AS (SELECT *, b_pos - row_number() OVER (PARTITION BY a, b, d ORDER BY b_pos) AS i FROM bo),
+r AS (SELECT a, b, d, min(a_pos) AS a_pos, min(b_pos) AS b_pos, count(*) + {runs.TOKEN_K} - 1 AS n FROM il GROUP BY a, b, d, i HAVING count(*) + {runs.TOKEN_K} - 1 >= {runs.TOKEN_LEAST}),
+q AS (SELECT * FROM r WHERE EXISTS (SELECT 1 FROM sd WHERE sd.a = r.a AND sd.b = r.b AND sd.d = r.d AND sd.pos BETWEEN r.b_pos AND r.b_pos + n - {runs.TOKEN_K})),
+z AS (SELECT q.a, q.b, a_pos, b_pos, n AS tokens, list_min(x.lines[a_pos + 1 : a_pos + n])::INT AS a_from, list_max(x.lines[a_pos + 1 : a_pos + n])::INT AS a_to, list_min(y.lines[b_pos + 1 : b_pos + n])::INT AS b_from,
+  list_max(y.lines[b_pos + 1 : b_pos + n])::INT AS b_to, y.tags[b_pos + 1 : b_pos + n] AS t FROM q JOIN st x ON x.file = q.a JOIN st y ON y.file = q.b)
+SELECT a, b, a_pos::INT AS a_pos, b_pos::INT AS b_pos, tokens::INT AS tokens, a_from, a_to, b_from, b_to FROM z WHERE b_to - b_from + 1 >= {runs.LINE_LEAST} AND len(list_filter(t, lambda k: k IN ({_Q(runs.OPERATIONS)}))) > 0"""
 _BAT = ", ".join(f"({i}, {'NULL' if isinstance(v, list) else v}, {chr(39) + str(v).replace(' ', '') + chr(39) if isinstance(v, list) else 'NULL'})" for i, v in enumerate(N.POOL))
 _LIT = r"""c0 AS (SELECT 'string' AS kind, unnest(regexp_extract_all(src, '"([^"\\\n]*)"', 1)) AS literal FROM source_files UNION ALL SELECT 'int',
   unnest(regexp_extract_all(src, '\b([0-9]{1,9})\b', 1)) FROM source_files),
@@ -355,6 +379,7 @@ p AS (SELECT repo, file_id AS target, string_split(regexp_replace(regexp_replace
 e AS (SELECT repo, target, unnest(list_transform(range(1, len(p) + 1), lambda k: array_to_string(p[k:], '.'))) AS module FROM p)
 SELECT DISTINCT file_id, module, name, target FROM i JOIN e USING (repo, module) WHERE file_id <> target""",
     "code_run_spans": _RS + "SELECT a, b, a_pos, b_pos, lines, a_from, a_to, b_from, b_to FROM rs",
+    "code_token_runs": _TOKENS,
     "code_unsuppressed": _RS.rstrip() + """, mk AS (SELECT file_id AS file, i AS line FROM (SELECT file_id, s, unnest(range(1, len(s) + 1)) AS i FROM
   (SELECT file_id, string_split(src, chr(10)) AS s FROM source_files WHERE src IS NOT NULL)) WHERE contains(s[i], 'TODO'))
 SELECT a, b, a_pos, b_pos FROM rs WHERE NOT EXISTS (SELECT 1 FROM mk WHERE (file = a AND line BETWEEN a_from AND a_to) OR (file = b AND line BETWEEN
