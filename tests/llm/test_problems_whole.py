@@ -88,7 +88,7 @@ def test_p7_no_run_of_thirty_words_is_lost():
 def test_p7_instruction_of_any_length(spark):
     lead = " ".join(f"lead{i}" for i in range(400))
     items = spark.createDataFrame([(i, f"{lead} " + " ".join(f"own{i}x{k}" for k in range(40))) for i in range(8)], "k long, t string")
-    assert {(r.k, r.lead) for r in p7_leaks.with_openings(items).collect()} == {(i, 400) for i in range(8)}
+    assert {(r.k, r.lead) for r in p7_leaks.with_openings(items, 8).collect()} == {(i, 400) for i in range(8)}
 
 
 def test_p7_many_leaks_in_one_document():

@@ -81,11 +81,11 @@ def opening_hashes(ws: list[str]) -> list[int]:
     return out
 
 
-def with_openings(items: DataFrame) -> DataFrame:
-    """(k, t, lead): distinct items (k, t) with the number of words that are an
+def with_openings(items: DataFrame, n: int) -> DataFrame:
+    """(k, t, lead): `n` distinct items (k, t) with the number of words that are an
     instruction. Openings of all lengths are counted over all items; of one length
     at most 1 / COMMON are common, so what is joined back is short."""
-    least = F.lit(max(COMMON_ITEMS, COMMON * items.count()))
+    least = F.lit(max(COMMON_ITEMS, COMMON * n))
     kind = dict(items.dtypes)["k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,11 +293,15 @@ def scan(index: Index, docs: list[list[int]]) -> list[list[tuple]]:
 def _blocks(items: DataFrame, key: str, text: str) -> Iterator[Index]:
     """The items in indexes of a bounded size each, one at a time."""
     one = items.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).distinct()
-    one = cut(with_openings(one))
-    total = one.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    n = -(-total // BLOCK_CHARS) or 1
+    one = cut(one)
+    size = one.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("total")).first()
+    led = with_openings(one, size["n"])
+    n = -(-size["total"] // BLOCK_CHARS) or 1
+    if n > 1:
+        led = cut(led)
     for b in range(n):
-        rows = one.filter(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b).orderBy("k", "t").collect()  # about BLOCK_CHARS characters
+        part = led if n == 1 else led.filter(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b)
+        rows = sorted(part.collect(), key=lambda r: (r.k, r.t))  # about BLOCK_CHARS characters
         yield Index([r.k for r in rows], [r.t for r in rows], [r.lead for r in rows])
 
 
