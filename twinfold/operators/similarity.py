@@ -46,9 +46,14 @@ def representatives(cls: DataFrame, docs: DataFrame, key: str, text: Column) ->
     return docs.select(F.col(key).alias("class_id"), text.alias("norm")).join(first, "class_id", "left_semi")
 
 
-def word_shingles(reps: DataFrame, n: int = 5) -> DataFrame:
+def hash64(c: Column) -> Column:
+    """A 64-bit hash that is quick to take, for sets that are only compared."""
+    return F.xxhash64(c)
+
+
+def word_shingles(reps: DataFrame, n: int = 5, hashed=hash60) -> DataFrame:
     """(class_id, size, grams): sorted hashes of the distinct n-word shingles."""
-    grams = F.array_sort(F.array_distinct(F.transform(T.shingles(T.words(F.col("norm")), n), hash60)))
+    grams = F.array_sort(F.array_distinct(F.transform(T.shingles(T.words(F.col("norm")), n), hashed)))
     return cut(reps.select("class_id", grams.alias("grams"))).withColumn("size", F.size("grams")).filter("size > 0")
 
 
@@ -190,25 +195,28 @@ def idf_table(sets: DataFrame) -> DataFrame:
 
 
 def weighted(sets: DataFrame) -> tuple[DataFrame, int]:
-    """((class_id, size, grams, dfs, norm), n): the sets with how many of all `n`
-    hold each element, and the length of the tf-idf vector. A set with `copies`
-    counts so many times."""
+    """((class_id, size, grams, dfs, norm), n): of each set the elements that another
+    of all `n` holds too, with how many hold them, and the length of the whole tf-idf
+    vector. Elements of one set alone, the great majority, are counted in `size` and
+    `norm` only; sets without others have no row. A set with `copies` counts so many
+    times."""
     copies = F.col("copies") if "copies" in sets.columns else F.lit(1).cast("bigint")
     df = sets.select(copies.alias("c"), F.explode("grams").alias("g")).groupBy("g").agg(F.sum("c").alias("df")).filter("df > 1")
     n = sets.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
-    long = lookup(sets.select("class_id", F.explode("grams").alias("g")), df, "g", "left").select("class_id", "g", F.coalesce("df", F.lit(1)).cast("int").alias("df"))
-    weight = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    g = long.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("g", "df"))).alias("x"), F.sqrt(F.sum(weight * weight)).alias("norm"))
-    return g.select("class_id", F.size("x").alias("size"), F.col("x.g").alias("grams"), F.col("x.df").alias("dfs"), "norm"), n
+    idf = lambda d: F.log((n - d + 0.5) / (d + 0.5) + 1)
+    long = lookup(sets.select("class_id", F.size("grams").alias("size"), F.explode("grams").alias("g")), df, "g").select("class_id", "size", "g", F.col("df").cast("int").alias("df"))
+    g = long.groupBy("class_id", "size").agg(F.array_sort(F.collect_list(F.struct("g", "df"))).alias("x"), F.sum(idf(F.col("df")) * idf(F.col("df"))).alias("w"))
+    alone = (F.col("size") - F.size("x")) * F.pow(idf(F.lit(1)), 2)
+    return g.select("class_id", "size", F.col("x.g").alias("grams"), F.col("x.df").alias("dfs"), F.sqrt(F.col("w") + alone).alias("norm")), n
 
 
 def pair_stats(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """(a, b, shared, jaccard, containment, cosine, commonness, small_in_large) of
     pairs of `weighted` sets, of which there are `n`: all figures in one pass over the
     two arrays. commonness is the mean share of the sets that hold a shared element."""
-    side = lambda k: sets.select(F.col("class_id").alias(k), F.col("grams").alias(f"g{k}"), F.col("norm").alias(f"l{k}"))
-    j = pairs.select("a", "b").join(side("a"), "a").join(side("b").join(sets.select(F.col("class_id").alias("b"), F.col("dfs").alias("db")), "b"),
-        "b").select("a", "b", "ga", "la", "gb", "lb", "db")
+    side = lambda k: sets.select(F.col("class_id").alias(k), F.col("grams").alias(f"g{k}"), F.col("norm").alias(f"l{k}"), F.col("size").alias(f"n{k}"))
+    other = sets.select(F.col("class_id").alias("b"), F.col("grams").alias("gb"), F.col("norm").alias("lb"), F.col("size").alias("nb"), F.col("dfs").alias("db"))
+    j = pairs.select("a", "b").join(side("a"), "a").join(other, "b").select("a", "b", "ga", "la", "gb", "lb", "db", "na", "nb")
     kinds = dict(pairs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +228,7 @@ def pair_stats(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
             flat = [c.values.to_numpy(zero_copy_only=False) for c in cols]
             offs = [c.offsets.to_numpy() for c in cols]
             la, lb = batch.column(3).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False)
+            na, nb = batch.column(7).to_numpy(), batch.column(8).to_numpy()
             small = np.zeros(m, bool)
             for i in range(m):
                 x, y, d = (f[o[i] : o[i + 1]] for f, o in zip(flat, offs))
@@ -231,9 +240,9 @@ def pair_stats(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
                 k = len(df)
                 counts[i] = k
                 w = np.log((n - df + 0.5) / (df + 0.5) + 1)
-                least = min(len(x), len(y))
-                figures[i] = (k / (len(x) + len(y) - k), k / least, float((w * w).sum()) / (la[i] * lb[i]) if la[i] * lb[i] else 0.0, float(df.mean()) / n if k else 0.0)
-                small[i] = 2 * least < max(len(x), len(y)) and figures[i, 1] >= 0.8 and figures[i, 1] > figures[i, 2]
+                least, most = sorted((int(na[i]), int(nb[i])))
+                figures[i] = (k / (least + most - k), k / least, float((w * w).sum()) / (la[i] * lb[i]) if la[i] * lb[i] else 0.0, float(df.mean()) / n if k else 0.0)
+                small[i] = 2 * least < most and figures[i, 1] >= 0.8 and figures[i, 1] > figures[i, 2]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), *(pa.array(figures[:, k]) for k in range(4)),
                 pa.array(small)], names=["a", "b", "shared", "jaccard", "containment", "cosine", "commonness", "small_in_large"])
 
@@ -292,16 +301,14 @@ def accept_candidates(sets: DataFrame, n: int, least_score: float = 0.5, contain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (grams, dfs), norms = ((c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in (batch.column(1),
-                batch.column(2))), batch.column(3).to_numpy(zero_copy_only=False)
+            grams, dfs = ((c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in (batch.column(1), batch.column(2)))
+            norms, sizes = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy()
             owner, g_out, left_out, mass_out, size_out = [], [], [], [], []
             for i in range(batch.num_rows):
                 g, d = grams[0][grams[1][i] : grams[1][i + 1]], dfs[0][dfs[1][i] : dfs[1][i + 1]].astype(float)
-                size = len(g)
-                if size < least_shared:
+                size = int(sizes[i])
+                if len(g) < least_shared:
                     continue
-                shared = d > 1  # an element of one set joins nothing
-                g, d = g[shared], d[shared]
                 order = np.lexsort((g, d))[::-1]  # the most common first
                 g, d = g[order], d[order]
                 w = np.log((n - d + 0.5) / (d + 0.5) + 1)
@@ -318,7 +325,7 @@ def accept_candidates(sets: DataFrame, n: int, least_score: float = 0.5, contain
             yield pa.RecordBatch.from_arrays([ids, pa.array(cat(size_out, np.int32)), pa.array(cat(g_out, np.int64)),
                 pa.array(cat(left_out, np.int32)), pa.array(cat(mass_out, np.float64))], names=["class_id", "size", "g", "left", "mass"])
 
-    placed = cut(sets.select("class_id", "grams", "dfs", "norm").mapInArrow(run, f"class_id {kind}, size int, g bigint, left int, mass double"))
+    placed = cut(sets.select("class_id", "grams", "dfs", "norm", "size").mapInArrow(run, f"class_id {kind}, size int, g bigint, left int, mass double"))
     on = (F.col("l.g") == F.col("r.g")) & (F.col("l.class_id") != F.col("r.class_id"))
     ends = [F.least("l.class_id", "r.class_id").alias("a"), F.greatest("l.class_id", "r.class_id").alias("b")]
     heavy = placed.filter(F.col("mass") >= least_mass)
