@@ -94,10 +94,12 @@ def units_of(src: str) -> list[tuple]:
             kind, name, x.lineno, x.end_lineno or x.lineno, weight[id(x)], blind[id(x)],
             sorted(full[id(y)] for y in inside if isinstance(y, ast.expr) and weight[id(y)] >= VALUE),
             sorted(h(type(y).__name__ + "(" + ",".join(type(k).__name__ for k in ast.iter_child_nodes(y)) + ")") for y in inside),
-            [(full[id(y)], weight[id(y)], y.lineno, y.end_lineno or y.lineno) for y in inside if y is not x and isinstance(y, (ast.expr, ast.stmt)) and weight[id(y)] >= ANCHOR],
+            [(full[id(y)], weight[id(y)], y.lineno, y.end_lineno or y.lineno) for y in inside if y is not x and isinstance(y,
+                (ast.expr, ast.stmt)) and weight[id(y)] >= ANCHOR],
             sorted(full[id(y.value)] for y in own if y.value is not None),
             sorted(full[id(y.test)] for y in inside if isinstance(y, (ast.If, ast.While))),
-            sorted({f.id if isinstance(f, ast.Name) else f.attr for y in inside if isinstance(y, ast.Call) for f in [y.func] if isinstance(f, (ast.Name, ast.Attribute))}),
+            sorted({f.id if isinstance(f, ast.Name) else f.attr for y in inside if isinstance(y, ast.Call) for f in [y.func] if isinstance(f,
+                (ast.Name, ast.Attribute))}),
             [(type(y.value).__name__, repr(y.value)) for y in inside if isinstance(y, ast.Constant)],
             [h(type(y).__name__) & 0x7FFFFFFF for y in inside],
             pure, not any(isinstance(y, (ast.Yield, ast.YieldFrom, ast.Await, ast.Global, ast.Nonlocal, ast.Delete)) for y in inside),
@@ -108,7 +110,8 @@ def units_of(src: str) -> list[tuple]:
 def python_features(files: DataFrame) -> DataFrame:
     """The units of the Python files that parse, numbered file_id * PLACES + place."""
     src = files.filter("path LIKE '%.py' OR path LIKE '%.pyi'").select("file_id", "path", "src")
-    names = [c.split()[0] for c in SCHEMA.replace("struct<hash:bigint,weight:int,line_start:int,line_end:int>", "x").replace("struct<kind:string,value:string>", "x").split(", ")]
+    names = [c.split()[0] for c in SCHEMA.replace("struct<hash:bigint,weight:int,line_start:int,line_end:int>",
+        "x").replace("struct<kind:string,value:string>", "x").split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -122,7 +125,8 @@ def with_called_returns(units: DataFrame) -> DataFrame:
     """`units` with called_helper_returns: the values that helpers of the same file
     return which a unit calls by name."""
     helpers = units.filter("pure_single_return AND name IS NOT NULL").select("file_id", F.col("name").alias("call"), F.explode("returns").alias("r")).distinct()
-    called = units.select("unit_id", "file_id", F.explode("calls").alias("call")).join(helpers, ["file_id", "call"]).groupBy("unit_id").agg(F.array_sort(F.collect_set("r")).alias("called_helper_returns"))
+    called = units.select("unit_id", "file_id", F.explode("calls").alias("call")).join(helpers,
+        ["file_id", "call"]).groupBy("unit_id").agg(F.array_sort(F.collect_set("r")).alias("called_helper_returns"))
     return units.join(called, "unit_id", "left").withColumn("used_length_contract", F.array_contains("calls", "len"))
 
 
@@ -138,7 +142,8 @@ def offset_ratio(a, b):
 def scored_pairs(units: DataFrame) -> DataFrame:
     """(a, b, exact, near, strict, score): pairs that share a rare anchor or all their
     values, scored by every channel; spans inside each other are no pair."""
-    star = value_classes(units, scoring.EXACT_VALUES).filter("unit_id <> class_id").select(F.col("class_id").alias("a"), F.col("unit_id").alias("b"), F.lit(None).cast("int").alias("anchor"))
+    star = value_classes(units, scoring.EXACT_VALUES).filter("unit_id <> class_id").select(F.col("class_id").alias("a"), F.col("unit_id").alias("b"),
+        F.lit(None).cast("int").alias("anchor"))
     cand = rare_anchor_pairs(units).select("a", "b", F.col("weight").alias("anchor")).unionByName(star).groupBy("a", "b").agg(F.max("anchor").alias("anchor"))
     cols = ("path", "start_line", "end_line", "value", "shapes", "literals", "returns", "tags", "exact_safe")
     side = lambda k: units.select(F.col("unit_id").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in cols))
@@ -148,6 +153,7 @@ def scored_pairs(units: DataFrame) -> DataFrame:
     j = j.withColumn("vj", vj).withColumn("sj", sj).withColumn("rj", offset_ratio(F.col("a_tags"), F.col("b_tags")))
     exact = scoring.exact(F.col("a_value"), F.col("b_value"), F.col("a_exact_safe"), F.col("b_exact_safe"))
     near = scoring.near(F.col("vj"), F.col("sj"), F.col("rj"), F.least(F.size("a_value"), F.size("b_value")), F.col("anchor"))
-    gates = lambda s: scoring.return_gate(scoring.data_gate(s, F.col("a_value"), F.col("a_literals"), F.col("b_value"), F.col("b_literals")), F.col("a_returns"), F.col("b_returns"))
+    gates = lambda s: scoring.return_gate(scoring.data_gate(s, F.col("a_value"), F.col("a_literals"), F.col("b_value"), F.col("b_literals")),
+        F.col("a_returns"), F.col("b_returns"))
     strict = scoring.strict(F.col("vj"), F.col("sj"), F.col("rj"), gates)
     return j.select("a", "b", exact.alias("exact"), near.alias("near"), strict.alias("strict"), scoring.channel_max(exact, near, strict).alias("score"))

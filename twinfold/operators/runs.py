@@ -86,7 +86,8 @@ TOKEN = r"""[A-Za-z_]\w*|[0-9][\w.]*|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^\s\w]
 HASH_COMMENTS = ("python", "ruby")
 # Words that stand for themselves (fixed values); every other word is a name.
 WORDS = (
-    "if", "else", "for", "while", "do", "return", "break", "continue", "switch", "case", "try", "catch", "except", "finally", "throw", "raise", "def", "function", "func", "fn", "class", "struct", "import", "from", "use", "package",
+    "if", "else", "for", "while", "do", "return", "break", "continue", "switch", "case", "try", "catch", "except", "finally", "throw", "raise", "def",
+        "function", "func", "fn", "class", "struct", "import", "from", "use", "package",
     "const", "let", "var", "new", "in", "not", "and", "or", "await", "async", "yield", "match", "end", "elif", "with", "go", "defer",
 )
 # Tokens that compute something; a run without one is a list of names.
@@ -98,7 +99,8 @@ def token_stream(files: DataFrame, key: str, lang: Column, src: str) -> DataFram
     blind, and the line of each. Lexed line by line, so a string over several lines
     gives the tokens of its lines."""
     bare = lambda x: F.when(F.col("lang").isin(*HASH_COMMENTS), F.regexp_replace(x, r"#.*\z", "")).otherwise(F.regexp_replace(x, r"//.*\z", ""))
-    kind = lambda w: F.when(w.isin(*WORDS), w).when(w.rlike(r"\A[A-Za-z_]"), "I").when(w.rlike(r"\A[0-9]"), "N").when(w.rlike(r"\A[\"'].+"), "S").otherwise(w)
+    kind = lambda w: F.when(w.isin(*WORDS), w).when(w.rlike(r"\A[A-Za-z_]"), "I").when(w.rlike(r"\A[0-9]"), "N").when(w.rlike(r"\A[\"'].+"),
+        "S").otherwise(w)
     rows = spread(files.filter(F.col(src).isNotNull())).select(F.col(key).alias("file"), lang.alias("lang"), F.split(F.regexp_replace(src, "\r", ""), "\n").alias("x"))
     toks = F.transform("x", lambda x, i: F.transform(F.regexp_extract_all(bare(x), F.lit(TOKEN), F.lit(0)), lambda w: F.struct(kind(w).alias("t"), (i + 1).alias("i"))))
     flat = rows.select("file", "lang", F.flatten(toks).alias("s")).filter(F.size("s") > 0)

@@ -204,7 +204,8 @@ def weighted(sets: DataFrame) -> tuple[DataFrame, int]:
     df = sets.select(copies.alias("c"), F.explode("grams").alias("g")).groupBy("g").agg(F.sum("c").alias("df")).filter("df > 1")
     n = sets.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
     idf = lambda d: F.log((n - d + 0.5) / (d + 0.5) + 1)
-    long = lookup(sets.select("class_id", F.size("grams").alias("size"), F.explode("grams").alias("g")), df, "g").select("class_id", "size", "g", F.col("df").cast("int").alias("df"))
+    long = lookup(sets.select("class_id", F.size("grams").alias("size"), F.explode("grams").alias("g")), df, "g").select("class_id", "size", "g",
+        F.col("df").cast("int").alias("df"))
     g = long.groupBy("class_id", "size").agg(F.array_sort(F.collect_list(F.struct("g", "df"))).alias("x"), F.sum(idf(F.col("df")) * idf(F.col("df"))).alias("w"))
     alone = (F.col("size") - F.size("x")) * F.pow(idf(F.lit(1)), 2)
     return g.select("class_id", "size", F.col("x.g").alias("grams"), F.col("x.df").alias("dfs"), F.sqrt(F.col("w") + alone).alias("norm")), n

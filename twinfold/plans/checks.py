@@ -249,6 +249,30 @@ def value_higher(spark, d):
     )
 
 
+def rel_clauses(spark, d):
+    """Every clause of a relational comprehension once: where, let, join, group join
+    into a list, a second source (the lines of the list), group, select, order."""
+    o = table(spark, d, "orders").filter(F.col("o_totalprice") > 1000)
+    o = o.withColumn("band", F.floor(F.col("o_totalprice") / 50000).cast("bigint"))
+    j = o.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "band", "c_nationkey")
+    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("ls"))
+    into = j.join(lists, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("n", F.coalesce(F.size("ls"), F.lit(0)))
+    many = into.select("band", "c_nationkey", "n", F.explode_outer("ls").alias("l"))
+    g = many.groupBy("band", "c_nationkey").agg(F.count("l").alias("lines"), F.round(F.sum("l.l_quantity"), 2).alias("quantity"), F.max("n").cast("bigint").alias("most"))
+    return g.orderBy("band", F.col("lines").desc(), "c_nationkey")
+
+
+def eval_invariants(spark, d):
+    """Rules that every section table keeps, and how many rows break each."""
+    u = table(spark, d, "md_units")
+    twice = u.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR unit_id IS NULL").agg(F.count(F.lit(1)).alias("broken")).select(F.lit("unique-id").alias("rule"), "broken")
+    rules = {"span": F.col("end_line") < F.col("start_line"), "first-line": F.col("start_line") < 1, "words": F.col("n_words") < 0,
+        "kind": ~F.col("kind").isin("Section", "Document"), "path": F.col("path").isNull()}
+    counts = u.agg(*(F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(k) for k, c in rules.items()))
+    long = counts.select(F.explode(F.create_map(*(x for k in rules for x in (F.lit(k), F.coalesce(F.col(f"`{k}`"), F.lit(0)))))).alias("rule", "broken"))
+    return long.unionByName(twice)
+
+
 def md_channels(spark, d):
     """Pairs of documents of the exact and the near channel together."""
     from ..options import Options, combine, detectors
@@ -271,7 +295,8 @@ _CAPABILITIES = [
 QUERIES = {f.__name__: f for f in (
     eval_reachable, eval_calibration, eval_slices, eval_channels, eval_macro, eval_top10, code_literals, code_probes, code_exclusions, fam_gap_impact,
         fam_budget, fam_ids, code_imports, code_run_spans, code_token_runs, code_unsuppressed, code_predictions,
-    md_shared_lines, md_varying_spots, value_battery, value_behaviour, value_floats, value_bits, value_pieces, value_higher, capabilities, md_channels,
+    md_shared_lines, md_varying_spots, value_battery, value_behaviour, value_floats, value_bits, value_pieces, value_higher, capabilities,
+        md_channels, rel_clauses, eval_invariants,
 )}
 
 # ---- SQL -----------------------------------------------------------------
@@ -300,21 +325,30 @@ _Q = lambda xs: ", ".join("'" + x + "'" for x in xs)
 _TOK = runs.TOKEN.replace("'", "''")
 _TOKENS = rf"""WITH l AS (SELECT file_id AS file, {_LANG} AS lang, i, s[i] AS x FROM (SELECT file_id, path, s, unnest(range(1, len(s) + 1)) AS i FROM
   (SELECT file_id, path, string_split(replace(src, chr(13), ''), chr(10)) AS s FROM source_files WHERE src IS NOT NULL))),
-t AS (SELECT file, lang, i, regexp_extract_all(regexp_replace(x, CASE WHEN lang IN ({_Q(runs.HASH_COMMENTS)}) THEN '#.*$' ELSE '//.*$' END, ''), '{_TOK}') AS t FROM l),
-u AS (SELECT file, lang, i, k, CASE WHEN w IN ({_Q(runs.WORDS)}) THEN w WHEN regexp_matches(w, '^[A-Za-z_]') THEN 'I' WHEN regexp_matches(w, '^[0-9]') THEN 'N' WHEN regexp_matches(w, '^["''].+') THEN 'S' ELSE w END AS w
+t AS (SELECT file, lang, i, regexp_extract_all(regexp_replace(x, CASE WHEN lang IN ({_Q(runs.HASH_COMMENTS)}) THEN '#.*$' ELSE '//.*$' END, ''),
+  '{_TOK}') AS t FROM l),
+u AS (SELECT file, lang, i, k, CASE WHEN w IN ({_Q(runs.WORDS)}) THEN w WHEN regexp_matches(w, '^[A-Za-z_]') THEN 'I' WHEN regexp_matches(w, '^[0-9]')
+  THEN 'N' WHEN regexp_matches(w, '^["''].+') THEN 'S' ELSE w END AS w
   FROM (SELECT file, lang, i, unnest(t) AS w, unnest(range(len(t))) AS k FROM t)),
 st AS (SELECT file, lang, list(w ORDER BY i, k) AS tags, list(i ORDER BY i, k) AS lines FROM u GROUP BY file, lang),
-w AS (SELECT file, lang, p - 1 AS pos, md5(array_to_string(tags[p : p + {runs.TOKEN_K} - 1], ' ')) AS gram FROM (SELECT file, lang, tags, unnest(range(1, len(tags) - {runs.TOKEN_K} + 2)) AS p FROM st WHERE len(tags) >= {runs.TOKEN_K})),
+w AS (SELECT file, lang, p - 1 AS pos, md5(array_to_string(tags[p : p + {runs.TOKEN_K} - 1], ' ')) AS gram FROM (SELECT file, lang, tags,
+  unnest(range(1, len(tags) - {runs.TOKEN_K} + 2)) AS p FROM st WHERE len(tags) >= {runs.TOKEN_K})),
 f AS (SELECT lang, gram, min((file, pos)) AS f FROM w GROUP BY lang, gram HAVING count(*) > 1),
 sd AS (SELECT f[1] AS a, file AS b, f[2] - pos AS d, pos FROM w JOIN f ON w.gram = f.gram AND w.lang IS NOT DISTINCT FROM f.lang WHERE f[1] <> file),
 dg AS (SELECT DISTINCT a, b, d FROM sd),
-bo AS (SELECT dg.a, dg.b, dg.d, x.pos AS b_pos, y.pos AS a_pos FROM dg JOIN w x ON x.file = dg.b JOIN w y ON y.file = dg.a AND y.pos = x.pos + dg.d AND y.gram = x.gram),
+bo AS (SELECT dg.a, dg.b, dg.d, x.pos AS b_pos, y.pos AS a_pos FROM dg JOIN w x ON x.file = dg.b JOIN w y ON y.file = dg.a AND y.pos = x.pos + dg.d
+  AND y.gram = x.gram),
 il AS (SELECT *, b_pos - row_number() OVER (PARTITION BY a, b, d ORDER BY b_pos) AS i FROM bo),
-r AS (SELECT a, b, d, min(a_pos) AS a_pos, min(b_pos) AS b_pos, count(*) + {runs.TOKEN_K} - 1 AS n FROM il GROUP BY a, b, d, i HAVING count(*) + {runs.TOKEN_K} - 1 >= {runs.TOKEN_LEAST}),
-q AS (SELECT * FROM r WHERE EXISTS (SELECT 1 FROM sd WHERE sd.a = r.a AND sd.b = r.b AND sd.d = r.d AND sd.pos BETWEEN r.b_pos AND r.b_pos + n - {runs.TOKEN_K})),
-z AS (SELECT q.a, q.b, a_pos, b_pos, n AS tokens, list_min(x.lines[a_pos + 1 : a_pos + n])::INT AS a_from, list_max(x.lines[a_pos + 1 : a_pos + n])::INT AS a_to, list_min(y.lines[b_pos + 1 : b_pos + n])::INT AS b_from,
-  list_max(y.lines[b_pos + 1 : b_pos + n])::INT AS b_to, y.tags[b_pos + 1 : b_pos + n] AS t FROM q JOIN st x ON x.file = q.a JOIN st y ON y.file = q.b)
-SELECT a, b, a_pos::INT AS a_pos, b_pos::INT AS b_pos, tokens::INT AS tokens, a_from, a_to, b_from, b_to FROM z WHERE b_to - b_from + 1 >= {runs.LINE_LEAST} AND len(list_filter(t, lambda k: k IN ({_Q(runs.OPERATIONS)}))) > 0"""
+r AS (SELECT a, b, d, min(a_pos) AS a_pos, min(b_pos) AS b_pos, count(*) + {runs.TOKEN_K} - 1 AS n FROM il GROUP BY a, b, d, i HAVING count(*) +
+  {runs.TOKEN_K} - 1 >= {runs.TOKEN_LEAST}),
+q AS (SELECT * FROM r WHERE EXISTS (SELECT 1 FROM sd WHERE sd.a = r.a AND sd.b = r.b AND sd.d = r.d AND sd.pos BETWEEN r.b_pos AND r.b_pos + n -
+  {runs.TOKEN_K})),
+z AS (SELECT q.a, q.b, a_pos, b_pos, n AS tokens, list_min(x.lines[a_pos + 1 : a_pos + n])::INT AS a_from, list_max(x.lines[a_pos + 1 : a_pos +
+  n])::INT AS a_to, list_min(y.lines[b_pos + 1 : b_pos + n])::INT AS b_from,
+  list_max(y.lines[b_pos + 1 : b_pos + n])::INT AS b_to, y.tags[b_pos + 1 : b_pos + n] AS t FROM q JOIN st x ON x.file = q.a JOIN st y ON y.file =
+  q.b)
+SELECT a, b, a_pos::INT AS a_pos, b_pos::INT AS b_pos, tokens::INT AS tokens, a_from, a_to, b_from, b_to FROM z WHERE b_to - b_from + 1 >=
+  {runs.LINE_LEAST} AND len(list_filter(t, lambda k: k IN ({_Q(runs.OPERATIONS)}))) > 0"""
 _BAT = ", ".join(f"({i}, {'NULL' if isinstance(v, list) else v}, {chr(39) + str(v).replace(' ', '') + chr(39) if isinstance(v, list) else 'NULL'})" for i, v in enumerate(N.POOL))
 _LIT = r"""c0 AS (SELECT 'string' AS kind, unnest(regexp_extract_all(src, '"([^"\\\n]*)"', 1)) AS literal FROM source_files UNION ALL SELECT 'int',
   unnest(regexp_extract_all(src, '\b([0-9]{1,9})\b', 1)) FROM source_files),
@@ -411,6 +445,15 @@ SELECT l_orderkey, coalesce(list_sum(list_filter(xs, lambda x: x % 2 <> 0)), 0):
   coalesce(list_sum(list_transform(list_filter(xs, lambda x: x % 3 = 0), lambda x: x * 2)), 0)::BIGINT AS threes,
 (len(xs) * (len(xs) - 1) // 2)::BIGINT AS keys, coalesce(list_sum(list_transform(range(1, len(xs) + 1), lambda i: (i - 1) * xs[i])), 0)::BIGINT AS
   weighted, (100 - list_sum(xs))::BIGINT AS left, 7::BIGINT AS d, (len(xs) + 1)::INT AS more, coalesce(xs[10], 0)::BIGINT AS tenth FROM g""",
+    "rel_clauses": """WITH o AS (SELECT o_orderkey, o_custkey, floor(o_totalprice / 50000)::BIGINT AS band FROM orders WHERE o_totalprice > 1000),
+n AS (SELECT o_orderkey, band, c_nationkey, count(l_orderkey) AS n, sum(l_quantity) AS q FROM o JOIN customer ON o_custkey = c_custkey LEFT JOIN
+  lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT band, c_nationkey, sum(n)::BIGINT AS lines, round(sum(q), 2) AS quantity, max(n)::BIGINT AS most FROM n GROUP BY band, c_nationkey""",
+    "eval_invariants": """SELECT 'span' AS rule, count(*) FILTER (end_line < start_line) AS broken FROM md_units UNION ALL SELECT 'first-line',
+  count(*) FILTER (start_line < 1) FROM md_units UNION ALL SELECT 'words', count(*) FILTER (n_words < 0) FROM md_units
+UNION ALL SELECT 'kind', count(*) FILTER (kind NOT IN ('Section', 'Document')) FROM md_units UNION ALL SELECT 'path', count(*) FILTER (path IS NULL)
+  FROM md_units
+UNION ALL SELECT 'unique-id', count(*) FROM (SELECT unit_id FROM md_units GROUP BY unit_id HAVING count(*) > 1 OR unit_id IS NULL)""",
     "md_channels": f"""WITH {prose._LINKS} SELECT a, b, round(jaccard, 6) AS score, 'near' AS channel, 1::BIGINT AS channels FROM links UNION ALL
   SELECT class_id, id, 1.0, 'exact', 1 FROM cls WHERE id <> class_id""",
     "capabilities": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}', '{v}')" for k, n, v in _CAPABILITIES) + ") t(kind, name, allowed)",

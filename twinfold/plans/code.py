@@ -82,7 +82,8 @@ def _features(spark, d) -> DataFrame:
 def code_features(spark, d):
     """Python units, blocks included, with the sizes of their features."""
     sizes = ("value", "shapes", "anchors", "returns", "cond_sinks", "calls", "literals")
-    return X.python_features(files(spark, d)).select("unit_id", "kind", "name", "start_line", "end_line", "token_count", *(F.size(c).alias(f"n_{c}") for c in sizes), "pure_single_return", "exact_safe")
+    return X.python_features(files(spark, d)).select("unit_id", "kind", "name", "start_line", "end_line", "token_count",
+        *(F.size(c).alias(f"n_{c}") for c in sizes), "pure_single_return", "exact_safe")
 
 
 def code_anchor_pairs(spark, d):
@@ -116,7 +117,8 @@ def code_witnesses(spark, d):
     """Why the units of a group of equal shape belong together."""
     u = _features(spark, d)
     g = u.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return scoring.group_witness(u.join(g, "shape").select(F.col("shape").alias("group_id"), "unit_id", "value", "shapes", F.transform("anchors", lambda x: x["hash"]).alias("anchors"), F.col("exact_safe").alias("safe")))
+    return scoring.group_witness(u.join(g, "shape").select(F.col("shape").alias("group_id"), "unit_id", "value", "shapes",
+        F.transform("anchors", lambda x: x["hash"]).alias("anchors"), F.col("exact_safe").alias("safe")))
 
 
 def code_enclosing(spark, d):
