@@ -46,15 +46,17 @@ def representatives(cls: DataFrame, docs: DataFrame, key: str, text: Column) ->
     return docs.select(F.col(key).alias("class_id"), text.alias("norm")).join(first, "class_id", "left_semi")
 
 
-def hash64(c: Column) -> Column:
-    """A 64-bit hash that is quick to take, for sets that are only compared."""
-    return F.xxhash64(c)
-
-
-def word_shingles(reps: DataFrame, n: int = 5, hashed=hash60) -> DataFrame:
-    """(class_id, size, grams): sorted hashes of the distinct n-word shingles."""
-    grams = F.array_sort(F.array_distinct(F.transform(T.shingles(T.words(F.col("norm")), n), hashed)))
-    return cut(reps.select("class_id", grams.alias("grams"))).withColumn("size", F.size("grams")).filter("size > 0")
+def word_shingles(reps: DataFrame, n: int = 5, quick: bool = False) -> DataFrame:
+    """(class_id, size, grams): sorted hashes of the distinct n-word shingles; `quick`
+    ones where only equality counts, else `hash60`."""
+    w = T.words(F.col("norm"))
+    if quick:  # the words of a window are hashed as they are
+        reps = reps.select("class_id", w.alias("w"))
+        win = F.transform(T.windows(F.col("w"), n), lambda s: F.xxhash64(*(s[f"x{i}"] for i in range(n))))
+        grams = F.when(F.size("w") == 0, F.array().cast("array<bigint>")).when(F.size("w") < n, F.array(F.xxhash64(F.array_join("w", " ")))).otherwise(win)
+    else:
+        grams = F.transform(T.shingles(w, n), hash60)
+    return cut(reps.select("class_id", F.sort_array(F.array_distinct(grams)).alias("grams"))).withColumn("size", F.size("grams")).filter("size > 0")
 
 
 def jaccard_links(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -68,7 +70,7 @@ def jaccard_links(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     joined back to the surviving pairs."""
     df = sets.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     long = sets.select("class_id", "size", F.explode("grams").alias("g"))
-    placed = lookup(long, df, "g").groupBy("class_id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    placed = lookup(long, df, "g").groupBy("class_id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
     keep = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1
     prefix = placed.select("class_id", "size", F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias("pos", "e")).select("class_id", "size",
         "pos", F.col("e.g").alias("g"), F.col("e.df").alias("df"))
@@ -173,7 +175,7 @@ def winnow(reps: DataFrame, k: int = 5, w: int = 4) -> DataFrame:
     n = F.size("h")
     mins = F.when(n == 0, F.array().cast("array<bigint>")).when(n < w, F.array(F.array_min("h"))).otherwise(low)
     hashed = cut(reps.select("class_id", h.alias("h")))  # or every slice would hash the text again
-    return hashed.select("class_id", F.array_sort(F.array_distinct(mins)).alias("fps"))
+    return hashed.select("class_id", F.sort_array(F.array_distinct(mins)).alias("fps"))
 
 
 def shared_rare(sets: DataFrame, column: str, least: int, stop_df: int) -> DataFrame:
@@ -206,7 +208,7 @@ def weighted(sets: DataFrame) -> tuple[DataFrame, int]:
     idf = lambda d: F.log((n - d + 0.5) / (d + 0.5) + 1)
     long = lookup(sets.select("class_id", F.size("grams").alias("size"), F.explode("grams").alias("g")), df, "g").select("class_id", "size", "g",
         F.col("df").cast("int").alias("df"))
-    g = long.groupBy("class_id", "size").agg(F.array_sort(F.collect_list(F.struct("g", "df"))).alias("x"), F.sum(idf(F.col("df")) * idf(F.col("df"))).alias("w"))
+    g = long.groupBy("class_id", "size").agg(F.sort_array(F.collect_list(F.struct("g", "df"))).alias("x"), F.sum(idf(F.col("df")) * idf(F.col("df"))).alias("w"))
     alone = (F.col("size") - F.size("x")) * F.pow(idf(F.lit(1)), 2)
     return g.select("class_id", "size", F.col("x.g").alias("grams"), F.col("x.df").alias("dfs"), F.sqrt(F.col("w") + alone).alias("norm")), n
 
@@ -275,7 +277,7 @@ def char_sets(reps: DataFrame) -> DataFrame:
     characters, by the script of the text, of (class_id, norm)."""
     n3, n5 = T.char_ngrams(F.col("norm"), 3), T.char_ngrams(F.col("norm"), 5)
     grams = F.when(T.gram_size(F.col("norm")) == 3, n3).otherwise(n5)
-    hashed = F.array_sort(F.array_distinct(F.transform(grams, hash60)))
+    hashed = F.sort_array(F.array_distinct(F.transform(grams, hash60)))
     return cut(reps.select("class_id", hashed.alias("grams"))).withColumn("size", F.size("grams")).filter("size > 0")
 
 

@@ -97,7 +97,7 @@ class Near:
         from .operators.scale import cut
 
         cls = cut(S.classes(units, "id", F.col("norm")))
-        sets = S.word_shingles(S.representatives(cls, units, "id", F.col("norm")))
+        sets = S.word_shingles(S.representatives(cls, units, "id", F.col("norm")), quick=True)
         return S.jaccard_links(sets, self.threshold).select("a", "b", F.col("jaccard").alias("score"))
 
 

@@ -134,7 +134,7 @@ def md_witness(spark, d):
     """The best local alignment of the lines of near copies."""
     from . import prose
 
-    cls, sets = prose.sets_of(spark, d, similarity.hash64)
+    cls, sets = prose.sets_of(spark, d, quick=True)
     links = similarity.jaccard_links(sets).select("a", "b")
     t = prose.docs(spark, d)
     j = links.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")),

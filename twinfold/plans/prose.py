@@ -68,9 +68,9 @@ def texts_of(spark, d, cls):
     return spread(docs(spark, d)).transform(lambda x: S.representatives(cls, x, "doc_id", norm_text()))
 
 
-def sets_of(spark, d, hashed=S.hash60):
+def sets_of(spark, d, quick=False):
     cls = cut(reps(spark, d))
-    return cls, S.word_shingles(texts_of(spark, d, cls), hashed=hashed)
+    return cls, S.word_shingles(texts_of(spark, d, cls), quick=quick)
 
 
 def md_exact_classes(spark, d):
@@ -80,12 +80,12 @@ def md_exact_classes(spark, d):
 
 
 def md_near_dups(spark, d):
-    cls, sets = sets_of(spark, d, S.hash64)
+    cls, sets = sets_of(spark, d, quick=True)
     return S.per_document(cls, cut(S.jaccard_links(sets))).withColumnRenamed("id", "doc_id")
 
 
 def md_jaccard_links(spark, d):
-    _, sets = sets_of(spark, d, S.hash64)
+    _, sets = sets_of(spark, d, quick=True)
     return S.jaccard_links(sets).select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -120,7 +120,7 @@ def lines_of(spark, d):
 def accepted(spark, d):
     """(cls, sets, pairs with score, cosine, containment, shared, jaccard, commonness):
     all accepted pairs of the corpus, not only those that share a MinHash band."""
-    cls, sets = sets_of(spark, d, S.hash64)
+    cls, sets = sets_of(spark, d, quick=True)
     w, n = S.weighted(sets)
     w = cut(w)
     j = S.pair_stats(cut(S.accept_candidates(w, n)), w, n)
