@@ -31,6 +31,33 @@ def test_rare_anchor_and_helper(spark):
     assert (ids[0, "mix"], ids[1, "work"]) in pairs
 
 
+def test_slim_units(spark):
+    """What the helpers need is the same without the heavy columns."""
+    names = X.python_features(spark.createDataFrame([(0, "a.py", "")], "file_id long, path string, src string")).columns
+    src = CALLS + "class A:\n    def f(self):\n        while a:\n            return [1, b.c]\n        yield\n"
+    whole = [dict(zip(names[3:], u)) for u in X.units_of(src)]
+    assert [list(u) for u in X.units_of(src, slim=True)] == [[v for k, v in u.items() if k not in X.HEAVY] for u in whole]
+
+
+def test_equal_helpers_do_not_multiply(spark):
+    """Many helpers that return the same are one entry of a value; the first one that
+    is smaller than the container counts, as over all pairs."""
+    long = HELPER.replace("    return", "    c = a\n    return")
+    texts = [*[long] * 12, *[HELPER] * 12, WRITTEN_OUT, long.replace("mix", "blend")]
+    u = X.with_called_returns(X.python_features(spark.createDataFrame([(i, f"p/{99 - i}.py", t) for i, t in enumerate(texts)], "file_id long, path string, src string"), slim=True)).cache()
+    (r,) = anchors.helpers(u).collect()
+    assert len(r.h) == 2
+    rows = u.collect()
+    fit = [x for x in rows if x.pure_single_return and len(x.returns) == 1 and len(x.value) >= 8]
+    want = {}
+    for c in rows:
+        for h in fit:
+            if c.token_count > h.token_count and not c.called_helper_returns and h.returns[0] in [x.hash for x in c.anchors]:
+                want[c.unit_id] = min(want.get(c.unit_id, ("~",)), (h.path, h.start_line, h.unit_id))
+    got = {x.container: x.helper for x in anchors.reinvented(u).collect()}
+    assert got == {k: v[2] for k, v in want.items()} and len(got) > 12
+
+
 def test_channels(spark):
     twice = WRITTEN_OUT.replace("xs", "rows").replace("out", "res")
     u = features(spark, WRITTEN_OUT, twice, "x = 1\n").cache()
