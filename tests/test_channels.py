@@ -255,3 +255,20 @@ def test_token_runs_go_as_far_as_both_stay_equal(spark):
     stream = runs.token_stream(spark.createDataFrame(files, "k int, p string, s string"), "k", F.lit("python"), "s")
     got = {(r.a, r.b) for r in runs.token_runs(stream, lines=2).collect()}
     assert {(i, 20) for i in range(10)} <= got and {(i, 21) for i in range(10)} <= got
+
+
+def test_block_likeness_against_all_pairs(spark):
+    """Over the bounds of blocks, each set once or twice and never once per pair."""
+    rng = random.Random(5)
+    pool = [[rng.choice("ab") for _ in range(rng.randrange(1, 14))] for _ in range(30)]
+    cut = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    sets = [(i, rng.choice(pool), rng.choice(["x", "y", None])) for i in range(100)]
+    want = []
+    for i, g, s in sets:
+        for _, h, t in sets[i + 1 : i + 8]:
+            j = len(cut(g) & cut(h)) / len(cut(g) | cut(h))
+            if j >= 0.5:
+                want.append((round(j, 9), s == t))
+    placed = census.blocks(spark.createDataFrame(sets, "i long, w array<string>, source string"), 7, 16)
+    assert placed.count() == 100 + 6 * 7 - 3  # the last block has four
+    assert sorted((round(r.jaccard, 9), r.same) for r in census.block_likeness(placed, 0.5, 7, 16).collect()) == sorted(want)
